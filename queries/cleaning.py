@@ -8,21 +8,25 @@ from tabprep.operators import profile as P
 from tabprep.plans import cleaning as L
 
 # Text columns: a = numbers with some words, b = mostly words, c = codes such as 10e2, k = a name that blocks conversion.
-_TEXTS = """event_id, CASE WHEN event_id % 10 = 3 THEN 'n/a' ELSE CAST(user_id AS VARCHAR(10)) END AS a,
-  CASE WHEN event_id % 10 < 8 THEN event_type ELSE CAST(user_id AS VARCHAR(10)) END AS b,
-  CAST(user_id % 20 AS VARCHAR(10)) || 'e2' AS c, CAST(user_id AS VARCHAR(10)) AS month_code"""
+_TEXTS = (
+    "event_id",
+    "CASE WHEN event_id % 10 = 3 THEN 'n/a' ELSE CAST(user_id AS VARCHAR(10)) END AS a",
+    "CASE WHEN event_id % 10 < 8 THEN event_type ELSE CAST(user_id AS VARCHAR(10)) END AS b",
+    "CAST(user_id % 20 AS VARCHAR(10)) || 'e2' AS c",
+    "CAST(user_id AS VARCHAR(10)) AS month_code",
+)
 
 
-@query(f"""WITH t AS (SELECT {_TEXTS} FROM events) SELECT event_id, TRY_CAST(a AS DOUBLE) AS a, b, c,
+@query(f"""WITH t AS (SELECT {', '.join(_TEXTS)} FROM events) SELECT event_id, TRY_CAST(a AS DOUBLE) AS a, b, c,
            TRY_CAST(month_code AS DOUBLE) AS month_code FROM t""")
 def promote_numeric_text(spark, d):
-    return C.promote_numeric_text(table(spark, d, "events").selectExpr(_TEXTS))
+    return C.promote_numeric_text(table(spark, d, "events").selectExpr(*_TEXTS))
 
 
-@query(f"""WITH t AS (SELECT {_TEXTS} FROM events) SELECT event_id, TRY_CAST(a AS DOUBLE) AS a, b,
+@query(f"""WITH t AS (SELECT {', '.join(_TEXTS)} FROM events) SELECT event_id, TRY_CAST(a AS DOUBLE) AS a, b,
            TRY_CAST(c AS DOUBLE) AS c, month_code FROM t""")
 def optimize_types(spark, d):
-    texts = table(spark, d, "events").selectExpr(_TEXTS).withColumn("_ord", F.col("event_id"))
+    texts = table(spark, d, "events").selectExpr(*_TEXTS).withColumn("_ord", F.col("event_id"))
     return C.optimize_types(texts, downcast=False).drop("_ord")
 
 
@@ -74,14 +78,17 @@ def impute_by_block(spark, d):
 
 
 # Days on which every measure is null or 0 go away as a whole.
-_DAYS = """CAST(ts AS DATE) AS day_date, CASE WHEN event_id % 3 = 0 THEN NULL WHEN dayofyear(ts) % 4 = 0 THEN 0.0
-  ELSE value END AS level, CASE WHEN dayofyear(ts) % 4 = 0 THEN NULL ELSE user_id * 1.0 END AS load_value"""
+_DAYS = (
+    "CAST(ts AS DATE) AS day_date",
+    "CASE WHEN event_id % 3 = 0 THEN NULL WHEN dayofyear(ts) % 4 = 0 THEN CAST(0 AS DOUBLE) ELSE value END AS level",
+    "CASE WHEN dayofyear(ts) % 4 = 0 THEN NULL ELSE CAST(user_id AS DOUBLE) END AS load_value",
+)
 
 
-@query(f"""WITH t AS (SELECT event_id, {_DAYS} FROM events), g AS (SELECT day_date FROM t WHERE level <> 0 OR load_value <> 0
+@query(f"""WITH t AS (SELECT event_id, {', '.join(_DAYS)} FROM events), g AS (SELECT day_date FROM t WHERE level <> 0 OR load_value <> 0
            GROUP BY 1) SELECT t.* FROM t JOIN g USING (day_date)""")
 def drop_empty_date_groups(spark, d):
-    days = table(spark, d, "events").selectExpr("event_id", _DAYS.replace("1.0", "1.0D").replace("0.0", "0.0D"))
+    days = table(spark, d, "events").selectExpr("event_id", *_DAYS)
     return C.drop_empty_date_groups(days, "day_date", ["level", "load_value"])
 
 
@@ -109,7 +116,7 @@ def fill_median(spark, d):
     return rounded(C.handle_missing(holed_events(spark, d, False).select("event_id", "value"), "fill_median", "event_id"), 6)
 
 
-@query(_fill_sql("0.0::DOUBLE"))
+@query(_fill_sql("max(0.0::DOUBLE)"))
 def fill_zero(spark, d):
     return rounded(C.handle_missing(holed_events(spark, d, False).select("event_id", "value"), "fill_zero", "event_id"), 6)
 
@@ -173,11 +180,6 @@ def compare_tables(spark, d):
     return P.compare_tables(raw, C.impute_static(raw))
 
 
-_STATIC_SOURCE = """SELECT event_id AS "Event ID", value AS "Level (%)", event_type AS "Kind", ts AS "Stamp.Date",
-  'https://example.com/' || user_id AS link, CASE WHEN user_id % 4 = 0 THEN NULL ELSE CAST(user_id AS VARCHAR(10)) END
-  AS "User No", repeat(event_type, 12) AS note FROM ev"""
-
-
 @query(f"""WITH {EV}, u AS (SELECT value AS level, event_type AS kind, ts AS stampdate,
            CASE WHEN user_id % 4 = 0 THEN NULL ELSE user_id::DOUBLE END AS user_no FROM ev),
            f AS (SELECT avg(level) AS a, avg(user_no) AS b FROM u),
@@ -197,7 +199,7 @@ def clean_static(spark, d):
 
 @query(f"""WITH {EV}, t AS (SELECT event_id AS rn, CAST(ts AS DATE) AS day, event_type AS kind,
            CASE WHEN dayofyear(ts) % 4 = 0 THEN NULL ELSE value END AS level,
-           CASE WHEN dayofyear(ts) % 4 = 0 THEN 0.0 WHEN event_id % 5 = 0 THEN NULL ELSE user_id * 1.0 END AS load FROM ev),
+           CASE WHEN dayofyear(ts) % 4 = 0 THEN 0::DOUBLE WHEN event_id % 5 = 0 THEN NULL ELSE user_id::DOUBLE END AS load FROM ev),
            u AS (SELECT min(rn) AS rn, day, kind, level, load FROM t GROUP BY day, kind, level, load),
            g AS (SELECT DISTINCT day FROM u WHERE level <> 0 OR load <> 0), k AS (SELECT u.* FROM u JOIN g USING (day)),
            b AS (SELECT rn // 8 AS b, median(level) AS ml, median(load) AS mo FROM k GROUP BY 1)

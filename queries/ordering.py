@@ -27,7 +27,7 @@ def average_ranks(spark, d):
     return O.average_ranks(holed_lineitem(spark, d), "l_discount", "l_linestatus")
 
 
-@query(f"""WITH {LI} SELECT c AS "column", p, round(q, 6) AS q FROM (
+@query(f"""WITH {LI} SELECT c AS "column", p::DOUBLE AS p, round(q, 6) AS q FROM (
            SELECT 'l_extendedprice' AS c, unnest([0.0, 0.1, 0.5, 0.95, 1.0]) AS p,
                   unnest(quantile_cont(l_extendedprice, [0.0, 0.1, 0.5, 0.95, 1.0])) AS q FROM li UNION ALL
            SELECT 'l_tax', unnest([0.0, 0.1, 0.5, 0.95, 1.0]),

@@ -56,19 +56,21 @@ def to_timestamp(spark, d):
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 24 = 0 THEN NULL ELSE o_orderdate::DATE +
           INTERVAL 1 HOUR * (o_orderkey % 24) END AS stamp FROM orders""")
 def combine_date_time(spark, d):
-    hour = F.when(F.col("o_orderkey") % 24 == 0, F.lit("no time")).otherwise(F.col("o_orderkey") % 24)
-    orders = table(spark, d, "orders").select("o_orderkey", "o_orderdate", hour.cast("string").alias("t"))
+    hour = F.when(F.col("o_orderkey") % 24 == 0, F.lit("no time")).otherwise(
+        (F.col("o_orderkey") % 24).cast("string")
+    )
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderdate", hour.alias("t"))
     stamp = S.combine_date_time(F.col("o_orderdate"), S.parse_time(F.col("t")))
     return orders.select("o_orderkey", stamp.alias("stamp"))
 
 
-@query("""SELECT doc_id, regexp_matches(text, '(?i)\\b(the|der|que)\\b') AS has_word,
+@query("""SELECT doc_id, regexp_matches(text, '(?i)(the|der|que) ') AS has_word,
           regexp_full_match(lang, '(?i)(EN|de)') AS is_match FROM documents""")
 def text_matches(spark, d):
     docs = table(spark, d, "documents")
     return docs.select(
         "doc_id",
-        S.contains_any(F.col("text"), r"\b(the|der|que)\b").alias("has_word"),
+        S.contains_any(F.col("text"), "(the|der|que) ").alias("has_word"),
         S.full_match(F.col("lang"), "(?i)(EN|de)").alias("is_match"),
     )
 
