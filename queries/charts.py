@@ -111,8 +111,7 @@ def heatmap_data(spark, d):
 
 _NUMS = ("l_quantity", "l_extendedprice", "l_discount")
 _MATRIX = " UNION ALL ".join(
-    f"SELECT '{a}' AS var1, '{b}' AS var2, round({'1.0::DOUBLE' if a == b else f'corr({a}, {b})'}, 6) AS r FROM li"
-    + (" GROUP BY ALL" if a == b else "")
+    f"SELECT '{a}' AS var1, '{b}' AS var2, " + ("1.0::DOUBLE AS r" if a == b else f"round(corr({a}, {b}), 6) AS r FROM li")
     for a in _NUMS for b in _NUMS)
 
 

@@ -20,6 +20,7 @@ from tabprep.operators.aggregates import MAX_LEVELS, value_frequencies
 from tabprep.operators.columns import standardize_columns
 from tabprep.operators.filters import filter_exact_zero_rows
 from tabprep.operators.ordering import with_row_number
+from tabprep.storage import materialize
 
 # Encoding thresholds, and the library defaults of smoothed target encoding.
 HIGH_CARDINALITY = 10
@@ -32,6 +33,8 @@ MISSING_LEVEL = "missing_value"
 
 # A level table up to this many rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_LEVELS = 1_000_000
+# A fitted level table up to this many rows is kept in the plan; a larger one is written to the shared folder.
+INLINE_LEVELS = 10_000
 
 
 def level_statistics(df: DataFrame, columns: Iterable[str]) -> dict[str, tuple[int, int]]:
@@ -91,6 +94,13 @@ def lookup(df: DataFrame, table: DataFrame, column: str, size: int) -> DataFrame
     return df.join(F.broadcast(table) if size <= BROADCAST_LEVELS else table, column, "left")
 
 
+def freeze(table: DataFrame, size: int) -> DataFrame:
+    """Fix fitted state so that later uses do not repeat the fit."""
+    if size > INLINE_LEVELS:
+        return materialize(table)
+    return table.sparkSession.createDataFrame(table.collect(), table.schema)
+
+
 def label_levels(df: DataFrame, column: str, null_level: str = UNKNOWN_LEVEL) -> DataFrame:
     """(level, code): sorted levels numbered from 0; nulls count as ``null_level``."""
     distinct = df.select(F.coalesce(col(column).cast("string"), F.lit(null_level)).alias("level")).distinct()
@@ -184,7 +194,8 @@ def fit_target_encoding(df: DataFrame, target: str, columns: Iterable[str], size
     if prior is None:
         raise ValueError(f"Target column '{target}' has no values.")
     stats = sizes or {n: u for n, (u, _) in level_statistics(df, names).items()}
-    return TargetEncoding(prior, {n: target_means(df, n, target, prior) for n in names}, {n: stats[n] for n in names})
+    tables = {n: freeze(target_means(df, n, target, prior), stats[n]) for n in names}
+    return TargetEncoding(prior, tables, {n: stats[n] for n in names})
 
 
 def fit_target_encoder(
