@@ -51,6 +51,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        print(f"{name}: {seconds[name]}s", file=sys.stderr, flush=True)
     total = round(sum(seconds.values()), 3)
     print(
         json.dumps(

@@ -45,13 +45,13 @@ def _costs(spark, d):
     return holed_lineitem(spark, d).select(cost.alias("cost"), *_NUMS, "l_returnflag", "l_linestatus")
 
 
-@query(f"""WITH {_SCALED_BASE}, {_CODES} SELECT l_extendedprice + 1000 * l_quantity AS cost, round((l_quantity - m_l_quantity) / s_l_quantity, 6)
+@query(f"""WITH {_SCALED_BASE}, {_CODES} SELECT round(l_extendedprice + 1000 * l_quantity, 2) AS cost, round((l_quantity - m_l_quantity) / s_l_quantity, 6)
     AS l_quantity, fc.c::DOUBLE AS l_returnflag, sc.c::DOUBLE AS l_linestatus FROM fl JOIN fc ON fc.x =
     coalesce(l_returnflag, 'missing_value') JOIN sc ON sc.x = l_linestatus, st""")
 def prepare_features(spark, d):
     """Only the quantity correlates with the price; discount and tax are dropped."""
     prepared, _ = X.prepare(_costs(spark, d), "cost", threshold=0.05)
-    return rounded(prepared, 6)
+    return rounded(rounded(prepared, 6), 2, "cost")
 
 
 @query(f"""WITH {_SCALED_BASE}, {_CODES}, u AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN 'Z' ELSE

@@ -314,7 +314,8 @@ def interpolate_linear(df: DataFrame, columns: Iterable[str], order_by: str = OR
         return df
     ranged, ranges = split_ranges(df, order_by)
     before = Window.partitionBy("_range").orderBy(col(order_by)).rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy("_range").orderBy(col(order_by)).rowsBetween(0, Window.unboundedFollowing)
+    # The next value is the last one seen from the other end: a running frame, not one frame per row.
+    after = Window.partitionBy("_range").orderBy(col(order_by).desc()).rowsBetween(Window.unboundedPreceding, 0)
 
     def point(n: str) -> Column:
         return F.when(col(n).isNotNull(), F.struct(col(order_by).cast("double").alias("x"), col(n).cast("double").alias("y")))
@@ -326,19 +327,19 @@ def interpolate_linear(df: DataFrame, columns: Iterable[str], order_by: str = OR
             *[F.min_by(point(n), F.when(col(n).isNotNull(), col(order_by))).alias(f"_first{i}") for i, n in enumerate(names)],
         )
         # At most one row per range.
-        along = Window.partitionBy(F.lit(0)).orderBy("_range")
-        earlier = along.rowsBetween(Window.unboundedPreceding, -1)
-        later = along.rowsBetween(1, Window.unboundedFollowing)
+        edge = Window.partitionBy(F.lit(0))
+        earlier = edge.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        later = edge.orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
         edges = edges.select(
             "_range",
             *[F.last(f"_last{i}", ignorenulls=True).over(earlier).alias(f"_pl{i}") for i in range(len(names))],
-            *[F.first(f"_first{i}", ignorenulls=True).over(later).alias(f"_nf{i}") for i in range(len(names))],
+            *[F.last(f"_first{i}", ignorenulls=True).over(later).alias(f"_nf{i}") for i in range(len(names))],
         )
         staged = ranged.join(F.broadcast(edges), "_range", "left")
     out = []
     for i, n in enumerate(names):
         low = F.last(point(n), ignorenulls=True).over(before)
-        high = F.first(point(n), ignorenulls=True).over(after)
+        high = F.last(point(n), ignorenulls=True).over(after)
         if ranges > 1:
             low, high = F.coalesce(low, F.col(f"_pl{i}")), F.coalesce(high, F.col(f"_nf{i}"))
         out += [low.alias(f"_lo{i}"), high.alias(f"_hi{i}")]

@@ -20,7 +20,7 @@ from tabprep.functions.types import as_list, col
 ROWS_PER_RANGE = 1_000_000
 MAX_RANGES = 20_000
 # Up to this many distinct values per column the built-in exact percentile is used.
-DISTINCT_IN_MEMORY = 1_000_000
+DISTINCT_IN_MEMORY = 100_000
 # Relative rank error of the first quantile bracket is 1 / SKETCH_ACCURACY.
 SKETCH_ACCURACY = 10_000
 
@@ -150,11 +150,13 @@ def value_ranks(
     value: str,
     by: str | Iterable[str] | None = None,
     extra: dict[str, Column] | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Distinct non-null values with their counts and positions inside each group.
 
     Output: group columns, value, ``n`` (copies), ``before`` (rows with a smaller value) and
-    ``total`` (rows of the group). ``extra`` adds more aggregates per distinct value. Copies are combined before the shuffle and a large group is cut
+    ``total`` (rows of the group). ``extra`` adds more aggregates per distinct value.
+    ``rows`` is the row count when the caller knows it. Copies are combined before the shuffle and a large group is cut
     into value ranges, so neither a hot value nor a hot group ends up in one task. The average rank
     of a value is ``before + (n + 1) / 2``.
     """
@@ -163,7 +165,7 @@ def value_ranks(
     present = df.filter(col(value).isNotNull())
     if not more:
         present = present.select(*[col(k) for k in keys], col(value))
-    ranged, ranges = split_ranges(present, value)
+    ranged, ranges = split_ranges(present, value, rows=rows)
     counts = ranged.groupBy(*[col(k) for k in keys], "_range", col(value)).agg(
         F.count(F.lit(1)).alias("n"), *[a.alias(name) for name, a in more.items()]
     )
@@ -226,90 +228,95 @@ def group_quantiles(
 def quantiles(df: DataFrame, columns: str | Iterable[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
     """Exact linearly interpolated quantiles of whole columns, as driver-side numbers.
 
-    First one pass of counters and sketches. Columns with few distinct values use the built-in exact
-    percentile. For the others the sketch gives a bracket around each wanted rank; only values inside
-    the brackets are grouped and ranked, and the number of rows below is counted, so the answer is
-    exact while almost no row is shuffled.
+    One pass of counters and sketches comes first. Columns with few distinct values then use the built-in
+    exact percentile. For the others the sketch gives a bracket around each wanted rank: the rows below it
+    are counted, only the values inside it are grouped and ranked, and a bracket that misses its rank is
+    widened. The answer is exact while almost no row is shuffled.
     """
     names = as_list(columns)
     if not names:
         return {}
-    stats = df.agg(
-        *[F.count(col(n)).alias(f"c{i}") for i, n in enumerate(names)],
-        *[F.approx_count_distinct(col(n)).alias(f"d{i}") for i, n in enumerate(names)],
+    values = df.select(*[col(n).cast("double").alias(f"v{i}") for i, n in enumerate(names)])
+    indexes = range(len(names))
+    slack = 2.0 / SKETCH_ACCURACY
+    stats = values.agg(
+        *[F.count(f"v{i}").alias(f"c{i}") for i in indexes],
+        *[F.approx_count_distinct(f"v{i}").alias(f"d{i}") for i in indexes],
+        *[_sketch(i, probs, slack).alias(f"s{i}") for i in indexes],
     ).first()
-    count = {n: stats[f"c{i}"] for i, n in enumerate(names)}
-    small = [n for i, n in enumerate(names) if stats[f"d{i}"] <= DISTINCT_IN_MEMORY]
-    out: dict[str, list[float | None]] = {}
+    found: dict[int, list[float | None]] = {i: [None] * len(probs) for i in indexes if stats[f"c{i}"] == 0}
+    small = [i for i in indexes if i not in found and stats[f"d{i}"] <= DISTINCT_IN_MEMORY]
     if small:
-        row = df.agg(*[F.percentile(col(n).cast("double"), list(probs)).alias(f"q{i}") for i, n in enumerate(small)]).first()
-        out.update({n: list(row[i]) if row[i] is not None else [None] * len(probs) for i, n in enumerate(small)})
-    large = [n for n in names if n not in small]
+        row = values.agg(*[F.percentile(f"v{i}", list(probs)).alias(f"q{i}") for i in small]).first()
+        found.update({i: list(row[f"q{i}"]) for i in small})
+    large = [i for i in indexes if i not in found]
     if large:
-        out.update(_bracketed_quantiles(df, large, probs, count))
-    return {n: out[n] for n in names}
+        found.update(_bracketed_quantiles(values, large, probs, stats))
+    return {n: found[i] for i, n in enumerate(names)}
 
 
-def _bracketed_quantiles(df, names, probs, count) -> dict[str, list[float]]:
+def _sketch(i: int, probs: Sequence[float], slack: float) -> Column:
+    """Approximate values a little below and above each wanted rank, from one sketch per column."""
+    around = [x for p in probs for x in (max(0.0, p - slack), min(1.0, p + slack))]
+    return F.percentile_approx(f"v{i}", around, SKETCH_ACCURACY)
+
+
+def _bracketed_quantiles(values: DataFrame, columns: list[int], probs, stats) -> dict[int, list[float]]:
+    # One target per column and probability: (column, lower rank, upper rank, weight of the upper one).
     targets = []
-    for n in names:
-        for p in probs:
-            position = (count[n] - 1) * p
-            targets.append((n, math.floor(position), math.ceil(position), position - math.floor(position)))
-    # Each target keeps a bracket [low, high] of values that must hold its two ranks.
-    slack = [2.0 / SKETCH_ACCURACY] * len(targets)
+    for i in columns:
+        for k, p in enumerate(probs):
+            position = (stats[f"c{i}"] - 1) * p
+            targets.append((i, k, math.floor(position), math.ceil(position), position - math.floor(position)))
+    brackets = {t: tuple(stats[f"s{i}"][2 * k : 2 * k + 2]) for t, (i, k, *_) in enumerate(targets)}
+    slack, todo = 2.0 / SKETCH_ACCURACY, list(brackets)
     found: dict[int, float] = {}
-    todo = list(range(len(targets)))
     while todo:
-        row = df.agg(
-            *[
-                F.percentile_approx(
-                    col(targets[t][0]).cast("double"),
-                    [
-                        max(0.0, targets[t][1] / count[targets[t][0]] - slack[t]),
-                        min(1.0, (targets[t][2] + 1) / count[targets[t][0]] + slack[t]),
-                    ],
-                    SKETCH_ACCURACY,
-                ).alias(f"b{t}")
-                for t in todo
-            ]
+        counts = values.agg(
+            *[F.count_if(F.col(f"v{targets[t][0]}") < brackets[t][0]).alias(f"l{t}") for t in todo],
+            *[F.count_if(F.col(f"v{targets[t][0]}") <= brackets[t][1]).alias(f"h{t}") for t in todo],
         ).first()
-        brackets = {t: tuple(row[f"b{t}"]) for t in todo}
-        checks = df.agg(
-            *[F.count_if(col(targets[t][0]).cast("double") < brackets[t][0]).alias(f"l{t}") for t in todo],
-            *[F.count_if(col(targets[t][0]).cast("double") <= brackets[t][1]).alias(f"h{t}") for t in todo],
-        ).first()
-        ready = [t for t in todo if checks[f"l{t}"] <= targets[t][1] and targets[t][2] < checks[f"h{t}"]]
+        ready = [t for t in todo if counts[f"l{t}"] <= targets[t][2] and targets[t][3] < counts[f"h{t}"]]
         if ready:
-            tagged = [
-                F.when(
-                    col(targets[t][0]).cast("double").between(*brackets[t]),
-                    F.struct(F.lit(t).alias("t"), col(targets[t][0]).cast("double").alias("v")),
-                )
-                for t in ready
-            ]
-            inside = df.select(F.explode(F.array_compact(F.array(*tagged))).alias("s")).select("s.t", "s.v")
-            ranks = value_ranks(inside, "v", ["t"])
-            below = F.create_map(*[x for t in ready for x in (F.lit(t), F.lit(checks[f"l{t}"]))])
-            low = F.create_map(*[x for t in ready for x in (F.lit(t), F.lit(targets[t][1]))])
-            high = F.create_map(*[x for t in ready for x in (F.lit(t), F.lit(targets[t][2]))])
-            at = F.col("before") + below[F.col("t")]
-            until = at + F.col("n")
-            hits = ranks.groupBy("t").agg(
-                F.max(F.when((at <= low[F.col("t")]) & (low[F.col("t")] < until), F.col("v"))).alias("a"),
-                F.max(F.when((at <= high[F.col("t")]) & (high[F.col("t")] < until), F.col("v"))).alias("b"),
-            )
-            for r in hits.collect():
-                found[r.t] = r.a + (r.b - r.a) * targets[r.t][3]
+            found.update(_values_at_ranks(values, targets, brackets, counts, ready))
         todo = [t for t in todo if t not in found]
-        for t in todo:
-            slack[t] *= 4
-    out: dict[str, list[float]] = {n: [] for n in names}
-    for t, (n, _, _, _) in enumerate(targets):
-        out[n].append(found[t])
+        if todo:
+            slack *= 4
+            missed = sorted({targets[t][0] for t in todo})
+            wider = values.agg(*[_sketch(i, probs, slack).alias(f"s{i}") for i in missed]).first()
+            brackets.update({t: tuple(wider[f"s{targets[t][0]}"][2 * targets[t][1] :][:2]) for t in todo})
+    out: dict[int, list[float]] = {i: [] for i in columns}
+    for t, target in enumerate(targets):
+        out[target[0]].append(found[t])
     return out
 
 
+def _values_at_ranks(values: DataFrame, targets, brackets, counts, ready: list[int]) -> dict[int, float]:
+    tagged = [
+        F.when(
+            F.col(f"v{targets[t][0]}").between(*brackets[t]),
+            F.struct(F.lit(t).alias("t"), F.col(f"v{targets[t][0]}").alias("v")),
+        )
+        for t in ready
+    ]
+    inside = values.select(F.explode(F.array_compact(F.array(*tagged))).alias("s")).select("s.t", "s.v")
+    rows = sum(counts[f"h{t}"] - counts[f"l{t}"] for t in ready)
+    ranks = value_ranks(inside, "v", ["t"], rows=rows)
+
+    def per_target(numbers: dict[int, int]) -> Column:
+        return F.create_map(*[x for t, v in numbers.items() for x in (F.lit(t), F.lit(v))])[F.col("t")]
+
+    at = F.col("before") + per_target({t: counts[f"l{t}"] for t in ready})
+    until = at + F.col("n")
+    low = per_target({t: targets[t][2] for t in ready})
+    high = per_target({t: targets[t][3] for t in ready})
+    hits = ranks.groupBy("t").agg(
+        F.max(F.when((at <= low) & (low < until), F.col("v"))).alias("a"),
+        F.max(F.when((at <= high) & (high < until), F.col("v"))).alias("b"),
+    )
+    return {r["t"]: r["a"] + (r["b"] - r["a"]) * targets[r["t"]][4] for r in hits.collect()}
+
+
 def evenly_downsample(
     df: DataFrame, max_points: int, order_by: str | Iterable[str], rows: int | None = None
 ) -> DataFrame:

@@ -50,20 +50,39 @@ def unfold(row: DataFrame, names: Iterable[str], fields: dict[str, callable]) ->
     return row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
 
 
-def adjusted_skewness(c: Column) -> Column:
+def column_means(df: DataFrame, names: list[str]) -> dict[str, float]:
+    row = df.agg(*[F.avg(col(n)).alias(f"m{i}") for i, n in enumerate(names)]).first()
+    return {n: row[i] for i, n in enumerate(names)}
+
+
+def _powers(i: int, n: str, means: dict[str, float]) -> list[Column]:
+    """Count and central power sums around the known mean; plain sums keep the aggregation compiled."""
+    gap = col(n).cast("double") - F.lit(means[n]).cast("double")
+    return [
+        F.count(col(n)).cast("double").alias(f"n{i}"),
+        F.sum(gap * gap).alias(f"p2_{i}"),
+        F.sum(gap * gap * gap).alias(f"p3_{i}"),
+        F.sum(gap * gap * gap * gap).alias(f"p4_{i}"),
+    ]
+
+
+def _variance(i: int) -> Column:
+    return F.when(F.col(f"n{i}") >= 2, F.col(f"p2_{i}") / (F.col(f"n{i}") - 1))
+
+
+def adjusted_skewness(i: int) -> Column:
     """Bias-corrected skewness; NULL below three values, 0 for a constant column."""
-    n, g = F.count(c).cast("double"), F.skewness(c)
-    value = g * F.sqrt(n * (n - 1)) / (n - 2)
-    constant = F.var_pop(c) == 0
-    return F.when(n >= 3, F.when(constant, F.lit(0.0)).otherwise(F.when(~F.isnan(g), value)))
+    n, m2, m3 = F.col(f"n{i}"), F.col(f"p2_{i}") / F.col(f"n{i}"), F.col(f"p3_{i}") / F.col(f"n{i}")
+    value = F.try_divide(m3, m2 * F.sqrt(m2)) * F.sqrt(n * (n - 1)) / (n - 2)
+    return F.when(n >= 3, F.when(m2 == 0, F.lit(0.0)).otherwise(value))
 
 
-def adjusted_kurtosis(c: Column) -> Column:
+def adjusted_kurtosis(i: int) -> Column:
     """Bias-corrected excess kurtosis; NULL below four values, 0 for a constant column."""
-    n, k = F.count(c).cast("double"), F.kurtosis(c)
+    n, m2, m4 = F.col(f"n{i}"), F.col(f"p2_{i}") / F.col(f"n{i}"), F.col(f"p4_{i}") / F.col(f"n{i}")
+    k = F.try_divide(m4, m2 * m2) - 3
     value = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * k + 6)
-    constant = F.var_pop(c) == 0
-    return F.when(n >= 4, F.when(constant, F.lit(0.0)).otherwise(F.when(~F.isnan(k), value)))
+    return F.when(n >= 4, F.when(m2 == 0, F.lit(0.0)).otherwise(value))
 
 
 def _quantile_literal(values: dict[str, list], n: str, i: int) -> Column:
@@ -230,17 +249,14 @@ def numeric_profile(df: DataFrame, columns: Iterable[str] | None = None) -> Data
     """Per numeric column: 18 measures and the shape of the distribution, rounded to 4 digits."""
     names = list(columns) if columns is not None else numeric_columns(df)
     q = quantiles(df, names, [0.25, 0.5, 0.75])
+    means = column_means(df, names)
     aggs = []
     for i, n in enumerate(names):
         c = col(n)
         aggs += [
-            F.count(c).alias(f"n{i}"),
-            F.avg(c).alias(f"mean{i}"),
-            F.stddev_samp(c).alias(f"std{i}"),
+            *_powers(i, n, means),
             F.min(c).cast("double").alias(f"min{i}"),
             F.max(c).cast("double").alias(f"max{i}"),
-            adjusted_skewness(c.cast("double")).alias(f"skew{i}"),
-            adjusted_kurtosis(c.cast("double")).alias(f"kurt{i}"),
             F.count_if(c == 0).alias(f"zero{i}"),
             F.count_if(c < 0).alias(f"neg{i}"),
         ]
@@ -251,9 +267,9 @@ def numeric_profile(df: DataFrame, columns: Iterable[str] | None = None) -> Data
 
     fields = {
         "dtype": lambda i, n: F.lit(_type_name(df, n)),
-        "count": lambda i, n: F.col(f"n{i}"),
-        "mean": lambda i, n: r4(F.col(f"mean{i}")),
-        "std": lambda i, n: r4(F.col(f"std{i}")),
+        "count": lambda i, n: F.col(f"n{i}").cast("long"),
+        "mean": lambda i, n: r4(F.lit(means[n]).cast("double")),
+        "std": lambda i, n: r4(F.sqrt(_variance(i))),
         "min": lambda i, n: r4(F.col(f"min{i}")),
         "q1": lambda i, n: r4(_quantile_literal(q, n, 0)),
         "median": lambda i, n: r4(_quantile_literal(q, n, 1)),
@@ -261,13 +277,13 @@ def numeric_profile(df: DataFrame, columns: Iterable[str] | None = None) -> Data
         "max": lambda i, n: r4(F.col(f"max{i}")),
         "range": lambda i, n: r4(F.col(f"max{i}") - F.col(f"min{i}")),
         "iqr": lambda i, n: r4(_quantile_literal(q, n, 2) - _quantile_literal(q, n, 0)),
-        "skewness": lambda i, n: r4(F.col(f"skew{i}")),
-        "kurtosis": lambda i, n: r4(F.col(f"kurt{i}")),
+        "skewness": lambda i, n: r4(adjusted_skewness(i)),
+        "kurtosis": lambda i, n: r4(adjusted_kurtosis(i)),
         "zeros_count": lambda i, n: F.col(f"zero{i}"),
         "zeros_percentage": lambda i, n: F.round(F.try_divide(F.col(f"zero{i}"), F.col(f"n{i}")) * 100, 2),
         "negative_count": lambda i, n: F.col(f"neg{i}"),
         "negative_percentage": lambda i, n: F.round(F.try_divide(F.col(f"neg{i}"), F.col(f"n{i}")) * 100, 2),
-        "distribution_shape": lambda i, n: distribution_shape(r4(F.col(f"skew{i}"))),
+        "distribution_shape": lambda i, n: distribution_shape(r4(adjusted_skewness(i))),
     }
     return unfold(row, names, fields).filter(F.col("count") > 0)
 
@@ -303,22 +319,21 @@ def extended_summary(df: DataFrame, columns: Iterable[str] | None = None) -> Dat
     """Median, mode, variance, skewness, kurtosis, range, IQR, null and zero counts per column."""
     names = list(columns) if columns is not None else numeric_columns(df)
     q = quantiles(df, names, [0.25, 0.5, 0.75])
+    means = column_means(df, names)
     aggs = []
     for i, n in enumerate(names):
         c = col(n).cast("double")
         aggs += [
-            F.var_samp(c).alias(f"var{i}"),
-            adjusted_skewness(c).alias(f"skew{i}"),
-            adjusted_kurtosis(c).alias(f"kurt{i}"),
+            *_powers(i, n, means),
             (F.max(c) - F.min(c)).alias(f"range{i}"),
             F.count_if(c.isNull()).alias(f"null{i}"),
             F.count_if(c == 0).alias(f"zero{i}"),
         ]
     fields = {
         "median": lambda i, n: _quantile_literal(q, n, 1),
-        "variance": lambda i, n: F.col(f"var{i}"),
-        "skewness": lambda i, n: F.col(f"skew{i}"),
-        "kurtosis": lambda i, n: F.col(f"kurt{i}"),
+        "variance": lambda i, n: _variance(i),
+        "skewness": lambda i, n: adjusted_skewness(i),
+        "kurtosis": lambda i, n: adjusted_kurtosis(i),
         "range": lambda i, n: F.col(f"range{i}"),
         "iqr": lambda i, n: _quantile_literal(q, n, 2) - _quantile_literal(q, n, 0),
         "null_count": lambda i, n: F.col(f"null{i}"),
