@@ -51,9 +51,9 @@ def dagostino_pearson(df: DataFrame, value: str, alpha: float = 0.05, by=None) -
     """K squared from skewness and kurtosis for keys with at least 20 values."""
     keys = as_list(by)
     x = col(value).cast("double")
-    s = df.groupBy(*cols(keys)).agg(F.count(x).alias("_n"), F.skewness(x).alias("_g"), F.kurtosis(x).alias("_k"))
+    s = df.groupBy(*cols(keys)).agg(F.count(x).alias("_n"), F.skewness(x).alias("_skew"), F.kurtosis(x).alias("_kurt"))
     s = s.filter(F.col("_n") >= K2_MIN)
-    tested = s.withColumn("_s", k_squared_statistic(F.col("_n"), F.col("_g"), F.col("_k")))
+    tested = s.withColumn("_s", k_squared_statistic(F.col("_n"), F.col("_skew"), F.col("_kurt")))
     tested = tested.withColumn("_p", chi2_pvalue(F.col("_s"), F.lit(2)))
     return tested.select(
         *cols(keys),
@@ -93,8 +93,8 @@ def anderson_darling(df: DataFrame, value: str, by=None) -> DataFrame:
 def normality(df: DataFrame, value: str, alpha: float = 0.05, by=None) -> DataFrame:
     """Vote of the applicable tests; more than half must call the data normal."""
     keys = as_list(by)
-    keyed = df.withColumn("_k", F.lit(1)) if not keys else df
-    group = keys or ["_k"]
+    keyed = df.withColumn("_all", F.lit(1)) if not keys else df
+    group = keys or ["_all"]
     sizes = keyed.groupBy(*cols(group)).agg(F.count(col(value)).alias("sample_size"))
     out = sizes
     for name, test in (
@@ -123,4 +123,4 @@ def normality(df: DataFrame, value: str, alpha: float = 0.05, by=None) -> DataFr
     out = out.withColumn("is_normal", verdict).withColumn(
         "error", error_when(~enough, "Insufficient data for normality testing (need at least 8 observations)")
     )
-    return out if keys else out.drop("_k")
+    return out if keys else out.drop("_all")
