@@ -117,15 +117,21 @@ def grouped_total(df: DataFrame, keys: str | Iterable[str], value: str) -> DataF
     return df.groupBy(*[col(k) for k in as_list(keys)]).agg(_total(df, value).alias(value))
 
 
-def value_frequencies(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
+def value_frequencies(
+    df: DataFrame, columns: Iterable[str] | None = None, as_numbers: bool = False
+) -> DataFrame:
     """(column, value, n) for many columns in one shuffle; values in text form, nulls included.
 
+    ``as_numbers`` keeps numeric columns as DOUBLE values.
+
     Counting text forms of all columns in one grouped job avoids one expanded row set per distinct
     count. Equal values are combined before the shuffle.
     """
     names = list(columns) if columns is not None else [n for n in df.columns if n != ORD]
 
     def text(n: str) -> Column:
+        if as_numbers:
+            return col(n).cast("double") + F.lit(0.0)
         # Adding 0.0 folds -0.0 into 0.0, which compare equal.
         kind = df.schema[n].dataType.simpleString()
         return ((col(n) + F.lit(0.0)) if kind == "double" else col(n)).cast("string")
@@ -153,12 +159,14 @@ def distinct_counts(df: DataFrame, columns: Iterable[str] | None = None, approxi
 def column_modes(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """(column, mode, frequency): most frequent value, ties to the smallest text form."""
     freq = value_frequencies(df, columns).filter(F.col("value").isNotNull())
-    # Ties: the smallest value among those with the highest count.
-    top = freq.groupBy("column").agg(F.max("n").alias("n"))
-    return (
-        freq.join(top, ["column", "n"], "left_semi")
-        .groupBy("column")
-        .agg(F.min("value").alias("mode"), F.max("n").alias("frequency"))
+    return modes_from(freq)
+
+
+def modes_from(freq: DataFrame) -> DataFrame:
+    """(column, mode, frequency) of counted values: the smallest pair (-count, value) per column."""
+    best = F.min(F.struct((-F.col("n")).alias("k"), F.col("value").alias("v")))
+    return freq.groupBy("column").agg(best.alias("b")).select(
+        "column", F.col("b.v").alias("mode"), (-F.col("b.k")).alias("frequency")
     )
 
 

@@ -107,15 +107,43 @@ def label_levels(df: DataFrame, column: str, null_level: str = UNKNOWN_LEVEL) ->
     return with_row_number(distinct, "level", "code")
 
 
+def level_tables(
+    df: DataFrame, columns: Iterable[str], null_level: str = UNKNOWN_LEVEL
+) -> tuple[dict[str, DataFrame], dict[str, int]]:
+    """(level, code) table and its size for several columns.
+
+    Columns with few levels are read in one job and numbered at once; larger ones are numbered by Spark.
+    """
+    names = list(columns)
+    if not names:
+        return {}, {}
+    freq = value_frequencies(df, names).select("column", F.coalesce("value", F.lit(null_level)).alias("level"))
+    counted = freq.distinct()
+    sizes = {n: 0 for n in names}
+    sizes.update({r["column"]: r["n"] for r in counted.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()})
+    few = [n for n in names if sizes[n] <= INLINE_LEVELS]
+    found: dict[str, list[str]] = {n: [] for n in few}
+    for r in counted.filter(F.col("column").isin(few)).collect() if few else []:
+        found[r["column"]].append(r["level"])
+    tables = {}
+    for n in names:
+        if n in found:
+            rows = list(enumerate(sorted(found[n])))
+            tables[n] = df.sparkSession.createDataFrame([(v, i) for i, v in rows], "level string, code long")
+        else:
+            tables[n] = materialize(label_levels(df, n, null_level))
+    return tables, sizes
+
+
 def label_encode(df: DataFrame, columns: Iterable[str] | None = None, null_level: str = UNKNOWN_LEVEL) -> DataFrame:
     """Replace each text column by the position of its value among the sorted levels."""
     names = list(columns) if columns is not None else categorical_columns(df)
-    sizes = level_statistics(df, names)
+    tables, sizes = level_tables(df, names, null_level)
     out = df
     for n in names:
-        table = label_levels(df, n, null_level).withColumnRenamed("level", "_level")
+        table = tables[n].withColumnRenamed("level", "_level")
         keyed = out.withColumn("_level", F.coalesce(col(n).cast("string"), F.lit(null_level)))
-        joined = lookup(keyed, table, "_level", sizes[n][0] + 1)
+        joined = lookup(keyed, table, "_level", sizes[n])
         out = joined.withColumn(n, F.col("code")).select(*[col(c) for c in out.columns])
     return booleans_to_int(out)
 

@@ -22,7 +22,7 @@ from tabprep.functions.types import (
     is_numeric,
     numeric_columns,
 )
-from tabprep.operators.aggregates import correlation_pairs, distinct_counts, value_frequencies
+from tabprep.operators.aggregates import correlation_pairs, distinct_counts, modes_from, value_frequencies
 from tabprep.operators.ordering import quantiles
 
 # Texts and thresholds of the column issues.
@@ -339,14 +339,8 @@ def extended_summary(df: DataFrame, columns: Iterable[str] | None = None) -> Dat
         "null_count": lambda i, n: F.col(f"null{i}"),
         "zero_count": lambda i, n: F.col(f"zero{i}"),
     }
-    # The mode is the smallest number among the most frequent ones, compared as numbers.
-    freq = value_frequencies(df, names).filter(F.col("value").isNotNull())
-    top = freq.groupBy("column").agg(F.max("n").alias("n"))
-    modes = (
-        freq.join(top, ["column", "n"], "left_semi")
-        .groupBy("column")
-        .agg(F.min(F.col("value").cast("double")).alias("mode"))
-    )
+    freq = value_frequencies(df, names, as_numbers=True).filter(F.col("value").isNotNull())
+    modes = modes_from(freq).drop("frequency")
     return unfold(df.agg(*aggs), names, fields).join(modes, "column", "left")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tabprep.functions.scalars import finite, finite_or
 from tabprep.functions.types import ORD, boolean_columns, col, numeric_columns, require_columns
-from tabprep.operators.encode import MISSING_LEVEL, freeze, label_levels, level_statistics, lookup
+from tabprep.operators.encode import MISSING_LEVEL, level_tables, lookup
 from tabprep.operators.filters import remove_zero_only_rows
 from tabprep.operators.ordering import quantiles
 
@@ -146,9 +146,7 @@ def fit_features(df: DataFrame, target: str, threshold: float = CORRELATION_THRE
     numbers, others = feature_kinds(df, target)
     scaling = fit_scaling(known, numbers, target)
     removed = low_correlation_features(scaling, threshold)
-    stats = level_statistics(known, others)
-    sizes = {n: stats[n][0] + 1 for n in others}
-    levels = {n: freeze(label_levels(known, n, MISSING_LEVEL), sizes[n]) for n in others}
+    levels, sizes = level_tables(known, others, MISSING_LEVEL)
     features = [n for n in df.columns if n in set(numbers) | set(others) and n not in removed]
     if not features:
         raise ValueError("No features remaining after preprocessing")
