@@ -228,9 +228,9 @@ def group_quantiles(
 def quantiles(df: DataFrame, columns: str | Iterable[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
     """Exact linearly interpolated quantiles of whole columns, as driver-side numbers.
 
-    One pass of counters and sketches comes first. Columns with few distinct values then use the built-in
-    exact percentile. For the others the sketch gives a bracket around each wanted rank: the rows below it
-    are counted, only the values inside it are grouped and ranked, and a bracket that misses its rank is
+    One pass of counters comes first. Columns with few distinct values then use the built-in exact
+    percentile. For the others a sketch gives a bracket around each wanted rank: the rows below it are
+    counted, only the values inside it are grouped and ranked, and a bracket that misses its rank is
     widened. The answer is exact while almost no row is shuffled.
     """
     names = as_list(columns)
@@ -238,11 +238,9 @@ def quantiles(df: DataFrame, columns: str | Iterable[str], probs: Sequence[float
         return {}
     values = df.select(*[col(n).cast("double").alias(f"v{i}") for i, n in enumerate(names)])
     indexes = range(len(names))
-    slack = 2.0 / SKETCH_ACCURACY
     stats = values.agg(
         *[F.count(f"v{i}").alias(f"c{i}") for i in indexes],
         *[F.approx_count_distinct(f"v{i}").alias(f"d{i}") for i in indexes],
-        *[_sketch(i, probs, slack).alias(f"s{i}") for i in indexes],
     ).first()
     found: dict[int, list[float | None]] = {i: [None] * len(probs) for i in indexes if stats[f"c{i}"] == 0}
     small = [i for i in indexes if i not in found and stats[f"d{i}"] <= DISTINCT_IN_MEMORY]
@@ -268,10 +266,12 @@ def _bracketed_quantiles(values: DataFrame, columns: list[int], probs, stats) ->
         for k, p in enumerate(probs):
             position = (stats[f"c{i}"] - 1) * p
             targets.append((i, k, math.floor(position), math.ceil(position), position - math.floor(position)))
-    brackets = {t: tuple(stats[f"s{i}"][2 * k : 2 * k + 2]) for t, (i, k, *_) in enumerate(targets)}
-    slack, todo = 2.0 / SKETCH_ACCURACY, list(brackets)
+    slack, todo = 2.0 / SKETCH_ACCURACY, list(range(len(targets)))
+    brackets: dict[int, tuple[float, float]] = {}
     found: dict[int, float] = {}
     while todo:
+        around = values.agg(*[_sketch(i, probs, slack).alias(f"s{i}") for i in sorted({targets[t][0] for t in todo})]).first()
+        brackets.update({t: tuple(around[f"s{targets[t][0]}"][2 * targets[t][1] :][:2]) for t in todo})
         counts = values.agg(
             *[F.count_if(F.col(f"v{targets[t][0]}") < brackets[t][0]).alias(f"l{t}") for t in todo],
             *[F.count_if(F.col(f"v{targets[t][0]}") <= brackets[t][1]).alias(f"h{t}") for t in todo],
@@ -280,11 +280,7 @@ def _bracketed_quantiles(values: DataFrame, columns: list[int], probs, stats) ->
         if ready:
             found.update(_values_at_ranks(values, targets, brackets, counts, ready))
         todo = [t for t in todo if t not in found]
-        if todo:
-            slack *= 4
-            missed = sorted({targets[t][0] for t in todo})
-            wider = values.agg(*[_sketch(i, probs, slack).alias(f"s{i}") for i in missed]).first()
-            brackets.update({t: tuple(wider[f"s{targets[t][0]}"][2 * targets[t][1] :][:2]) for t in todo})
+        slack *= 4
     out: dict[int, list[float]] = {i: [] for i in columns}
     for t, target in enumerate(targets):
         out[target[0]].append(found[t])
