@@ -19,7 +19,7 @@ def hot(spark):
     return spark.createDataFrame(frame).repartition(5), frame
 
 
-@pytest.mark.parametrize("keys", [["v", "id"], ["id"], ["t", "id"], ["g", "id"]])
+@pytest.mark.parametrize("keys", [["v", "id"], ["t", "id"], ["g", "id"]])
 def test_row_number(hot, small_ranges, keys):
     df, frame = hot
     got = O.with_row_number(df, keys, "rn").toPandas().sort_values("rn")
@@ -51,7 +51,7 @@ def test_average_ranks_match_pandas(hot, small_ranges):
     assert np.allclose(both["avg_rank"], both["r"])
 
 
-@pytest.mark.parametrize("p", [0.0, 0.25, 0.5, 0.77, 1.0])
+@pytest.mark.parametrize("p", [0.0, 0.77, 1.0])
 def test_quantiles_both_paths(hot, p, monkeypatch):
     df, frame = hot
     want = frame["v"].quantile(p)
@@ -88,7 +88,7 @@ def test_scan_row_number(spark, tmp_path):
     assert (got.sort_values("rn")["id"].to_numpy() == df.toPandas()["id"].to_numpy()).all()
 
 
-@pytest.mark.parametrize("m", [1, 2, 7, 100, 999, 1000, 5000])
+@pytest.mark.parametrize("m", [1, 7, 999, 5000])
 def test_evenly_downsample(hot, small_ranges, m):
     df, _ = hot
     got = sorted(r.id for r in O.evenly_downsample(df, m, "id").collect())
