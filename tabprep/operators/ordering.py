@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -288,14 +289,13 @@ def _bracketed_quantiles(values: DataFrame, columns: list[int], probs, stats) ->
 
 
 def _values_at_ranks(values: DataFrame, targets, brackets, counts, ready: list[int]) -> dict[int, float]:
+    held = {t: F.col(f"v{targets[t][0]}").between(*brackets[t]) for t in ready}
     tagged = [
-        F.when(
-            F.col(f"v{targets[t][0]}").between(*brackets[t]),
-            F.struct(F.lit(t).alias("t"), F.col(f"v{targets[t][0]}").alias("v")),
-        )
-        for t in ready
+        F.when(held[t], F.struct(F.lit(t).alias("t"), F.col(f"v{targets[t][0]}").alias("v"))) for t in ready
     ]
-    inside = values.select(F.explode(F.array_compact(F.array(*tagged))).alias("s")).select("s.t", "s.v")
+    # Nearly all rows lie outside every bracket and leave before the tags are made.
+    near = values.filter(reduce(lambda a, b: a | b, held.values()))
+    inside = near.select(F.explode(F.array_compact(F.array(*tagged))).alias("s")).select("s.t", "s.v")
     rows = sum(counts[f"h{t}"] - counts[f"l{t}"] for t in ready)
     ranks = value_ranks(inside, "v", ["t"], rows=rows)
 
