@@ -210,9 +210,11 @@ def group_quantiles(
     df: DataFrame, value: str, by: str | Iterable[str], probs: dict[str, float]
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group; ``probs`` maps output name to probability."""
-    ranks = value_ranks(df, value, by)
-    keys = [col(k) for k in as_list(by)]
-    v = col(value).cast("double")
+    # Own names inside, so that any column name can be a group key.
+    keys = {k: f"_g{i}" for i, k in enumerate(as_list(by))}
+    inner = df.select(*[col(k).alias(g) for k, g in keys.items()], col(value).alias("_value"))
+    ranks = value_ranks(inner, "_value", keys.values())
+    v = F.col("_value").cast("double")
     last = F.col("before") + F.col("n")
     out = []
     for name, p in probs.items():
@@ -223,7 +225,7 @@ def group_quantiles(
         at_high = F.max(F.when((F.col("before") <= high) & (high < last), v))
         weight = F.max(position - low)
         out.append((at_low + (at_high - at_low) * weight).alias(name))
-    return ranks.groupBy(*keys).agg(*out)
+    return ranks.groupBy(*keys.values()).agg(*out).select(*[F.col(g).alias(k) for k, g in keys.items()], *probs)
 
 
 def quantiles(df: DataFrame, columns: str | Iterable[str], probs: Sequence[float]) -> dict[str, list[float | None]]:

@@ -80,6 +80,11 @@ def test_group_quantiles(hot, small_ranges):
     assert got == pytest.approx(frame.groupby("g")["v"].quantile(0.3).to_dict())
 
 
+def test_group_key_may_have_any_name(spark):
+    df = spark.createDataFrame([("x", 1.0), ("x", 3.0)], "n string, total double")
+    assert [tuple(r) for r in O.group_quantiles(df, "total", "n", {"before": 0.5}).collect()] == [("x", 2.0)]
+
+
 def test_scan_row_number(spark, tmp_path):
     spark.range(500).repartition(7).write.parquet(str(tmp_path / "x"))
     df = spark.read.parquet(str(tmp_path / "x"))
