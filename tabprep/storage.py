@@ -1,4 +1,4 @@
-"""Cutting lineage through the shared folder that the cluster names."""
+"""Stages written to the shared folder that the cluster names."""
 
 from __future__ import annotations
 
@@ -8,18 +8,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_LOCAL: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only for a local master."""
+    """``spark.checkpoint.dir`` of the session. A local master without it, as in tests, gets one folder per process."""
     configured = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY, None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError(f"Set {_KEY} to a folder that every executor can reach.")
-    folder = tempfile.mkdtemp(prefix="tabprep-")
-    spark.conf.set(_KEY, folder)
-    return folder
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="tabprep-"))
+    return _LOCAL[0]
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -32,3 +33,15 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/tabprep/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files behind a frame from ``materialize``, once no job needs them."""
+    spark = df.sparkSession
+    own = f"{shared_dir(spark)}/tabprep/"
+    jvm = spark.sparkContext._jvm
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        if own.split(":", 1)[-1].lstrip("/") in folder:
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
