@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from tabprep.storage import materialize
 
-__all__ = ["cell_count", "doc_slices", "materialize", "sums", "table", "text_column", "worker_store", "words_of"]
+__all__ = [
+    "cell_count", "crc_remainder", "doc_slices", "labelled_sample", "materialize", "sums", "table", "text_column",
+    "worker_store", "words_of",
+]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -67,3 +70,20 @@ def worker_store(name: str) -> dict:
 def cell_count(df: DataFrame, rows_per_cell: int) -> int:
     """Number of cells of about ``rows_per_cell`` rows."""
     return max(1, -(-df.select(F.lit(1)).count() // rows_per_cell))
+
+
+def crc_remainder(doc_id: str, divisor: int):
+    """crc32 of the id as text, modulo the divisor; null for a null id."""
+    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(divisor))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
+    """(doc_id, text, y) of at most ``rows`` labelled documents, chosen by a hash of their id.
+
+    ``rows`` bounds what is sorted out on the driver and broadcast: an id and a number for each. Labels that are null
+    or neither 0 nor 1 are no labels; an id that repeats in ``labels`` has the larger one.
+    """
+    y = F.col(label).cast("int")
+    known = labels.filter(F.col("doc_id").isNotNull() & y.isin(0, 1)).groupBy("doc_id").agg(F.max(y).alias("y"))
+    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")

@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tabprep.llm import packing, repair
-from tabprep.llm.common import table
+from tabprep.llm import packing, ranking, repair, repetition
+from tabprep.llm.common import crc_remainder, table
 
 QUERIES = {}
 SQL = {}
@@ -22,6 +22,12 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def op4_suffix_repetition(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repetition.apply_rules(docs).drop("text")
+
+
 @query()
 def op5_repair_ids(spark, sf_dir):
     path = repair.id_file_folder(spark)
@@ -32,3 +38,14 @@ def op5_repair_ids(spark, sf_dir):
 @query()
 def op9_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query()
+def op8_pairwise_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(crc_remainder("doc_id", 4) != 2)
+    scored = ranking.fit(docs, labels).score(docs)
+    return scored.select(
+        "doc_id", F.coalesce(crc_remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
