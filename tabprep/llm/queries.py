@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tabprep.llm import packing, ranking, repair, repetition
+from tabprep.llm import deobfuscation, packing, ranking, repair, repetition
 from tabprep.llm.common import crc_remainder, table
 
 QUERIES = {}
@@ -49,3 +49,14 @@ def op8_pairwise_quality(spark, sf_dir):
         "doc_id", F.coalesce(crc_remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"),
     )
+
+
+@query()
+def op10_deobfuscated_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(crc_remainder("doc_id", 3) != 1)
+    scored = deobfuscation.fit(docs, labels).score(docs)
+    return scored.select(
+        "doc_id", F.coalesce(crc_remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
