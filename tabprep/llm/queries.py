@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tabprep.llm import deobfuscation, packing, ranking, repair, repetition
+from tabprep.llm import deobfuscation, near, packing, ranking, repair, repetition
 from tabprep.llm.common import crc_remainder, table
 
 QUERIES = {}
@@ -22,6 +22,11 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def op3_bayes_minhash(spark, sf_dir):
+    return near.near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
 @query()
 def op4_suffix_repetition(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
