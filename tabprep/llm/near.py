@@ -165,15 +165,15 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percen
 
 
 def near_duplicates(
-    docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 30, rows: int = 5, miss: float = 1e-6, step: int = 30
+    docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 30, rows: int = 5, miss: float = 1e-5, step: int = 30
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links, itself included), kept.
 
     Two documents are linked when they share at least ``percent`` % of the union of their distinct shingles. Documents
     with equal sets count as one node from the start. Candidates share a band. In each band every node first meets only
-    the smallest one there. Where a band then still holds several components, a node outside the first one meets all of
-    the others, and at last every node outside the first component meets every node of another component, so no link
-    between components is lost, and groups of thousands of copies never form all their pairs. Candidates are pruned by
+    the one there that shares bands with most others. Where a band then still holds several components, the next such
+    node outside the first component meets all, and at last every node outside the first component meets every node of
+    another component, so no link between components is lost, and groups of thousands of copies never form all their pairs. Candidates are pruned by
     the posterior of their similarity and the rest is compared on the full sets.
 
     A null or empty text has no shingles and no links. A row without id is its own component (null) and is kept.
@@ -192,8 +192,13 @@ def near_duplicates(
     links = nodes.join(several.select("doc_id", "v"), "doc_id").select(F.col("rep").alias("u"), "v").filter("u <> v").distinct()
 
     dealt = reps.select("rep", F.posexplode("bands").alias("band", "hash"))
-    crowded = dealt.groupBy("band", "hash").agg(F.count("*").alias("n"), F.min("rep").alias("first")).filter("n > 1")
-    members = materialize(dealt.join(crowded.select("band", "hash", "first"), ["band", "hash"]))
+    crowded = dealt.groupBy("band", "hash").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = materialize(dealt.join(crowded, ["band", "hash"]))
+    # An original shares more bands with its copies than they do with each other.
+    known = shared.groupBy("rep").agg(F.sum("n").alias("near"))
+    ranked = shared.join(known, "rep").select("band", "hash", "rep", F.struct("near", -F.col("rep")).alias("rank"))
+    middle = ranked.groupBy("band", "hash").agg(F.max_by("rep", "rank").alias("first"))
+    members = materialize(ranked.join(middle, ["band", "hash"]))
 
     def linked(pairs: DataFrame) -> DataFrame:
         likely = materialize(_pruned(pairs.distinct(), reps, similarity, miss, step))
@@ -210,7 +215,7 @@ def near_duplicates(
             picked = outside.select("band", "hash", F.col("rep").alias("b"), F.col("root").alias("other"))
         else:
             picked = outside.groupBy("band", "hash").agg(
-                F.min_by(F.struct("rep", "root"), F.xxhash64("rep", "band")).alias("p")
+                F.max_by(F.struct("rep", "root"), "rank").alias("p")
             ).select("band", "hash", F.col("p.rep").alias("b"), F.col("p.root").alias("other"))
         met = rooted.join(picked, ["band", "hash"]).filter("root <> other AND rep <> first AND rep <> b AND b <> first")
         pairs = met.select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b"))
@@ -230,6 +235,6 @@ def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
     with_root = members.join(roots.withColumnsRenamed({"u": "rep", "v": "root"}), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     with_root = materialize(with_root)
     mixed = with_root.groupBy("band", "hash").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("root", "rep").alias("first_root"), F.count("*").alias("n")
+        F.min("root").alias("low"), F.max("root").alias("high"), F.max_by("root", "rank").alias("first_root"), F.count("*").alias("n")
     ).filter("low <> high AND n > 2").select("band", "hash", "first_root")
     return materialize(with_root.join(mixed, ["band", "hash"]))
