@@ -14,36 +14,44 @@ from tabprep.llm.common import doc_slices, worker_store, words_of
 
 #: Words kept by each worker; beyond it words are encoded again in each slice. Not a cap on what is encoded.
 CACHED_WORDS = 400_000
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 8_000_000
 #: White space that makes cutting a text at its spaces unsafe for byte-level vocabularies.
 _ODD_SPACE = re.compile(r"\s\s|^\s|\s\Z|[^\S \n]")
 
 
-def _bytes_of_words(words: list[str], store: dict, tokenizer, lower: bool) -> list[bytes]:
-    """Little-endian 32-bit ids of each word; a trailing run of ``.,`` after a letter is encoded by itself."""
-    cache, extra, missing, parts = store["words"], {}, {}, []
-    for word in words:
-        if lower and word.isascii() and "<" not in word:
-            word = word.lower()
-        body = word.rstrip(".,")
-        if len(body) == len(word) or not body[-1:].isalpha():
-            body = word
-        tail = word[len(body):]
-        parts.append((body, tail))
-        if body not in cache:
-            missing[body] = None
-        if tail and tail not in cache:
-            missing[tail] = None
-    wanted = list(missing)
-    for at in range(0, len(wanted), 20_000):
-        some = wanted[at:at + 20_000]
-        into = cache if len(cache) < CACHED_WORDS else extra
-        for word, code in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-            into[word] = array("I", code.ids).tobytes()
-    if extra:
-        both = lambda w: cache.get(w) or extra.get(w, b"")
-        return [both(b) + both(t) if t else both(b) for b, t in parts]
-    return [cache[b] + cache[t] if t else cache[b] for b, t in parts]
+def _look_up(strings: pa.Array, store: dict, tokenizer) -> list[bytes]:
+    """Little-endian 32-bit ids of each string; strings are distinct."""
+    cache, keys = store["words"], strings.to_pylist()
+    found = [cache.get(k) for k in keys]
+    missing = [i for i, ids in enumerate(found) if ids is None]
+    for at in range(0, len(missing), 20_000):
+        some = missing[at:at + 20_000]
+        coded = tokenizer.encode_batch_fast([keys[i] for i in some], add_special_tokens=False)
+        for i, code in zip(some, coded, strict=True):
+            found[i] = array("I", code.ids).tobytes()
+        if len(cache) < CACHED_WORDS:
+            cache.update((keys[i], found[i]) for i in some)
+    return found
+
+
+def _ids_of_words(words: pa.Array, store: dict, tokenizer, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words one after the other, and their number for each word.
+
+    A trailing run of ``.,`` after a letter is a token of its own in either vocabulary, so it is looked up by itself.
+    """
+    if lower and not pc.any(pc.match_substring(words, "<|"), min_count=0).as_py():
+        words = pc.ascii_lower(words)
+    bare = pc.utf8_rtrim(words, ".,")
+    body = pc.if_else(pc.match_substring_regex(bare, "\\p{L}$"), bare, words)
+    tail = pc.if_else(pc.equal(body, words), "", pc.replace_substring_regex(words, "^.*?([.,]*)$", "\\1"))
+    body, tail = body.dictionary_encode(), tail.dictionary_encode()
+    pieces = _look_up(body.dictionary, store, tokenizer) + _look_up(tail.dictionary, store, tokenizer)
+    both = np.stack([
+        body.indices.to_numpy(zero_copy_only=False),
+        tail.indices.to_numpy(zero_copy_only=False) + len(body.dictionary),
+    ], 1).ravel()
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+    return _expand(both, 2 * np.arange(len(words) + 1), np.frombuffer(b"".join(pieces), "<u4"), sizes)
 
 
 def _load(path: str):
@@ -56,23 +64,21 @@ def _load(path: str):
     return store, store["tokenizer"]
 
 
-def _expand(codes: np.ndarray, offsets: np.ndarray, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
-    flat = np.frombuffer(b"".join(pieces), "<u4")
+def _expand(codes: np.ndarray, offsets: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the coded strings in turn, and their number in each range of ``offsets``."""
     starts = np.cumsum(sizes) - sizes
     each = sizes[codes]
     ends = np.cumsum(each)
     total = int(ends[-1]) if len(ends) else 0
     ids = flat[np.repeat(starts[codes] - (ends - each), each) + np.arange(total)]
-    bounds = np.concatenate([[0], ends])[offsets]
-    return ids, np.diff(bounds)
+    return ids, np.diff(np.concatenate([[0], ends])[offsets])
 
 
 def _by_words(text: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """For vocabularies that drop white space: a text's ids are those of its words in turn."""
     store, tokenizer = _load(path)
     codes, offsets, words = words_of(text)
-    return _expand(codes, offsets, _bytes_of_words(words.to_pylist(), store, tokenizer, lower=True))
+    return _expand(codes, offsets, *_ids_of_words(words, store, tokenizer, lower=True))
 
 
 def _by_spaces(text: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -88,15 +94,16 @@ def _by_spaces(text: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     offsets = np.concatenate([[0], np.cumsum(sizes)])
     coded = lists.flatten().dictionary_encode()
-    codes, units = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
-    line = units.index("\n") if "\n" in units else -1
+    codes, units = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+    line = pc.index(units, "\n").as_py()
     first = np.zeros(len(codes) + 1, bool)
     first[offsets[:-1]] = True
     is_line = codes == line
     bare = first[:-1] | is_line | np.concatenate([[False], is_line[:-1]])[: len(codes)]
     used, codes = np.unique(codes * 2 + ~bare, return_inverse=True)
-    words = [" " + units[u >> 1] if u & 1 else units[u >> 1] for u in used.tolist()]
-    ids, lengths = _expand(codes, offsets, _bytes_of_words(words, store, tokenizer, lower=False))
+    lead = pa.array(np.where(used & 1, " ", "").tolist(), pa.large_string())
+    words = pc.binary_join_element_wise(lead, units.take(pa.array(used >> 1)), pa.scalar("", pa.large_string()))
+    ids, lengths = _expand(codes, offsets, *_ids_of_words(words, store, tokenizer, lower=False))
     if not odd.any():
         return ids, lengths
     parts = np.split(ids, np.cumsum(lengths)[:-1]) if len(lengths) else []
