@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tabprep.llm import deobfuscation, mixing, near, packing, preference, ranking, repair, repetition
+from tabprep.llm import deobfuscation, forest, mixing, near, packing, preference, ranking, repair, repetition
 from tabprep.llm.common import crc_remainder, table
 
 QUERIES = {}
@@ -22,6 +22,12 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def op1_projection_forest(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return forest.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
 @query("""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
     max(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id) AS last FROM conversations),
