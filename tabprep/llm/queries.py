@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tabprep.llm import deobfuscation, forest, mixing, near, packing, preference, ranking, repair, repetition
+from tabprep.llm import deobfuscation, forest, maxent, mixing, near, packing, preference, ranking, repair, repetition
 from tabprep.llm.common import crc_remainder, table
 
 QUERIES = {}
@@ -73,6 +73,11 @@ def op9_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query()
+def op6_hashed_maxent(spark, sf_dir):
+    return maxent.score(table(spark, sf_dir, "documents"), crc_remainder("doc_id", 7) == 2)
+
+
 #: Domains are the languages of labelled documents; targets are their shares of all tokens.
 LANGUAGES = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
 
