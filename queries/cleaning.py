@@ -229,5 +229,5 @@ def clean_static_without_nulls(spark, d):
 def fitted_clean_plan(spark, d):
     """A plan fitted once and applied as a pure projection."""
     events = holed_events(spark, d, False)
-    plan = L.fit_cleaning(events, downcast=False)
+    plan = L.fit_cleaning(events)
     return rounded(plan.transform(events), 6)

@@ -272,7 +272,7 @@ def correlation_matrix(df: DataFrame, columns: Iterable[str] | None = None) -> D
 
 def target_correlations(df: DataFrame, target: str, columns: Iterable[str] | None = None) -> DataFrame:
     """(column, r) of each numeric column with the target, highest first."""
-    names = [n for n in (columns or numeric_columns(df)) if n != target]
+    names = [n for n in (numeric_columns(df) if columns is None else columns) if n != target]
     row = df.agg(*[_pair_corr(col(n), col(target)).alias(f"r{i}") for i, n in enumerate(names)])
     pairs = [F.struct(F.lit(n).alias("column"), F.col(f"r{i}").alias("r")) for i, n in enumerate(names)]
     return (

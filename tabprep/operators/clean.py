@@ -79,7 +79,7 @@ def convertible_columns(
     Not when more than half of the first ten distinct values hold letters, not when fewer than
     ``threshold`` of the values convert. Without a row order the smallest distinct values are looked at.
     """
-    names = [n for n in (columns or categorical_columns(df))]
+    names = list(categorical_columns(df) if columns is None else columns)
     if not names:
         return []
     row = df.agg(
@@ -108,7 +108,7 @@ def convertible_columns(
 
 def narrow_types(df: DataFrame, columns: Iterable[str] | None = None) -> dict[str, str]:
     """Smallest type of each LONG and DOUBLE column by its range (one aggregation)."""
-    chosen = [n for n in (columns or numeric_columns(df))]
+    chosen = list(numeric_columns(df) if columns is None else columns)
     wide = [n for n in chosen if isinstance(df.schema[n].dataType, (T.LongType, T.DoubleType))]
     if not wide:
         return {}
@@ -362,12 +362,12 @@ def interpolate_linear(df: DataFrame, columns: Iterable[str], order_by: str = OR
 
 
 def null_runs(df: DataFrame, columns: Iterable[str] | None = None, order_by: str = ORD) -> DataFrame:
-    """Per numeric column (first five): nulls, null runs, longest run, first and last valid row number.
+    """Per numeric column: nulls, null runs, longest run, first and last valid row number.
 
     ``order_by`` holds consecutive row numbers. Among the null rows, row number minus position is
     constant inside a run, so runs are found by grouping and no window spans the table.
     """
-    names = list(columns) if columns is not None else numeric_columns(df, exclude=[order_by])[:5]
+    names = list(columns) if columns is not None else numeric_columns(df, exclude=[order_by])
     row = df.agg(
         *[F.min(F.when(col(n).isNotNull(), col(order_by))).alias(f"a{i}") for i, n in enumerate(names)],
         *[F.max(F.when(col(n).isNotNull(), col(order_by))).alias(f"b{i}") for i, n in enumerate(names)],

@@ -48,7 +48,7 @@ class CleanPlan:
         """Names, date and time, types."""
         out = self.datetime_merge.transform(standardize_columns(nan_to_null(df)))
         out = C.cast_to_number(out, [n for n in self.to_number if n in out.columns])
-        return out.withColumns({n: col(n).try_cast(t) for n, t in self.narrow.items() if n in out.columns})
+        return out.withColumns({n: col(n).cast(t) for n, t in self.narrow.items() if n in out.columns})
 
     def transform(self, df: DataFrame) -> DataFrame:
         return self.fill.transform(self.repair(df)).drop(*self.dropped)
@@ -95,10 +95,13 @@ def _fit_static(df: DataFrame, plan: CleanPlan) -> None:
     plan.dropped = [n for n in names if n in long | unwanted | links]
 
 
-def fit_cleaning(df: DataFrame, downcast: bool = True) -> CleanPlan:
-    """Fit the static plan on a table that already has normalised names (or gets them here)."""
+def fit_cleaning(df: DataFrame) -> CleanPlan:
+    """Fit the static plan on a table that already has normalised names (or gets them here).
+
+    The plan meets other rows, whose values may lie outside the range seen here, so it keeps the wide number types.
+    """
     named = standardize_columns(nan_to_null(df))
-    plan = _fit_repair(named, downcast)
+    plan = _fit_repair(named, downcast=False)
     _fit_static(plan.repair(named), plan)
     return plan
 

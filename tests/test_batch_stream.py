@@ -35,7 +35,7 @@ def test_stages_one_by_one(mixed):
 
 def test_stream_equals_batch(spark, tmp_path, regression):
     raw = regression.withColumn("feature_b", F.when(F.col("_ord") % 4 != 0, F.col("feature_b")))
-    plan = L.fit_cleaning(raw, downcast=False)
+    plan = L.fit_cleaning(raw)
     predictor = R.train_regression(plan.transform(raw), "target", folds=2, models=[M.LINEAR]).predictor
     new_rows = raw.drop("target")
     source = str(tmp_path / "in")

@@ -130,3 +130,21 @@ def test_plan_has_no_single_partition_window(spark, monkeypatch):
     df = spark.range(1000).select(F.col("id").alias("_ord"), (F.col("id") * 7 % 1000).alias("x"))
     plan = O.with_row_number(df, ["x", "_ord"], "rn")._jdf.queryExecution().executedPlan().toString()
     assert "Window" in plan and "SinglePartition" not in plan
+
+
+def test_fitted_plan_keeps_values_outside_the_fitted_range(spark):
+    from tabprep.plans.cleaning import fit_cleaning
+
+    plan = fit_cleaning(spark.range(50).selectExpr("id AS _ord", "id AS amount", "cast(id AS string) AS code"))
+    fresh = spark.createDataFrame([(0, 200, "300"), (1, 1 << 40, "7")], "_ord long, amount long, code string")
+    assert [r.amount for r in plan.transform(fresh).orderBy("_ord").collect()] == [200, 1 << 40]
+
+
+def test_excluded_text_columns_stay_text(spark):
+    df = spark.createDataFrame([(0, "1"), (1, "2")], "_ord long, month string")
+    assert C.optimize_types(df).schema["month"].dataType.simpleString() == "string"
+
+
+def test_null_runs_takes_all_columns(spark):
+    df = spark.range(20).selectExpr("id + 1 AS _ord", *[f"CASE WHEN id % {i + 2} = 0 THEN NULL ELSE id END AS c{i}" for i in range(7)])
+    assert C.null_runs(df).count() == 7
