@@ -161,7 +161,7 @@ def test_mixing_against_numpy(spark):
     p, n, r = got[["p_a", "p_z"]].to_numpy(), got.n_tokens.to_numpy(float), got.rate.to_numpy()
     reached = (p * (n * r)[:, None]).sum(0) / n.sum()
     assert np.allclose(reached, 0.5, atol=1e-3) and (r >= 0).all() and len(got) == 82
-    assert n.tolist() == [len(words(t)) for _, t, _ in rows]
+    assert sorted(n) == sorted(len(words(t)) for _, t, _ in rows)
     assert set(mixing.mix(docs, docs.select("doc_id", "domain"), {"a": 0.5, "z": 0.5}).columns) == set(docs.columns)
 
 
