@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,8 @@ from tabprep.llm.common import doc_slices, materialize, text_column, words_of
 from tabprep.llm.components import components
 
 SLICE_BYTES = 4_000_000
+#: Size of the signatures and sets of one block of nodes that are compared inside a task.
+BLOCK_BYTES = 8_000_000
 #: Texts per slice at most: a text's number takes the upper 12 bits of a key, the shingle's hash the rest.
 _TEXTS = 4096
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -101,6 +104,7 @@ def sketches(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, out)
 
 
+@lru_cache
 def least_matches(n: int, similarity: float, miss: float) -> int:
     """Fewest equal values among n with which a similarity of at least ``similarity`` keeps a posterior of ``miss``.
 
@@ -172,9 +176,9 @@ def near_duplicates(
     Two documents are linked when they share at least ``percent`` % of the union of their distinct shingles. Documents
     with equal sets count as one node from the start. Candidates share a band. In each band every node first meets only
     the one there that shares bands with most others. Where a band then still holds several components, the next such
-    node outside the first component meets all, and at last every node outside the first component meets every node of
-    another component, so no link between components is lost, and groups of thousands of copies never form all their pairs. Candidates are pruned by
-    the posterior of their similarity and the rest is compared on the full sets.
+    node outside the first component meets all. At last the nodes outside the first component are compared with those of
+    other components in blocks of bounded size inside tasks, so no link between components is lost and no pairs become
+    rows. Candidates are pruned by the posterior of their similarity and the rest is compared on the full sets.
 
     A null or empty text has no shingles and no links. A row without id is its own component (null) and is kept.
     Rows that share an id are one node.
@@ -206,20 +210,17 @@ def near_duplicates(
 
     stars = members.filter("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b"))
     roots = components(links.union(linked(stars)))
-    for last in (False, True):
-        rooted = _rooted(members, roots)
-        outside = rooted.filter("root <> first_root")
-        if outside.isEmpty():
-            break
-        if last:
-            picked = outside.select("band", "hash", F.col("rep").alias("b"), F.col("root").alias("other"))
-        else:
-            picked = outside.groupBy("band", "hash").agg(
-                F.max_by(F.struct("rep", "root"), "rank").alias("p")
-            ).select("band", "hash", F.col("p.rep").alias("b"), F.col("p.root").alias("other"))
+    rooted = _rooted(members, roots)
+    outside = rooted.filter("root <> first_root")
+    if not outside.isEmpty():
+        picked = outside.groupBy("band", "hash").agg(F.max_by(F.struct("rep", "root"), "rank").alias("p"))
+        picked = picked.select("band", "hash", F.col("p.rep").alias("b"), F.col("p.root").alias("other"))
         met = rooted.join(picked, ["band", "hash"]).filter("root <> other AND rep <> first AND rep <> b AND b <> first")
         pairs = met.select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b"))
         roots = components(roots.union(linked(pairs)))
+        rooted = _rooted(members, roots)
+        if not rooted.isEmpty():
+            roots = components(roots.union(_linked_in_blocks(rooted, reps, docs, words, percent, miss, step)))
     named = nodes.join(roots.withColumnsRenamed({"u": "rep", "v": "root"}), "rep", "left")
     named = named.select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
     rest = found.filter((F.col("n_shingles") == 0) | F.col("doc_id").isNull())
@@ -230,6 +231,103 @@ def near_duplicates(
     return every.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _full_sets(reps: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(rep, signature, bands, words): the whole set of shingles of each node, as sorted 8-byte numbers."""
+
+    def run(batches):
+        for batch in batches:
+            text = text_column(batch)
+            for at, to in doc_slices(text, SLICE_BYTES):
+                for i in range(at, to, _TEXTS):
+                    n = min(to, i + _TEXTS) - i
+                    keys = shingle_keys(text.slice(i, n), k)
+                    ends = np.searchsorted(keys >> np.uint64(52), np.arange(n + 1, dtype=np.uint64))
+                    h = keys & np.uint64((1 << 52) - 1)
+                    sets = [h[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)]
+                    part = batch.slice(i, n).select(["rep", "signature", "bands"])
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sets, pa.binary())], names=["rep", "signature", "bands", "words"])
+
+    texts = docs.select("doc_id", "text").join(reps.select("doc_id", "rep", "signature", "bands"), "doc_id").drop("doc_id")
+    return texts.mapInArrow(run, "rep long, signature binary, bands array<long>, words binary").dropDuplicates(["rep", "words"])
+
+
+def _linked_in_blocks(rooted: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int, miss: float, step: int) -> DataFrame:
+    """Links (u, v) between different components, among the members of each band hash in ``rooted``.
+
+    The members of a band hash are cut into blocks of about ``BLOCK_BYTES``, and so are those outside its first
+    component; each block of these meets each block of all. The seats (a node in a meeting) are dealt to cells of about
+    a block each. A task compares signatures and then full sets of its seats, and yields links only, at most one
+    for each two components that it finds connected. Two nodes that share several bands are compared in the first.
+    """
+    sets = materialize(_full_sets(reps.join(rooted.select("rep").distinct(), "rep"), docs, k))
+    outside = F.col("root") != F.col("first_root")
+    weighed = rooted.join(reps.select("rep", (F.lit(1000) + 8 * F.col("n_shingles")).alias("w")), "rep")
+    load = weighed.groupBy("band", "hash").agg(F.sum("w").alias("all_w"), F.sum(F.when(outside, F.col("w")).otherwise(0)).alias("out_w"))
+    load = load.withColumn("wide", F.ceil(F.col("all_w") / BLOCK_BYTES))
+    load = materialize(load.withColumn("high", F.when(F.col("wide") > 1, F.ceil(F.col("out_w") / BLOCK_BYTES)).otherwise(1)))
+    total = load.agg(F.sum(F.col("all_w") * F.col("high") + F.when(F.col("wide") > 1, F.col("out_w") * F.col("wide")).otherwise(0))).first()[0]
+    cells = max(1, -(-int(total or 0) // BLOCK_BYTES))
+    one = F.col("wide") == 1
+    across = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("high") - 1),
+        lambda o: F.struct(o.alias("o"), F.pmod(F.xxhash64("rep", F.lit(1)), "wide").alias("a"), (one & outside).alias("left"), F.lit(True).alias("right")),
+    )
+    down = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("wide") - 1),
+        lambda a: F.struct(F.pmod(F.xxhash64("rep", F.lit(2)), "high").alias("o"), a.alias("a"), F.lit(True).alias("left"), F.lit(False).alias("right")),
+    )
+    seats = weighed.join(load, ["band", "hash"]).select(
+        "band", "rep", "root", "hash", outside.alias("outside"),
+        F.explode(F.when(outside & ~one, F.concat(across, down)).otherwise(across)).alias("seat"),
+    )
+    seats = seats.select("rep", "band", "root", "outside", "seat.left", "seat.right", F.xxhash64("band", "hash", "seat.o", "seat.a").alias("meeting"))
+    seats = seats.withColumn("cell", F.pmod("meeting", F.lit(cells)))
+    similarity = percent / 100
+
+    def links(table: pa.Table) -> pa.Table:
+        rep, band, root, outside, left, right, meeting = (
+            table.column(c).to_numpy() for c in ("rep", "band", "root", "outside", "left", "right", "meeting")
+        )
+        root = root.copy()
+        signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u2").reshape(len(rep), -1)
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
+        words = table.column("words").to_pylist()
+        sizes = np.array([len(w) // 8 for w in words], np.int64)
+        ends = np.cumsum(sizes)
+        known, codes = np.unique(np.frombuffer(b"".join(words), np.uint64), return_inverse=True)
+        marked = np.zeros(len(known), bool)
+        found = []
+        order = np.argsort(meeting, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(meeting[order])) + 1):
+            others, earlier = rows[right[rows]], band[rows[0]]
+            for i in rows[left[rows]]:
+                alive = others[(root[others] != root[i]) & ~(outside[others] & (rep[others] > rep[i]))]
+                alive = alive[np.minimum(sizes[alive], sizes[i]) >= similarity * np.maximum(sizes[alive], sizes[i])]
+                same = np.zeros(len(alive), np.int64)
+                for at in range(0, signature.shape[1], step):
+                    to = min(at + step, signature.shape[1])
+                    same += (signature[alive, at:to] == signature[i, at:to]).sum(1)
+                    fit = same >= least_matches(to, similarity, miss)
+                    alive, same = alive[fit], same[fit]
+                alive = alive[~(bands[alive, :earlier] == bands[i, :earlier]).any(1)]
+                if not len(alive):
+                    continue
+                starts = np.cumsum(sizes[alive]) - sizes[alive]
+                places = np.arange(sizes[alive].sum()) + np.repeat(ends[alive] - sizes[alive] - starts, sizes[alive])
+                own = codes[ends[i] - sizes[i]:ends[i]]
+                marked[own] = True
+                common = np.add.reduceat(marked[codes[places]].astype(np.int64), starts)
+                marked[own] = False
+                for j in alive[100 * common >= percent * (sizes[alive] + sizes[i] - common)]:
+                    if root[j] != root[i]:
+                        found.append((rep[i], rep[j]))
+                        root[root == root[j]] = root[i]
+        u, v = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return seats.join(sets, "rep").groupBy("cell").applyInArrow(links, "u long, v long")
+
+
 def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Band members with the root of their component and of the first member's, of bands with several components."""
     with_root = members.join(roots.withColumnsRenamed({"u": "rep", "v": "root"}), "rep", "left").withColumn("root", F.coalesce("root", "rep"))

@@ -183,3 +183,30 @@ def test_language_model(spark):
         assert got[d].n_tokens == len(tokens) and got[d].train_tokens == n and got[d].n_known == sum(w in counts for w in tokens)
         assert np.isclose(got[d].base_score, sum(np.log10((counts[w] + 1) / (n + v + 1)) for w in tokens))
     assert sum(r.score for r in got.values()) > sum(r.base_score for r in got.values())
+
+
+def test_links_between_components_in_blocks(spark, monkeypatch):
+    """Nodes just below the bound to the middle of their group, with few links among themselves, over many small blocks."""
+    monkeypatch.setattr(near, "BLOCK_BYTES", 40_000)
+    rng = np.random.default_rng(8)
+    base = [f"t{x}" for x in range(120)]
+    rows = []
+    for i in range(150):
+        copy = list(base)
+        for at in rng.choice(120, 3 + i % 4, replace=False):
+            copy[at] = f"n{at}"
+        rows.append((i, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    called = []
+    blocks = near._linked_in_blocks
+    monkeypatch.setattr(near, "_linked_in_blocks", lambda *a: called.append(blocks(*a)) or called[-1])
+    got = {r.doc_id: r.component_id for r in near.near_duplicates(docs, words=2).collect()}
+    sets = [{*zip(t.split(), t.split()[1:], strict=False)} for _, t in rows]
+    root = list(range(150))
+    for i in range(150):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    assert got == dict(enumerate(root)) and 1 < len(set(root)) < 150
+    assert called[0].count() > 0
