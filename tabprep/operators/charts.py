@@ -76,6 +76,15 @@ def bin_index(df: DataFrame, column: str, edges: Sequence[float], name: str) ->
     return cut.transform(mirrored).withColumn(name, (F.lit(last) - F.col("_cut")).cast("int")).drop("_mirror", "_cut")
 
 
+def interval_labels(edges: Sequence[float]) -> list[str]:
+    """Labels of the intervals between distinct edges: six digits, or as many as keep the edges apart."""
+    for digits in range(6, 18):
+        shown = [f"{e:.{digits}g}" for e in edges]
+        if len(set(shown)) == len(shown):
+            break
+    return [f"{'(' if i else '['}{a}, {b}]" for i, (a, b) in enumerate(zip(shown, shown[1:], strict=False))]
+
+
 def top_categories(df: DataFrame, column: str, keep: int = MAX_GROUPS - 1, name: str | None = None) -> DataFrame:
     """Text label: the ``keep`` most frequent values, ``Other`` for the rest, ``Missing`` for nulls."""
     name = name or f"{column}_grouped"
@@ -98,7 +107,7 @@ def bucket_axis(df: DataFrame, column: str) -> tuple[DataFrame, str]:
     if is_numeric(df, column):
         edges = quantile_edges(df, column)
         binned = bin_index(df, column, edges, "_bin")
-        labels = F.array(*[F.lit(f"{'[' if i == 0 else '('}{a:g}, {b:g}]") for i, (a, b) in enumerate(zip(edges, edges[1:]))])
+        labels = F.array(*[F.lit(label) for label in interval_labels(edges)])
         return binned.withColumn(name, F.coalesce(F.get(labels, F.col("_bin")), F.lit(MISSING))).drop("_bin"), name
     return top_categories(df, column, name=name), name
 

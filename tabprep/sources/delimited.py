@@ -19,14 +19,21 @@ def _first_rows(spark: SparkSession, path: str, sep: str) -> list[list[str]]:
     return list(csv.reader([r[0].removeprefix("﻿") for r in lines], delimiter=sep))
 
 
+def _has_open_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether some line holds an odd number of quotes, so a quoted cell may go on in the next line."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
 def read_csv(
-    spark: SparkSession, path: str, sep: str = ",", header_detection: bool = True, multi_line: bool = False,
+    spark: SparkSession, path: str, sep: str = ",", header_detection: bool = True, multi_line: bool | None = None,
     row_number: bool = False,
 ) -> DataFrame:
     """One CSV file with header detection and type inference; columns without a header are dropped.
 
     The file is parsed by Spark in splits. When the header is not the first line, the lines up to it are
-    skipped by their position in the file.
+    skipped by their position in the file. A file whose quoted cells hold line breaks cannot be split: ``multi_line``
+    says so, and None looks for lines with an open quote, in one more scan.
     """
     first = _first_rows(spark, path, sep)
     if not first:
@@ -35,8 +42,16 @@ def read_csv(
     names = usable_names(first[at])
     width = len(names)
     schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(width)])
+    if multi_line is None:
+        multi_line = _has_open_quotes(spark, path)
     if at == 0:
         raw = spark.read.schema(schema).csv(path, header=True, sep=sep, multiLine=multi_line, enforceSchema=True)
+    elif multi_line:
+        # Such a file is read by one task in order; empty lines are no records.
+        before = sum(1 for cells in first[: at + 1] if cells)
+        records = spark.read.schema(schema).csv(path, sep=sep, multiLine=True)
+        numbered = records.withColumn("_record", F.monotonically_increasing_id())
+        raw = numbered.filter(F.col("_record") >= before).drop("_record")
     else:
         # A single file is scanned in order, so the row position in the first partition is the line number.
         lines = spark.read.text(path).withColumn("_line", F.monotonically_increasing_id())

@@ -61,12 +61,12 @@ def _load_sheets(spark, path, sheet_name, load_all_sheets, options) -> Loaded:
 
 def load(
     spark: SparkSession, path: str, *, sheet_name=0, load_all_sheets: bool = False, header_detection: bool = True,
-    row_number: bool = False,
+    row_number: bool = False, sep: str = ",", multi_line: bool | None = None,
 ) -> Loaded:
     """Load a CSV file or one, several or all sheets of a workbook.
 
     ``sheet_name`` is a name, a position, a list of these, or None for all sheets; several sheets give a
-    mapping. ``row_number`` adds the row identity column.
+    mapping. ``row_number`` adds the row identity column. ``sep`` and ``multi_line`` are for CSV files.
     """
     path = str(path)
     require_path(spark, path)
@@ -74,7 +74,7 @@ def load(
     options = {"header_detection": header_detection, "row_number": row_number}
     try:
         if kind == "csv":
-            return read_csv(spark, path, **options)
+            return read_csv(spark, path, sep, multi_line=multi_line, **options)
         return _load_sheets(spark, path, sheet_name, load_all_sheets, options)
     except Exception as exc:
         raise ValueError(f"Failed to load file '{posixpath.basename(path)}': {exc}") from exc

@@ -173,3 +173,9 @@ def test_negative_zero_counts_once(spark):
 
 def test_preview(mixed):
     assert [r._ord for r in O.preview(mixed, "_ord", 3).collect()] == [0, 1, 2]
+
+
+def test_axis_labels_of_close_edges_differ(spark):
+    df = spark.range(400).selectExpr("1.7e9 + id AS x")
+    grouped, axis = V.bucket_axis(df, "x")
+    assert grouped.select(axis).distinct().count() == 40

@@ -114,3 +114,11 @@ def test_csv_sink(spark, tmp_path, mixed):
     S.write_csv(mixed, out)
     back = spark.read.csv(out, header=True)
     assert back.count() == 100 and "_ord" not in back.columns
+
+
+def test_csv_line_breaks_in_quotes_and_separator(spark, tmp_path):
+    plain = write(tmp_path, "plain.csv", 'name;n\n"x\ny";1\nz;2\n')
+    late = write(tmp_path, "late.csv", 'report\n\njour,n\n"x\ny",1\nz,2\n')
+    assert sorted(tuple(r) for r in S.load(spark, plain, sep=";").collect()) == [("x\ny", 1), ("z", 2)]
+    rows = S.load(spark, late, row_number=True).orderBy("_ord").collect()
+    assert [r.jour for r in rows] == ["x\ny", "z"]

@@ -207,3 +207,8 @@ def test_zero_deviation_is_an_error(spark):
 def test_unknown_alternative(spark):
     with pytest.raises(ValueError):
         T.one_sample_ttest(spark.createDataFrame([(1.0,)], "x double"), "x", 0.0, alternative="both")
+
+
+def test_exact_rank_test_with_one_large_sample():
+    assert D.rank_sum_exact_tail(2_600_000, 1_000_000, 5) == pytest.approx(0.44, abs=1e-3)
+    assert D.rank_sum_exact_tail(7, 5, 3) == pytest.approx(D.rank_sum_exact_tail(7, 3, 5))
