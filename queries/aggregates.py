@@ -74,6 +74,11 @@ def contingency(spark, d):
     return A.contingency(table(spark, d, "part"), "p_brand", "p_type")
 
 
+@query("""SELECT l_linenumber, l_orderkey, count(*) AS "count" FROM lineitem GROUP BY 1, 2""")
+def contingency_many_levels(spark, d):
+    return A.contingency(table(spark, d, "lineitem"), "l_linenumber", "l_orderkey", zeros=False)
+
+
 @query(f"""WITH {LI} SELECT l_linenumber, count(*) FILTER (l_returnflag = 'A') AS "A",
            count(*) FILTER (l_returnflag = 'N') AS "N", count(*) FILTER (l_returnflag = 'R') AS "R"
            FROM li WHERE l_returnflag IS NOT NULL GROUP BY l_linenumber""")

@@ -72,6 +72,20 @@ def histogram(spark, d):
     return rounded(V.histogram(holed_events(spark, d), "value", color="event_type"), 6)
 
 
+@query(f"""WITH {EV}, c AS (SELECT event_type AS value, count(*) AS "count" FROM ev WHERE event_type IS NOT NULL GROUP BY 1)
+    SELECT value, "count", round("count" / sum("count") OVER (), 6) AS density FROM c""")
+def histogram_text(spark, d):
+    return rounded(V.histogram(holed_events(spark, d), "event_type"), 6)
+
+
+@query(f"""WITH {EV}, x AS (SELECT epoch(ts) AS s FROM ev WHERE ts IS NOT NULL), e AS (SELECT min(s) AS a, max(s) AS b FROM x),
+    w AS (SELECT a, (b - a) / 40 AS w FROM e), k AS (SELECT least(floor((s - a) / w), 39)::INT AS bin, a, w FROM x, w)
+    SELECT bin, round(a + bin * w, 3) AS low, round(a + (bin + 1) * w, 3) AS high, count(*) AS "count" FROM k GROUP BY bin, a, w""")
+def histogram_time(spark, d):
+    found = V.histogram(holed_events(spark, d), "ts").drop("density")
+    return rounded(found.withColumns({n: F.col(n).cast("double") for n in ("low", "high")}), 3)
+
+
 @query(f"""WITH {EV}, k AS (SELECT event_type, value FROM ev WHERE value IS NOT NULL AND event_type IS NOT NULL),
     q AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, median(value) AS md, quantile_cont(value, 0.75) AS q3 FROM k
     GROUP BY 1) SELECT event_type, count(*) AS n, min(value) AS min, max(value) AS max, round(q1, 6) AS q1,
@@ -109,6 +123,14 @@ def heatmap_data(spark, d):
     return rounded(V.heatmap_data(holed_lineitem(spark, d), "l_returnflag", "l_linenumber", "l_discount"), 6)
 
 
+@query(f"""WITH {LI}, k AS (SELECT * FROM li WHERE l_returnflag IS NOT NULL),
+    c AS (SELECT l_linenumber, l_returnflag, count(*) AS n FROM k GROUP BY 1, 2)
+    SELECT a.l_linenumber, b.l_returnflag, coalesce(n, 0) AS "count" FROM (SELECT DISTINCT l_linenumber FROM k) a
+    CROSS JOIN (SELECT DISTINCT l_returnflag FROM k) b LEFT JOIN c ON c.l_linenumber = a.l_linenumber AND c.l_returnflag = b.l_returnflag""")
+def heatmap_counts(spark, d):
+    return V.heatmap_data(holed_lineitem(spark, d), "l_returnflag", "l_linenumber")
+
+
 _NUMS = ("l_quantity", "l_extendedprice", "l_discount")
 _MATRIX = " UNION ALL ".join(
     f"SELECT '{a}' AS var1, '{b}' AS var2, " + ("1.0::DOUBLE AS r" if a == b else f"round(corr({a}, {b}), 6) AS r FROM li")

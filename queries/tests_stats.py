@@ -13,18 +13,18 @@ def _statistics(df):
 
 
 def _d(x: str) -> str:
-    return f"""CASE WHEN abs({x}) < 0.2 THEN 'Negligible effect' WHEN abs({x}) < 0.5 THEN 'Small effect'
+    return f"""CASE WHEN ({x}) IS NULL THEN NULL WHEN abs({x}) < 0.2 THEN 'Negligible effect' WHEN abs({x}) < 0.5 THEN 'Small effect'
     WHEN abs({x}) < 0.8 THEN 'Medium effect' ELSE 'Large effect' END"""
 
 
 @query(f"""WITH {EV}, s AS (SELECT event_type, count(value) AS n, avg(value) AS m, stddev_samp(value) AS s FROM ev
     GROUP BY 1) SELECT event_type, n AS sample_size, round(m, 4) AS sample_mean, 10.0::DOUBLE AS population_mean,
     round(s, 4) AS sample_std, round(s / sqrt(n), 4) AS standard_error, round((m - 10) / (s / sqrt(n)), 4) AS t_statistic,
-    round((m - 10) / s, 4) AS cohens_d, {_d('(m - 10) / s')} AS effect_size FROM s WHERE event_type <> 'error' """)
+    round((m - 10) / s, 4) AS cohens_d, {_d('(m - 10) / s')} AS effect_size FROM s""")
 def one_sample_ttest(spark, d):
     events = holed_events(spark, d)
     out = T.one_sample_ttest(events, "value", 10.0, by="event_type")
-    return _statistics(out.filter("event_type <> 'error'"))
+    return _statistics(out)
 
 
 _TWO = """g AS (SELECT event_type AS k, value AS v FROM ev WHERE event_type IN ('click', 'view')),
@@ -202,15 +202,15 @@ def zscore_outliers(spark, d):
 
 @query(f"""WITH {EV}, s AS (SELECT event_type, count(value) AS n, avg(value) AS m FROM ev GROUP BY 1), p AS (
     SELECT s.event_type, any_value(n) AS n, avg((value - m) ** 2) AS m2, avg((value - m) ** 3) AS m3,
-    avg((value - m) ** 4) AS m4 FROM ev JOIN s ON s.event_type = ev.event_type GROUP BY 1),
-    k AS (SELECT event_type, n, m3 / m2 ** 1.5 AS s, m4 / m2 ** 2 - 3 AS k FROM p WHERE event_type <> 'error')
-    SELECT event_type, n, round(s, 4) AS skewness, CASE WHEN abs(s) < 0.5 THEN 'Approximately symmetric' WHEN s > 0 AND s < 1
+    avg((value - m) ** 4) AS m4 FROM ev JOIN s ON s.event_type IS NOT DISTINCT FROM ev.event_type GROUP BY 1),
+    k AS (SELECT event_type, n, m3 / m2 ** 1.5 AS s, m4 / m2 ** 2 - 3 AS k FROM p)
+    SELECT event_type, n, round(s, 4) AS skewness, CASE WHEN s IS NULL THEN NULL WHEN abs(s) < 0.5 THEN 'Approximately symmetric' WHEN s > 0 AND s < 1
     THEN 'Right-skewed (positive skew)' WHEN s > 0 THEN 'Highly right-skewed' WHEN s > -1 THEN 'Left-skewed (negative skew)'
-    ELSE 'Highly left-skewed' END AS skewness_label, round(k, 4) AS kurtosis, CASE WHEN abs(k) < 0.5 THEN
+    ELSE 'Highly left-skewed' END AS skewness_label, round(k, 4) AS kurtosis, CASE WHEN k IS NULL THEN NULL WHEN abs(k) < 0.5 THEN
     'Mesokurtic (normal-like tails)' WHEN k > 0 THEN 'Leptokurtic (heavy tails, more outliers)' ELSE
     'Platykurtic (light tails, fewer outliers)' END AS kurtosis_label FROM k""")
 def skewness_kurtosis(spark, d):
-    return T.skewness_kurtosis(holed_events(spark, d), "value", by="event_type").filter("event_type <> 'error'")
+    return T.skewness_kurtosis(holed_events(spark, d), "value", by="event_type")
 
 
 def normality(spark, d):

@@ -184,20 +184,23 @@ def levels_of(df: DataFrame, column: str, cap: int = MAX_LEVELS) -> list:
     return sorted(r[0] for r in found)
 
 
-def contingency(df: DataFrame, row: str, column: str) -> DataFrame:
-    """(row, column, count) of every pair of levels, zero cells included; null values are left out.
+def contingency(df: DataFrame, row: str, column: str, zeros: bool = True, max_levels: int = MAX_LEVELS) -> DataFrame:
+    """(row, column, count) of the pairs of levels; null values are left out.
 
-    Zero cells come from turning each row level into a map over the column levels, so the table is
-    built from level lists and not from a product of rows.
+    With ``zeros`` every pair of levels is a row: each row level becomes a map over the column levels, so the table is
+    built from level lists and not from a product of rows, and more than ``max_levels`` column levels fail. Without
+    ``zeros`` only pairs that occur are rows, and levels have no limit.
     """
     counts = (
         df.filter(col(row).isNotNull() & col(column).isNotNull())
         .groupBy(col(row).alias("r"), col(column).alias("c"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    levels = [r[0] for r in counts.select("c").distinct().limit(MAX_LEVELS + 1).collect()]
-    if len(levels) > MAX_LEVELS:
-        raise ValueError(f"Column '{column}' has more than {MAX_LEVELS} levels.")
+    if not zeros:
+        return counts.select(F.col("r").alias(row), F.col("c").alias(column), F.col("n").alias("count"))
+    levels = [r[0] for r in counts.select("c").distinct().limit(max_levels + 1).collect()]
+    if len(levels) > max_levels:
+        raise ValueError(f"Column '{column}' has more than {max_levels} levels; use zeros=False or a larger max_levels.")
     per_row = counts.groupBy("r").agg(F.map_from_entries(F.collect_list(F.struct("c", "n"))).alias("m"))
     wide = per_row.select("r", "m", F.explode(F.array(*[F.lit(v) for v in sorted(levels)])).alias("c"))
     return wide.select(
@@ -205,9 +208,9 @@ def contingency(df: DataFrame, row: str, column: str) -> DataFrame:
     )
 
 
-def crosstab(df: DataFrame, row: str, column: str) -> DataFrame:
-    """Wide cross table: one column per level, zeros where no row falls."""
-    levels = levels_of(df, column)
+def crosstab(df: DataFrame, row: str, column: str, max_levels: int = MAX_LEVELS) -> DataFrame:
+    """Wide cross table: one column per level (more than ``max_levels`` fail), zeros where no row falls."""
+    levels = levels_of(df, column, max_levels)
     wide = (
         df.filter(col(row).isNotNull() & col(column).isNotNull())
         .groupBy(col(row))
@@ -217,10 +220,10 @@ def crosstab(df: DataFrame, row: str, column: str) -> DataFrame:
     return wide.na.fill(0)
 
 
-def pivot_mean(df: DataFrame, row: str, column: str, value: str) -> DataFrame:
-    """Wide table of means of ``value`` by row level and column level."""
+def pivot_mean(df: DataFrame, row: str, column: str, value: str, max_levels: int = MAX_LEVELS) -> DataFrame:
+    """Wide table of means of ``value`` by row level and column level (more than ``max_levels`` fail)."""
     kept = df.filter(col(row).isNotNull() & col(column).isNotNull() & col(value).isNotNull())
-    return kept.groupBy(col(row)).pivot(column, levels_of(kept, column)).agg(F.avg(col(value)))
+    return kept.groupBy(col(row)).pivot(column, levels_of(kept, column, max_levels)).agg(F.avg(col(value)))
 
 
 def grouped_mean(df: DataFrame, row: str, column: str, value: str) -> DataFrame:

@@ -143,26 +143,48 @@ def line_data(
 def histogram(
     df: DataFrame, x: str, bins: int = MAX_GROUPS, color: str | None = None
 ) -> DataFrame:
-    """(color, bin, low, high, count, density) over equal-width bins of the whole range."""
-    ends = df.agg(F.min(col(x)).cast("double").alias("a"), F.max(col(x)).cast("double").alias("b")).first()
+    """(color, bin, low, high, count, density) over equal-width bins of the whole range.
+
+    Bins of a date or time column have timestamps as ends and a density per second. Any other column that is not
+    numeric has a row per value instead: (color, value, count, density), the density being the share of all values.
+    """
+    timed = is_datetime(df, x)
+    if not timed and not is_numeric(df, x):
+        return _value_histogram(df, x, color)
+    number = (col(x).cast("timestamp") if timed else col(x)).cast("double")
+    ends = df.agg(F.min(number).alias("a"), F.max(number).alias("b")).first()
     if ends.a is None:
         raise ValueError(f"Column '{x}' has no values.")
     width = (ends.b - ends.a) / bins or 1.0
-    index = F.least(F.floor((col(x).cast("double") - F.lit(ends.a)) / F.lit(width)), F.lit(bins - 1)).cast("int")
+    index = F.least(F.floor((number - F.lit(ends.a)) / F.lit(width)), F.lit(bins - 1)).cast("int")
     keys = [color] if color else []
     kept = drop_null_rows(df, [x, *keys])
     counted = kept.groupBy(*[col(k) for k in keys], index.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     total = counted.groupBy(*[col(k) for k in keys]).agg(F.sum("count").alias("_total"))
+
+    def edge(seconds):
+        return F.timestamp_micros(F.round(seconds * 1_000_000).cast("long")) if timed else seconds
+
     return attach(counted, total, keys).select(
         *[col(k) for k in keys],
         "bin",
-        (F.lit(ends.a) + F.col("bin") * F.lit(width)).alias("low"),
-        (F.lit(ends.a) + (F.col("bin") + 1) * F.lit(width)).alias("high"),
+        edge(F.lit(ends.a) + F.col("bin") * F.lit(width)).alias("low"),
+        edge(F.lit(ends.a) + (F.col("bin") + 1) * F.lit(width)).alias("high"),
         "count",
         (F.col("count") / (F.col("_total") * F.lit(width))).alias("density"),
     )
 
 
+def _value_histogram(df: DataFrame, x: str, color: str | None) -> DataFrame:
+    keys = [color] if color else []
+    kept = drop_null_rows(df, [x, *keys])
+    counted = kept.groupBy(*[col(k) for k in keys], col(x).alias("value")).agg(F.count(F.lit(1)).alias("count"))
+    total = counted.groupBy(*[col(k) for k in keys]).agg(F.sum("count").alias("_total"))
+    return attach(counted, total, keys).select(
+        *[col(k) for k in keys], "value", "count", (F.col("count") / F.col("_total")).alias("density")
+    )
+
+
 def box_data(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame:
     """Five-number summary per group of a bucketed axis: quartiles, whiskers within 1.5 IQR, outliers."""
     kept = drop_null_rows(df, [x, y]).select(*[col(n) for n in dict.fromkeys([x, y, *as_list(color)])])
@@ -200,9 +222,9 @@ def bar_data(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFra
     return value_counts(df, x)
 
 
-def heatmap_data(df: DataFrame, x: str, y: str, value: str | None = None) -> DataFrame:
-    """Long form (y, x, mean) with a value column, else (y, x, count) with zero cells."""
-    return grouped_mean(df, y, x, value) if value else contingency(df, y, x)
+def heatmap_data(df: DataFrame, x: str, y: str, value: str | None = None, zeros: bool = True) -> DataFrame:
+    """Long form (y, x, mean) with a value column, else (y, x, count), with zero cells unless ``zeros`` is off."""
+    return grouped_mean(df, y, x, value) if value else contingency(df, y, x, zeros)
 
 
 def correlation_heatmap(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:

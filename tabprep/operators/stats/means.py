@@ -211,26 +211,31 @@ def one_way_anova(df: DataFrame, value: str, group: str, alpha: float = 0.05, by
     )
 
 
-def tukey_pairs(df: DataFrame, value: str, group: str, by: str | Iterable[str] | None = None) -> DataFrame:
+def tukey_pairs(
+    df: DataFrame, value: str, group: str, by: str | Iterable[str] | None = None, max_groups: int = MAX_LEVELS
+) -> DataFrame:
     """Post-hoc comparison: mean difference, q and p of each pair of group means.
 
-    Works on group summaries. The output has one row per pair of groups, so the number of groups per
-    key is checked.
+    Works on group summaries. The output has one row per pair of groups, so a key with more than ``max_groups`` groups
+    fails; groups are counted before any list of them is made.
     """
     keys = as_list(by)
     moments = _group_moments(df, value, group, keys)
-    packed = moments.groupBy(*cols(keys)).agg(
+    sizes = moments.groupBy(*cols(keys)).agg(
         F.count(F.lit(1)).alias("_k"),
         F.sum("n").alias("_n"),
         (F.sum((F.col("n") - 1) * F.col("var")) / (F.sum("n") - F.count(F.lit(1)))).alias("_mse"),
-        F.sort_array(F.collect_list(F.struct(col(group).alias("g"), F.col("n"), F.col("mean")))).alias("_groups"),
     )
-    checked = packed.filter(
-        F.when(F.col("_k") <= MAX_LEVELS, F.lit(True)).otherwise(
-            F.raise_error(F.lit(f"More than {MAX_LEVELS} groups; pairwise comparison is not possible")).isNull()
+    checked = sizes.filter(
+        F.when(F.col("_k") <= max_groups, F.lit(True)).otherwise(
+            F.raise_error(F.lit(f"More than {max_groups} groups; pairwise comparison is not possible")).isNull()
         )
     )
-    pairs = checked.select("*", F.posexplode("_groups").alias("_i", "_a")).select(
+    packed = attach(moments.select(*cols(keys), col(group).alias("_g"), F.col("n").alias("_gn"), F.col("mean").alias("_gm")), checked, keys)
+    packed = packed.groupBy(*cols(keys), "_k", "_n", "_mse").agg(
+        F.sort_array(F.collect_list(F.struct(F.col("_g").alias("g"), F.col("_gn").alias("n"), F.col("_gm").alias("mean")))).alias("_groups")
+    )
+    pairs = packed.select("*", F.posexplode("_groups").alias("_i", "_a")).select(
         "*", F.explode(F.slice("_groups", F.col("_i") + 2, F.col("_k").cast("int"))).alias("_b")
     )
     gap = F.col("_a.mean") - F.col("_b.mean")

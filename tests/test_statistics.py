@@ -212,3 +212,11 @@ def test_unknown_alternative(spark):
 def test_exact_rank_test_with_one_large_sample():
     assert D.rank_sum_exact_tail(2_600_000, 1_000_000, 5) == pytest.approx(0.44, abs=1e-3)
     assert D.rank_sum_exact_tail(7, 5, 3) == pytest.approx(D.rank_sum_exact_tail(7, 3, 5))
+
+
+def test_tukey_counts_groups_before_listing_them(spark):
+    df = spark.range(40).selectExpr("cast(id % 20 as string) AS g", "cast(id * id % 7 as double) AS v", "id % 2 AS k")
+    assert T.tukey_pairs(df, "v", "g", max_groups=20).count() == 190
+    assert T.tukey_pairs(df, "v", "g", by="k", max_groups=10).count() == 90
+    with pytest.raises(Exception, match="More than 19 groups"):
+        T.tukey_pairs(df, "v", "g", max_groups=19).count()
