@@ -128,8 +128,11 @@ def epoch_seconds(value: Column) -> Column:
     )
 
 
-def sort_code(value: Column, dtype: T.DataType) -> Column:
-    """A DOUBLE that never decreases as ``value`` increases; used to cut a sort key into ranges."""
+def sort_code(value: Column, dtype: T.DataType, chunk: int = 0) -> Column:
+    """A DOUBLE that never decreases as ``value`` increases; used to cut a sort key into ranges.
+
+    The code of a text comes from six of its bytes: those of the given chunk, for texts that agree in all before.
+    """
     if isinstance(dtype, (T.NumericType, T.BooleanType)):
         return value.cast("double")
     if isinstance(dtype, T.DateType):
@@ -138,6 +141,6 @@ def sort_code(value: Column, dtype: T.DataType) -> Column:
         return epoch_seconds(value)
     if isinstance(dtype, T.TimestampType):
         return F.unix_micros(value).cast("double")
-    # Text sorts by its UTF-8 bytes: the first six of them fit a DOUBLE exactly.
-    head = F.substring(F.hex(F.encode(F.substring(value.cast("string"), 1, 6), "utf-8")), 1, 12)
+    # Text sorts by its UTF-8 bytes: six of them fit a DOUBLE exactly.
+    head = F.hex(F.substring(F.encode(value.cast("string"), "utf-8"), 6 * chunk + 1, 6))
     return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")

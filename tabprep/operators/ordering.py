@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabprep.functions.scalars import sort_code
 from tabprep.functions.types import as_list, col
@@ -67,58 +68,85 @@ def split_ranges(df: DataFrame, key: str, name: str = "_range", rows: int | None
 def with_row_number(df: DataFrame, order_by: str | Iterable[str], name: str = "_ord", start: int = 0) -> DataFrame:
     """Consecutive row numbers in the order of ``order_by`` (ascending, nulls first).
 
-    The last order column should break ties. A range in which the first column has a single value
-    is cut again by the next column, so one value on a third of all rows is not one task.
+    The last order column should break ties. A crowded range of one code is cut again, by the next bytes of a text
+    and then by the next column, so neither a common prefix nor one value on a third of all rows is one task.
     """
     keys = as_list(order_by)
-    ranged, ranges = split_ranges(df, keys[0], "_r1")
-    ranged = ranged.withColumn("_r2", F.lit(0))
-    if ranges > 1 and len(keys) > 1:
-        ranged = _split_single_value_ranges(ranged, keys)
-    window = Window.partitionBy("_r1", "_r2").orderBy(*[col(k).asc_nulls_first() for k in keys])
+    ranged, ranges = split_ranges(df, keys[0], "_r")
+    if ranges > 1:
+        ranged = _cut_crowded_ranges(ranged, keys)
+    window = Window.partitionBy("_r").orderBy(*[col(k).asc_nulls_first() for k in keys])
     local = F.row_number().over(window).cast("long") + F.lit(start - 1)
-    # One row per range: at most MAX_RANGES plus the cuts of single-value ranges.
-    sizes = ranged.groupBy("_r1", "_r2").agg(F.count(F.lit(1)).alias("n")).collect()
-    cells = sorted((r["_r1"], r["_r2"], r["n"]) for r in sizes)
-    offsets, total = {}, 0
-    for r1, r2, n in cells:
-        offsets[(r1, r2)] = total
-        total += n
+    offsets, total = [], 0
+    for r in sorted(ranged.groupBy("_r").agg(F.count(F.lit(1)).alias("n")).collect()):
+        offsets.append((r["_r"], total))
+        total += r["n"]
     if len(offsets) <= 1:
-        return ranged.withColumn(name, local).drop("_r1", "_r2")
-    table = df.sparkSession.createDataFrame(
-        [(r1, r2, off) for (r1, r2), off in offsets.items()], "_r1 int, _r2 int, _off long"
-    )
+        return ranged.withColumn(name, local).drop("_r")
+    table = df.sparkSession.createDataFrame(offsets, "_r int, _off long")
     return (
         ranged.withColumn("_local", local)
-        .join(F.broadcast(table), ["_r1", "_r2"])
+        .join(F.broadcast(table), "_r")
         .withColumn(name, F.col("_local") + F.col("_off"))
         .select(*[col(n) for n in df.columns if n != name], col(name))
     )
 
 
-def _split_single_value_ranges(ranged: DataFrame, keys: list[str]) -> DataFrame:
-    k1, k2 = col(keys[0]), keys[1]
-    crowded = (
-        ranged.groupBy("_r1")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(k1).eqNullSafe(F.max(k1)).alias("same"))
-        .filter(F.col("same") & (F.col("n") > 2 * ROWS_PER_RANGE))
-        .select("_r1", "n")
-        .collect()
-    )
-    if not crowded:
-        return ranged
-    codes = sort_code(col(k2), ranged.schema[k2].dataType)
-    points: set[float] = set()
-    inside = ranged.filter(F.col("_r1").isin([r["_r1"] for r in crowded]))
-    per_range = min(MAX_RANGES, max(2, math.ceil(max(r["n"] for r in crowded) / ROWS_PER_RANGE)))
-    probs = [i / per_range for i in range(1, per_range)]
-    accuracy = max(SKETCH_ACCURACY, 10 * per_range)
-    for row in inside.groupBy("_r1").agg(F.percentile_approx(codes, probs, accuracy).alias("p")).collect():
-        points.update(row.p or [])
-    cut = _range_index(ranged, codes, sorted(points), "_cut")
-    is_crowded = F.col("_r1").isin([r["_r1"] for r in crowded])
-    return cut.withColumn("_r2", F.when(is_crowded, F.col("_cut")).otherwise(F.lit(0))).drop("_cut")
+def _cut_crowded_ranges(ranged: DataFrame, keys: list[str]) -> DataFrame:
+    """Cut ranges of ``_r`` that hold too many rows of one code, until no later bytes or columns are left."""
+    at, chunk, before = 0, 0, 0
+    while True:
+        key, dtype = col(keys[at]), ranged.schema[keys[at]].dataType
+        code = sort_code(key, dtype, chunk)
+        is_text = isinstance(dtype, T.StringType)
+        # A range may be cut by a code only where all that sorts before the code is the same.
+        earlier = [*[col(k) for k in keys[:at]], *([F.substring(F.encode(key, "utf-8"), 1, 6 * chunk)] if chunk else [])]
+        same = reduce(lambda x, y: x & y, [F.min(e).eqNullSafe(F.max(e)) for e in earlier], F.lit(True))
+        sizes = ranged.groupBy("_r").agg(
+            F.count(F.lit(1)).alias("n"), F.max(F.octet_length(key) if is_text else F.lit(0)).alias("bytes"), same.alias("same"),
+            F.min(code).eqNullSafe(F.max(code)).alias("one_code"), F.min(key).eqNullSafe(F.max(key)).alias("one_value"),
+        ).collect()
+        full = [r for r in sizes if r["same"] and r["n"] > 2 * ROWS_PER_RANGE]
+        crowded = [r for r in full if not r["one_code"]]
+        if crowded and len(sizes) > before:
+            before = len(sizes)  # far outliers can hide the differences of the rest: again, while that makes more ranges
+        else:
+            crowded, before = [r for r in full if r["one_code"]], 0
+            if any((r["bytes"] or 0) > 6 * (chunk + 1) for r in crowded):
+                chunk += 1
+            else:
+                # Texts that differ in trailing zero bytes only have one code; the next column would put them out of order.
+                crowded = [r for r in crowded if r["one_value"]]
+                at, chunk = at + 1, 0
+        if not crowded or at == len(keys):
+            return ranged
+        code = sort_code(col(keys[at]), ranged.schema[keys[at]].dataType, chunk)
+        ranged = _cut_by_code(ranged, sorted(r["_r"] for r in sizes), {r["_r"]: r["n"] for r in crowded}, code)
+
+
+def _cut_by_code(ranged: DataFrame, known: list[int], crowded: dict[int, int], code: Column) -> DataFrame:
+    """Cut the crowded ranges by a code, each into as many ranges as its rows need, and number all ranges anew.
+
+    The position of a row is the number of crowded ranges below its own, plus a fraction that grows with the code. It
+    never decreases in the final order, so the number of cut points at or below it, added to the old number, is the new one.
+    """
+    finite = (F.abs(code) <= F.lit(1e300)) & ~F.isnan(code)
+    bounded = F.when(finite, code)
+    inside = ranged.filter(F.col("_r").isin(list(crowded)))
+    ends = {r["_r"]: (r["a"], r["b"]) for r in inside.groupBy("_r").agg(F.min(bounded).alias("a"), F.max(bounded).alias("b")).collect()}
+    rows, below = [], 0
+    for r in known:
+        rows.append((r, below, r in crowded, *ends.get(r, (None, None))))
+        below += r in crowded
+    table = ranged.sparkSession.createDataFrame(rows, "_r int, _below int, _crowded boolean, _low double, _high double")
+    share = F.when(F.col("_high") > F.col("_low"), (bounded - F.col("_low")) / (F.col("_high") - F.col("_low"))).otherwise(0.0)
+    part = F.when(~F.col("_crowded") | code.isNull(), 0.0).when(F.isnan(code), 0.9)
+    part = part.when(finite, 0.25 + 0.5 * share).otherwise(F.when(code < 0, 0.1).otherwise(0.8))
+    placed = ranged.join(F.broadcast(table), "_r").withColumn("_place", F.col("_below") + part)
+    count = max(2, math.ceil(sum(crowded.values()) / ROWS_PER_RANGE))
+    points = _cut_points(placed.filter("_crowded"), F.col("_place"), count)
+    cut = _range_index(placed, F.col("_place"), points, "_cut")
+    return cut.withColumn("_r", F.col("_r") + F.col("_cut")).drop("_below", "_crowded", "_low", "_high", "_place", "_cut")
 
 
 def scan_row_number(df: DataFrame, name: str = "_ord", start: int = 0) -> DataFrame:

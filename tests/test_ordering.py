@@ -30,9 +30,9 @@ def test_row_number(hot, small_ranges, keys):
 
 def test_hot_value_is_cut_again(hot, small_ranges):
     df, _ = hot
-    ranged, ranges = O.split_ranges(df, "v", "_r1")
-    cut = O._split_single_value_ranges(ranged.withColumn("_r2", F.lit(0)), ["v", "id"])
-    largest = cut.groupBy("_r1", "_r2").count().agg(F.max("count")).first()[0]
+    ranged, ranges = O.split_ranges(df, "v", "_r")
+    cut = O._cut_crowded_ranges(ranged, ["v", "id"])
+    largest = cut.groupBy("_r").count().agg(F.max("count")).first()[0]
     assert ranges > 5 and largest <= 4 * O.ROWS_PER_RANGE
 
 
@@ -118,3 +118,20 @@ def test_null_runs_across_ranges(spark, small_ranges):
     df = spark.createDataFrame(rows, "_ord long, v double")
     r = C.null_runs(df, ["v"]).first()
     assert (r.null_count, r.null_runs, r.longest_run, r.first_valid, r.last_valid) == (173, 3, 170, 1, 299)
+
+
+def test_row_number_of_texts_with_a_common_prefix(spark, monkeypatch):
+    """Texts that share 15 bytes, one of them on a third of the rows, nulls, and infinite or missing second keys."""
+    monkeypatch.setattr(O, "ROWS_PER_RANGE", 50)
+    odd = [None, float("nan"), float("inf"), float("-inf")]
+    rows = [(f"https://site.co{i * 7919 % 900:05d}" if i % 3 else "https://site.co", float(i * 31 % 101), i) for i in range(1500)]
+    rows += [(None, odd[i % 4] if i % 5 == 0 else i / 7, 2000 + i) for i in range(200)]
+    rows += [("https://site.co", odd[i % 4], 3000 + i) for i in range(40)] + [("a", 1.0, 4000), ("zz", None, 4001), ("", 0.0, 4002)]
+    df = spark.createDataFrame(rows, "k string, v double, i long").repartition(3)
+    ranged, _ = O.split_ranges(df, "k", "_r")
+    cut = [r["count"] for r in O._cut_crowded_ranges(ranged, ["k", "v", "i"]).groupBy("_r").count().collect()]
+    assert sum(cut) == len(rows) and len(cut) > 20 and max(cut) <= 150
+    got = [r.i for r in O.with_row_number(df, ["k", "v", "i"], "_n").orderBy("_n").collect()]
+    assert got == [r.i for r in df.coalesce(1).sortWithinPartitions("k", "v", "i").collect()]
+    numbers = [r["_n"] for r in O.with_row_number(df, ["k", "v", "i"], "_n").select("_n").collect()]
+    assert sorted(numbers) == list(range(min(numbers), min(numbers) + len(rows)))
