@@ -13,6 +13,10 @@ from tabprep.llm.common import doc_slices, sums, text_column, words_of
 #: Characters counted as symbols (fixed values).
 SYMBOLS = "#*$%&|<>"
 SLICE_BYTES = 2_000_000
+#: Shares of the words that repeats of 8 words or more may cover, and that the longest of them may have. Words in such
+#: repeats lie in the 3-word windows of the base rule as well, so limits of a half or more would reject nothing. At sf0.1
+#: no document of quality 1 that passes the base rule is above 0.3 or 0.2.
+MAX_COVERED, MAX_LONGEST = 0.3, 0.2
 MEASURES = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "covered_words long, longest_repeat long"
@@ -164,13 +168,13 @@ def base_failed(prefix: str = "") -> Column:
     return (n < 50) | (100 * F.col(prefix + "n_repeat_words") > 50 * n)
 
 
-def passes(max_covered: float = 0.6, max_longest: float = 0.5, prefix: str = "") -> Column:
+def passes(max_covered: float = MAX_COVERED, max_longest: float = MAX_LONGEST, prefix: str = "") -> Column:
     """At most these shares of the words are covered by repeated strings, and in the longest of them."""
     n = F.col(prefix + "n_words")
     return (F.col(prefix + "covered_words") <= max_covered * n) & (F.col(prefix + "longest_repeat") <= max_longest * n)
 
 
-def apply_rules(docs: DataFrame, max_covered: float = 0.6, max_longest: float = 0.5, **options) -> DataFrame:
+def apply_rules(docs: DataFrame, max_covered: float = MAX_COVERED, max_longest: float = MAX_LONGEST, **options) -> DataFrame:
     """Measures with ``base_failed`` and ``kept``; see ``measure``."""
     prefix = options.get("prefix", "")
     return measure(docs, **options).withColumns(

@@ -60,6 +60,21 @@ def test_repetition_query(docs):
     assert repetition.apply_rules(docs.select("doc_id", "text").limit(0)).count() == 0
 
 
+def test_repetition_rejects_what_the_base_passes(spark):
+    fresh = [f"u{i}" for i in range(100)]
+    copied = fresh[:25] + fresh[50:100] + fresh[:25]
+    several = fresh[:9] + fresh[10:19] + fresh[36:] + fresh[10:19] + fresh[:9]
+    one_word = fresh[:40] + ["same"] * 25 + fresh[40:75]
+    few = fresh[:10] + fresh[20:100] + fresh[:10]
+    texts = {1: copied, 2: several, 3: one_word, 4: few, 5: fresh}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.covered_words, r.longest_repeat, r.base_failed, r.kept) for r in repetition.apply_rules(docs).collect()}
+    for i, t in texts.items():
+        n, *_, cover, best = brute_repetition(" ".join(t), 8)
+        assert got[i] == (n, cover, best, False, cover <= 0.3 * n and best <= 0.2 * n)
+    assert [got[i][4] for i in sorted(texts)] == [False, False, False, True, True]
+
+
 def test_components(spark):
     links = [(5, 4), (4, 3), (3, 2), (9, 8), (2, 1), (8, 8)] + [(i + 1, i) for i in range(20, 40)]
     found = {r.u: r.v for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
