@@ -138,6 +138,18 @@ def test_deobfuscation(spark):
     assert nothing.score(docs).filter("score >= 0.7").count() == 0
 
 
+def test_deobfuscation_at_edges_apart_and_doubled(spark):
+    clean = [(i, f"you are an owner and we read page {i} today by the nice river what", 0) for i in range(60)]
+    bad = [(100 + i, f"you are an {('idiot', 'scum', 'ass')[i % 3]} and we read page {i} today", 1) for i in range(60)]
+    docs = spark.createDataFrame(clean + bad, "doc_id long, text string, toxic int")
+    model = deobfuscation.fit(docs, docs.select("doc_id", "toxic"))
+    disguised = ["!diot", "$cum", "a$$", "($cum!)", "i d ! o t", "! d i o t !", "$ c u m", "a s s", "a $ $", "@ $ $", "iidiiott", "sccuumm"]
+    harmless = ["river!", "nice!!", "(today)", "$page", "owner$", "read|", "what?!", "! ! !", "a b", "well", "good!"]
+    probe = [(i, f"what an {w} today") for i, w in enumerate(disguised + harmless)]
+    got = {r.doc_id: r.score >= 0.7 for r in model.score(spark.createDataFrame(probe, "doc_id long, text string")).collect()}
+    assert [w for i, w in enumerate(disguised + harmless) if got[i]] == disguised
+
+
 def test_forest(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 8))
