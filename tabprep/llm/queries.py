@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tabprep.llm import deobfuscation, forest, maxent, mixing, near, packing, preference, ranking, repair, repetition
+from tabprep.llm import (
+    deobfuscation, forest, maxent, mixing, near, packing, preference, ranking, repair, repetition, whitening,
+)
 from tabprep.llm.common import crc_remainder, table
 
 QUERIES = {}
@@ -109,3 +111,8 @@ def op10_deobfuscated_toxicity(spark, sf_dir):
         "doc_id", F.coalesce(crc_remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"),
     )
+
+
+@query()
+def op13_spectrum_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
