@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tabprep.llm import (
-    deobfuscation, forest, maxent, mixing, near, packing, preference, ranking, repair, repetition, whitening,
+    deobfuscation, forest, language, maxent, mixing, near, packing, preference, ranking, repair, repetition, whitening,
 )
 from tabprep.llm.common import crc_remainder, table
 
@@ -113,6 +113,15 @@ def op10_deobfuscated_toxicity(spark, sf_dir):
     )
 
 
+@query()
+def op12_output_codes_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    plan = language.fit(docs.filter(crc_remainder("doc_id", 3) != 1))
+    return plan.predict(docs.select("doc_id", "text")).select(
+        "doc_id", F.coalesce(crc_remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous",
+    )
+
+
 @query()
 def op13_spectrum_whitening(spark, sf_dir):
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
