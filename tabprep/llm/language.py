@@ -251,10 +251,12 @@ class LanguageCodes:
         if set(added) & set(docs.columns):
             raise ValueError(f"columns {added} would be overwritten; choose another prefix")
         names = pa.array([*self.languages, UNKNOWN], pa.string())
+        given, plain = docs.columns, [f"c{i}" for i in range(len(docs.columns))]  # any name may be in the table
+        place = plain[given.index("text")]
 
         def run(batches):
             for batch in batches:
-                text = text_column(batch)
+                text = text_column(batch, place)
                 for at, to in doc_slices(text, SLICE_BYTES):
                     grams = letter_grams(text.slice(at, to - at))
                     known = grams.letters & (grams.per_text > 0) & (len(self.languages) > 0)
@@ -265,11 +267,11 @@ class LanguageCodes:
                     part = batch.slice(at, to - at)
                     yield pa.RecordBatch.from_arrays(
                         [*part.columns, names.take(pa.array(best)), pa.array(score), pa.array(close.astype(bool))],
-                        names=[*part.schema.names, *added],
+                        names=[*given, *added],
                     )
 
         kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-        return docs.mapInArrow(run, f"{kinds}, `{added[0]}` string, `{added[1]}` double, `{added[2]}` boolean")
+        return docs.toDF(*plain).mapInArrow(run, f"{kinds}, `{added[0]}` string, `{added[1]}` double, `{added[2]}` boolean")
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", calibration_rows: int = CALIBRATION_ROWS) -> LanguageCodes:
