@@ -206,6 +206,8 @@ def fit_logistic(z: np.ndarray, ones: np.ndarray, zeros: np.ndarray, steps: int
         a, c = a - size * step[0], c - size * step[1]
         if np.abs(size * step).max() < 1e-6:
             break
+    if a <= 0:  # no better than chance
+        return 1.0, 0.0, 0.05
     sure = 1 - loss(a, c) / n.sum() / np.log(2)
     return float(a), float(c), float(np.clip(sure, 0.05, 1))
 
@@ -279,7 +281,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", calibration_row
 
     N-gram shares are counted over all of them, per language and half (by a hash of the text); each document weighs the
     same. The driver gets one row per language and bucket, whatever the number of documents. Bits are calibrated on about
-    ``calibration_rows`` documents, each scored with the other half's weights, as counts of margins per bit. Repeated rows
+    ``calibration_rows`` documents, each scored with the other half's weights (where that half has its language), as
+    counts of margins per bit. Repeated rows
     count as often as they occur; a language whose documents hold no letter is not learned, and ties go to the
     language that comes first by name.
     """
@@ -299,8 +302,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", calibration_row
     if not bits:
         return LanguageCodes(tuple(languages), codes, weights, np.ones(0), np.zeros(0), np.ones(0))
     halves = [bit_weights(shares[1 - h], codes) for h in range(2)]
+    judged = [np.append(shares[1 - h].any(1), False) for h in range(2)]  # languages that the other half has seen
     kept = min(1.0, calibration_rows / max(1, texts))
-    some = known.filter(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 20)) < int(kept * (1 << 20)))
+    some = known.filter(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 40)) < int(kept * (1 << 40)))
 
     def margin_counts(batches):
         total = np.zeros((bits, 2, BINS + 1), np.int64)
@@ -311,7 +315,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", calibration_row
             for at, to in doc_slices(whole, SLICE_BYTES):
                 grams = letter_grams(whole.slice(at, to - at))
                 for h in range(2):
-                    mine = (half[at:to] == h) & (own[at:to] >= 0) & (grams.per_text > 0)
+                    mine = (half[at:to] == h) & judged[h][own[at:to]] & (grams.per_text > 0)
                     if mine.any():
                         z = margins(grams, halves[h])[mine]
                         spot = np.rint((z / (1 + np.abs(z)) + 1) * BINS / 2).astype(int)
