@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tabprep.llm import (
-    deobfuscation, forest, language, maxent, mixing, near, packing, preference, ranking, repair, repetition, whitening,
+    alignment, deobfuscation, forest, language, maxent, mixing, near, packing, preference, ranking, repair, repetition, whitening,
 )
 from tabprep.llm.common import crc_remainder, table
 
@@ -113,6 +113,12 @@ def op10_deobfuscated_toxicity(spark, sf_dir):
     )
 
 
+@query()
+def op11_arrow_alignment(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query()
 def op12_output_codes_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
