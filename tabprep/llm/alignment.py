@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,9 +16,9 @@ from pyspark.sql import functions as F
 
 from tabprep.llm.common import doc_slices, materialize, sums, worker_store
 
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_500_000
 #: Units whose ids each worker keeps; beyond it units are encoded again in each slice. Not a cap on what is encoded.
-CACHED_UNITS = 150_000
+CACHED_UNITS = 100_000
 #: Most frequent id pairs that go to every task (about 17 bytes each); rarer pairs are joined by shuffle.
 LOOKUP_ROWS = 1_000_000
 #: Pairs that a task counts before it sends their partial counts.
@@ -39,28 +40,33 @@ _STAGE = (
 )
 
 
-@dataclass
+@dataclass(frozen=True, eq=False)
 class Vocabulary:
     """A tokenizer's ids of units (a blank goes before each unit) and the bytes of its tokens."""
 
     encode: object
     token_bytes: pa.Array
     decimals: pa.Array
-    cache: dict
-
-    def lists(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all units one after the other, and the first place of each unit (one more than units)."""
-        keys = units.to_pylist()
-        found = [self.cache.get(k) for k in keys]
-        missing = [i for i, ids in enumerate(found) if ids is None]
-        for at in range(0, len(missing), 20_000):
-            some = missing[at:at + 20_000]
-            for i, ids in zip(some, self.encode([keys[i] for i in some]), strict=True):
-                found[i] = np.array(ids, np.int32).tobytes()
-            if len(self.cache) < CACHED_UNITS:
-                self.cache.update((keys[i], found[i]) for i in some if len(keys[i]) < 64)
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        return np.frombuffer(b"".join(found), np.int32), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _ids(units: pa.Array, vocabularies: tuple[Vocabulary, Vocabulary]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each vocabulary: ids of all units one after the other, and the first place of each unit (one more than units)."""
+    cache, keys = worker_store("alignment units").setdefault(vocabularies, {}), units.to_pylist()
+    found = [cache.get(k) for k in keys]
+    missing = [i for i, ids in enumerate(found) if ids is None]
+    for at in range(0, len(missing), 5_000):
+        some = missing[at:at + 5_000]
+        words = [keys[i] for i in some]
+        for i, *ids in zip(some, *(v.encode(words) for v in vocabularies), strict=True):
+            found[i] = tuple(array("i", x).tobytes() for x in ids)
+        if len(cache) < CACHED_UNITS:
+            cache.update((keys[i], found[i]) for i in some if len(keys[i]) < 64)
+    out = []
+    for side in (0, 1):
+        mine = [f[side] for f in found]
+        sizes = np.fromiter(map(len, mine), np.int64, len(mine)) // 4
+        out.append((np.frombuffer(b"".join(mine), np.int32), np.concatenate([[0], np.cumsum(sizes)])))
+    return out
 
 
 def byte_characters() -> dict[str, int]:
@@ -75,7 +81,7 @@ def byte_characters() -> dict[str, int]:
 
 def _made(token_bytes: list[bytes], encode) -> Vocabulary:
     return Vocabulary(
-        encode, pa.array(token_bytes, pa.large_binary()), pa.array([str(i) for i in range(len(token_bytes))], pa.large_string()), {}
+        encode, pa.array(token_bytes, pa.large_binary()), pa.array([str(i) for i in range(len(token_bytes))], pa.large_string())
     )
 
 
@@ -174,8 +180,7 @@ def align_units(units: pa.Array, a: Vocabulary, b: Vocabulary) -> Aligned:
     listed = []
     blank = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), units, _NO_STRING).cast(pa.large_binary())
     sound = np.ones(len(units), bool)
-    for vocabulary in (a, b):
-        ids, offsets = vocabulary.lists(units)
+    for vocabulary, (ids, offsets) in zip((a, b), _ids(units, (a, b)), strict=True):
         spelled = pc.binary_join(_lists(offsets, vocabulary.token_bytes.take(pa.array(ids))), _NO_BINARY)
         sound &= pc.equal(spelled, blank).to_numpy(zero_copy_only=False)
         listed.append(_lists(offsets, pa.array(ids)))
@@ -239,19 +244,32 @@ def align_texts(text: pa.Array, a: Vocabulary, b: Vocabulary) -> dict[str, pa.Ar
         name: pa.array(np.where(sound, sums(values[codes], offsets), 0).astype(np.int64))
         for name, values in (("n_a", units.n_a), ("n_b", units.n_b), ("n_groups", units.n_groups), ("n_links", units.n_links))
     }
-    digests = [
-        _digest(units.written, codes[offsets[i]:offsets[i + 1]]) if sound[i] else "" for i in range(n)
-    ]
+    if len(codes) <= WRITTEN_UNITS:
+        whole = _joined(_lists(offsets, units.written.take(pa.array(codes))), ";")
+        digests = [hashlib.sha256(line.as_buffer()).hexdigest() if good else "" for line, good in zip(whole, sound, strict=True)]
+    else:
+        digests = [_digest(units.written, codes[offsets[i]:offsets[i + 1]]) if sound[i] else "" for i in range(n)]
     used = sound[doc]
-    times = _grouped({"doc": doc[used], "unit": codes[used].astype(np.int64)})
-    held = times.join(units.pairs, keys="unit", join_type="inner", use_threads=False)
-    pairs = _grouped({"doc": held["doc"], "a": held["a"], "b": held["b"]}, {"links": pc.multiply(held["links"], held["n"])})
-    order = np.argsort(pairs["doc"].to_numpy(), kind="stable")
-    sizes = np.concatenate([[0], np.cumsum(np.bincount(pairs["doc"].to_numpy(), minlength=n))])
+    # One number stands for a (document, unit) or (document, pair), which Acero hashes faster than two columns.
+    width = len(units.n_a) + 1
+    times = _grouped({"key": doc[used] * width + codes[used]})
+    key = times["key"].to_numpy()
+    times = pa.table({"doc": key // width, "unit": key % width, "n": times["n"]})
+    pair = pc.add(pc.shift_left(units.pairs["a"].cast(pa.int64()), 32), units.pairs["b"].cast(pa.int64())).combine_chunks().dictionary_encode()
+    rows = pa.table({"unit": units.pairs["unit"], "pair": pair.indices.cast(pa.int64()), "links": units.pairs["links"]})
+    held = times.join(rows, keys="unit", join_type="inner", use_threads=False)
+    width = len(pair.dictionary) + 1
+    key = held["doc"].to_numpy() * width + held["pair"].to_numpy()
+    pairs = _grouped({"key": key}, {"links": pc.multiply(held["links"], held["n"])})
+    key = pairs["key"].to_numpy()
+    order = np.argsort(key // width, kind="stable")
+    key = key[order]
+    code = pair.dictionary.to_numpy(zero_copy_only=False)[key % width] if len(key) else key
+    sizes = np.concatenate([[0], np.cumsum(np.bincount(key // width, minlength=n))])
     out["groups_sha256"] = pa.array(digests, pa.string())
-    for name, kind in (("a", pa.int32()), ("b", pa.int32()), ("links", pa.int64())):
-        values = pairs[name].to_numpy()[order]
-        out[name] = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(values, kind))
+    links = pairs["links"].to_numpy()[order]
+    for name, values, kind in (("a", code >> 32, pa.int32()), ("b", code & 0xFFFFFFFF, pa.int32()), ("links", links, pa.int64())):
+        out[name] = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(values).cast(kind))
     return out
 
 

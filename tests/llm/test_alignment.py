@@ -88,7 +88,7 @@ def test_small_parts(monkeypatch):
     whole = alignment.align_texts(text, alignment.byte_level(A), alignment.pieces(B))
     monkeypatch.setattr(alignment, "WRITTEN_UNITS", 7)
     monkeypatch.setattr(alignment, "CACHED_UNITS", 3)
-    alignment.byte_level(A).cache.clear()
+    alignment.worker_store("alignment units").clear()
     for i in range(len(TEXTS)):
         alone = alignment.align_texts(text.slice(i, 1), alignment.byte_level(A), alignment.pieces(B))
         for name in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256"):
