@@ -4,6 +4,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from queries.base import LI, holed_lineitem, query, rounded, table
+from queries.linear_sql import FOLDS, curve_sql, scores_sql, validation_sql, weights_sql
 from tabprep.operators.charts import prediction_points
 from tabprep.plans import features as X
 from tabprep.plans import models as M
@@ -116,13 +117,13 @@ def prediction_points_query(spark, d):
     return rounded(prediction_points(orders, "o_totalprice", "p", order_by="o_orderkey"), 4, "residual")
 
 
-# --- fitted models: rows are checked here, values by the unit tests -------------------------------
+# --- fitted models: linear ones are held against SQL, trees by what must hold of their rows ------------------------
 
 
 def _training(spark, d):
     """Parts with a price that depends on size, key and type."""
     parts = table(spark, d, "part")
-    noise = F.pmod(F.xxhash64("p_partkey"), F.lit(1000)) / 500.0
+    noise = F.expr("p_partkey * 7919 % 1000") / 500.0
     target = F.col("p_retailprice") + 20 * F.col("p_size") + noise
     return parts.select(
         F.col("p_partkey").alias("_ord"), "p_size", F.sqrt("p_partkey").alias("key_root"), "p_type", "p_brand",
@@ -139,64 +140,85 @@ def _coefficients(spark, model, features):
     return M.feature_importance(spark, model, features)
 
 
-@query()
+@query(weights_sql("ridge", 10.0, 6))
 def ridge_regression(spark, d):
     data = _training(spark, d)
     plan = X.fit_features(data, "price")
-    return _coefficients(spark, M.estimator(M.RIDGE, alpha=10.0).fit(R.labelled(data, plan)), plan.features)
+    return rounded(_coefficients(spark, M.estimator(M.RIDGE, alpha=10.0).fit(R.labelled(data, plan)), plan.features), 6)
 
 
-@query()
+@query(weights_sql("lasso", 1.0, 3))
 def lasso_regression(spark, d):
+    """Rounded to what the iterative solver reaches."""
     data = _training(spark, d)
     plan = X.fit_features(data, "price")
-    return _coefficients(spark, M.estimator(M.LASSO, regParam=1.0).fit(R.labelled(data, plan)), plan.features)
+    return rounded(_coefficients(spark, M.estimator(M.LASSO, regParam=1.0).fit(R.labelled(data, plan)), plan.features), 3)
 
 
 @query()
 def random_forest(spark, d):
     data = _training(spark, d)
     plan = X.fit_features(data, "price")
-    model = M.estimator(M.FOREST, numTrees=10, maxDepth=6).fit(R.labelled(data, plan))
+    model = M.estimator(M.FOREST).fit(R.labelled(data, plan))
     return M.feature_importance(spark, model, plan.features)
 
 
-@query()
-def gradient_boosting_history(spark, d):
+def _boosted(spark, d):
+    """The default boosting model on every part but each fifth, and its errors on both parts."""
     data = _set(spark, d)
-    model = M.estimator(M.BOOSTING, maxIter=10).fit(data)
-    return M.boosting_history(model, data, data)
+    train, held = data.filter("_ord % 5 <> 0"), data.filter("_ord % 5 = 0")
+    return M.boosting_history(M.estimator(M.BOOSTING).fit(train), train, held)
 
 
 @query()
-def cross_validated_models(spark, d):
-    trained = M.train_models(
-        _set(spark, d), [M.LINEAR, M.RIDGE, M.LASSO], folds=3, strategy="grid", grids={M.LASSO: {"regParam": [0.1, 1.0]}}
+def gradient_boosting_history(spark, d):
+    return _boosted(spark, d)
+
+
+@query("""SELECT unnest(range(1, 101))::INTEGER AS iteration, true AS train_falls, true AS held_out_beats_mean FROM (SELECT 1 FROM part LIMIT 1)""")
+def gradient_boosting_progress(spark, d):
+    """The error on the training rows never rises, and the finished model beats the mean on rows it has not seen."""
+    history = _boosted(spark, d)
+    spread = _set(spark, d).filter("_ord % 5 = 0").agg(F.stddev_pop("label").alias("spread"))
+    last = history.agg(F.max_by("validation_rmse", "iteration").alias("last")).crossJoin(spread)
+    before = history.select((F.col("iteration") + 1).alias("iteration"), F.col("train_rmse").alias("before"))
+    return history.join(before, "iteration", "left").crossJoin(last).select(
+        "iteration", (F.col("train_rmse") <= F.coalesce("before", F.lit(float("inf"))) * (1 + 1e-12)).alias("train_falls"),
+        (F.col("last") < F.col("spread")).alias("held_out_beats_mean"),
     )
+
+
+@query(scores_sql())
+def cross_validated_models(spark, d):
+    """The linear models over their default grids and folds."""
+    trained = M.train_models(_set(spark, d), [M.LINEAR, M.RIDGE, M.LASSO], strategy="grid")
     return M.score_table(spark, trained)
 
 
-@query()
+@query(curve_sql())
 def learning_curve(spark, d):
-    return M.learning_curve(_set(spark, d), M.estimator(M.LINEAR), folds=2)
+    return rounded(M.learning_curve(_set(spark, d), M.estimator(M.LINEAR)), 5)
 
 
-@query()
+@query(validation_sql("ridge", M.RIDGE))
 def validation_curve(spark, d):
-    return M.validation_curve(_set(spark, d), M.RIDGE, folds=2)
+    return rounded(M.validation_curve(_set(spark, d), M.RIDGE), 5)
+
+
+@query(validation_sql("lasso", M.LASSO))
+def validation_curve_lasso(spark, d):
+    return rounded(M.validation_curve(_set(spark, d), M.LASSO), 5)
 
 
 @query()
 def train_and_predict(spark, d):
     """End to end with raw categories: train, then predict every part."""
     data = _training(spark, d)
-    result = R.train_regression(data, "price", models=[M.LINEAR], folds=2, encode_raw=True)
+    result = R.train_regression(data, "price", models=[M.LINEAR], folds=FOLDS, encode_raw=True)
     return result.predictor.transform(data.drop("price"))
 
 
 @query()
 def evaluate_all_models(spark, d):
-    result = R.train_regression(
-        _training(spark, d), "price", models=[M.LINEAR, M.RIDGE], folds=2, grids={M.RIDGE: {"alpha": [1.0]}}
-    )
-    return result.all_metrics
+    """The linear models over their default grids, scored on the held-out rows."""
+    return R.train_regression(_training(spark, d), "price", models=[M.LINEAR, M.RIDGE, M.LASSO]).all_metrics

@@ -5,9 +5,12 @@ from __future__ import annotations
 import logging
 import random
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark import keyword_only
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml import Estimator, Model
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -19,7 +22,8 @@ from pyspark.sql import functions as F
 
 from tabprep.functions.types import ORD, col
 from tabprep.operators.ordering import with_row_number
-from tabprep.storage import materialize
+from tabprep.plans import gram
+from tabprep.storage import discard, materialize
 
 logger = logging.getLogger(__name__)
 
@@ -131,33 +135,131 @@ class Trained:
     params: dict = field(default_factory=dict)
 
 
+def choices_of(name: str, strategy: str, iterations: int, grid: dict[str, list] | None) -> list[dict]:
+    """Parameter settings to try, by parameter name."""
+    found = [{p.name: v for p, v in c.items()} for c in param_grid(estimator(name), grid or GRIDS[name])]
+    if strategy == "random" and iterations < len(found):
+        found = random.Random(SEED).sample(found, iterations)
+    return found
+
+
+def _width(data: DataFrame) -> int:
+    row = data.select("features").first()
+    return row[0].size if row else 0
+
+
+def linear_kind(made: Estimator) -> tuple[str, dict] | None:
+    """(model name, parameters) of an estimator that sums of products can fit; None for others."""
+    if isinstance(made, RidgeRegression):
+        return RIDGE, {"alpha": made.getOrDefault(made.alpha)}
+    if isinstance(made, LinearRegression) and not made.isDefined("weightCol"):
+        if made.getRegParam() == 0:
+            return LINEAR, {"fitIntercept": made.getFitIntercept()}
+        if made.getElasticNetParam() == 1 and not made.getStandardization() and made.getFitIntercept():
+            return LASSO, {"regParam": made.getRegParam()}
+    return None
+
+
+def fit_from_sums(moments: gram.Moments, m, name: str, params: dict) -> gram.Fitted:
+    """A linear model fitted from the sums of its training rows; absent parameters have their defaults."""
+    if name == RIDGE:
+        return moments.ridge(m, params.get("alpha", 1.0))
+    if name == LASSO:
+        return moments.lasso(m, params.get("regParam", 1.0))
+    return moments.least_squares(m, params.get("fitIntercept", True))
+
+
+def from_sums(name: str, choices: list[dict]) -> bool:
+    """Whether every setting of the model can be fitted from sums of products."""
+    return name in (LINEAR, RIDGE, LASSO) and all(set(c) <= set(GRIDS[name]) for c in choices)
+
+
+def fold_moments(data: DataFrame, folds: int) -> gram.Moments | None:
+    """Sums per fold of a table with features, label and fold columns; None when it has too many features for them."""
+    if _width(data) > gram.GRAM_FEATURES:
+        return None
+    return gram.segment_moments(data, F.col("fold"), folds)
+
+
+def linear_scores(moments: gram.Moments, name: str, choices: list[dict]) -> np.ndarray:
+    """R2 of each (fold, setting): fitted on all other folds, scored on the fold, without another pass over the rows."""
+    folds = np.arange(len(moments.sums))
+    out = np.empty((len(folds), len(choices)))
+    for f in folds:
+        train, held = moments.over(folds != f), moments.over(folds == f)
+        for c, params in enumerate(choices):
+            out[f, c] = gram.r2(held, fit_from_sums(moments, train, name, params))
+    return out
+
+
+def staged_scores(data: DataFrame, folds: int, choices: list[dict], parallelism: int = 2) -> np.ndarray:
+    """R2 of each (fold, setting) of boosting: settings that differ in ``maxIter`` are prefixes of one ensemble.
+
+    Each tree is grown on the errors of those before it, so the longest ensemble holds the shorter ones, and one pass
+    over the fold gives the error after every tree.
+    """
+    default = estimator(BOOSTING).getMaxIter()
+    groups: dict[tuple, list[int]] = {}
+    for c, params in enumerate(choices):
+        groups.setdefault(tuple(sorted((k, v) for k, v in params.items() if k != "maxIter")), []).append(c)
+    spread = {
+        r["fold"]: (r["n"], r["sst"])
+        for r in data.groupBy("fold").agg(F.count("label").alias("n"), (F.var_pop("label") * F.count("label")).alias("sst")).collect()
+    }
+    out = np.full((folds, len(choices)), np.nan)
+
+    def score(task):
+        f, fixed, members = task
+        longest = max(choices[c].get("maxIter", default) for c in members)
+        model = estimator(BOOSTING, **dict(fixed), maxIter=longest).fit(data.filter(F.col("fold") != f))
+        errors = model.evaluateEachIteration(data.filter(F.col("fold") == f), "squared")
+        n, sst = spread[f]
+        for c in members:
+            if sst:
+                out[f, c] = 1 - errors[choices[c].get("maxIter", default) - 1] * n / sst
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        list(pool.map(score, [(f, fixed, members) for f in sorted(spread) for fixed, members in groups.items()]))
+    return out
+
+
 def tune(
     data: DataFrame, name: str, folds: int, strategy: str = "grid", iterations: int = 10,
-    grid: dict[str, list] | None = None, parallelism: int = 2,
+    grid: dict[str, list] | None = None, parallelism: int = 2, moments: gram.Moments | None = None,
 ) -> Trained:
-    """Cross-validated search by mean R2 on a table with features, label and fold columns."""
-    made = estimator(name)
-    choices = param_grid(made, grid or GRIDS[name])
-    if strategy == "random" and iterations < len(choices):
-        choices = random.Random(SEED).sample(choices, iterations)
-    search = CrossValidator(
-        estimator=made, estimatorParamMaps=choices, evaluator=RegressionEvaluator(metricName="r2"),
-        numFolds=folds, foldCol="fold", parallelism=parallelism, seed=SEED,
-    ).fit(data)
-    scores = search.avgMetrics
-    best = max(range(len(scores)), key=lambda i: scores[i])
-    params = {p.name: v for p, v in choices[best].items()}
-    return Trained(name, search.bestModel, float(scores[best]), float(search.stdMetrics[best]), params)
+    """Cross-validated search by mean R2 on a table with features, label and fold columns.
+
+    Linear models are searched on the folds' sums (``moments``, made here when absent), boosting by staged ensembles.
+    """
+    choices = choices_of(name, strategy, iterations, grid)
+    if from_sums(name, choices) and moments is None:
+        moments = fold_moments(data, folds)
+    if from_sums(name, choices) and moments is not None:
+        scores = linear_scores(moments, name, choices)
+    elif name == BOOSTING:
+        scores = staged_scores(data, folds, choices, parallelism)
+    else:
+        made = estimator(name)
+        search = CrossValidator(
+            estimator=made, estimatorParamMaps=[{made.getParam(k): v for k, v in c.items()} for c in choices],
+            evaluator=RegressionEvaluator(metricName="r2"), numFolds=folds, foldCol="fold", parallelism=parallelism, seed=SEED,
+        ).fit(data)
+        best = int(np.argmax(search.avgMetrics))
+        return Trained(name, search.bestModel, float(search.avgMetrics[best]), float(search.stdMetrics[best]), choices[best])
+    means = scores.mean(0)
+    best = int(np.nanargmax(means)) if not np.isnan(means).all() else 0
+    model = estimator(name, **choices[best]).fit(data)
+    return Trained(name, model, float(means[best]), float(scores[:, best].std()), choices[best])
 
 
 def train_models(
     data: DataFrame, names: Iterable[str] | None = None, folds: int = CV_FOLDS, strategy: str | None = None,
     iterations: int = 10, grids: dict[str, dict] | None = None, order_by: str = ORD, parallelism: int = 2,
 ) -> dict[str, Trained]:
-    """Tune the chosen models; one that fails is skipped.
+    """Tune the chosen models; one that cannot be fitted to these rows is skipped, a failed job is an error.
 
     ``data`` has columns features, label and the row order. It is written once to the shared folder,
-    since every fold and parameter reads it again.
+    since every fold and parameter reads it again; the linear models share one pass of sums.
     """
     chosen = list(names) if names is not None else list(GRIDS)
     unknown = [n for n in chosen if n not in GRIDS]
@@ -166,17 +268,20 @@ def train_models(
     strategy = strategy or default_strategy(names)
     folded, k = with_folds(data, folds, order_by)
     stage = materialize(folded)
+    linear = any(n in (LINEAR, RIDGE, LASSO) for n in chosen)
+    moments = fold_moments(stage, k) if linear else None
     out: dict[str, Trained] = {}
     for name in chosen:
         try:
-            found = tune(stage, name, k, strategy, iterations, (grids or {}).get(name), parallelism)
-        except Exception as exc:  # one model must not stop the others
+            found = tune(stage, name, k, strategy, iterations, (grids or {}).get(name), parallelism, moments)
+        except (ValueError, ArithmeticError, np.linalg.LinAlgError, IllegalArgumentException) as exc:
             logger.warning("Training of %s failed: %s", name, exc)
             continue
         if found.mean_score == found.mean_score:
             out[name] = found
+    discard(stage)
     if not out:
-        raise ValueError("No models were successfully trained!")
+        raise ValueError("None of the chosen models could be fitted.")
     return out
 
 
@@ -244,24 +349,48 @@ def _root_mean(values: list[float]) -> float:
     return (sum(v * v for v in values) / len(values)) ** 0.5
 
 
+def _fold_bounds(stage: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
+    """First position and number of rows of each fold."""
+    sizes = {r["fold"]: r["n"] for r in stage.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return {f: sum(sizes[g] for g in sizes if g < f) for f in sizes}, sizes
+
+
 def learning_curve(data: DataFrame, made: Estimator, folds: int = CV_FOLDS, order_by: str = ORD) -> DataFrame:
-    """(train_size, train_rmse, validation_rmse) for five shares of each fold's training rows."""
+    """(train_size, train_rmse, validation_rmse) for five shares of each fold's training rows.
+
+    Linear models need one pass: the first m rows outside a fold are segments between a few cuts of the row order.
+    """
     folded, k = with_folds(data, folds, order_by)
     stage = materialize(folded)
-    sizes = {r["fold"]: r["n"] for r in stage.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(sizes.values())
-    starts = {f: sum(sizes[g] for g in sizes if g < f) for f in sizes}
-    smallest = min(total - sizes[f] for f in sizes)
+    starts, sizes = _fold_bounds(stage)
+    smallest = sum(sizes.values()) - max(sizes.values())
+    shares = [int(share * smallest) for share in LEARNING_SHARES]
+    kind = linear_kind(made)
     rows = []
-    for share in LEARNING_SHARES:
-        m = int(share * smallest)
-        fits = []
-        for f in range(k):
-            inside = F.when(F.col("_pos") < starts[f], F.col("_pos")).otherwise(F.col("_pos") - sizes[f])
-            train = stage.filter((F.col("fold") != f) & (inside < m))
-            model = made.fit(train)
-            fits.append((_rmse(model, train), _rmse(model, stage.filter(F.col("fold") == f))))
-        rows.append((m, _root_mean([a for a, _ in fits]), _root_mean([b for _, b in fits])))
+    if kind is not None and _width(stage) <= gram.GRAM_FEATURES:
+        # The first m rows outside fold f lie before m, or before m and the fold's size where the fold comes first.
+        ends = {(f, m): m if m <= starts[f] else m + sizes[f] for f in sizes for m in shares}
+        cuts = sorted({*ends.values(), *starts.values(), *(starts[f] + sizes[f] for f in sizes)} - {0})
+        moments = gram.segment_moments(stage, gram.cut_segment(F.col("_pos"), cuts), len(cuts) + 1)
+        first = np.array([0, *cuts])
+        for m in shares:
+            fits = []
+            for f in sizes:
+                own = (first >= starts[f]) & (first < starts[f] + sizes[f])
+                train, held = moments.over((first < ends[f, m]) & ~own), moments.over(own)
+                fitted = fit_from_sums(moments, train, *kind)
+                fits.append((gram.rmse(train, fitted), gram.rmse(held, fitted)))
+            rows.append((m, _root_mean([a for a, _ in fits]), _root_mean([b for _, b in fits])))
+    else:
+        for m in shares:
+            fits = []
+            for f in range(k):
+                inside = F.when(F.col("_pos") < starts[f], F.col("_pos")).otherwise(F.col("_pos") - sizes[f])
+                train = stage.filter((F.col("fold") != f) & (inside < m))
+                model = made.fit(train)
+                fits.append((_rmse(model, train), _rmse(model, stage.filter(F.col("fold") == f))))
+            rows.append((m, _root_mean([a for a, _ in fits]), _root_mean([b for _, b in fits])))
+    discard(stage)
     return data.sparkSession.createDataFrame(rows, "train_size long, train_rmse double, validation_rmse double")
 
 
@@ -276,14 +405,23 @@ def validation_curve(
     fixed = {k: v for k, v in (params or {}).items() if k != param}
     folded, k = with_folds(data, folds, order_by)
     stage = materialize(folded)
+    tried = values or GRIDS[name][param]
+    moments = fold_moments(stage, k) if from_sums(name, [{**fixed, param: None}]) else None
     rows = []
-    for value in values or GRIDS[name][param]:
+    for value in tried:
         fits = []
         for f in range(k):
-            train = stage.filter(F.col("fold") != f)
-            model = estimator(name, **fixed, **{param: value}).fit(train)
-            fits.append((_rmse(model, train), _rmse(model, stage.filter(F.col("fold") == f))))
+            if moments is not None:
+                of = np.arange(k) == f
+                train, held = moments.over(~of), moments.over(of)
+                fitted = fit_from_sums(moments, train, name, {**fixed, param: value})
+                fits.append((gram.rmse(train, fitted), gram.rmse(held, fitted)))
+            else:
+                train = stage.filter(F.col("fold") != f)
+                model = estimator(name, **fixed, **{param: value}).fit(train)
+                fits.append((_rmse(model, train), _rmse(model, stage.filter(F.col("fold") == f))))
         rows.append((param, str(value), _root_mean([a for a, _ in fits]), _root_mean([b for _, b in fits])))
+    discard(stage)
     return data.sparkSession.createDataFrame(rows, "param string, value string, train_rmse double, validation_rmse double")
 
 

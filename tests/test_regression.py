@@ -103,6 +103,109 @@ def test_curves(regression):
     assert M.validation_curve(data, M.LINEAR) is None
 
 
+def _linear_table(spark, rows=120, offset=1e4):
+    """Features far from 0, one of them constant, so that sums of raw squares would lose digits."""
+    rng = np.random.default_rng(7)
+    x = np.column_stack([rng.normal(offset, 2, rows), rng.normal(0, 1, rows), rng.uniform(-1, 5, rows), np.full(rows, 3.0)])
+    y = x[:, :3] @ np.array([1.0, -2.0, 0.5]) + rng.normal(0, 1, rows)
+    made = [(i, Vectors.dense(a.tolist()), float(b)) for i, (a, b) in enumerate(zip(x, y))]
+    return spark.createDataFrame(made, ["_ord", "features", "label"]).repartition(3), x, y
+
+
+def _plain_r2(train, test, name, params):
+    (x, y), (u, v) = train, test
+    mx, my = (x.mean(0), y.mean()) if params.get("fitIntercept", True) else (0.0, 0.0)
+    a, b = x - mx, y - my
+    if name == M.RIDGE:
+        w = np.linalg.solve(a.T @ a + params["alpha"] * np.eye(x.shape[1]), a.T @ b)
+    elif name == M.LASSO:
+        w = np.zeros(x.shape[1])
+        for _ in range(3000):
+            for j in np.flatnonzero((a * a).sum(0) > 1e-9):
+                rho = a[:, j] @ (b - a @ w + a[:, j] * w[j]) / len(b)
+                w[j] = np.sign(rho) * max(abs(rho) - params["regParam"], 0) / (a[:, j] ** 2).mean()
+    else:
+        w = np.linalg.lstsq(a, b, rcond=1e-12)[0]
+    error = v - my - (u - mx) @ w
+    return 1 - (error @ error) / ((v - v.mean()) @ (v - v.mean())), np.sqrt((error @ error) / len(v))
+
+
+@pytest.mark.parametrize("name", [M.LINEAR, M.RIDGE, M.LASSO])
+def test_scores_from_sums_equal_plain_fits(spark, name):
+    df, x, y = _linear_table(spark)
+    folded, k = M.with_folds(df, 5)
+    choices = M.choices_of(name, "grid", 10, None)
+    assert M.from_sums(name, choices) and not M.from_sums(name, [{"tol": 1e-3}]) and not M.from_sums(M.FOREST, [{}])
+    scores = M.linear_scores(M.fold_moments(folded, k), name, choices)
+    fold = np.repeat(np.arange(5), 24)
+    for f in range(5):
+        for c, params in enumerate(choices):
+            want, _ = _plain_r2((x[fold != f], y[fold != f]), (x[fold == f], y[fold == f]), name, params)
+            assert scores[f, c] == pytest.approx(want, abs=1e-8)
+    tuned = M.tune(folded, name, k)
+    assert tuned.mean_score == pytest.approx(scores.mean(0).max()) and tuned.params == choices[int(scores.mean(0).argmax())]
+
+
+def test_linear_curves_equal_plain_fits(spark, monkeypatch):
+    df, x, y = _linear_table(spark, 53)
+    fold, sizes = np.repeat(np.arange(5), [11, 11, 11, 10, 10]), [11, 11, 11, 10, 10]
+    for made, name, params in ((M.estimator(M.LINEAR), M.LINEAR, {}), (M.estimator(M.RIDGE, alpha=3.0), M.RIDGE, {"alpha": 3.0})):
+        assert M.linear_kind(made)[0] == name
+        for row in M.learning_curve(df, made).collect():
+            errors = []
+            for f in range(5):
+                at = np.flatnonzero(fold != f)[:row.train_size]
+                train, held = (x[at], y[at]), (x[fold == f], y[fold == f])
+                errors.append((_plain_r2(train, train, name, params)[1], _plain_r2(train, held, name, params)[1]))
+            want = np.sqrt((np.array(errors) ** 2).mean(0))
+            assert (row.train_rmse, row.validation_rmse) == pytest.approx(tuple(want), rel=1e-5)
+    got = M.validation_curve(df, M.LASSO).collect()
+    monkeypatch.setattr(M.gram, "GRAM_FEATURES", 1)  # every fit a job of its own
+    for a, b in zip(got, M.validation_curve(df, M.LASSO).collect()):
+        assert a.value == b.value and (a.train_rmse, a.validation_rmse) == pytest.approx((b.train_rmse, b.validation_rmse), rel=1e-5)
+
+
+def test_shorter_ensembles_are_prefixes(spark):
+    df, _, _ = _linear_table(spark, 60, 0.0)
+    folded, k = M.with_folds(df, 2)
+    choices = [{"maxIter": 2, "maxDepth": 2}, {"maxIter": 6, "maxDepth": 2}, {"maxIter": 3, "maxDepth": 3}]
+    scores = M.staged_scores(folded, k, choices)
+    for f in range(k):
+        for c, params in enumerate(choices):
+            model = M.estimator(M.BOOSTING, **params).fit(folded.filter(f"fold <> {f}"))
+            want = M.regression_metrics(model.transform(folded.filter(f"fold = {f}"))).first().r2_score
+            assert scores[f, c] == pytest.approx(want, abs=1e-12)
+
+
+def test_sums_of_sparse_rows_and_missing_labels(spark):
+    rows = [(0, Vectors.sparse(3, {0: 1.0}), 2.0), (1, Vectors.sparse(3, {1: 1.0}), 3.0), (2, Vectors.sparse(3, {}), 1.0), (0, Vectors.dense([5.0, 5.0, 5.0]), None)]
+    m = M.gram.segment_moments(spark.createDataFrame(rows, ["fold", "features", "label"]), F.col("fold"), 4)
+    assert m.sums[:, 0, 0].tolist() == [1, 1, 1, 0] and m.shift.tolist() == pytest.approx([1 / 3, 1 / 3, 0, 2])
+    fitted = m.least_squares(m.over(np.ones(4, bool)))
+    assert M.gram.squared_error(m.over(np.ones(4, bool)), fitted) == pytest.approx(0, abs=1e-12)
+    assert np.isnan(M.gram.r2(m.sums[0], fitted)) and np.isnan(M.gram.rmse(m.sums[3], fitted))
+    with pytest.raises(ValueError, match="label"):
+        M.gram.segment_moments(spark.createDataFrame(rows, ["fold", "features", "label"]).filter("label IS NULL"), F.lit(0), 1)
+
+
+def test_failed_jobs_are_not_taken_for_bad_models(regression, monkeypatch):
+    data = R.labelled(regression, X.fit_features(regression, "target"))
+
+    def broken(*args, **kwargs):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(M, "linear_scores", broken)
+    with pytest.raises(RuntimeError, match="lost"):
+        M.train_models(data, [M.LINEAR])
+
+    def unusable(*args, **kwargs):
+        raise np.linalg.LinAlgError("singular")
+
+    monkeypatch.setattr(M, "linear_scores", unusable)
+    with pytest.raises(ValueError, match="fitted"):
+        M.train_models(data, [M.LINEAR])
+
+
 def test_save_and_load(spark, tmp_path, raw_result, regression):
     raw_result.predictor.save(str(tmp_path / "bundle"))
     again = R.Predictor.load(spark, str(tmp_path / "bundle"))
