@@ -129,6 +129,23 @@ def correlation_pairs(spark, d):
     return rounded(A.correlation_pairs(holed_lineitem(spark, d), _MEASURES), 6)
 
 
+#: Many columns whose products with every other are needed; some share a part, some have holes.
+_WIDE = {
+    f"c{k}": f"l_partkey * {2 * k + 3} % {97 + k} + l_quantity * {k % 4}" + (" + l_extendedprice / 1000" if k % 7 == 0 else "")
+    for k in range(60)
+}
+_WIDE.update({f"c{k}": f"CASE WHEN l_linenumber <> {k % 5} THEN {_WIDE[f'c{k}']} END" for k in range(0, 60, 9)})
+_WIDE_PAIRS = [(a, b) for i, a in enumerate(_WIDE) for b in list(_WIDE)[i + 1:]]
+
+
+@query(f"""WITH w AS (SELECT {', '.join(f'{e} AS {n}' for n, e in _WIDE.items())} FROM lineitem), c AS (SELECT
+    [{', '.join(f'corr({a}, {b})' for a, b in _WIDE_PAIRS)}] AS r FROM w) SELECT unnest([{', '.join(f"'{a}'" for a, _ in _WIDE_PAIRS)}]) AS var1,
+    unnest([{', '.join(f"'{b}'" for _, b in _WIDE_PAIRS)}]) AS var2, round(unnest(r), 6) AS r FROM c""")
+def correlation_pairs_wide(spark, d):
+    lines = table(spark, d, "lineitem").selectExpr(*[f"{e} AS {n}" for n, e in _WIDE.items()])
+    return rounded(A.correlation_pairs(lines), 6)
+
+
 @query(f"""WITH {LI} {" UNION ALL ".join(
     f"SELECT '{c}' AS column, round(corr({c}, l_extendedprice), 6) AS r FROM li" for c in ("l_quantity", "l_discount", "l_tax"))}""")
 def target_correlations(spark, d):

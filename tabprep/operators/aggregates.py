@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -232,55 +235,146 @@ def grouped_mean(df: DataFrame, row: str, column: str, value: str) -> DataFrame:
     return kept.groupBy(col(row), col(column)).agg(F.avg(col(value)).alias("mean"))
 
 
-def _pair_corr(a: Column, b: Column) -> Column:
-    both = a.isNotNull() & b.isNotNull()
-    r = F.corr(F.when(both, a.cast("double")), F.when(both, b.cast("double")))
-    return F.when(~F.isnan(r), r)
+# --- correlation -------------------------------------------------------------------------------
+
+#: Columns whose products with as many others one task adds up at once.
+CORRELATION_BLOCK = 256
+_CROSS = "i int, j int, n long, odd long, sx double, sy double, sxx double, syy double, sxy double"
+
+
+def _column_ranges(df: DataFrame, names: list[str]) -> dict[int, tuple[int, int, float, float, float]]:
+    """(values, non-finite values, mean, min, max) of each column by its place, from one pass; absent without values."""
+
+    def run(batches):
+        held = {}
+        for batch in batches:
+            for i, column in enumerate(batch.columns):
+                v = column.drop_null().to_numpy(zero_copy_only=False)
+                fine = v[np.isfinite(v)]
+                n, odd, total, low, high = held.get(i, (0, 0, 0.0, math.inf, -math.inf))
+                held[i] = (
+                    n + len(v), odd + len(v) - len(fine), total + float(fine.sum()),
+                    min(low, float(fine.min(initial=math.inf))), max(high, float(fine.max(initial=-math.inf))),
+                )
+        rows = [(i, *r) for i, r in held.items() if r[0]]
+        yield pa.RecordBatch.from_pydict({
+            c: pa.array([r[k] for r in rows], t)
+            for k, (c, t) in enumerate((("i", pa.int32()), ("n", pa.int64()), ("odd", pa.int64()), ("total", pa.float64()), ("low", pa.float64()), ("high", pa.float64())))
+        })
+
+    parts = _as_doubles(df, names).mapInArrow(run, "i int, n long, odd long, total double, low double, high double")
+    rows = parts.groupBy("i").agg(F.sum("n"), F.sum("odd"), F.sum("total"), F.min("low"), F.max("high")).collect()
+    return {i: (n, odd, total / (n - odd) if n > odd else 0.0, low, high) for i, n, odd, total, low, high in rows}
+
+
+def _as_doubles(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.select(*[col(n).cast("double").alias(f"v{i}") for i, n in enumerate(names)])
+
+
+def _cross_products(df: DataFrame, names: list[str], left: list[int], right: list[int], centre: list[float]) -> DataFrame:
+    """Sums over the rows where both columns of a pair are present, by the places of the columns; i < j only.
+
+    A task multiplies the matrices of its values and of their presence, and sends one row per pair. ``odd`` counts rows
+    in which either value is NaN or infinite.
+    """
+    own = sorted({*left, *right})
+    at_left, at_right = [own.index(i) for i in left], [own.index(j) for j in right]
+    wanted = np.array(left)[:, None] < np.array(right)[None, :]
+    shift = np.array([centre[i] for i in own])
+
+    def run(batches):
+        total = np.zeros((7, len(left), len(right)))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            there = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns])
+            fine = there & np.isfinite(x)
+            x = np.where(fine, x - shift, 0.0)
+            a, b, ma, mb = x[:, at_left], x[:, at_right], fine[:, at_left].astype(float), fine[:, at_right].astype(float)
+            pairs = ma.T @ mb
+            total[0] += pairs
+            if not np.array_equal(fine, there):
+                total[1] += there[:, at_left].T.astype(float) @ there[:, at_right].astype(float) - pairs
+            for k, product in enumerate((a.T @ mb, ma.T @ b, (a * a).T @ mb, ma.T @ (b * b), a.T @ b), 2):
+                total[k] += product
+        i, j = np.nonzero(wanted)
+        counts = total[:2, i, j].astype(np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.array(left, np.int32)[i]), pa.array(np.array(right, np.int32)[j]), *map(pa.array, counts), *map(pa.array, total[2:, i, j])],
+            names=["i", "j", "n", "odd", "sx", "sy", "sxx", "syy", "sxy"],
+        )
+
+    return _as_doubles(df, [names[i] for i in own]).mapInArrow(run, _CROSS)
+
+
+def _correlations(
+    df: DataFrame, names: list[str], blocks: list[tuple[list[int], list[int]]], ranges: dict[int, tuple] | None = None
+) -> DataFrame:
+    """(i, j, r) of the pairs of columns i < j in the blocks, pairwise complete.
+
+    r is null for fewer than two complete rows, for a column that does not vary among them, and where a complete row
+    holds NaN or infinity. Sums are taken around the columns' means; a column whose spread among the complete rows is
+    below a millionth of its distance to that mean counts as constant there.
+    """
+    ranges = _column_ranges(df, names) if ranges is None else ranges
+    if not ranges:  # no value anywhere, so perhaps no task either
+        place = [F.expr(f"CAST(id DIV {len(names)} AS INT)").alias("i"), F.expr(f"CAST(id % {len(names)} AS INT)").alias("j")]
+        every = df.sparkSession.range(len(names) ** 2).select(*place).filter("i < j")
+        asked = reduce(lambda a, b: a | b, [F.col("i").isin(left) & F.col("j").isin(right) for left, right in blocks])
+        return every.filter(asked).select("i", "j", F.lit(None).cast("double").alias("r"))
+    centre = [ranges[i][2] if i in ranges else 0.0 for i in range(len(names))]
+    constant = [i for i, r in ranges.items() if r[3] == r[4]]
+    parts = [_cross_products(df, names, left, right, centre) for left, right in blocks]
+    sums = reduce(DataFrame.unionAll, parts).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "odd", "sx", "sy", "sxx", "syy", "sxy")])
+    n = F.col("n")
+    vx, vy = n * F.col("sxx") - F.col("sx") * F.col("sx"), n * F.col("syy") - F.col("sy") * F.col("sy")
+    varies = (vx > 1e-12 * n * F.col("sxx")) & (vy > 1e-12 * n * F.col("syy")) & (n > 1) & (F.col("odd") == 0)
+    if constant:
+        varies &= ~F.col("i").isin(constant) & ~F.col("j").isin(constant)
+    r = (n * F.col("sxy") - F.col("sx") * F.col("sy")) / (F.sqrt(vx) * F.sqrt(vy))
+    return sums.select("i", "j", F.when(varies, F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0))).alias("r"))
+
+
+def _block_pairs(width: int) -> list[tuple[list[int], list[int]]]:
+    parts = [list(range(at, min(at + CORRELATION_BLOCK, width))) for at in range(0, width, CORRELATION_BLOCK)]
+    return [(parts[a], parts[b]) for a in range(len(parts)) for b in range(a, len(parts))]
 
 
 def correlation_pairs(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
-    """(var1, var2, r) for each pair of numeric columns, pairwise complete, in one aggregation."""
+    """(var1, var2, r) for each pair of numeric columns, pairwise complete.
+
+    Columns are taken in blocks, so a task holds the products of two blocks at a time, however wide the table is.
+    """
     names = list(columns) if columns is not None else numeric_columns(df)
-    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
-    if not pairs:
+    if len(names) < 2:
         raise ValueError("Need at least 2 numeric columns")
-    row = df.agg(*[_pair_corr(col(names[i]), col(names[j])).alias(f"r{i}_{j}") for i, j in pairs])
-    out = [
-        F.struct(
-            F.lit(i * len(names) + j).alias("pos"),
-            F.lit(names[i]).alias("var1"),
-            F.lit(names[j]).alias("var2"),
-            F.col(f"r{i}_{j}").alias("r"),
-        )
-        for i, j in pairs
-    ]
-    return row.select(F.explode(F.array(*out)).alias("p")).select("p.var1", "p.var2", "p.r")
+    found = _correlations(df, names, _block_pairs(len(names)))
+    label = F.array(*[F.lit(n) for n in names])
+    return found.select(F.get(label, F.col("i")).alias("var1"), F.get(label, F.col("j")).alias("var2"), "r")
 
 
 def correlation_matrix(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
-    """Full matrix in long form: both directions and the diagonal."""
+    """Full matrix in long form: both directions and the diagonal (null for a column that does not vary)."""
     names = list(columns) if columns is not None else numeric_columns(df)
-    half = correlation_pairs(df, names)
-    mirror = half.select(F.explode(F.array(
-        F.struct(F.col("var1").alias("var1"), F.col("var2").alias("var2"), F.col("r").alias("r")),
-        F.struct(F.col("var2").alias("var1"), F.col("var1").alias("var2"), F.col("r").alias("r")),
-    )).alias("p")).select("p.*")
-    spread = df.agg(*[F.stddev_samp(col(n)).alias(f"s{i}") for i, n in enumerate(names)])
-    ones = spread.select(F.explode(F.array(*[
-        F.struct(F.lit(n).alias("var1"), F.lit(n).alias("var2"), F.when(F.col(f"s{i}") > 0, F.lit(1.0)).alias("r"))
-        for i, n in enumerate(names)
-    ])).alias("p")).select("p.*")
-    return mirror.unionByName(ones)
+    if len(names) < 2:
+        raise ValueError("Need at least 2 numeric columns")
+    ranges = _column_ranges(df, names)
+    half = _correlations(df, names, _block_pairs(len(names)), ranges)
+    both = half.select(F.explode(F.array(F.struct("i", "j", "r"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "r"))).alias("p")).select("p.*")
+    varies = [i for i, (n, odd, _, low, high) in ranges.items() if n > 1 and (odd or low < high)]
+    ones = df.sparkSession.range(len(names)).select(
+        F.col("id").cast("int").alias("i"), F.col("id").cast("int").alias("j"), F.when(F.col("id").isin(varies), 1.0).alias("r")
+    )
+    label = F.array(*[F.lit(n) for n in names])
+    return both.unionByName(ones).select(F.get(label, F.col("i")).alias("var1"), F.get(label, F.col("j")).alias("var2"), "r")
 
 
 def target_correlations(df: DataFrame, target: str, columns: Iterable[str] | None = None) -> DataFrame:
     """(column, r) of each numeric column with the target, highest first."""
     names = [n for n in (numeric_columns(df) if columns is None else columns) if n != target]
-    row = df.agg(*[_pair_corr(col(n), col(target)).alias(f"r{i}") for i, n in enumerate(names)])
-    pairs = [F.struct(F.lit(n).alias("column"), F.col(f"r{i}").alias("r")) for i, n in enumerate(names)]
-    return (
-        row.select(F.explode(F.array(*pairs)).alias("p"))
-        .select("p.column", "p.r")
-        .orderBy(F.col("r").desc_nulls_last(), "column")
-    )
-
+    if not names:
+        return df.sparkSession.createDataFrame([], "column string, r double")
+    last = len(names)
+    blocks = [(list(range(at, min(at + CORRELATION_BLOCK, last))), [last]) for at in range(0, last, CORRELATION_BLOCK)]
+    found = _correlations(df, [*names, target], blocks)
+    label = F.array(*[F.lit(n) for n in names])
+    return found.select(F.get(label, F.col("i")).alias("column"), "r").orderBy(F.col("r").desc_nulls_last(), "column")

@@ -12,7 +12,7 @@ from tabprep.functions.pvalues import f_pvalue, t_pvalue, tukey_pvalue
 from tabprep.functions.scalars import safe_ratio
 from tabprep.functions.types import as_list, col
 from tabprep.operators.aggregates import MAX_LEVELS
-from tabprep.operators.ordering import group_quantiles
+from tabprep.operators.ordering import value_ranks
 from tabprep.operators.stats.common import attach, cols, error_when, r4, r6
 
 
@@ -144,7 +144,8 @@ def _group_moments(df: DataFrame, value: str | Column, group: str, keys: list[st
     x = (col(value) if isinstance(value, str) else value).cast("double")
     grouped = df.filter(col(group).isNotNull()).groupBy(*cols(keys), col(group))
     moments = grouped.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.var_samp(x).alias("var"))
-    return moments.filter(F.col("n") >= 2)
+    # Naming all three keeps them in every use of the moments, so Spark runs one aggregation for all uses.
+    return moments.filter((F.col("n") >= 2) & F.col("mean").isNotNull() & F.col("var").isNotNull())
 
 
 def group_statistics(df: DataFrame, value: str, group: str, by=None) -> DataFrame:
@@ -173,13 +174,49 @@ def _variance_ratio(moments: DataFrame, keys: list[str]) -> DataFrame:
     return sums.withColumn("f", F.when(F.col("k") >= 2, f))
 
 
+def _median_sides(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """Per group: its median and the sum of the distances to it, from one ranking of the distinct values.
+
+    Values up to the lower middle rank lie at or below the median and the others at or above it, so the distances are
+    a difference of the sums of both sides and no row meets its median again.
+    """
+    own = [f"_g{i}" for i in range(len(by))]  # any column name can be a group key
+    inner = df.select(*[col(k).alias(g) for k, g in zip(by, own, strict=True)], col(value).alias("_value"))
+    ranks = value_ranks(inner, "_value", own)
+    v, n, last = F.col("_value").cast("double"), F.col("n"), F.col("before") + F.col("n")
+    middle = (F.col("total") - 1) / 2
+    low, high = F.floor(middle), F.ceil(middle)
+    below = F.col("before") <= low
+    sides = ranks.groupBy(*own).agg(
+        F.max(F.when((F.col("before") <= low) & (low < last), v)).alias("_low"),
+        F.max(F.when((F.col("before") <= high) & (high < last), v)).alias("_high"),
+        F.sum(F.when(below, n).otherwise(-n)).alias("_more"),
+        F.sum(F.when(below, -n * v).otherwise(n * v)).alias("_apart"),
+    )
+    median = F.col("_low") + (F.col("_high") - F.col("_low")) / 2
+    return sides.select(
+        *[F.col(g).alias(k) for k, g in zip(by, own, strict=True)],
+        median.alias("_median"), (F.col("_apart") + F.col("_more") * median).alias("_distance"),
+    )
+
+
 def levene(df: DataFrame, value: str, group: str, by=None) -> DataFrame:
-    """Levene's test around the medians: (keys, statistic, p_value)."""
+    """Levene's test around the medians: (keys, statistic, p_value).
+
+    Mean and variance of the distances to the median follow from the group's moments and the two sides of its ranked
+    values. Distances whose variance is below 1e-12 of their mean square are all equal but for rounding.
+    """
     keys = as_list(by)
     present = df.filter(col(value).isNotNull() & col(group).isNotNull())
-    centre = group_quantiles(present, value, [*keys, group], {"_median": 0.5})
-    apart = attach(present.select(*cols(keys), col(group), col(value)), centre, [*keys, group])
-    moments = _group_moments(apart, F.abs(col(value) - F.col("_median")), group, keys)
+    sides = _median_sides(present, value, [*keys, group])
+    both = attach(_group_moments(present, value, group, keys), sides, [*keys, group])
+    n, gap = F.col("n"), F.col("mean") - F.col("_median")
+    squares = (n - 1) * F.col("var") + n * gap * gap
+    around = squares - F.col("_distance") * F.col("_distance") / n
+    moments = both.select(
+        *cols([*keys, group]), "n", (F.col("_distance") / n).alias("mean"),
+        F.when(around <= 1e-12 * squares, F.lit(0.0)).otherwise(around / (n - 1)).alias("var"),
+    )
     ratio = _variance_ratio(moments, keys)
     p = f_pvalue(F.col("f"), F.col("k") - 1, F.col("n") - F.col("k"))
     return ratio.select(*cols(keys), r4(F.col("f")).alias("statistic"), r6(p).alias("p_value"))

@@ -122,9 +122,9 @@ def segment_moments(
     ``segments`` times (p + 2) (p + 3) / 2 numbers, however many rows there are. Rows without a label take no part.
     """
     known = data.filter(F.col(label).isNotNull())
-    means = known.agg(Summarizer.mean(F.col(features)).alias("x"), F.avg(label).alias("y")).first()
-    if means["x"] is None:
+    if known.isEmpty():
         raise ValueError("No rows with a label.")
+    means = known.agg(Summarizer.mean(F.col(features)).alias("x"), F.avg(label).alias("y")).first()
     shift = np.append(means["x"].toArray(), means["y"])
     width = len(shift) + 1
     upper = np.triu_indices(width)

@@ -1,3 +1,5 @@
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +123,46 @@ def test_crosstab_and_contingency_agree(mixed):
     assert sum(r["count"] for r in long) == 100
     for r in long:
         assert wide[r.city][str(r.is_active).lower()] == r["count"]
+
+
+def _correlated(spark, rows=200):
+    rng = np.random.default_rng(5)
+    frame = pd.DataFrame(rng.normal(size=(rows, 5)) + rng.normal(size=(rows, 1)), columns=list("abcde"))
+    frame["b"] += 1e7
+    frame.loc[rng.random(rows) < 0.3, "a"] = np.nan
+    frame.loc[rng.random(rows) < 0.3, "c"] = np.nan
+    frame["same"], frame["none"] = 0.1, np.nan
+    frame["part"] = np.where(frame["a"].isna(), rng.normal(size=rows), 2.5)  # constant where a is present
+    types = ", ".join(f"{n} double" for n in frame.columns)
+    return frame, spark.createDataFrame([tuple(None if x != x else float(x) for x in r) for r in frame.to_numpy()], types).repartition(3)
+
+
+@pytest.mark.parametrize("block", [2, 3, 100])
+def test_correlations_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(A, "CORRELATION_BLOCK", block)
+    frame, df = _correlated(spark)
+    want = frame.corr()
+    want.loc["part", "a"] = want.loc["a", "part"] = np.nan
+    got = {(r.var1, r.var2): r.r for r in A.correlation_pairs(df).collect()}
+    names = list(frame.columns)
+    assert set(got) == {(a, b) for i, a in enumerate(names) for b in names[i + 1:]}
+    for (a, b), r in got.items():
+        assert (r is None) == bool(np.isnan(want.loc[a, b])) and (r is None or r == pytest.approx(want.loc[a, b], abs=1e-9))
+    matrix = {(r.var1, r.var2): r.r for r in A.correlation_matrix(df).collect()}
+    assert len(matrix) == len(names) ** 2 and matrix["b", "a"] == matrix["a", "b"] == got["a", "b"]
+    assert [matrix[n, n] for n in names] == [None if n in ("same", "none") else 1.0 for n in names]
+    with_b = {r.column: r.r for r in A.target_correlations(df, "b").collect()}
+    assert with_b["a"] == pytest.approx(got["a", "b"]) and with_b["d"] == pytest.approx(got["b", "d"]) and with_b["same"] is None
+    assert A.target_correlations(df, "b").first().column == max((n for n in with_b if with_b[n] is not None), key=with_b.get)
+
+
+def test_correlations_of_odd_values(spark):
+    rows = [(1.0, 2.0, 1, 5.0), (2.0, 4.5, 3, None), (3.0, float("nan"), 2, 6.0), (None, 1.0, 9, 7.0)]
+    got = {(r.var1, r.var2): r.r for r in A.correlation_pairs(spark.createDataFrame(rows, "x double, y double, z int, w double")).collect()}
+    assert got["x", "y"] is None and got["y", "z"] is None and got["x", "z"] == pytest.approx(0.5) and got["x", "w"] == pytest.approx(1.0)
+    empty = spark.createDataFrame([], "x double, y double, z int")
+    assert sorted(tuple(r) for r in A.correlation_pairs(empty).collect()) == [("x", "y", None), ("x", "z", None), ("y", "z", None)]
+    assert {tuple(r) for r in A.target_correlations(empty, "z").collect()} == {("x", None), ("y", None)}
+    assert A.correlation_matrix(empty).count() == 9 and A.target_correlations(empty.select("x"), "x").count() == 0
+    with pytest.raises(ValueError):
+        A.correlation_pairs(empty.select("x"))

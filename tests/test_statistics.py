@@ -220,3 +220,31 @@ def test_tukey_counts_groups_before_listing_them(spark):
     assert T.tukey_pairs(df, "v", "g", by="k", max_groups=10).count() == 90
     with pytest.raises(Exception, match="More than 19 groups"):
         T.tukey_pairs(df, "v", "g", max_groups=19).count()
+
+
+def _plain_levene(groups):
+    z = [np.abs(g - np.median(g)) for g in groups if len(g) >= 2]
+    n, grand = sum(map(len, z)), np.concatenate(z).mean()
+    between = sum(len(g) * (g.mean() - grand) ** 2 for g in z) / (len(z) - 1)
+    within = sum(((g - g.mean()) ** 2).sum() for g in z) / (n - len(z))
+    return between / within
+
+
+@pytest.mark.parametrize("offset, kind", [(0, "normal"), (1e6, "normal"), (-50, "ties"), (3, "odd")])
+def test_levene_against_numpy(spark, small_ranges, offset, kind):
+    rng = np.random.default_rng(3)
+    sizes = (7, 41, 121) if kind == "odd" else (8, 40, 120, 1)
+    groups = [rng.normal(offset, s + 1, n) for s, n in enumerate(sizes)]
+    if kind == "ties":
+        groups = [g.round() for g in groups]
+    frame = pd.DataFrame({"_value": np.concatenate(groups), "_g0": np.repeat([f"g{i}" for i in range(len(sizes))], sizes)})
+    rows = spark.createDataFrame(pd.concat([frame.assign(part="a"), frame.assign(part="b", _value=2 * frame["_value"])])).repartition(3)
+    rows = rows.unionByName(spark.createDataFrame([(None, "g0", "a"), (5.0, None, "a")], "_value double, _g0 string, part string"))
+    for r in T.levene(rows, "_value", "_g0", "part").collect():
+        assert r.statistic == pytest.approx(_plain_levene(groups), abs=1e-4)
+    assert T.levene(rows.filter("part = 'a'"), "_value", "_g0").first().statistic == pytest.approx(_plain_levene(groups), abs=1e-4)
+
+
+def test_levene_of_equal_distances(spark):
+    rows = [(g, m + d) for g, m in (("a", 0.1), ("b", 7.3)) for d in (-0.3, 0.3)]
+    assert T.levene(spark.createDataFrame(rows, "g string, v double"), "v", "g").first().statistic is None
