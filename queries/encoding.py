@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from queries.base import EV, holed_events, query, rounded, table
+from queries.base import EV, LI, holed_events, holed_lineitem, query, rounded, table
 from tabprep.operators import encode as E
+from tabprep.operators import sparse as S
+from tabprep.plans.sparse_features import fit_sparse_features
 
 _SMART = """p AS (SELECT p_partkey, CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE p_brand END AS p_brand, p_type,
   'part ' || p_partkey AS code, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_retailprice END AS price FROM part)"""
@@ -113,3 +115,45 @@ def align_features(spark, d):
 def align_columns(spark, d):
     expected = {"event_type": "string", "absent": "double", "event_id": "bigint"}
     return E.align_columns(holed_events(spark, d, False), expected)
+
+
+_WIDE_LEVELS = f"""{LI}, k AS (SELECT l_orderkey * 10 + l_linenumber AS line, 'part ' || l_partkey AS part, l_returnflag AS flag,
+    l_quantity AS quantity, l_extendedprice AS price FROM li)"""
+
+
+def _wide_levels(spark, d):
+    """Lines with one level per part: more than a column each would allow."""
+    return holed_lineitem(spark, d).select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), F.concat(F.lit("part "), "l_partkey").alias("part"),
+        F.col("l_returnflag").alias("flag"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"),
+    )
+
+
+@query(f"""WITH {_WIDE_LEVELS}, c AS (SELECT line, dense_rank() OVER (ORDER BY part) - 1 AS a, dense_rank() OVER (ORDER BY flag NULLS FIRST) - 1
+    AS b FROM k), m AS (SELECT max(a) + 1 AS parts FROM c) SELECT line, a AS code, 1.0::DOUBLE AS value FROM c UNION ALL
+    SELECT line, b + parts, 1.0::DOUBLE FROM c, m""")
+def one_hot_sparse_cells(spark, d):
+    lines = _wide_levels(spark, d)
+    return S.fit_sparse_encoding(lines, ["part", "flag"]).cells(lines, "line")
+
+
+@query(f"""WITH {_WIDE_LEVELS} SELECT line, price, 2::INTEGER AS entries, (SELECT count(DISTINCT part) + count(DISTINCT flag)
+    + max((flag IS NULL)::INT) FROM k)::INTEGER AS size FROM k""")
+def one_hot_sparse_vectors(spark, d):
+    """Width and entries of the vectors that models are trained on."""
+    from pyspark.ml.functions import vector_to_array
+
+    out = S.one_hot_sparse(_wide_levels(spark, d), ["part", "flag"])
+    values = vector_to_array("one_hot")
+    return out.select("line", "price", F.size(F.filter(values, lambda v: v != 0)).alias("entries"), F.size(values).alias("size"))
+
+
+@query(f"""WITH {_WIDE_LEVELS}, u AS (SELECT unnest(['part_' || part, 'flag_' || coalesce(flag, 'nan')]) AS feature, price FROM k),
+    t AS (SELECT count(*) AS n, avg(price) AS m, stddev_pop(price) AS s, corr(quantity, price) AS r FROM k),
+    g AS (SELECT feature, count(*) AS c, sum(price - (SELECT m FROM t)) AS d FROM u GROUP BY feature),
+    w AS (SELECT feature, 1 / sqrt(c / n * (1 - c / n)) AS weight, d / n / (sqrt(c / n * (1 - c / n)) * s) AS r FROM g, t)
+    SELECT feature, round(weight, 6) AS weight FROM w WHERE abs(r) > 0.01""")
+def sparse_feature_levels(spark, d):
+    """Levels that correlate with the price, with the weight of their entry."""
+    plan = fit_sparse_features(_wide_levels(spark, d).drop("line", "quantity"), "price")
+    return rounded(plan.levels.select("code", "weight").join(plan.feature_names(), "code").select("feature", "weight"), 6)

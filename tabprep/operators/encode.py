@@ -20,6 +20,7 @@ from tabprep.operators.aggregates import MAX_LEVELS, value_frequencies
 from tabprep.operators.columns import standardize_columns
 from tabprep.operators.filters import filter_exact_zero_rows
 from tabprep.operators.ordering import with_row_number
+from tabprep.operators.sparse import SparseEncoding, fit_sparse_encoding
 from tabprep.storage import materialize
 
 # Encoding thresholds, and the library defaults of smoothed target encoding.
@@ -30,6 +31,8 @@ SMOOTHING = 10.0
 STRATEGIES = ("smart", "one_hot", "label", "none")
 UNKNOWN_LEVEL = "Unknown"
 MISSING_LEVEL = "missing_value"
+# The vector column of the levels that are too many for a column each.
+SPARSE_COLUMN = "one_hot"
 
 # A level table up to this many rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_LEVELS = 1_000_000
@@ -60,7 +63,7 @@ def levels_by_column(df: DataFrame, columns: Iterable[str], cap: int = MAX_LEVEL
         return {}
     wide = [n for n, (u, _) in level_statistics(df, names).items() if u > cap]
     if wide:
-        raise ValueError(f"Columns {wide} have more than {cap} levels; use target or label encoding for them.")
+        raise ValueError(f"Columns {wide} have more than {cap} levels; use one_hot_sparse, target or label encoding for them.")
     rows = value_frequencies(df, names).filter(F.col("value").isNotNull()).select("column", "value").collect()
     out: dict[str, list[str]] = {n: [] for n in names}
     for r in rows:
@@ -249,9 +252,12 @@ class EncodingPlan:
     one_hot: dict[str, list[str]] = field(default_factory=dict)
     target: TargetEncoding | None = None
     target_column: str | None = None
+    sparse: SparseEncoding | None = None
 
     def transform(self, df: DataFrame) -> DataFrame:
         out = standardize_columns(df)
+        if self.sparse is not None:
+            out = self.sparse.with_vector(out, SPARSE_COLUMN).drop(*self.sparse.text)
         if self.target is not None and self.target_column in out.columns:
             y = col(self.target_column)
             out = out.withColumn(self.target_column, F.coalesce(y.cast("double"), F.lit(self.target.prior)))
@@ -271,7 +277,8 @@ def fit_smart_encoding(
     cap: int = MAX_LEVELS,
 ) -> EncodingPlan:
     """Nearly unique columns are dropped, few levels become 0/1 columns, many levels become target
-    means (0/1 columns when there is no target)."""
+    means (0/1 columns when there is no target). Columns with more than ``cap`` levels, which would be as many columns,
+    share one sparse vector column ``one_hot``."""
     named = standardize_columns(df)
     plan = EncodingPlan()
     stats = level_statistics(named, categorical_columns(named))
@@ -285,7 +292,10 @@ def fit_smart_encoding(
             means[n] = unique
         else:
             spread.append(n)
-    plan.one_hot = levels_by_column(named, spread, cap)
+    wide = [n for n in spread if stats[n][0] > cap]
+    plan.one_hot = levels_by_column(named, [n for n in spread if n not in wide], cap)
+    if wide:
+        plan.sparse = fit_sparse_encoding(named, wide)
     if means:
         plan.target = fit_target_encoding(named, target, means, means)
         plan.target_column = target

@@ -13,19 +13,22 @@ from pyspark.sql import functions as F
 
 from tabprep.functions.types import ORD, col
 from tabprep.operators.charts import histogram
-from tabprep.operators.encode import OneHotEncoding
+from tabprep.operators.aggregates import MAX_LEVELS
+from tabprep.operators.encode import OneHotEncoding, level_statistics
 from tabprep.operators.sample import random_split
+from tabprep.operators.sparse import SparseEncoding
 from tabprep.plans import models as M
-from tabprep.plans.features import CORRELATION_THRESHOLD, FeaturePlan, fit_features, usable_rows
+from tabprep.plans.features import CORRELATION_THRESHOLD, FeaturePlan, feature_kinds, fit_features, usable_rows
+from tabprep.plans.sparse_features import fit_sparse_features
 
 _MODEL_CLASSES = {c.__name__: c for c in (LinearRegressionModel, RandomForestRegressionModel, GBTRegressionModel)}
 
 
 @dataclass
 class Predictor:
-    """A model with its fitted features; with an encoder it takes raw rows."""
+    """A model with its fitted features; with an encoder or sparse features it takes raw rows."""
 
-    plan: FeaturePlan
+    plan: FeaturePlan | SparseEncoding
     model: Model
     name: str
     score: float
@@ -53,6 +56,7 @@ class Predictor:
         encoder = None if self.encoder is None else vars(self.encoder)
         meta = {
             "model_class": type(self.model).__name__, "name": self.name, "score": self.score, "encoder": encoder,
+            "sparse": isinstance(self.plan, SparseEncoding),
         }
         spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{path}/metadata")
 
@@ -61,7 +65,8 @@ class Predictor:
         meta = json.loads(spark.read.text(f"{path}/metadata").first()[0])
         model = _MODEL_CLASSES[meta["model_class"]].load(f"{path}/model")
         encoder = None if meta["encoder"] is None else OneHotEncoding(**meta["encoder"])
-        return cls(FeaturePlan.load(f"{path}/features", spark), model, meta["name"], meta["score"], encoder)
+        plan = (SparseEncoding if meta.get("sparse") else FeaturePlan).load(f"{path}/features", spark)
+        return cls(plan, model, meta["name"], meta["score"], encoder)
 
 
 @dataclass
@@ -83,7 +88,7 @@ class TrainingResult:
         return Predictor(base.plan, chosen.model, name, chosen.mean_score, base.encoder)
 
 
-def labelled(df: DataFrame, plan: FeaturePlan, order_by: str = ORD) -> DataFrame:
+def labelled(df: DataFrame, plan: FeaturePlan | SparseEncoding, order_by: str = ORD) -> DataFrame:
     """(row order, label, features) ready for training."""
     vector = plan.with_vector(df)
     return vector.select(col(order_by), col(plan.target).cast("double").alias("label"), "features")
@@ -104,20 +109,23 @@ def train_regression(
     drop_zero_rows: bool = False,
     save_to: str | None = None,
     order_by: str = ORD,
+    max_levels: int = MAX_LEVELS,
 ) -> TrainingResult:
     """Split, fit features on the training rows, tune the models, evaluate on the held-out rows.
 
     ``order_by`` is the row identity column. ``encode_raw`` puts a fitted one-hot encoder in front, so the
-    predictor takes raw category columns.
+    predictor takes raw category columns; with more than ``max_levels`` levels in a column the features are one sparse
+    vector instead of a column per level.
     """
     kept = usable_rows(df if order_by == ORD else df.withColumnRenamed(order_by, ORD), target, drop_zero_rows)
     train, test = random_split(kept, test_size, M.SEED)
     encoder = None
-    if encode_raw:
-        encoder = OneHotEncoding.fit(train.drop(target))
+    wide = encode_raw and any(u > max_levels for u, _ in level_statistics(train, feature_kinds(train, target)[1]).values())
+    if encode_raw and not wide:
+        encoder = OneHotEncoding.fit(train.drop(target), max_levels)
         train = encoder.transform(train, keep=[ORD, target])
         test = encoder.transform(test, keep=[ORD, target])
-    plan = fit_features(train, target, threshold)
+    plan = fit_sparse_features(train, target, threshold) if wide else fit_features(train, target, threshold)
     train_set, test_set = labelled(train, plan), labelled(test, plan)
     trained = M.train_models(train_set, models, folds, strategy, iterations, grids)
     best = M.best_of(trained)
@@ -131,13 +139,14 @@ def train_regression(
         trained=trained,
         test_metrics=M.regression_metrics(predictions),
         all_metrics=M.evaluate_models(trained, test_set),
-        importance=M.feature_importance(spark, trained[best].model, plan.features),
+        importance=plan.importance(trained[best].model) if wide else M.feature_importance(spark, trained[best].model, plan.features),
         test_predictions=predictions.select(ORD, "label", "prediction"),
         summary={
             "target": target,
-            "original_features": len(plan.features) + len(plan.removed),
-            "final_features": len(plan.features),
-            "removed_features": plan.removed,
+            "original_features": plan.size + plan.removed if wide else len(plan.features) + len(plan.removed),
+            "final_features": plan.size if wide else len(plan.features),
+            # The levels left out of sparse features are counted, not listed.
+            "removed_features": plan.removed_numbers if wide else plan.removed,
             "best_model": best,
             "best_score": trained[best].mean_score,
             "models": list(trained),
