@@ -22,8 +22,15 @@ def word_count(text: Column) -> Column:
 
 
 def _shares(text: Column) -> list[Column]:
+    """Bytes lost with a character over its own bytes say how often it is there; characters beyond ASCII are looked for
+    in what is left of the text without ASCII."""
     size = F.greatest(F.length(text), F.lit(1))
-    return [(F.length(text) - F.length(F.replace(text, F.lit(c)))) / size for c in CHARACTERS]
+    beyond = F.regexp_replace(text, "[\\x00-\\x7F]+", "")
+    found = []
+    for c in CHARACTERS:
+        where, width = (text, 1) if c.isascii() else (beyond, len(c.encode()))
+        found.append((F.octet_length(where) - F.octet_length(F.replace(where, F.lit(c)))) / F.lit(width) / size)
+    return found
 
 
 @dataclass(frozen=True)
@@ -72,9 +79,9 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, names: list[str], rows: in
     return Domains(tuple(names), tuple(offsets), tuple(slopes))
 
 
-def with_posteriors(docs: DataFrame, domains: Domains, keep: list[str]) -> DataFrame:
+def with_posteriors(docs: DataFrame, domains: Domains, keep: list[str], text: str = "text") -> DataFrame:
     """``keep``, ``_n_tokens`` and a posterior ``_p<i>`` for each domain. A text without letters has the prior's."""
-    clean = F.lower(F.coalesce(F.col("text"), F.lit("")))
+    clean = F.lower(F.coalesce(F.col(text), F.lit("")))
     shares = _shares(F.col("_clean"))
     seen = docs.withColumn("_clean", clean)
     seen = seen.select(*keep, word_count(F.col("_clean")).alias("_n_tokens"), *[s.alias(f"_x{i}") for i, s in enumerate(shares)])
@@ -150,10 +157,15 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], rows: int = LABELLED_ROWS) -> DataFrame:
-    """The columns of ``docs``, each row as often as its rate says."""
+    """The columns of ``docs``, whatever their names, each row as often as its rate says.
+
+    Rows and their posteriors are written once; the steps read only the posteriors.
+    """
     domains = fit_domains(docs, labelled, list(targets), rows)
-    small = materialize(with_posteriors(docs.select("text"), domains, []))
-    steps = fit_rates(small, list(targets.values()))
-    rated = with_posteriors(docs, domains, docs.columns).withColumn("_copies", copies(rate(steps), "doc_id", "text"))
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    text, doc_id = (plain[docs.columns.index(n)] for n in ("text", "doc_id"))
+    seen = materialize(with_posteriors(docs.toDF(*plain), domains, plain, text))
+    steps = fit_rates(seen, list(targets.values()))
+    rated = seen.withColumn("_copies", copies(rate(steps), doc_id, text))
     many = rated.withColumn("_copy", F.explode(F.when(F.col("_copies") > 0, F.sequence(F.lit(1), F.col("_copies")))))
-    return many.select(*docs.columns)
+    return many.select(*plain).toDF(*docs.columns)

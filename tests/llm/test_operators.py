@@ -237,3 +237,25 @@ def test_links_between_components_in_blocks(spark, monkeypatch):
                 root = [a if r == b else r for r in root]
     assert got == dict(enumerate(root)) and 1 < len(set(root)) < 150
     assert called[0].count() > 0
+
+
+def test_character_shares(spark):
+    texts = ["abba äöä ß", "", "ABBA", "é́é 中文 🇫🇷 z\n\tz", "x" * 100]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = rows.select("i", *[s.alias(f"x{k}") for k, s in enumerate(mixing._shares(rows["text"]))]).collect()
+    for r in got:
+        t = texts[r.i]
+        assert list(r[1:]) == pytest.approx([t.count(c) / max(len(t), 1) for c in mixing.CHARACTERS])
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    rows = [(i, f"ein kleiner Text über {i}" if i % 2 else f"a small text of {i}", "de" if i % 2 else "en", 7, "kept", 1.5) for i in range(40)]
+    rows += [(100, None, None, 7, "kept", 1.5), (101, "", None, 7, "kept", 1.5), (None, "no id", None, 7, "kept", 1.5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, domain string, _copies int, _clean string, _n_tokens double")
+    out = mixing.mix(docs, docs.select("doc_id", "domain"), {"en": 0.5, "de": 0.5})
+    assert out.columns == docs.columns
+    found = out.collect()
+    assert {(r._copies, r._clean, r._n_tokens) for r in found} == {(7, "kept", 1.5)}
+    rated = {r.doc_id: r.copies for r in mixing.mixing_rates(docs, docs.select("doc_id", "domain"), {"en": 0.5, "de": 0.5}).collect()}
+    assert len(found) == pytest.approx(sum(rated.values()), abs=4)
+    assert mixing.mix(docs.limit(0), docs.select("doc_id", "domain"), {"en": 1.0}).count() == 0
