@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from queries.base import EV, holed_events, query, rounded, table
 from tabprep.operators import stats as T
+from tabprep.operators.stats.normality import anderson_darling as anderson
+from tabprep.operators.stats.normality import dagostino_pearson as k_squared_test
 
 _P = ("p_value", "reject_null", "error", "levene_p_value", "equal_variances")
 
@@ -219,3 +221,33 @@ def normality(spark, d):
 
 
 query()(normality)
+
+
+# Phi(|z|) by its power series; samples of a user hold no z beyond 5, where 1 - Phi would lose digits.
+_UPPER = """0.5 + exp(-z * z / 2) / sqrt(2 * pi()) * list_sum([exp((2 * k + 1) * ln(greatest(abs(z), 1e-300))
+  - (lgamma(2 * k + 2) - k * ln(2.0) - lgamma(k + 1))) for k in range(0, 150)])"""
+
+
+@query(f"""WITH e AS (SELECT user_id, value AS x FROM events WHERE value IS NOT NULL), s AS (SELECT user_id, avg(x) AS m, stddev_samp(x) AS sd,
+    count(*)::DOUBLE AS n FROM e GROUP BY user_id HAVING count(*) >= 8 AND stddev_samp(x) > 0), r AS (SELECT user_id, n, (x - m) / sd AS z,
+    row_number() OVER (PARTITION BY user_id ORDER BY x) AS i FROM e JOIN s USING (user_id)), u AS (SELECT *, {_UPPER} AS up FROM r),
+    l AS (SELECT *, CASE WHEN z >= 0 THEN ln(up) ELSE ln(1 - up) END AS low, CASE WHEN z >= 0 THEN ln(1 - up) ELSE ln(up) END AS high FROM u),
+    a AS (SELECT user_id, n, -n - sum((2 * i - 1) * low + (2 * (n - i) + 1) * high) / n AS a2, round(0.752 / (1 + 0.75 / n + 2.25 / (n * n)), 3) AS c
+    FROM l GROUP BY user_id, n) SELECT user_id, round(a2, 6) AS statistic, c AS critical_value_5pct, a2 < c AS is_normal FROM a""")
+def anderson_darling(spark, d):
+    """One small sample per user."""
+    return anderson(table(spark, d, "events"), "value", by="user_id")
+
+
+@query("""WITH m AS (SELECT event_type, avg(value) AS m, stddev_pop(value) AS sd, count(value)::DOUBLE AS n FROM events GROUP BY event_type
+    HAVING count(value) >= 20), g AS (SELECT event_type, n, avg(((value - m) / sd) ** 3) AS skew, avg(((value - m) / sd) ** 4) AS kurt FROM events
+    JOIN m USING (event_type) WHERE value IS NOT NULL GROUP BY event_type, n),
+    b AS (SELECT *, skew * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y, -1 + sqrt(2 * (3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) /
+    ((n - 2) * (n + 5) * (n + 7) * (n + 9)) - 1)) AS w2, (kurt - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) ** 2 * (n + 3) *
+    (n + 5))) AS x, 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS root FROM g),
+    c AS (SELECT *, asinh(y / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2)) AS z1, 6 + 8 / root * (2 / root + sqrt(1 + 4 / root ** 2)) AS a FROM b),
+    k AS (SELECT event_type, z1 ** 2 + ((1 - 2 / (9 * a) - cbrt((1 - 2 / a) / (1 + x * sqrt(2 / (a - 4))))) / sqrt(2 / (9 * a))) ** 2 AS k2 FROM c)
+    SELECT event_type, round(k2, 4) AS statistic, round(exp(-k2 / 2), 6) AS p_value, exp(-k2 / 2) > 0.05 AS is_normal FROM k""")
+def dagostino_pearson(spark, d):
+    """Skewness and kurtosis of each type of event."""
+    return rounded(k_squared_test(table(spark, d, "events"), "value", by="event_type"), 4, "statistic")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tabprep.functions.pvalues import chi2_pvalue, k_squared_statistic, log_normal_cdf, shapiro_wilk
+from tabprep.functions.normal import first_normal_quantile, log_normal_cdf, polynomial, refined_quantile
+from tabprep.functions.pvalues import chi2_pvalue, k_squared_statistic
 from tabprep.functions.types import as_list, col
 from tabprep.operators.ordering import value_ranks
 from tabprep.operators.stats.common import attach, cols, error_when, r6
@@ -20,30 +19,61 @@ K2_MIN = 20
 # estimated mean and variance (D'Agostino & Stephens 1986, table 4.7).
 ANDERSON_5PCT = 0.752
 ANDERSON_CORRECTION = (0.75, 2.25)
+# Weights of the two outermost values by falling power of 1 / sqrt(n), and the transformation of W to a
+# normal deviate, mean and log deviation by falling power of n (up to 11 values) or ln n (Royston 1995).
+SHAPIRO_LAST = (-2.706056, 4.434685, -2.071190, -0.147981, 0.221157)
+SHAPIRO_SECOND = (-3.582633, 5.682633, -1.752461, -0.293762, 0.042981)
+SHAPIRO_FEW = 11
+SHAPIRO_BOUND = (0.459, -2.273)
+SHAPIRO_FEW_NORMAL = ((-0.0006714, 0.025054, -0.39978, 0.5440), (-0.0020322, 0.062767, -0.77857, 1.3822))
+SHAPIRO_NORMAL = ((0.0038915, -0.083751, -0.31082, -1.5861), (0.0030302, -0.082676, -0.4803))
 
 
 def shapiro(df: DataFrame, value: str, alpha: float = 0.05, by=None) -> DataFrame:
-    """Shapiro-Wilk per key. Only keys with 8 to 5000 values are tested, so every group handed to
-    Python is small; other keys give no row."""
+    """Shapiro-Wilk per key with 8 to 5000 values; other keys give no row.
+
+    The weights follow from ranks and group size, so W is one grouped sum: the ends of the sorted values with their own
+    weights, the middle with normal quantiles. Only groups that are tested are sorted, and none has more than 5000 rows.
+    """
     keys = as_list(by)
     x = df.filter(col(value).isNotNull()).select(*cols(keys), col(value).cast("double").alias("_x"))
     x = x.withColumn("_k", F.lit(1))
-    sizes = x.groupBy(*cols(keys), "_k").agg(F.count(F.lit(1)).alias("_n"))
-    fitting = sizes.filter(F.col("_n").between(MIN_SAMPLE, SHAPIRO_MAX)).drop("_n")
-    small = attach(x, fitting.withColumn("_fits", F.lit(True)), [*keys, "_k"]).drop("_fits")
-    fields = [f for f in x.schema.fields if f.name in keys]
-    schema = T.StructType([*fields, T.StructField("statistic", T.DoubleType()), T.StructField("p_value", T.DoubleType())])
-
-    def test(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        w, p = shapiro_wilk(rows["_x"].to_numpy())
-        return pd.DataFrame([[*group[:-1], w, p]], columns=[*keys, "statistic", "p_value"])
-
-    tested = small.groupBy(*cols(keys), "_k").applyInPandas(test, schema)
-    return tested.select(
+    sizes = x.groupBy(*cols(keys), "_k").agg(F.count(F.lit(1)).alias("_n"), F.avg("_x").alias("_mean"))
+    fitting = sizes.filter(F.col("_n").between(MIN_SAMPLE, SHAPIRO_MAX))
+    small = attach(x, fitting, [*keys, "_k"])
+    order = Window.partitionBy(*cols(keys), "_k").orderBy("_x")
+    placed = small.select(
+        *cols(keys), "_k", F.col("_n").cast("double").alias("_n"), (F.col("_x") - F.col("_mean")).alias("_x"), F.row_number().over(order).alias("_i")
+    )
+    placed = placed.withColumn("_p", (F.col("_i") - 0.375) / (F.col("_n") + 0.25))
+    placed = placed.withColumn("_q", first_normal_quantile(F.col("_p"))).withColumn("_m", refined_quantile(F.col("_q"), F.col("_p")))
+    i, n, m, v = F.col("_i"), F.col("_n"), F.col("_m"), F.col("_x")
+    sums = placed.groupBy(*cols(keys), "_k", "_n").agg(
+        F.sum(m * m).alias("_ssm"), F.sum(v * v).alias("_total"), F.sum(F.when((i > 2) & (i < n - 1), m * v)).alias("_middle"),
+        F.max(F.when(i == n, m)).alias("_m1"), F.max(F.when(i == n - 1, m)).alias("_m2"),
+        (F.max(F.when(i == n, v)) - F.max(F.when(i == 1, v))).alias("_ends"),
+        (F.max(F.when(i == n - 1, v)) - F.max(F.when(i == 2, v))).alias("_inner"),
+    )
+    u, root = 1 / F.sqrt(n), F.sqrt("_ssm")
+    weighted = sums.withColumns({
+        "_a1": polynomial([*SHAPIRO_LAST, F.col("_m1") / root], u), "_a2": polynomial([*SHAPIRO_SECOND, F.col("_m2") / root], u),
+    })
+    a1, a2 = F.col("_a1"), F.col("_a2")
+    scale = (F.col("_ssm") - 2 * F.col("_m1") ** 2 - 2 * F.col("_m2") ** 2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)
+    b = a1 * F.col("_ends") + a2 * F.col("_inner") + F.col("_middle") / F.sqrt(scale)
+    tested = weighted.withColumn("_w", F.when(F.col("_total") == 0, 1.0).otherwise(F.least(F.lit(1.0), b * b / F.col("_total"))))
+    ln, y = F.log(n), F.log1p(-F.col("_w"))
+    few, (mean_few, sd_few), (mean, sd) = n <= SHAPIRO_FEW, SHAPIRO_FEW_NORMAL, SHAPIRO_NORMAL
+    bound = polynomial(SHAPIRO_BOUND, n)
+    tested = tested.withColumn("_z", -F.when(few, (-F.log(bound - y) - polynomial(mean_few, n)) / F.exp(polynomial(sd_few, n))).otherwise(
+        (y - polynomial(mean, ln)) / F.exp(polynomial(sd, ln))
+    ))
+    p = F.when(F.col("_total") == 0, 1.0).when(few & (y >= bound), 1e-99).when(F.col("_w") == 1, 1.0).otherwise(F.exp(log_normal_cdf(F.col("_z"))))
+    return tested.withColumn("_p", p).select(
         *cols(keys),
-        r6(F.col("statistic")).alias("statistic"),
-        r6(F.col("p_value")).alias("p_value"),
-        (F.col("p_value") > alpha).alias("is_normal"),
+        r6(F.col("_w")).alias("statistic"),
+        r6(F.col("_p")).alias("p_value"),
+        (F.col("_p") > alpha).alias("is_normal"),
     )
 
 
@@ -74,7 +104,8 @@ def anderson_darling(df: DataFrame, value: str, by=None) -> DataFrame:
         F.avg("_x").alias("_mean"), F.stddev_samp("_x").alias("_std"), F.count("_x").alias("_n")
     )
     ranked = attach(value_ranks(x, "_x", keys), moments, keys).filter((F.col("_std") > 0) & (F.col("_n") >= MIN_SAMPLE))
-    z = (F.col("_x") - F.col("_mean")) / F.col("_std")
+    ranked = ranked.withColumn("_z", (F.col("_x") - F.col("_mean")) / F.col("_std"))
+    z = F.col("_z")
     m, b, n = (F.col(c).cast("double") for c in ("n", "before", "total"))
     term = m * (2 * b + m) * log_normal_cdf(z) + ((n - b) * (n - b) - (n - b - m) * (n - b - m)) * log_normal_cdf(-z)
     s = ranked.groupBy(*cols(keys)).agg(F.sum(term).alias("_t"), F.max("_n").cast("double").alias("_n"))

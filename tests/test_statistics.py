@@ -5,10 +5,11 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tabprep.functions import pvalues as D
 from tabprep.operators import stats as T
-from tabprep.operators.stats.normality import ANDERSON_5PCT
+from tabprep.operators.stats.normality import ANDERSON_5PCT, shapiro
 
 # A published example: weights in pounds of eleven men (Snedecor & Cochran).
 WEIGHTS = np.array([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236], dtype=float)
@@ -248,3 +249,33 @@ def test_levene_against_numpy(spark, small_ranges, offset, kind):
 def test_levene_of_equal_distances(spark):
     rows = [(g, m + d) for g, m in (("a", 0.1), ("b", 7.3)) for d in (-0.3, 0.3)]
     assert T.levene(spark.createDataFrame(rows, "g string, v double"), "v", "g").first().statistic is None
+
+
+def test_normal_expressions(spark):
+    from statistics import NormalDist
+
+    from tabprep.functions import normal as N
+
+    zs = [float(z) for z in np.concatenate([np.linspace(-38, 12, 401), [0.0, -0.66, 0.67, -5.6568, 5.657, -200.0]])]
+    got = spark.createDataFrame([(z,) for z in zs], "z double").select("z", N.log_normal_cdf(F.col("z")).alias("l")).collect()
+    for r in got:
+        tail = math.erfc(-r.z / math.sqrt(2)) / 2
+        want = (math.log(tail) if r.z < 0 else math.log1p(-math.erfc(r.z / math.sqrt(2)) / 2)) if tail > 1e-300 else -r.z * r.z / 2 - math.log(-r.z * math.sqrt(2 * math.pi)) + math.log1p(-1 / r.z**2 + 3 / r.z**4)
+        assert r.l == pytest.approx(want, rel=1e-13 if abs(r.z) < 37 else 1e-9, abs=1e-300)
+    ps = [float(p) for p in np.concatenate([np.linspace(0.001, 0.999, 333), [1e-9, 1e-5, 0.02425, 0.5, 1 - 1e-9]])]
+    rows = spark.createDataFrame([(p,) for p in ps], "p double").withColumn("q", N.first_normal_quantile(F.col("p")))
+    for r in rows.withColumn("x", N.refined_quantile(F.col("q"), F.col("p"))).collect():
+        assert r.x == pytest.approx(NormalDist().inv_cdf(r.p), rel=1e-12, abs=1e-14)
+
+
+def test_shapiro_by_group_equals_the_plain_routine(spark):
+    rng = np.random.default_rng(12)
+    samples = {f"n{n}": rng.normal(1e3, 2, n) for n in (8, 9, 11, 12, 50, 700)}
+    samples |= {f"e{n}": rng.exponential(3, n) for n in (10, 30, 300)}
+    samples |= {"ties": rng.normal(0, 1, 60).round(1), "few": rng.normal(size=7), "same": np.full(20, 2.5), "line": np.arange(9.0)}
+    rows = [(g, float(v)) for g, s in samples.items() for v in s] + [("n8", None), (None, 1.0)]
+    got = {r.g: r for r in shapiro(spark.createDataFrame(rows, "g string, v double").repartition(3), "v", by="g").collect()}
+    assert set(got) == set(samples) - {"few"}
+    for g, r in got.items():
+        w, p = D.shapiro_wilk(samples[g])
+        assert (r.statistic, r.p_value) == (pytest.approx(w, abs=1.1e-6), pytest.approx(p, abs=1.1e-6)) and r.is_normal == (p > 0.05)
