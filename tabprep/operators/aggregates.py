@@ -8,8 +8,9 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabprep.functions.types import (
     ORD,
@@ -30,6 +31,8 @@ AGGREGATIONS = {
     "count": F.count,
     "std": F.stddev_samp,
 }
+#: Leading bytes of a text that go into the key it is counted by, and how many tied values may be sent back for their texts.
+KEY_BYTES, TIED_VALUES = 16, 10_000
 # A pivot or one-hot encoding makes one column per level, so the number of levels is checked.
 MAX_LEVELS = 1000
 
@@ -131,22 +134,84 @@ def value_frequencies(
     count. Equal values are combined before the shuffle.
     """
     names = list(columns) if columns is not None else [n for n in df.columns if n != ORD]
+    values = [col(n).cast("double") + F.lit(0.0) if as_numbers else _text_form(df, n) for n in names]
+    return _counted(df, names, values, "value")
 
-    def text(n: str) -> Column:
-        if as_numbers:
-            return col(n).cast("double") + F.lit(0.0)
-        # Adding 0.0 folds -0.0 into 0.0, which compare equal.
-        kind = df.schema[n].dataType.simpleString()
-        return ((col(n) + F.lit(0.0)) if kind == "double" else col(n)).cast("string")
-
-    pairs = F.array(*[F.struct(F.lit(i).alias("i"), text(n).alias("value")) for i, n in enumerate(names)])
-    counted = (
-        df.select(F.explode(pairs).alias("p"))
-        .groupBy("p.i", "p.value")
-        .agg(F.count(F.lit(1)).alias("n"))
+
+def _text_form(df: DataFrame, name: str) -> Column:
+    # Adding 0.0 folds -0.0 into 0.0, which compare equal.
+    kind = df.schema[name].dataType.simpleString()
+    return ((col(name) + F.lit(0.0)) if kind == "double" else col(name)).cast("string")
+
+
+def _counted(df: DataFrame, names: list[str], values: list[Column], label: str) -> DataFrame:
+    """(column, ``label``, n) of one value per column."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), v.alias("v")) for i, v in enumerate(values)])
+    counted = df.select(F.explode(pairs).alias("p")).groupBy("p.i", "p.v").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(F.get(F.array(*[F.lit(n) for n in names]), F.col("i")).alias("column"), F.col("v").alias(label), F.col("n"))
+
+
+def _has_long_texts(df: DataFrame, name: str) -> bool:
+    return not isinstance(df.schema[name].dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
+def _key_of(df: DataFrame, name: str) -> Column:
+    """The text form as bytes; of a longer text the first ``KEY_BYTES`` bytes and a digest of 16 bytes.
+
+    Keys sort like their texts, but for longer texts that start alike. Two different texts among k of a column share a
+    key with a chance below k * k / 2 ** 129.
+    """
+    raw = _text_form(df, name).cast("binary")
+    if not _has_long_texts(df, name):
+        return raw
+    return F.when(F.octet_length(raw) <= KEY_BYTES, raw).otherwise(F.concat(F.substring(raw, 1, KEY_BYTES), F.unhex(F.md5(raw))))
+
+
+def value_keys(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
+    """(column, key, n) like :func:`value_frequencies`, but no text goes through the shuffle beyond its first bytes."""
+    names = list(columns) if columns is not None else [n for n in df.columns if n != ORD]
+    return _counted(df, names, [_key_of(df, n) for n in names], "key")
+
+
+def counted_columns(df: DataFrame, columns: Iterable[str], rows: int) -> tuple[DataFrame, DataFrame]:
+    """Totals (column, count, unique_count, missing_values) and the ``rows`` most frequent values (column, rank, value, n).
+
+    Ties are in value order. Values are counted by their keys in one job. Only values that can be among the wanted ones
+    get their texts back, by one more scan that joins their keys, and only where a long text is among them. Where more
+    than ``TIED_VALUES`` of them are tied on their first bytes, whole texts are counted instead.
+    """
+    names = list(columns)
+    spark, long = df.sparkSession, [n for n in names if _has_long_texts(df, n)]
+    keys = value_keys(df, names)
+    totals = keys.groupBy("column").agg(
+        F.coalesce(F.sum(F.when(F.col("key").isNotNull(), F.col("n"))), F.lit(0)).alias("count"),
+        F.count("key").alias("unique_count"),
+        F.coalesce(F.sum(F.when(F.col("key").isNull(), F.col("n"))), F.lit(0)).alias("missing_values"),
     )
-    labels = F.array(*[F.lit(n) for n in names])
-    return counted.select(F.get(labels, F.col("i")).alias("column"), F.col("value"), F.col("n"))
+    start = F.when(F.col("column").isin(long), F.substring("key", 1, KEY_BYTES)).otherwise(F.col("key"))
+    rank = F.rank().over(Window.partitionBy("column").orderBy(F.col("n").desc(), start))
+    tied = keys.filter(F.col("key").isNotNull()).withColumn("rank", rank).filter(F.col("rank") <= rows).limit(TIED_VALUES + 1)
+    found = totals.withColumn("t", F.lit(True)).unionByName(tied.drop("rank"), allowMissingColumns=True).collect()
+    sums = [(r["column"], r["count"], r["unique_count"], r["missing_values"]) for r in found if r["t"]]
+    best = [(r["column"], r["key"], r["n"]) for r in found if not r["t"]]
+    totals = spark.createDataFrame(sums, "column string, count long, unique_count long, missing_values long")
+    cut, whole = [], []
+    for r in best:
+        (cut if r[0] in long and len(r[1]) > KEY_BYTES else whole).append(r)
+    if len(best) > TIED_VALUES:
+        values = value_frequencies(df, names).filter(F.col("value").isNotNull())
+    else:
+        values = spark.createDataFrame(whole, "column string, key binary, n long")
+        values = values.select("column", F.col("key").cast("string").alias("value"), "n")
+    if cut and len(best) <= TIED_VALUES:
+        wanted = F.broadcast(spark.createDataFrame(cut, "column string, key binary, n long"))
+        cells = [F.struct(F.lit(n).alias("column"), _key_of(df, n).alias("key"), _text_form(df, n).alias("value")) for n in sorted({r[0] for r in cut})]
+        texts = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").join(wanted, ["column", "key"])
+        # A set of one text per key, so that a text on many rows is held once.
+        texts = texts.groupBy("column", "key", "n").agg(F.array_min(F.collect_set("value")).alias("value"))
+        values = values.unionByName(texts.drop("key"))
+    order = F.row_number().over(Window.partitionBy("column").orderBy(F.col("n").desc(), "value"))
+    return totals, values.withColumn("rank", order).filter(F.col("rank") <= rows).select("column", "rank", "value", "n")
 
 
 def distinct_counts(df: DataFrame, columns: Iterable[str] | None = None, approximate: bool = False) -> DataFrame:
@@ -156,13 +221,12 @@ def distinct_counts(df: DataFrame, columns: Iterable[str] | None = None, approxi
         row = df.agg(*[F.approx_count_distinct(col(n)).alias(f"u{i}") for i, n in enumerate(names)])
         pairs = [F.struct(F.lit(n).alias("column"), F.col(f"u{i}").alias("unique_count")) for i, n in enumerate(names)]
         return row.select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
-    return value_frequencies(df, names).groupBy("column").agg(F.count("value").alias("unique_count"))
+    return value_keys(df, names).groupBy("column").agg(F.count("key").alias("unique_count"))
 
 
 def column_modes(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """(column, mode, frequency): most frequent value, ties to the smallest text form."""
-    freq = value_frequencies(df, columns).filter(F.col("value").isNotNull())
-    return modes_from(freq)
+    return counted_columns(df, columns, 1)[1].select("column", F.col("value").alias("mode"), F.col("n").alias("frequency"))
 
 
 def modes_from(freq: DataFrame) -> DataFrame:

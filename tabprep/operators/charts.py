@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabprep.functions.scalars import time_label
@@ -248,7 +248,9 @@ def pair_grid(
 
 
 def pair_grid_histograms(df: DataFrame, columns: Sequence[str], bins: int = MAX_GROUPS) -> DataFrame:
-    """Diagonal of the pair grid: one histogram per column over all rows."""
+    """Diagonal of the pair grid: one histogram per column over all rows; two passes for all numeric columns."""
+    if columns and all(is_numeric(df, n) for n in columns):
+        return _numeric_histograms(df, list(columns), bins)
     out = None
     for n in columns:
         part = histogram(df, n, bins).select(F.lit(n).alias("column"), "bin", "low", "high", "count")
@@ -256,6 +258,29 @@ def pair_grid_histograms(df: DataFrame, columns: Sequence[str], bins: int = MAX_
     return out
 
 
+def _numeric_histograms(df: DataFrame, names: list[str], bins: int) -> DataFrame:
+    numbers = [col(n).cast("double") for n in names]
+    row = df.agg(*[f(v).alias(f"{k}{i}") for i, v in enumerate(numbers) for k, f in (("a", F.min), ("b", F.max))]).first()
+    empty = [n for i, n in enumerate(names) if row[f"a{i}"] is None]
+    if empty:
+        raise ValueError(f"Columns {empty} have no values.")
+    starts = [row[f"a{i}"] for i in range(len(names))]
+    widths = [(row[f"b{i}"] - a) / bins or 1.0 for i, a in enumerate(starts)]
+    cells = [
+        F.when(v.isNotNull(), F.struct(F.lit(i).alias("i"), F.least(F.floor((v - F.lit(a)) / F.lit(w)), F.lit(bins - 1)).cast("int").alias("bin")))
+        for i, (v, a, w) in enumerate(zip(numbers, starts, widths, strict=True))
+    ]
+    counted = df.select(F.explode(F.array_compact(F.array(*cells))).alias("c")).groupBy("c.i", "c.bin").agg(F.count(F.lit(1)).alias("count"))
+
+    def of_column(values: list) -> Column:
+        return F.get(F.array(*[F.lit(v) for v in values]), F.col("i"))
+
+    return counted.select(
+        of_column(names).alias("column"), "bin", (of_column(starts) + F.col("bin") * of_column(widths)).alias("low"),
+        (of_column(starts) + (F.col("bin") + 1) * of_column(widths)).alias("high"), "count",
+    )
+
+
 def prediction_points(
     predictions: DataFrame, actual: str, predicted: str, max_points: int = MAX_SCATTER_POINTS, order_by: str = ORD
 ) -> DataFrame:

@@ -21,6 +21,7 @@ from tabprep.functions.types import (
     name_has_token,
     numeric_columns,
 )
+from tabprep.operators import ordering
 from tabprep.operators.aggregates import column_modes
 from tabprep.operators.filters import has_measurement
 from tabprep.operators.ordering import group_quantiles, quantiles, split_ranges, with_row_number
@@ -364,28 +365,43 @@ def interpolate_linear(df: DataFrame, columns: Iterable[str], order_by: str = OR
 def null_runs(df: DataFrame, columns: Iterable[str] | None = None, order_by: str = ORD) -> DataFrame:
     """Per numeric column: nulls, null runs, longest run, first and last valid row number.
 
-    ``order_by`` holds consecutive row numbers. Among the null rows, row number minus position is
-    constant inside a run, so runs are found by grouping and no window spans the table.
+    ``order_by`` holds row numbers. One shuffle of null flags serves all columns: inside a range of row numbers a run is
+    the gap between neighbouring valid rows, and a range is summed up by its rows, runs and the places of its first and
+    last valid row. Gaps across ranges come from these summaries, one row per range and column. Rows without a row
+    number are left out.
     """
     names = list(columns) if columns is not None else numeric_columns(df, exclude=[order_by])
-    row = df.agg(
-        *[F.min(F.when(col(n).isNotNull(), col(order_by))).alias(f"a{i}") for i, n in enumerate(names)],
-        *[F.max(F.when(col(n).isNotNull(), col(order_by))).alias(f"b{i}") for i, n in enumerate(names)],
+    if not names:
+        return df.sparkSession.createDataFrame([], "column string, null_count long, null_runs long, longest_run long, first_valid long, last_valid long")
+    flags = df.filter(col(order_by).isNotNull()).select(
+        col(order_by).alias("_o"), F.floor(col(order_by) / F.lit(ordering.ROWS_PER_RANGE)).alias("_r"),
+        *[col(n).isNotNull().alias(f"_v{i}") for i, n in enumerate(names)],
+    )
+    inside = Window.partitionBy("_r").orderBy("_o")
+    placed = flags.withColumn("_p", F.row_number().over(inside).cast("long"))
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    at = [F.when(F.col(f"_v{i}"), F.col("_p")) for i in range(len(names))]
+    placed = placed.select("*", *[(p - F.last(p, ignorenulls=True).over(earlier) - 1).alias(f"_g{i}") for i, p in enumerate(at)])
+    valid = [F.when(F.col(f"_v{i}"), F.col("_o")) for i in range(len(names))]
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    for i, (p, o) in enumerate(zip(at, valid, strict=True)):
+        aggs += [
+            F.count(p).alias(f"c{i}"), F.min(p).alias(f"a{i}"), F.max(p).alias(f"b{i}"), F.min(o).alias(f"f{i}"), F.max(o).alias(f"l{i}"),
+            F.coalesce(F.max(f"_g{i}"), F.lit(0)).alias(f"g{i}"), F.count_if(F.col(f"_g{i}") > 0).alias(f"r{i}"),
+        ]
+    ranges = placed.groupBy("_r").agg(*aggs)
+    fields = {"c": "valid", "a": "first", "b": "last", "f": "first_valid", "l": "last_valid", "g": "gap", "r": "runs"}
+    parts = [F.struct(F.lit(n).alias("column"), *[F.col(f"{k}{i}").alias(v) for k, v in fields.items()]) for i, n in enumerate(names)]
+    along = Window.partitionBy("column").orderBy("_r")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    summed = ranges.select("_r", "rows", F.explode(F.array(*parts)).alias("s")).select("_r", "rows", "s.*")
+    summed = summed.withColumn("_off", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+    summed = summed.withColumns({"first": F.col("first") + F.col("_off"), "last": F.col("last") + F.col("_off")})
+    summed = summed.withColumn("lead", F.col("first") - F.coalesce(F.max("last").over(before), F.lit(0)) - 1)
+    tail = F.sum("rows") - F.coalesce(F.max("last"), F.lit(0))
+    return summed.groupBy("column").agg(
+        (F.sum("rows") - F.sum("valid")).alias("null_count"),
+        (F.sum("runs") + F.count_if(F.col("lead") > 0) + (tail > 0).cast("long")).alias("null_runs"),
+        F.greatest(F.max("gap"), F.coalesce(F.max("lead"), F.lit(0)), tail).alias("longest_run"),
+        F.min("first_valid").alias("first_valid"), F.max("last_valid").alias("last_valid"),
     )
-    entries = [
-        F.struct(F.lit(n).alias("column"), F.col(f"a{i}").alias("first_valid"), F.col(f"b{i}").alias("last_valid"))
-        for i, n in enumerate(names)
-    ]
-    valid = row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
-    parts = None
-    for n in names:
-        holes = with_row_number(df.filter(col(n).isNull()).select(col(order_by)), order_by, "_pos")
-        runs = holes.groupBy((col(order_by) - F.col("_pos")).alias("run")).agg(F.count(F.lit(1)).alias("size"))
-        part = runs.agg(
-            F.coalesce(F.sum("size"), F.lit(0)).alias("null_count"),
-            F.count(F.lit(1)).alias("null_runs"),
-            F.coalesce(F.max("size"), F.lit(0)).alias("longest_run"),
-        ).select(F.lit(n).alias("column"), "*")
-        parts = part if parts is None else parts.unionByName(part)
-    return parts.join(valid, "column")
-

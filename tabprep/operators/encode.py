@@ -16,7 +16,7 @@ from tabprep.functions.types import (
     col,
     numeric_columns,
 )
-from tabprep.operators.aggregates import MAX_LEVELS, value_frequencies
+from tabprep.operators.aggregates import MAX_LEVELS, value_frequencies, value_keys
 from tabprep.operators.columns import standardize_columns
 from tabprep.operators.filters import filter_exact_zero_rows
 from tabprep.operators.ordering import with_row_number
@@ -46,8 +46,8 @@ def level_statistics(df: DataFrame, columns: Iterable[str]) -> dict[str, tuple[i
     if not names:
         return {}
     rows = (
-        value_frequencies(df, names)
-        .filter(F.col("value").isNotNull())
+        value_keys(df, names)
+        .filter(F.col("key").isNotNull())
         .groupBy("column")
         .agg(F.count(F.lit(1)).alias("u"), F.sum("n").alias("n"))
         .collect()

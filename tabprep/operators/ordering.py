@@ -23,8 +23,11 @@ ROWS_PER_RANGE = 1_000_000
 MAX_RANGES = 20_000
 # Up to this many distinct values per column the built-in exact percentile is used.
 DISTINCT_IN_MEMORY = 100_000
-# Relative rank error of the first quantile bracket is 1 / SKETCH_ACCURACY.
+# Relative rank error of the cut points of ranges is 1 / SKETCH_ACCURACY.
 SKETCH_ACCURACY = 10_000
+# Size of a quantile sketch (rank error about 4 / 10 000), the partial sketches that are merged into one, and the reach
+# of a bracket around a wanted rank: a bracket that misses its rank gets the next reach.
+SKETCH_SIZE, SKETCH_GROUPS, REACHES = 8192, 64, (0.001, 0.01, 0.1, 1.0)
 
 
 def _cut_points(df: DataFrame, code: Column, ranges: int) -> list[float]:
@@ -65,14 +68,16 @@ def split_ranges(df: DataFrame, key: str, name: str = "_range", rows: int | None
     return _range_index(df, code, points, name), len(points) + 1
 
 
-def with_row_number(df: DataFrame, order_by: str | Iterable[str], name: str = "_ord", start: int = 0) -> DataFrame:
-    """Consecutive row numbers in the order of ``order_by`` (ascending, nulls first).
+def with_row_number(
+    df: DataFrame, order_by: str | Iterable[str], name: str = "_ord", start: int = 0, rows: int | None = None
+) -> DataFrame:
+    """Consecutive row numbers in the order of ``order_by`` (ascending, nulls first); ``rows`` is the row count if known.
 
     The last order column should break ties. A crowded range of one code is cut again, by the next bytes of a text
     and then by the next column, so neither a common prefix nor one value on a third of all rows is one task.
     """
     keys = as_list(order_by)
-    ranged, ranges = split_ranges(df, keys[0], "_r")
+    ranged, ranges = split_ranges(df, keys[0], "_r", rows)
     if ranges > 1:
         ranged = _cut_crowded_ranges(ranged, keys)
     window = Window.partitionBy("_r").orderBy(*[col(k).asc_nulls_first() for k in keys])
@@ -259,50 +264,67 @@ def group_quantiles(
 def quantiles(df: DataFrame, columns: str | Iterable[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
     """Exact linearly interpolated quantiles of whole columns, as driver-side numbers.
 
-    One pass of counters comes first. Columns with few distinct values then use the built-in exact
-    percentile. For the others a sketch gives a bracket around each wanted rank: the rows below it are
-    counted, only the values inside it are grouped and ranked, and a bracket that misses its rank is
-    widened. The answer is exact while almost no row is shuffled.
+    One pass gives counts and mergeable sketches of distinct and of ordered values; the sketches of scan tasks are first
+    merged into ``SKETCH_GROUPS`` and then into one. Columns with few distinct values then use the built-in exact
+    percentile. For the others the sketch gives a bracket around each wanted rank: the rows below it are counted, only
+    the values inside it are grouped and ranked, and a bracket that misses its rank is widened. The answer is exact
+    while almost no row is shuffled.
     """
     names = as_list(columns)
     if not names:
         return {}
     values = df.select(*[col(n).cast("double").alias(f"v{i}") for i, n in enumerate(names)])
     indexes = range(len(names))
-    stats = values.agg(
-        *[F.count(f"v{i}").alias(f"c{i}") for i in indexes],
-        *[F.approx_count_distinct(f"v{i}").alias(f"d{i}") for i in indexes],
-    ).first()
-    found: dict[int, list[float | None]] = {i: [None] * len(probs) for i in indexes if stats[f"c{i}"] == 0}
+    around = sorted({min(max(p + s * d, 0.0), 1.0) for p in probs for s in REACHES for d in (-1, 1)})
+    stats = _first_look(values, len(names), around)
+    found: dict[int, list[float | None]] = {i: [None] * len(probs) for i in indexes if not stats[f"c{i}"]}
     small = [i for i in indexes if i not in found and stats[f"d{i}"] <= DISTINCT_IN_MEMORY]
     if small:
         row = values.agg(*[F.percentile(f"v{i}", list(probs)).alias(f"q{i}") for i in small]).first()
         found.update({i: list(row[f"q{i}"]) for i in small})
     large = [i for i in indexes if i not in found]
     if large:
-        found.update(_bracketed_quantiles(values, large, probs, stats))
+        sketched = {i: dict(zip(around, stats[f"s{i}"], strict=True)) for i in large}
+        found.update(_bracketed_quantiles(values, large, probs, stats, sketched))
     return {n: found[i] for i, n in enumerate(names)}
 
 
-def _sketch(i: int, probs: Sequence[float], slack: float) -> Column:
-    """Approximate values a little below and above each wanted rank, from one sketch per column."""
-    around = [x for p in probs for x in (max(0.0, p - slack), min(1.0, p + slack))]
-    return F.percentile_approx(f"v{i}", around, SKETCH_ACCURACY)
+def _first_look(values: DataFrame, columns: int, around: Sequence[float]):
+    """One row: count ``c``, estimated distinct values ``d`` and approximate quantiles ``s`` of each column."""
+    part, whole = [], []
+    points = ", ".join(f"{p!r}D" for p in around)
+    for i in range(columns):
+        part += [
+            F.count(f"v{i}").alias(f"c{i}"), F.expr(f"hll_sketch_agg(xxhash64(v{i}))").alias(f"d{i}"),
+            F.expr(f"kll_sketch_agg_double(v{i}, {SKETCH_SIZE})").alias(f"s{i}"),
+        ]
+        whole += [
+            F.sum(f"c{i}").alias(f"c{i}"), F.expr(f"hll_sketch_estimate(hll_union_agg(d{i}))").alias(f"d{i}"),
+            F.expr(f"kll_merge_agg_double(s{i}, {SKETCH_SIZE})").alias(f"s{i}"),
+        ]
+    groups = values.groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("g")).agg(*part)
+    read = [
+        F.expr(f"CASE WHEN c{i} > 0 THEN kll_sketch_get_quantile_double(s{i}, array({points})) END").alias(f"s{i}") for i in range(columns)
+    ]
+    return groups.agg(*whole).select(*[f"{k}{i}" for i in range(columns) for k in "cd"], *read).first()
 
 
-def _bracketed_quantiles(values: DataFrame, columns: list[int], probs, stats) -> dict[int, list[float]]:
+def _bracketed_quantiles(values: DataFrame, columns: list[int], probs, stats, sketched) -> dict[int, list[float]]:
     # One target per column and probability: (column, lower rank, upper rank, weight of the upper one).
     targets = []
     for i in columns:
-        for k, p in enumerate(probs):
+        for p in probs:
             position = (stats[f"c{i}"] - 1) * p
-            targets.append((i, k, math.floor(position), math.ceil(position), position - math.floor(position)))
-    slack, todo = 2.0 / SKETCH_ACCURACY, list(range(len(targets)))
-    brackets: dict[int, tuple[float, float]] = {}
-    found: dict[int, float] = {}
-    while todo:
-        around = values.agg(*[_sketch(i, probs, slack).alias(f"s{i}") for i in sorted({targets[t][0] for t in todo})]).first()
-        brackets.update({t: tuple(around[f"s{targets[t][0]}"][2 * targets[t][1] :][:2]) for t in todo})
+            targets.append((i, p, math.floor(position), math.ceil(position), position - math.floor(position)))
+
+    def ends(i: int, p: float, reach: float) -> tuple[float, float]:
+        # Outside of all values the bracket is open; NaN sorts last.
+        low = sketched[i][p - reach] if p - reach > 0 else -math.inf
+        return low, sketched[i][p + reach] if p + reach < 1 else math.nan
+
+    todo, found = list(range(len(targets))), {}
+    for reach in REACHES:
+        brackets = {t: ends(targets[t][0], targets[t][1], reach) for t in todo}
         counts = values.agg(
             *[F.count_if(F.col(f"v{targets[t][0]}") < brackets[t][0]).alias(f"l{t}") for t in todo],
             *[F.count_if(F.col(f"v{targets[t][0]}") <= brackets[t][1]).alias(f"h{t}") for t in todo],
@@ -311,7 +333,8 @@ def _bracketed_quantiles(values: DataFrame, columns: list[int], probs, stats) ->
         if ready:
             found.update(_values_at_ranks(values, targets, brackets, counts, ready))
         todo = [t for t in todo if t not in found]
-        slack *= 4
+        if not todo:
+            break
     out: dict[int, list[float]] = {i: [] for i in columns}
     for t, target in enumerate(targets):
         out[target[0]].append(found[t])
@@ -348,18 +371,30 @@ def evenly_downsample(
 ) -> DataFrame:
     """``max_points`` rows at evenly spaced positions of the sorted table; all rows when it is shorter.
 
-    Position k is floor(k * (n - 1) / (m - 1)). Whether a row number is one of them is a plain
-    arithmetic test, so no join is needed.
+    Position k is floor(k * (n - 1) / (m - 1)). Whether a row number is one of them is a plain arithmetic test. Only the
+    order columns are numbered; the keys found, at most ``max_points``, then pick their rows in a second scan, so no
+    whole rows are sorted. Rows that share all order columns stand for each other.
     """
-    n = df.count() if rows is None else rows
-    numbered = with_row_number(df, order_by, "_pos")
+    n, keys = df.count() if rows is None else rows, as_list(order_by)
     if n <= max_points:
-        return numbered
+        return with_row_number(df, keys, "_pos", rows=n)
+    numbered = with_row_number(df.select(*[col(k) for k in keys]), keys, "_pos", rows=n)
     if max_points == 1:
-        return numbered.filter(F.col("_pos") == 0)
-    m1, n1, pos = max_points - 1, n - 1, F.col("_pos")
-    staged = numbered.withColumn("_k", F.expr(f"(_pos * {m1} + {n1 - 1}) div {n1}"))
-    return staged.filter(F.expr(f"(_k * {n1}) div {m1}") == pos).drop("_k")
+        chosen = numbered.filter(F.col("_pos") == 0)
+    else:
+        m1, n1 = max_points - 1, n - 1
+        staged = numbered.withColumn("_k", F.expr(f"(_pos * {m1} + {n1 - 1}) div {n1}"))
+        chosen = staged.filter(F.expr(f"(_k * {n1}) div {m1}") == F.col("_pos")).drop("_k")
+    if set(df.columns) <= set(keys):
+        return chosen.select(*[col(c) for c in df.columns], "_pos")
+    wanted = chosen.groupBy(*[col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.sort_array(F.collect_list("_pos")).alias("_at"))
+    fixed_width = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    if all(isinstance(df.schema[k].dataType, fixed_width) for k in keys):
+        wanted = F.broadcast(wanted)
+    match = reduce(lambda a, b: a & b, [col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    same = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy(F.col("_k0"))
+    found = df.join(wanted, match).withColumn("_n", F.row_number().over(same))
+    return found.filter(F.col("_n") <= F.size("_at")).select(*[col(c) for c in df.columns], F.get("_at", F.col("_n") - 1).alias("_pos"))
 
 
 def preview(df: DataFrame, order_by: str | Iterable[str], rows: int = 10) -> DataFrame:

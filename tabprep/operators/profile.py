@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabprep.functions.labels import (
@@ -22,7 +22,7 @@ from tabprep.functions.types import (
     is_numeric,
     numeric_columns,
 )
-from tabprep.operators.aggregates import correlation_pairs, distinct_counts, modes_from, value_frequencies
+from tabprep.operators.aggregates import correlation_pairs, counted_columns, distinct_counts, modes_from, value_frequencies, value_keys
 from tabprep.operators.ordering import quantiles
 
 # Texts and thresholds of the column issues.
@@ -135,14 +135,14 @@ def assess_quality(df: DataFrame) -> DataFrame:
 def column_info(df: DataFrame) -> DataFrame:
     """(column, dtype, non_null_count, null_count, unique_count) from one count of all values."""
     names = _data_columns(df)
-    freq = value_frequencies(df, names)
+    freq = value_keys(df, names)
     dtypes = F.create_map(*[x for n in names for x in (F.lit(n), F.lit(_type_name(df, n)))])
     total = F.coalesce(F.sum("n"), F.lit(0))
-    nulls = F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0))
+    nulls = F.coalesce(F.sum(F.when(F.col("key").isNull(), F.col("n"))), F.lit(0))
     return freq.groupBy("column").agg(
         (total - nulls).cast("long").alias("non_null_count"),
         nulls.cast("long").alias("null_count"),
-        F.count("value").alias("unique_count"),
+        F.count("key").alias("unique_count"),
     ).select("column", dtypes[F.col("column")].alias("dtype"), "non_null_count", "null_count", "unique_count")
 
 
@@ -397,58 +397,36 @@ def available_targets(df: DataFrame, order_by: str = ORD, columns: Iterable[str]
 def _first_values(df: DataFrame, names: list[str], order_by: str, rows: int) -> DataFrame:
     """(column, sample_values): the first non-null values of each column in row order.
 
-    Each column is a separate top-k over two columns, so no column is sorted as a whole.
+    One aggregation over all columns finds the first value of each, the next one the second, and so on. ``order_by``
+    identifies rows.
     """
-    parts = []
-    for n in names:
-        top = df.filter(col(n).isNotNull()).select(col(order_by).alias("o"), col(n).cast("double").alias("v"))
-        top = top.orderBy("o").limit(rows)
-        parts.append(
-            top.agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "v"))), lambda s: s["v"]).alias("sample_values"))
-            .select(F.lit(n).alias("column"), "sample_values")
-        )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    found: dict[str, list] = {n: [] for n in names}
+    todo = names
+    for _ in range(rows):
+        later = [col(n).isNotNull() & (col(order_by) > F.lit(found[n][-1][0]) if found[n] else F.lit(True)) for n in todo]
+        first = [F.struct(col(order_by).alias("o"), col(n).cast("double").alias("v")) for n in todo]
+        row = df.agg(*[F.min(F.when(a, b)).alias(f"s{i}") for i, (a, b) in enumerate(zip(later, first, strict=True))]).first() if todo else ()
+        for n, s in zip(todo, row, strict=True):
+            found[n] += [] if s is None else [s]
+        todo = [n for n, s in zip(todo, row, strict=True) if s is not None]
+    rows_found = [(n, [s["v"] for s in at]) for n, at in found.items()]
+    return df.sparkSession.createDataFrame(rows_found, "column string, sample_values array<double>")
 
 
 # --- categorical profiles ----------------------------------------------------------------------
 
 
-def _ranked_frequencies(df: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Value counts of all columns, and per-column totals."""
-    freq = value_frequencies(df, names)
-    totals = freq.groupBy("column").agg(
-        F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("count"),
-        F.count("value").alias("unique_count"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing_values"),
-    )
-    return freq.filter(F.col("value").isNotNull()), totals
-
-
-def _top(freq: DataFrame, rows: int) -> DataFrame:
-    """The ``rows`` most frequent values per column, ties in value order.
-
-    The rank window is limited on the map side first (window group limit), so a column with very many
-    values does not gather in one task before the cut.
-    """
-    rank = F.row_number().over(Window.partitionBy("column").orderBy(F.col("n").desc(), "value"))
-    return freq.withColumn("rank", rank).filter(F.col("rank") <= rows)
-
-
 def top_frequencies(df: DataFrame, columns: Iterable[str] | None = None, rows: int = 5) -> DataFrame:
     """(column, rank, value, n): most frequent values of each text column."""
     names = list(columns) if columns is not None else categorical_columns(df)
-    freq = value_frequencies(df, names).filter(F.col("value").isNotNull())
-    return _top(freq, rows).select("column", "rank", "value", "n")
+    return counted_columns(df, names, rows)[1]
 
 
 def categorical_profile(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """Per text column: counts, mode, top five values and a cardinality class."""
     names = list(columns) if columns is not None else categorical_columns(df)
-    freq, totals = _ranked_frequencies(df, names)
-    tops = _top(freq, 5).groupBy("column").agg(
+    totals, best = counted_columns(df, names, 5)
+    tops = best.groupBy("column").agg(
         F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("_t")
     )
     pct = F.round(F.col("unique_count") / F.col("count") * 100, 2)
@@ -469,8 +447,8 @@ def categorical_profile(df: DataFrame, columns: Iterable[str] | None = None) ->
 def categorical_summary(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """(column, unique_count, most_frequent, missing_values)."""
     names = list(columns) if columns is not None else categorical_columns(df)
-    freq, totals = _ranked_frequencies(df, names)
-    mode = _top(freq, 1).select("column", F.col("value").alias("most_frequent"))
+    totals, best = counted_columns(df, names, 1)
+    mode = best.select("column", F.col("value").alias("most_frequent"))
     return totals.join(mode, "column", "left").select(
         "column", "unique_count", "most_frequent", F.col("missing_values").cast("long").alias("missing_values")
     )
