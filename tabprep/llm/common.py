@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from tabprep.storage import materialize
 
 __all__ = [
-    "cell_count", "crc_remainder", "doc_slices", "labelled_sample", "materialize", "sums", "table", "text_column",
-    "worker_store", "words_of",
+    "cell_count", "crc_remainder", "doc_slices", "labelled_sample", "materialize", "size_slices", "sums", "table",
+    "text_column", "text_slices", "worker_store", "words_of",
 ]
 
 
@@ -31,15 +31,36 @@ def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
 
 def doc_slices(text: pa.Array, chars: int):
     """(from, to) row ranges of about ``chars`` bytes of text; a longer text is a range of its own."""
-    ends = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64))
+    return size_slices(pc.binary_length(text).to_numpy(zero_copy_only=False), chars)
+
+
+def size_slices(sizes: np.ndarray, most: int):
+    """(from, to) ranges of a total size of about ``most``; a larger item is a range of its own."""
+    ends = np.cumsum(sizes.astype(np.int64))
     at, n = 0, len(ends)
     while at < n:
         before = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, before + chars, side="right")))
+        to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
         yield at, to
         at = to
 
 
+def text_slices(batch: pa.RecordBatch, chars: int, rows: int, names: tuple[str, ...] = ("text",)):
+    """(from, texts of each named column) for slices of a batch: about ``chars`` bytes of text and at most ``rows`` rows.
+
+    Only one slice at a time is turned into Arrow strings; the memory of earlier ones is given back.
+    """
+    columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
+    sizes = sum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+    for start, end in size_slices(sizes, chars):
+        for at in range(start, end, rows):
+            n = min(end, at + rows) - at
+            # Taken rather than sliced: a slice cast to large strings keeps its first offset, which kernels misread.
+            some = pa.array(np.arange(at, at + n))
+            yield at, [pc.fill_null(c.take(some).cast(pa.large_string()), "") for c in columns]
+    pa.default_memory_pool().release_unused()
+
+
 def words_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of each text: codes, the first code of each text (one more than texts), the words."""
     lists = pc.ascii_split_whitespace(text)

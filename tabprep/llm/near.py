@@ -12,12 +12,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabprep.llm.common import doc_slices, materialize, text_column, words_of
+from tabprep.llm.common import materialize, text_slices, words_of
 from tabprep.llm.components import components
 
 SLICE_BYTES = 4_000_000
-#: Size of the signatures and sets of one block of nodes that are compared inside a task.
-BLOCK_BYTES = 8_000_000
+#: Size of the signatures and sets of one block of nodes that are compared inside a task, and of a task's share of
+#: smaller meetings of blocks.
+BLOCK_BYTES, CELL_BYTES = 8_000_000, 2_000_000
 #: Texts per slice at most: a text's number takes the upper 12 bits of a key, the shingle's hash the rest.
 _TEXTS = 4096
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -65,10 +66,8 @@ def sketches(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids, text = batch.column(0), text_column(batch)
-            for at, to in doc_slices(text, SLICE_BYTES):
-                for a in range(at, to, _TEXTS):
-                    yield one(ids.slice(a, min(to, a + _TEXTS) - a), text.slice(a, min(to, a + _TEXTS) - a))
+            for at, (text,) in text_slices(batch, SLICE_BYTES, _TEXTS):
+                yield one(batch.column(0).slice(at, len(text)), text)
 
     def one(ids, text):
         keys = shingle_keys(text, k)
@@ -150,17 +149,13 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percen
 
     def run(batches):
         for batch in batches:
-            x, y = text_column(batch, "text_a"), text_column(batch, "text_b")
             good = []
-            for at, to in doc_slices(pc.binary_join_element_wise(x, y, pa.scalar("", pa.large_string())), SLICE_BYTES):
-                for i in range(at, to, _TEXTS):
-                    n = min(to, i + _TEXTS) - i
-                    u, v = shingle_keys(x.slice(i, n), k), shingle_keys(y.slice(i, n), k)
-                    both = np.concatenate([u, v])
-                    both.sort()
-                    common = np.bincount((both[:-1][both[1:] == both[:-1]] >> np.uint64(52)).astype(np.int64), minlength=n)
-                    total = np.bincount((both >> np.uint64(52)).astype(np.int64), minlength=n) - common
-                    good.append((100 * common >= percent * total) & (total > 0))
+            for _, (x, y) in text_slices(batch, SLICE_BYTES, _TEXTS, ("text_a", "text_b")):
+                both = np.concatenate([shingle_keys(x, k), shingle_keys(y, k)])
+                both.sort()
+                common = np.bincount((both[:-1][both[1:] == both[:-1]] >> np.uint64(52)).astype(np.int64), minlength=len(x))
+                total = np.bincount((both >> np.uint64(52)).astype(np.int64), minlength=len(x)) - common
+                good.append((100 * common >= percent * total) & (total > 0))
             mask = pa.array(np.concatenate(good) if good else np.zeros(0, bool))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
@@ -236,16 +231,13 @@ def _full_sets(reps: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            text = text_column(batch)
-            for at, to in doc_slices(text, SLICE_BYTES):
-                for i in range(at, to, _TEXTS):
-                    n = min(to, i + _TEXTS) - i
-                    keys = shingle_keys(text.slice(i, n), k)
-                    ends = np.searchsorted(keys >> np.uint64(52), np.arange(n + 1, dtype=np.uint64))
-                    h = keys & np.uint64((1 << 52) - 1)
-                    sets = [h[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)]
-                    part = batch.slice(i, n).select(["rep", "signature", "bands"])
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sets, pa.binary())], names=["rep", "signature", "bands", "words"])
+            for at, (text,) in text_slices(batch, SLICE_BYTES, _TEXTS):
+                n, keys = len(text), shingle_keys(text, k)
+                ends = np.searchsorted(keys >> np.uint64(52), np.arange(n + 1, dtype=np.uint64))
+                h = keys & np.uint64((1 << 52) - 1)
+                sets = [h[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)]
+                part = batch.slice(at, n).select(["rep", "signature", "bands"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sets, pa.binary())], names=["rep", "signature", "bands", "words"])
 
     texts = docs.select("doc_id", "text").join(reps.select("doc_id", "rep", "signature", "bands"), "doc_id").drop("doc_id")
     return texts.mapInArrow(run, "rep long, signature binary, bands array<long>, words binary").dropDuplicates(["rep", "words"])
@@ -255,9 +247,9 @@ def _linked_in_blocks(rooted: DataFrame, reps: DataFrame, docs: DataFrame, k: in
     """Links (u, v) between different components, among the members of each band hash in ``rooted``.
 
     The members of a band hash are cut into blocks of about ``BLOCK_BYTES``, and so are those outside its first
-    component; each block of these meets each block of all. The seats (a node in a meeting) are dealt to cells of about
-    a block each. A task compares signatures and then full sets of its seats, and yields links only, at most one
-    for each two components that it finds connected. Two nodes that share several bands are compared in the first.
+    component; each block of these meets each block of all. The seats (a node in a meeting) are dealt to cells by meeting, of
+    about ``CELL_BYTES`` each or one meeting. A task compares signatures and then full sets, one meeting at a time, and
+    yields links only, at most one for each two components that it finds connected. Two nodes that share several bands are compared in the first.
     """
     sets = materialize(_full_sets(reps.join(rooted.select("rep").distinct(), "rep"), docs, k))
     outside = F.col("root") != F.col("first_root")
@@ -266,7 +258,7 @@ def _linked_in_blocks(rooted: DataFrame, reps: DataFrame, docs: DataFrame, k: in
     load = load.withColumn("wide", F.ceil(F.col("all_w") / BLOCK_BYTES))
     load = materialize(load.withColumn("high", F.when(F.col("wide") > 1, F.ceil(F.col("out_w") / BLOCK_BYTES)).otherwise(1)))
     total = load.agg(F.sum(F.col("all_w") * F.col("high") + F.when(F.col("wide") > 1, F.col("out_w") * F.col("wide")).otherwise(0))).first()[0]
-    cells = max(1, -(-int(total or 0) // BLOCK_BYTES))
+    cells = max(1, -(-int(total or 0) // CELL_BYTES))
     one = F.col("wide") == 1
     across = F.transform(
         F.sequence(F.lit(0).cast("long"), F.col("high") - 1),
@@ -291,14 +283,18 @@ def _linked_in_blocks(rooted: DataFrame, reps: DataFrame, docs: DataFrame, k: in
         root = root.copy()
         signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u2").reshape(len(rep), -1)
         bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
-        words = table.column("words").to_pylist()
-        sizes = np.array([len(w) // 8 for w in words], np.int64)
-        ends = np.cumsum(sizes)
-        known, codes = np.unique(np.frombuffer(b"".join(words), np.uint64), return_inverse=True)
-        marked = np.zeros(len(known), bool)
+        words = table.column("words")
+        sizes = pc.binary_length(words).to_numpy().astype(np.int64) // 8
+        starts_of = np.zeros(len(rep), np.int64)
         found = []
         order = np.argsort(meeting, kind="stable")
         for rows in np.split(order, np.flatnonzero(np.diff(meeting[order])) + 1):
+            # The sets of one meeting as numbers from 0, one after the other.
+            joined = b"".join(w.as_buffer() for chunk in words.take(pa.array(rows)).chunks for w in chunk)
+            known, codes = np.unique(np.frombuffer(joined, np.uint64), return_inverse=True)
+            codes, marked = codes.astype(np.int32), np.zeros(len(known), bool)
+            del joined, known
+            starts_of[rows] = np.cumsum(sizes[rows]) - sizes[rows]
             others, earlier = rows[right[rows]], band[rows[0]]
             for i in rows[left[rows]]:
                 alive = others[(root[others] != root[i]) & ~(outside[others] & (rep[others] > rep[i]))]
@@ -313,8 +309,8 @@ def _linked_in_blocks(rooted: DataFrame, reps: DataFrame, docs: DataFrame, k: in
                 if not len(alive):
                     continue
                 starts = np.cumsum(sizes[alive]) - sizes[alive]
-                places = np.arange(sizes[alive].sum()) + np.repeat(ends[alive] - sizes[alive] - starts, sizes[alive])
-                own = codes[ends[i] - sizes[i]:ends[i]]
+                places = np.arange(sizes[alive].sum()) + np.repeat(starts_of[alive] - starts, sizes[alive])
+                own = codes[starts_of[i]:starts_of[i] + sizes[i]]
                 marked[own] = True
                 common = np.add.reduceat(marked[codes[places]].astype(np.int64), starts)
                 marked[own] = False
@@ -322,6 +318,7 @@ def _linked_in_blocks(rooted: DataFrame, reps: DataFrame, docs: DataFrame, k: in
                     if root[j] != root[i]:
                         found.append((rep[i], rep[j]))
                         root[root == root[j]] = root[i]
+        pa.default_memory_pool().release_unused()
         u, v = zip(*found, strict=True) if found else ((), ())
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 

@@ -259,3 +259,20 @@ def test_mix_keeps_columns_of_any_name(spark):
     rated = {r.doc_id: r.copies for r in mixing.mixing_rates(docs, docs.select("doc_id", "domain"), {"en": 0.5, "de": 0.5}).collect()}
     assert len(found) == pytest.approx(sum(rated.values()), abs=4)
     assert mixing.mix(docs.limit(0), docs.select("doc_id", "domain"), {"en": 1.0}).count() == 0
+
+
+def test_slices_of_text_hold_their_own_rows():
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from tabprep.llm.common import text_slices, words_of
+
+    for missing in (7, 10**9):
+        texts = [None if i % missing == 3 else "é" * (i % 6) + f"W{i} x" for i in range(500)]
+        batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+        found = []
+        for _, (part,) in text_slices(batch, 200, 13):
+            codes, offsets, known = words_of(pc.ascii_lower(part))
+            known = known.to_pylist()
+            found += [[known[c] for c in codes[a:b]] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        assert found == [(t or "").replace("W", "w").split() for t in texts]
