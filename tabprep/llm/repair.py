@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,89 +19,140 @@ from tabprep.storage import shared_dir
 #: Text per shard and the ids after which a task starts another shard.
 CHARS_PER_SHARD = 16_000_000
 IDS_PER_SHARD = 8_000_000
-_BINS = 1 << 20
+#: A rule is three numbers in the file, so a pair found fewer than four times does not pay for one.
+LEAST, FALL = 4, 4
+#: Symbols of at most so many ids are written out before decoding.
+SHORT = 256
+_BIN_BITS = 20
 FORMAT = (
     "first_id long, last_id long, shard long, n_ids long, terminals long, rule_left array<int>, rule_right array<int>, "
     "rule_length array<int>, doc_ids array<long>, doc_symbols array<int>, width int, symbols binary"
 )
 
 
-def compress(ids: np.ndarray, lengths: np.ndarray, rounds: int = 6, per_round: int = 512, least: int = 64):
+def _apart(pairs: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which positions to count, so that a pair of twins does not overlap itself: every second one of a run."""
+    again = np.concatenate([[False], (pairs[1:] == pairs[:-1]) & (np.diff(at) == 1)])
+    if not again.any():
+        return np.ones(len(at), bool)
+    place = np.arange(len(at))
+    return (place - np.maximum.accumulate(np.where(again, 0, place))) % 2 == 0
+
+
+def compress(ids: np.ndarray, lengths: np.ndarray, least: int = LEAST):
     """Re-Pair of one shard: (terminals, left, right, expansion length, symbols, symbols of each document).
 
-    Each round counts all adjacent pairs inside documents and replaces the ``per_round`` most frequent ones that occur
-    at least ``least`` times by new nonterminals, from left to right without overlap, until no pair is frequent or
-    ``rounds`` is reached. Counts come from hashed bins; pairs in the fullest bins are then counted exactly.
+    Each round counts the adjacent pairs inside documents, without overlap, and replaces those that occur at least
+    ``floor`` times by new nonterminals; where two such pairs share a symbol the more frequent one has it. The floor
+    falls by ``FALL`` each round down to ``least``, where rounds go on until no pair occurs that often. There a
+    round only counts pairs that hold a new symbol or lost their place in the last round, since no other count grows;
+    a last round counts all.
     """
-    symbols = ids.astype(np.int64)
+    symbols = ids.astype(np.int32)
     terminals = int(symbols.max()) + 1 if len(symbols) else 0
     ends = np.zeros(len(symbols), bool)
     ends[np.cumsum(lengths) - 1] = True
-    left, right, size = [], [], []
-    length_of = np.ones(terminals, np.int64)
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
-        pairs = (symbols[:-1] << 32) | symbols[1:]
-        pairs[ends[:-1]] = -1
-        bins = ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
-        counts = np.bincount(bins, minlength=_BINS)
-        floor = max(least, int(np.partition(counts, -per_round)[-per_round]))
-        often, found = np.unique(pairs[(counts >= floor)[bins]], return_counts=True)
-        fit = (found >= least) & (often >= 0)
-        often, found = often[fit], found[fit]
-        if not len(often):
-            break
-        often = often[np.lexsort((often, -found))[:per_round]]
-        # One rule per bin, so that a position finds its rule with one look-up.
-        own_bin = ((often.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-        _, one = np.unique(own_bin, return_index=True)
-        one = np.sort(one)
-        often, own_bin = often[one], own_bin[one]
-        rule_of, pair_of = np.full(_BINS, -1, np.int32), np.full(_BINS, -2, np.int64)
-        rule_of[own_bin] = np.arange(len(often), dtype=np.int32)
-        pair_of[own_bin] = often
-        at = np.flatnonzero(pair_of[bins] == pairs)
-        # In a run of neighbouring hits every second one is replaced.
-        fresh = np.concatenate([[True], np.diff(at) > 1])
-        starts = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-        at = at[(np.arange(len(at)) - starts) % 2 == 0]
-        base = terminals + len(left)
-        symbols[at] = base + rule_of[bins[at]]
+    active, floor = np.ones(len(symbols), bool), None
+    left, right, size, length_of, made = [], [], [], [np.ones(terminals, np.int64)], terminals
+    while len(symbols) > 1:
+        at = np.flatnonzero(active[:-1] & ~ends[:-1])
+        pairs = (symbols[at].astype(np.int64) << 32) | symbols[at + 1]
+        # Bins of pairs drop most rare ones before the exact count.
+        bins = ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BIN_BITS)).astype(np.int32)
+        per_bin = np.bincount(bins, minlength=1 << _BIN_BITS)
+        if floor is None:
+            floor = max(least, int(per_bin.max(initial=0)) // FALL)
+        crowded = per_bin[bins] >= floor
+        at, pairs = at[crowded], pairs[crowded]
+        counted = _apart(pairs, at)
+        at, pairs = at[counted], pairs[counted]
+        code, known = pd.factorize(pairs)
+        often = np.bincount(code, minlength=len(known)) if len(known) else np.zeros(0, np.int64)
+        hit = often[code] >= floor
+        if not hit.any():
+            if floor == least and active.all():
+                break
+            active, floor = np.ones(len(symbols), bool), max(least, floor // FALL)
+            continue
+        at, code = at[hit], code[hit]
+        rank = np.empty(len(known), np.int64)
+        rank[np.lexsort((known, -often))] = np.arange(len(known))
+        mine = rank[code]
+        next_to = np.diff(at) == 1
+        wins = np.ones(len(at), bool)
+        wins[1:] &= ~next_to | (mine[1:] < mine[:-1])
+        wins[:-1] &= ~next_to | (mine[:-1] < mine[1:])
+        replaced = np.bincount(code[wins], minlength=len(known))
+        new = np.flatnonzero(replaced >= floor)
+        new = new[np.argsort(rank[new])]
+        symbol_of = np.full(len(known), -1, np.int32)
+        symbol_of[new] = made + np.arange(len(new), dtype=np.int32)
+        wins &= symbol_of[code] >= 0
+        active = np.zeros(len(symbols), bool)
+        active[at[~wins]] = True
+        to, code = at[wins], code[wins]
+        symbols[to] = symbol_of[code]
+        active[to] = True
+        active[np.maximum(to - 1, 0)] = True
+        ends[to] = ends[to + 1]
         keep = np.ones(len(symbols), bool)
-        keep[at + 1] = False
-        ends[at] = ends[at + 1]
-        symbols, ends = symbols[keep], ends[keep]
-        a, b = often >> 32, often & 0xFFFFFFFF
-        left += a.tolist()
-        right += b.tolist()
-        new = length_of[a] + length_of[b]
-        size += new.tolist()
-        length_of = np.concatenate([length_of, new])
+        keep[to + 1] = False
+        symbols, ends, active = symbols[keep], ends[keep], active[keep]
+        a, b = known[new] >> 32, known[new] & 0xFFFFFFFF
+        left.append(a)
+        right.append(b)
+        lengths_now = np.concatenate(length_of)
+        size.append(lengths_now[a] + lengths_now[b])
+        length_of = [lengths_now, size[-1]]
+        made += len(new)
+        if floor > least:
+            active, floor = np.ones(len(symbols), bool), max(least, floor // FALL)
     per_doc = np.diff(np.concatenate([[-1], np.flatnonzero(ends)]))
-    return terminals, left, right, size, symbols, per_doc
+    rules = [np.concatenate(x).astype(np.int32) if x else np.zeros(0, np.int32) for x in (left, right, size)]
+    return terminals, *rules, symbols, per_doc
 
 
-def expansions(terminals: int, left, right, size) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All symbols written out: flat ids, start and length of each symbol. Rules only use earlier symbols."""
-    length = np.concatenate([np.ones(terminals, np.int64), np.asarray(size, np.int64)])
-    start = np.cumsum(length) - length
-    flat = np.empty(int(length.sum()), np.uint32)
-    flat[:terminals] = np.arange(terminals)
-    for rule, (a, b) in enumerate(zip(left, right, strict=True), terminals):
-        to = start[rule]
-        flat[to:to + length[a]] = flat[start[a]:start[a] + length[a]]
-        flat[to + length[a]:to + length[rule]] = flat[start[b]:start[b] + length[b]]
-    return flat, start, length
+@dataclass
+class Expansions:
+    """What each symbol stands for: short ones written out in ``flat``, longer ones as their two halves."""
 
+    terminals: int
+    left: np.ndarray
+    right: np.ndarray
+    length: np.ndarray
+    start: np.ndarray
+    flat: np.ndarray
 
-def decode(symbols: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-    """Ids of any run of symbols, such as those of one document."""
-    flat, start, length = table
-    each = length[symbols]
+
+def expansions(terminals: int, left, right, size) -> Expansions:
+    """Table for ``decode``. Rules only use earlier symbols; symbols of more than ``SHORT`` ids are not written out."""
+    left, right = np.asarray(left, np.int64), np.asarray(right, np.int64)
+    length = np.concatenate([np.ones(terminals, np.int64), np.asarray(size, np.int64)])
+    room = np.where(length > SHORT, 0, length)
+    start = np.cumsum(room) - room
+    flat = np.empty(int(room.sum()), "<u4")
+    flat[:terminals] = np.arange(terminals)
+    starts, rooms = start.tolist(), length.tolist()
+    view = memoryview(flat)
+    for rule, (a, b) in enumerate(zip(left.tolist(), right.tolist(), strict=True), terminals):
+        if rooms[rule] <= SHORT:
+            to, n, m = starts[rule], rooms[a], rooms[b]
+            view[to:to + n] = view[starts[a]:starts[a] + n]
+            view[to + n:to + n + m] = view[starts[b]:starts[b] + m]
+    return Expansions(terminals, left, right, length, start, flat)
+
+
+def decode(symbols: np.ndarray, table: Expansions) -> np.ndarray:
+    """Ids of any run of symbols, such as those of one document. Long symbols are halved until all are short."""
+    symbols = np.asarray(symbols, np.int64)
+    while (long := table.length[symbols] > SHORT).any():
+        rule = np.where(long, symbols - table.terminals, 0)
+        halves = np.stack([np.where(long, table.left[rule], symbols), np.where(long, table.right[rule], -1)], 1).ravel()
+        symbols = halves[halves >= 0]
+    each = table.length[symbols]
     ends = np.cumsum(each)
     total = int(ends[-1]) if len(ends) else 0
-    return flat[np.repeat(start[symbols] - (ends - each), each) + np.arange(total)].astype("<u4")
+    return table.flat[np.repeat(table.start[symbols] - (ends - each), each) + np.arange(total)]
 
 
 def _shard_row(shard: int, docs: list, ids: np.ndarray, lengths: np.ndarray) -> dict:

@@ -1,5 +1,6 @@
 """Token-id files and packing against direct encoding and brute force."""
 
+from collections import Counter
 from zlib import crc32
 
 import numpy as np
@@ -44,19 +45,45 @@ def test_words_beyond_the_cache_are_encoded(monkeypatch):
     assert ids.tolist() == _ids(WORD, "zzyx qwrt zzyx, plugh.", 2).tolist()
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_grammar_round_trip(seed):
+def _most_often(symbols, per_doc):
+    """Largest number of places of one pair inside documents, without overlap."""
+    found, at = Counter(), 0
+    for n in per_doc.tolist():
+        last = {}
+        for i in range(at, at + n - 1):
+            pair = (int(symbols[i]), int(symbols[i + 1]))
+            if last.get(pair) != i - 1:
+                found[pair] += 1
+                last[pair] = i
+        at += n
+    return max(found.values(), default=0)
+
+
+@pytest.mark.parametrize("least", [2, 4])
+@pytest.mark.parametrize("seed", range(6))
+def test_grammar_round_trip(seed, least, monkeypatch):
+    monkeypatch.setattr(repair, "SHORT", 3)
     rng = np.random.default_rng(seed)
     lengths = rng.integers(1, 40, 60)
     ids = rng.integers(0, 1 + 3 * seed, int(lengths.sum())).astype(np.uint32)
-    terminals, left, right, size, symbols, per_doc = repair.compress(ids, lengths, rounds=5, per_round=8, least=3)
+    if seed == 5:  # copies of whole documents
+        lengths, ids = np.tile(lengths, 5), np.tile(ids, 5)
+    terminals, left, right, size, symbols, per_doc = repair.compress(ids, lengths, least)
     table = repair.expansions(terminals, left, right, size)
     assert repair.decode(symbols, table).tolist() == ids.tolist()
-    assert len(left) and len(symbols) < len(ids)
+    assert len(left) and len(symbols) < len(ids) and _most_often(symbols, per_doc) < least
     starts, ends = np.cumsum(per_doc) - per_doc, np.cumsum(per_doc)
     first = np.cumsum(lengths) - lengths
     for d in (0, 17, 59):  # random access to one document
         assert repair.decode(symbols[starts[d]:ends[d]], table).tolist() == ids[first[d]:first[d] + lengths[d]].tolist()
+    if seed == 5:
+        assert per_doc.max() == 1
+
+
+def test_grammar_of_a_long_run():
+    ids, lengths = np.full(5000, 7, np.uint32), np.array([4999, 1])
+    terminals, left, right, size, symbols, per_doc = repair.compress(ids, lengths)
+    assert per_doc[0] < 16 and repair.decode(symbols, repair.expansions(terminals, left, right, size)).tolist() == ids.tolist()
 
 
 def test_id_files(spark, docs, monkeypatch):
