@@ -61,8 +61,11 @@ def own_reply_pairs(conversations: DataFrame) -> DataFrame:
     """Preference turns from plain conversations: rejected is the same conversation with an earlier reply at its end.
 
     Chosen are the turns up to the last assistant turn; in rejected the text of that turn is the one of the assistant
-    turn before it (empty if there is none). A conversation without assistant turns is the same on both sides.
+    turn before it (empty if there is none). A conversation without assistant turns is the same on both sides. Repeated
+    turns stay, null texts stay null, an empty table gives no rows; columns other than conv_id, turn, role and text
+    take no part, whatever their names.
     """
+    conversations = conversations.select("conv_id", "turn", "role", "text")
     reply = F.when(F.col("role") == "assistant", F.struct("turn", "text"))
     last = conversations.groupBy(F.col("conv_id").alias("_id")).agg(F.slice(F.reverse(F.array_sort(F.collect_list(reply))), 1, 2).alias("_last"))
     joined = conversations.join(last, F.col("conv_id").eqNullSafe(F.col("_id")))

@@ -276,3 +276,83 @@ def test_slices_of_text_hold_their_own_rows():
             known = known.to_pylist()
             found += [[known[c] for c in codes[a:b]] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         assert found == [(t or "").replace("W", "w").split() for t in texts]
+
+
+def test_preference_pairs_from_tables_with_any_columns(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "a"), (1, 2, "user", "more"), (1, 3, "assistant", "b"), (2, 0, "user", None), (None, 0, "assistant", "x")]
+    kinds = "conv_id long, turn int, role string, text string, _id int, _last string, side int, _end int, _other int, pair_id int"
+    turns = spark.createDataFrame([(*r, 5, "kept", 6, 7, 8, 9) for r in rows], kinds)
+    got = sorted((r.pair_id or 0, r.side, r.turn, r.text or "") for r in preference.own_reply_pairs(turns).collect())
+    assert [g for g in got if g[0] == 1] == [
+        (1, "chosen", 0, "hi"), (1, "chosen", 1, "a"), (1, "chosen", 2, "more"), (1, "chosen", 3, "b"),
+        (1, "rejected", 0, "hi"), (1, "rejected", 1, "a"), (1, "rejected", 2, "more"), (1, "rejected", 3, "a"),
+    ]
+    assert [g[3] for g in got if g[0] == 0] == ["x", ""] and len(got) == 12
+    assert preference.own_reply_pairs(turns.limit(0)).count() == 0
+
+
+def _best_spelling(written, model, gaps):
+    """All paths through the lattice, one after the other."""
+    paths = [(0.0, "  ", "")]
+    for k, options in enumerate(deobfuscation.lattice(written)):
+        longer = []
+        for score, state, text in paths:
+            starts = [(score, state, text)]
+            if gaps and k:
+                starts.append((score + model.log(state, " "), "  ", text + " "))
+            for value, at, so_far in starts:
+                for letters, cost in options:
+                    total, now = value + cost, at
+                    for letter in letters:
+                        total += model.log(now, letter)
+                        now = now[1] + letter
+                    longer.append((total, now, so_far + letters))
+        paths = longer
+    return max(score + model.log(state, " ") for score, state, _ in paths), {s + model.log(t, " "): x for s, t, x in paths}
+
+
+def _letters():
+    grams = Counter()
+    for word in "you are an idiot and we read the page today by a nice river what scum all ill".split():
+        edged = f"  {word} "
+        for i in range(2, len(edged)):
+            for k in (0, 1, 2):
+                grams[edged[i - 2:i + 1][k:]] += 1
+    return deobfuscation.LetterModel(dict(grams))
+
+
+@pytest.mark.parametrize("gaps", [False, True])
+@pytest.mark.parametrize("held", [1, 3, 256])
+def test_decoding_against_all_paths(gaps, held):
+    model, rng = _letters(), np.random.default_rng(held)
+    for written in ["1d10t", "!d!ot", "$cum", "a11", "", "...", *("".join(rng.choice(list("idot10!$.a"), rng.integers(1, 7))) for _ in range(40))]:
+        best, texts = _best_spelling(written, model, gaps)
+        got = deobfuscation.decode(written, model, gaps, held)
+        assert got in {t for s, t in texts.items() if s >= best - 1e-9}, written
+
+
+def test_decoding_of_long_words_is_cut_where_paths_meet():
+    model, rng = _letters(), np.random.default_rng(2)
+    word = "".join(rng.choice(list("idot10!$.a3rv4"), 3000))
+    for gaps in (False, True):
+        assert len({deobfuscation.decode(word, model, gaps, held) for held in (1, 50, 256, 10**9)}) == 1
+    kept = []
+    settled = deobfuscation._settled
+    deobfuscation._settled = lambda back, best: kept.append(len(back)) or settled(back, best)
+    try:
+        deobfuscation.decode(word * 5, model)
+    finally:
+        deobfuscation._settled = settled
+    assert kept and max(kept) <= 512  # back pointers held at once, whatever the length
+
+
+def test_toxicity_of_long_null_and_empty_texts(spark):
+    rows = [(i, f"you are an {'idiot' if i % 2 else 'owner'} and we read page {i}", i % 2) for i in range(60)]
+    rows += [(100, None, 0), (101, "", 0), (102, "x1" * 30_000, 0), (3, rows[3][1], 1), (None, "no id", 0)]
+    docs = spark.createDataFrame([(*r, 1, "z") for r in rows], "doc_id long, text string, toxic int, y int, half string")
+    model = deobfuscation.fit(docs, docs.select("doc_id", "toxic"))
+    found = model.score(docs).collect()
+    assert len(found) == len(rows) and all(0 <= r.score <= 1 for r in found)
+    assert not [r.doc_id for r in found if r.doc_id in (100, 101, 102) and r.score >= 0.7]
+    assert len({r.score for r in found if r.doc_id == 3}) == 1
+    assert model.score(docs.limit(0)).count() == 0
