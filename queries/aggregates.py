@@ -79,6 +79,17 @@ def contingency_many_levels(spark, d):
     return A.contingency(table(spark, d, "lineitem"), "l_linenumber", "l_orderkey", zeros=False)
 
 
+@query("""WITH c AS (SELECT l_linenumber, l_suppkey * 100 + l_quantity::BIGINT AS kind, count(*) AS n FROM lineitem
+          WHERE l_quantity IS NOT NULL AND l_suppkey IS NOT NULL GROUP BY 1, 2)
+          SELECT a.l_linenumber, b.kind, coalesce(n, 0) AS "count"
+          FROM (SELECT DISTINCT l_linenumber FROM c WHERE l_linenumber IS NOT NULL) a CROSS JOIN (SELECT DISTINCT kind FROM c WHERE l_linenumber IS NOT NULL) b
+          LEFT JOIN c ON c.l_linenumber = a.l_linenumber AND c.kind = b.kind""")
+def contingency_zeros_many_levels(spark, d):
+    """Kinds of supplier and quantity: thousands of column levels, with the pairs that never occur."""
+    kind = F.col("l_suppkey") * 100 + F.col("l_quantity").cast("long")
+    return A.contingency(table(spark, d, "lineitem").withColumn("kind", kind), "l_linenumber", "kind")
+
+
 @query(f"""WITH {LI} SELECT l_linenumber, count(*) FILTER (l_returnflag = 'A') AS "A",
            count(*) FILTER (l_returnflag = 'N') AS "N", count(*) FILTER (l_returnflag = 'R') AS "R"
            FROM li WHERE l_returnflag IS NOT NULL GROUP BY l_linenumber""")

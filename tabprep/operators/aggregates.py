@@ -21,6 +21,7 @@ from tabprep.functions.types import (
     numeric_columns,
     require_columns,
 )
+from tabprep.storage import materialize
 
 # The aggregation functions a user can choose.
 AGGREGATIONS = {
@@ -255,8 +256,8 @@ def contingency(df: DataFrame, row: str, column: str, zeros: bool = True, max_le
     """(row, column, count) of the pairs of levels; null values are left out.
 
     With ``zeros`` every pair of levels is a row: each row level becomes a map over the column levels, so the table is
-    built from level lists and not from a product of rows, and more than ``max_levels`` column levels fail. Without
-    ``zeros`` only pairs that occur are rows, and levels have no limit.
+    built from level lists and not from a product of rows. More than ``max_levels`` column levels are dealt to blocks
+    of about that many, which each row level meets one by one. Without ``zeros`` only pairs that occur are rows.
     """
     counts = (
         df.filter(col(row).isNotNull() & col(column).isNotNull())
@@ -266,13 +267,23 @@ def contingency(df: DataFrame, row: str, column: str, zeros: bool = True, max_le
     if not zeros:
         return counts.select(F.col("r").alias(row), F.col("c").alias(column), F.col("n").alias("count"))
     levels = [r[0] for r in counts.select("c").distinct().limit(max_levels + 1).collect()]
+    count = F.coalesce(F.try_element_at("m", F.col("c")), F.lit(0)).cast("long").alias("count")
     if len(levels) > max_levels:
-        raise ValueError(f"Column '{column}' has more than {max_levels} levels; use zeros=False or a larger max_levels.")
+        return _in_blocks(materialize(counts), max_levels).select(F.col("r").alias(row), F.col("c").alias(column), count)
     per_row = counts.groupBy("r").agg(F.map_from_entries(F.collect_list(F.struct("c", "n"))).alias("m"))
     wide = per_row.select("r", "m", F.explode(F.array(*[F.lit(v) for v in sorted(levels)])).alias("c"))
-    return wide.select(
-        F.col("r").alias(row), F.col("c").alias(column), F.coalesce(F.try_element_at("m", F.col("c")), F.lit(0)).cast("long").alias("count")
-    )
+    return wide.select(F.col("r").alias(row), F.col("c").alias(column), count)
+
+
+def _in_blocks(counts: DataFrame, levels: int) -> DataFrame:
+    """(r, m, c): every row level with every column level, and the counts of the row level in the block of c."""
+    names = counts.select("c").distinct()
+    blocks = -(-names.count() // levels)
+    block = F.pmod(F.xxhash64("c"), F.lit(blocks)).alias("b")
+    lists = names.groupBy(block).agg(F.collect_list("c").alias("cs"))
+    maps = counts.groupBy("r", block).agg(F.map_from_entries(F.collect_list(F.struct("c", "n"))).alias("m"))
+    cells = counts.select("r").distinct().select("r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"))
+    return cells.join(maps, ["r", "b"], "left").join(lists, "b").select("r", "m", F.explode("cs").alias("c"))
 
 
 def crosstab(df: DataFrame, row: str, column: str, max_levels: int = MAX_LEVELS) -> DataFrame:

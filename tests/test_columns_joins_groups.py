@@ -125,6 +125,14 @@ def test_crosstab_and_contingency_agree(mixed):
         assert wide[r.city][str(r.is_active).lower()] == r["count"]
 
 
+@pytest.mark.parametrize("row", ["city", "name"])
+def test_contingency_in_blocks_of_levels(mixed, row):
+    holed = mixed.withColumn("name", F.when(F.col("age") > 25, F.col("name")))
+    whole = {tuple(r) for r in A.contingency(holed, row, "name").collect()}
+    blocks = A.contingency(holed, row, "name", max_levels=7).collect()
+    assert {tuple(r) for r in blocks} == whole and len(blocks) == len(whole)
+
+
 def _correlated(spark, rows=200):
     rng = np.random.default_rng(5)
     frame = pd.DataFrame(rng.normal(size=(rows, 5)) + rng.normal(size=(rows, 1)), columns=list("abcde"))
