@@ -20,7 +20,7 @@ from tabprep.operators.aggregates import MAX_LEVELS, value_frequencies, value_ke
 from tabprep.operators.columns import standardize_columns
 from tabprep.operators.filters import filter_exact_zero_rows
 from tabprep.operators.ordering import with_row_number
-from tabprep.operators.sparse import SparseEncoding, fit_sparse_encoding
+from tabprep.operators.sparse import BROADCAST_BYTES, SparseEncoding, fit_sparse_encoding
 from tabprep.storage import materialize
 
 # Encoding thresholds, and the library defaults of smoothed target encoding.
@@ -34,10 +34,10 @@ MISSING_LEVEL = "missing_value"
 # The vector column of the levels that are too many for a column each.
 SPARSE_COLUMN = "one_hot"
 
-# A level table up to this many rows is broadcast; a larger one is joined by shuffle.
-BROADCAST_LEVELS = 1_000_000
-# A fitted level table up to this many rows is kept in the plan; a larger one is written to the shared folder.
-INLINE_LEVELS = 10_000
+# A fitted level table up to this many bytes is kept in the plan; a larger one is written to the shared folder. One
+# above BROADCAST_BYTES is joined by shuffle. A level counts as its text and ROW_BYTES.
+INLINE_BYTES = 1 << 20
+ROW_BYTES = 16
 
 
 def level_statistics(df: DataFrame, columns: Iterable[str]) -> dict[str, tuple[int, int]]:
@@ -93,13 +93,13 @@ def one_hot_encode(df: DataFrame, columns: Iterable[str] | None = None, cap: int
 
 
 def lookup(df: DataFrame, table: DataFrame, column: str, size: int) -> DataFrame:
-    """Left join with a level table: broadcast when its counted size is small, else a shuffle join."""
-    return df.join(F.broadcast(table) if size <= BROADCAST_LEVELS else table, column, "left")
+    """Left join with a level table of at most ``size`` bytes: broadcast when that is small, else a shuffle join."""
+    return df.join(F.broadcast(table) if size <= BROADCAST_BYTES else table.hint("shuffle_merge"), column, "left")
 
 
 def freeze(table: DataFrame, size: int) -> DataFrame:
-    """Fix fitted state so that later uses do not repeat the fit."""
-    if size > INLINE_LEVELS:
+    """Fix fitted state of at most ``size`` bytes so that later uses do not repeat the fit."""
+    if size > INLINE_BYTES:
         return materialize(table)
     return table.sparkSession.createDataFrame(table.collect(), table.schema)
 
@@ -113,9 +113,9 @@ def label_levels(df: DataFrame, column: str, null_level: str = UNKNOWN_LEVEL) ->
 def level_tables(
     df: DataFrame, columns: Iterable[str], null_level: str = UNKNOWN_LEVEL
 ) -> tuple[dict[str, DataFrame], dict[str, int]]:
-    """(level, code) table and its size for several columns.
+    """(level, code) table and its size in bytes for several columns.
 
-    Columns with few levels are read in one job and numbered at once; larger ones are numbered by Spark.
+    Columns with few bytes of levels are read in one job and numbered at once; larger ones are numbered by Spark.
     """
     names = list(columns)
     if not names:
@@ -123,8 +123,8 @@ def level_tables(
     freq = value_frequencies(df, names).select("column", F.coalesce("value", F.lit(null_level)).alias("level"))
     counted = freq.distinct()
     sizes = {n: 0 for n in names}
-    sizes.update({r["column"]: r["n"] for r in counted.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()})
-    few = [n for n in names if sizes[n] <= INLINE_LEVELS]
+    sizes.update({r["column"]: r["n"] for r in counted.groupBy("column").agg(F.sum(F.octet_length("level") + ROW_BYTES).alias("n")).collect()})
+    few = [n for n in names if sizes[n] <= INLINE_BYTES]
     found: dict[str, list[str]] = {n: [] for n in few}
     for r in counted.filter(F.col("column").isin(few)).collect() if few else []:
         found[r["column"]].append(r["level"])
@@ -195,12 +195,13 @@ class TargetEncoding:
     def load(cls, spark, path: str) -> TargetEncoding:
         state = spark.read.parquet(path)
         heads = state.filter(F.col("level").isNull()).collect()
-        counts = {r["column"]: r["n"] for r in state.groupBy("column").agg(F.count("level").alias("n")).collect()}
+        size = F.coalesce(F.sum(F.octet_length("level") + ROW_BYTES), F.lit(0)).alias("n")
+        sizes = {r["column"]: r["n"] for r in state.groupBy("column").agg(size).collect()}
         tables = {
             r["column"]: state.filter((F.col("column") == r["column"]) & F.col("level").isNotNull()).select("level", "value")
             for r in heads
         }
-        return cls(heads[0]["value"], tables, counts)
+        return cls(heads[0]["value"], tables, sizes)
 
 
 def target_means(df: DataFrame, column: str, target: str, prior: float) -> DataFrame:
@@ -219,14 +220,16 @@ def target_means(df: DataFrame, column: str, target: str, prior: float) -> DataF
     return grouped.select("level", value.alias("value"))
 
 
-def fit_target_encoding(df: DataFrame, target: str, columns: Iterable[str], sizes: dict | None = None) -> TargetEncoding:
+def fit_target_encoding(df: DataFrame, target: str, columns: Iterable[str], levels: dict | None = None) -> TargetEncoding:
+    """``levels``: number of levels of each column, where it is known. With the longest text it bounds the tables."""
     names = list(columns)
-    prior = df.agg(F.avg(col(target).cast("double"))).first()[0]
+    longest = [F.coalesce(F.max(F.octet_length(col(n).cast("string"))), F.lit(0)) for n in names]
+    prior, *longest = df.agg(F.avg(col(target).cast("double")), *longest).first()
     if prior is None:
         raise ValueError(f"Target column '{target}' has no values.")
-    stats = sizes or {n: u for n, (u, _) in level_statistics(df, names).items()}
-    tables = {n: freeze(target_means(df, n, target, prior), stats[n]) for n in names}
-    return TargetEncoding(prior, tables, {n: stats[n] for n in names})
+    known = levels or {n: u for n, (u, _) in level_statistics(df, names).items()}
+    sizes = {n: known[n] * (most + ROW_BYTES) for n, most in zip(names, longest, strict=True)}
+    return TargetEncoding(prior, {n: freeze(target_means(df, n, target, prior), sizes[n]) for n in names}, sizes)
 
 
 def fit_target_encoder(

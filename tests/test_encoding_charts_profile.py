@@ -52,11 +52,26 @@ def test_target_encoder_round_trip(spark, tmp_path):
 def test_large_level_tables_are_joined_without_broadcast(spark, monkeypatch):
     df = spark.createDataFrame([(f"k{i % 15}", float(i)) for i in range(300)], "x string, y double")
     want = sorted(r.x for r in E.fit_target_encoder(df, "y").transform(df).collect())
-    monkeypatch.setattr(E, "BROADCAST_LEVELS", 0)
-    monkeypatch.setattr(E, "INLINE_LEVELS", 0)
+    monkeypatch.setattr(E, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(E, "INLINE_BYTES", 0)
     assert sorted(r.x for r in E.fit_target_encoder(df, "y").transform(df).collect()) == want
 
 
+def test_long_levels_are_bounded_by_bytes(spark, monkeypatch):
+    """Few levels of long texts: neither kept in the plan nor broadcast."""
+    df = spark.createDataFrame([("long " * 400 + f"{i % 12}", float(i % 12)) for i in range(240)] + [(None, 1.0)], "x string, y double")
+    want = sorted(r.x for r in E.label_encode(df.select("x")).collect())
+    monkeypatch.setattr(E, "BROADCAST_BYTES", 20_000)
+    monkeypatch.setattr(E, "INLINE_BYTES", 20_000)
+    tables, sizes = E.level_tables(df, ["x"])
+    assert sizes["x"] > 24_000 and tables["x"].inputFiles()
+    encoded = E.label_encode(df.select("x"))
+    assert "Broadcast" not in encoded._jdf.queryExecution().optimizedPlan().toString()
+    assert "SortMergeJoin" in encoded._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.x for r in encoded.collect()) == want
+    assert E.fit_target_encoding(df, "y", ["x"]).tables["x"].inputFiles()
+
+
 def test_no_target_encoding_needed(mixed):
     assert E.fit_target_encoder(mixed.select("city", "salary"), "salary") is None
     with pytest.raises(ValueError):
