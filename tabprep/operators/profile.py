@@ -518,8 +518,8 @@ def basic_stats(df: DataFrame, columns: Iterable[str]) -> DataFrame:
         }
         parts.append(unfold(df.agg(*aggs), numbers, fields))
     if others:
-        freq, totals = _ranked_frequencies(df, others)
-        mode = _top(freq, 1).select("column", F.col("value").alias("top"))
+        totals, best = counted_columns(df, others, 1)
+        mode = best.select("column", F.col("value").alias("top"))
         blank = [F.lit(None).cast("double").alias(k) for k in ("mean", "std", "min", "max")]
         parts.append(
             totals.join(mode, "column", "left").select(

@@ -194,3 +194,13 @@ def test_axis_labels_of_close_edges_differ(spark):
     df = spark.range(400).selectExpr("1.7e9 + id AS x")
     grouped, axis = V.bucket_axis(df, "x")
     assert grouped.select(axis).distinct().count() == 40
+
+
+def test_basic_stats_of_numbers_and_texts(spark):
+    rows = [(1.0, "b", None), (3.0, "a", None), (None, "b", None), (5.0, "a", None), (2.0, None, None)]
+    df = spark.createDataFrame(rows, "x double, g string, h string")
+    got = {r.column: r for r in P.basic_stats(df, ["x", "g", "h"]).collect()}
+    assert (got["x"]["count"], got["x"].mean, got["x"].min, got["x"].max, got["x"].missing) == (4, 2.75, 1.0, 5.0, 1)
+    assert (got["g"]["count"], got["g"].unique, got["g"].top, got["g"].missing, got["g"].mean) == (4, 2, "a", 1, None)
+    assert (got["h"]["count"], got["h"].unique, got["h"].top, got["h"].missing) == (0, 0, None, 5)
+    assert P.basic_stats(df, ["g"]).first().top == "a"
