@@ -141,11 +141,8 @@ def one_hot_sparse_cells(spark, d):
     + max((flag IS NULL)::INT) FROM k)::INTEGER AS size FROM k""")
 def one_hot_sparse_vectors(spark, d):
     """Width and entries of the vectors that models are trained on."""
-    from pyspark.ml.functions import vector_to_array
-
     out = S.one_hot_sparse(_wide_levels(spark, d), ["part", "flag"])
-    values = vector_to_array("one_hot")
-    return out.select("line", "price", F.size(F.filter(values, lambda v: v != 0)).alias("entries"), F.size(values).alias("size"))
+    return out.select("line", "price", S.entries_of("one_hot").alias("entries"), S.size_of("one_hot").alias("size"))
 
 
 @query(f"""WITH {_WIDE_LEVELS}, u AS (SELECT unnest(['part_' || part, 'flag_' || coalesce(flag, 'nan')]) AS feature, price FROM k),

@@ -28,6 +28,17 @@ def _text(df: DataFrame, name: str) -> Column:
     return col(name).cast("string") if name in df.columns else F.lit(None).cast("string")
 
 
+def entries_of(vector: str) -> Column:
+    """Number of non-zero entries of a vector; a sparse one is not spread out."""
+    return F.size(F.filter(F.unwrap_udt(col(vector))["values"], lambda v: v != 0))
+
+
+def size_of(vector: str) -> Column:
+    """Width of a vector; a sparse one is not spread out."""
+    parts = F.unwrap_udt(col(vector))
+    return F.coalesce(parts["size"], F.size(parts["values"]))
+
+
 @dataclass
 class SparseEncoding:
     """Fitted encoding: numbers have the first codes, then the levels of each text column in their order.
