@@ -126,6 +126,8 @@ def train_regression(
         train = encoder.transform(train, keep=[ORD, target])
         test = encoder.transform(test, keep=[ORD, target])
     plan = fit_sparse_features(train, target, threshold) if wide else fit_features(train, target, threshold)
+    if wide and not plan.size:
+        raise ValueError("No feature correlates with the target.")
     train_set, test_set = labelled(train, plan), labelled(test, plan)
     trained = M.train_models(train_set, models, folds, strategy, iterations, grids)
     best = M.best_of(trained)

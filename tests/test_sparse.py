@@ -2,12 +2,14 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from tabprep.operators import encode as E
 from tabprep.operators import sparse as S
 from tabprep.plans import models as M
 from tabprep.plans import regression as R
+from tabprep.plans.sparse_features import fit_sparse_features
 
 ROWS = [(0, "b", "x", 1.0, True), (1, "a", None, 2.0, False), (2, None, "=", None, True), (3, "b", "", 4.0, None), (4, "nan", "x", 0.0, False)]
 SCHEMA = "_ord long, g string, h string, v double, f boolean"
@@ -79,3 +81,18 @@ def test_training_on_sparse_levels_equals_the_dense_encoder(spark, many_levels,
     assert len(top) == 15 and top[0].feature in ("a", *[f"g_g{i}" for i in range(40)])
     fresh = spark.createDataFrame([(1, "never seen", 2.0, True), (2, None, None, None)], "_ord long, g string, a double, odd boolean")
     assert sparse.predictor.transform(fresh).filter("Predicted_y IS NULL OR isnan(Predicted_y)").count() == 0
+
+
+def test_entries_and_sizes_do_not_spread_out_a_vector(spark):
+    vectors = [(1, Vectors.sparse(2_000_000_000, [3, 5, 9], [1.0, 0.0, 2.0])), (2, Vectors.dense([0.0, 1.0])), (3, Vectors.sparse(4, [], []))]
+    df = spark.createDataFrame(vectors, ["k", "v"])
+    assert sorted(df.select("k", S.entries_of("v"), S.size_of("v")).collect()) == [(1, 2, 2_000_000_000), (2, 1, 2), (3, 0, 4)]
+
+
+def test_levels_without_correlation_give_an_empty_plan(spark):
+    df = spark.createDataFrame([(i, f"g{i % 4}", float(i // 4 % 3)) for i in range(48)], "_ord long, g string, y double")
+    plan = fit_sparse_features(df, "y")
+    assert plan.size == 0 and plan.removed == 4 and plan.levels.count() == 0 and plan.feature_names().count() == 0
+    assert {r.features.size for r in plan.with_vector(df).collect()} == {0}
+    with pytest.raises(ValueError, match="No feature correlates"):
+        R.train_regression(df, "y", models=[M.LINEAR], encode_raw=True, max_levels=2, threshold=1.0)
