@@ -21,7 +21,7 @@ from tabprep.functions.types import (
     numeric_columns,
     require_columns,
 )
-from tabprep.storage import materialize
+from tabprep.storage import compiled, materialize
 
 # The aggregation functions a user can choose.
 AGGREGATIONS = {
@@ -338,7 +338,8 @@ def _column_ranges(df: DataFrame, names: list[str]) -> dict[int, tuple[int, int,
         })
 
     parts = _as_doubles(df, names).mapInArrow(run, "i int, n long, odd long, total double, low double, high double")
-    rows = parts.groupBy("i").agg(F.sum("n"), F.sum("odd"), F.sum("total"), F.min("low"), F.max("high")).collect()
+    with compiled(df.sparkSession):
+        rows = parts.groupBy("i").agg(F.sum("n"), F.sum("odd"), F.sum("total"), F.min("low"), F.max("high")).collect()
     return {i: (n, odd, total / (n - odd) if n > odd else 0.0, low, high) for i, n, odd, total, low, high in rows}
 
 
@@ -400,6 +401,8 @@ def _correlations(
     constant = [i for i, r in ranges.items() if r[3] == r[4]]
     parts = [_cross_products(df, names, left, right, centre) for left, right in blocks]
     sums = reduce(DataFrame.unionAll, parts).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "odd", "sx", "sy", "sxx", "syy", "sxy")])
+    with compiled(df.sparkSession):
+        sums = materialize(sums)
     n = F.col("n")
     vx, vy = n * F.col("sxx") - F.col("sx") * F.col("sx"), n * F.col("syy") - F.col("sy") * F.col("sy")
     varies = (vx > 1e-12 * n * F.col("sxx")) & (vy > 1e-12 * n * F.col("syy")) & (n > 1) & (F.col("odd") == 0)

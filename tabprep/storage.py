@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
 _LOCAL: list[str] = []
+#: Bytes of a generated method beyond which HotSpot only interprets it; Spark's documented setting for that JVM.
+_METHOD_LIMIT = ("spark.sql.codegen.hugeMethodLimit", "8000")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,3 +48,15 @@ def discard(df: DataFrame) -> None:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         if own.split(":", 1)[-1].lstrip("/") in folder:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def compiled(spark: SparkSession):
+    """Jobs started inside run wide projections in methods that the JVM compiles; the setting is put back after."""
+    key, limit = _METHOD_LIMIT
+    before = spark.conf.get(key)
+    spark.conf.set(key, limit)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -279,3 +279,14 @@ def test_shapiro_by_group_equals_the_plain_routine(spark):
     for g, r in got.items():
         w, p = D.shapiro_wilk(samples[g])
         assert (r.statistic, r.p_value) == (pytest.approx(w, abs=1.1e-6), pytest.approx(p, abs=1.1e-6)) and r.is_normal == (p > 0.05)
+
+
+def test_wide_projections_are_compiled_and_the_setting_is_put_back(spark):
+    from tabprep.storage import compiled
+
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key)
+    with pytest.raises(ZeroDivisionError), compiled(spark):
+        assert spark.conf.get(key) == "8000"
+        1 / 0
+    assert spark.conf.get(key) == before
