@@ -86,7 +86,9 @@ def estimator(name: str, features: str = "features", label: str = "label", **par
     elif name == LASSO:
         made = LinearRegression(elasticNetParam=1.0, standardization=False, regParam=1.0, maxIter=2000, tol=1e-9, **base)
     elif name == FOREST:
-        made = RandomForestRegressor(featureSubsetStrategy="all", seed=SEED, numTrees=100, maxDepth=30, **base)
+        # How the work is done, not what is fitted: rows keep the node they are in, so no pass walks the trees from their roots.
+        work = {"cacheNodeIds": True, "maxMemoryInMB": 512}
+        made = RandomForestRegressor(featureSubsetStrategy="all", seed=SEED, numTrees=100, maxDepth=30, **work, **base)
     elif name == BOOSTING:
         made = GBTRegressor(seed=SEED, maxIter=100, stepSize=0.1, maxDepth=3, **base)
     else:
@@ -425,6 +427,12 @@ def validation_curve(
     return data.sparkSession.createDataFrame(rows, "param string, value string, train_rmse double, validation_rmse double")
 
 
+def spread(data: DataFrame, order_by: str = ORD) -> DataFrame:
+    """Training rows dealt to as many tasks as there are cores, at least: a boosting fit passes over them hundreds of times."""
+    parts = max(data.sparkSession.sparkContext.defaultParallelism, data.rdd.getNumPartitions())
+    return data.repartition(parts, col(order_by))
+
+
 def boosting_history(model: Model, train: DataFrame, test: DataFrame) -> DataFrame | None:
     """(iteration, train_rmse, validation_rmse) of a boosting model; None for other models."""
     if not hasattr(model, "evaluateEachIteration"):

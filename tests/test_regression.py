@@ -234,3 +234,18 @@ def test_prediction_does_not_depend_on_other_rows(result, regression):
 def test_summary(result, regression):
     out = R.prediction_summary(result.predictor.transform(regression), "Predicted_target").first()
     assert out["count"] == 200 and out["min"] < out["mean"] < out["max"]
+
+
+def test_forest_keeps_the_nodes_of_rows_and_grows_the_same_trees(spark, regression):
+    data = R.labelled(regression, X.fit_features(regression, "target"))
+    made = M.estimator(M.FOREST, numTrees=3, maxDepth=12)
+    assert made.getCacheNodeIds()
+    walked = made.copy({made.cacheNodeIds: False, made.maxMemoryInMB: 256}).fit(data)
+    assert made.fit(data).toDebugString.split("\n")[1:] == walked.toDebugString.split("\n")[1:]
+
+
+def test_spread_deals_all_rows_to_the_cores(spark, regression):
+    one = regression.coalesce(1)
+    dealt = M.spread(one)
+    assert dealt.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert sorted(dealt.collect()) == sorted(one.collect())
