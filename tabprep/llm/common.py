@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tabprep.storage import materialize
 
 __all__ = [
-    "cell_count", "crc_remainder", "doc_slices", "labelled_sample", "materialize", "size_slices", "sums", "table",
+    "cell_count", "crc_remainder", "doc_slices", "labelled", "materialize", "size_slices", "sums", "table",
     "text_column", "text_slices", "worker_store", "words_of",
 ]
 
@@ -98,13 +98,11 @@ def crc_remainder(doc_id: str, divisor: int):
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(divisor))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """(doc_id, text, y) of at most ``rows`` labelled documents, chosen by a hash of their id.
+def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, text, y) of all labelled documents.
 
-    ``rows`` bounds what is sorted out on the driver and broadcast: an id and a number for each. Labels that are null
-    or neither 0 nor 1 are no labels; an id that repeats in ``labels`` has the larger one.
+    Labels that are null or neither 0 nor 1 are no labels; an id that repeats in ``labels`` has the larger one.
     """
     y = F.col(label).cast("int")
     known = labels.filter(F.col("doc_id").isNotNull() & y.isin(0, 1)).groupBy("doc_id").agg(F.max(y).alias("y"))
-    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    return docs.select("doc_id", "text").join(known, "doc_id")

@@ -13,11 +13,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabprep.llm.common import doc_slices, labelled_sample, materialize, text_column, words_of
+from tabprep.llm.common import doc_slices, labelled, materialize, text_column, words_of
 from tabprep.llm.ranking import best_threshold, fit_weights, preference_pairs, strength
 
-#: Labelled documents that the language model and the word weights are fitted on at most.
-LABELLED_ROWS = 20_000
 #: Letters that the language model tells apart, the most frequent ones; and features with a weight at most.
 LETTERS, FEATURES = 64, 400
 SLICE_BYTES = 4_000_000
@@ -200,7 +198,7 @@ def word_features(word: str) -> set[str]:
     return found
 
 
-def _letter_counts(sample: DataFrame) -> dict[str, int]:
+def _letter_counts(docs: DataFrame) -> dict[str, int]:
     """Counts of letters, pairs and triples in words of letters only."""
 
     def run(batches):
@@ -216,7 +214,7 @@ def _letter_counts(sample: DataFrame) -> dict[str, int]:
                             total[edged[i - 2:i + 1]] += n
                 yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array(list(total.values()), pa.int64())], names=["gram", "n"])
 
-    grams = materialize(sample.select("text").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    grams = materialize(docs.select("text").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")))
     letters = {r[0] for r in grams.groupBy(F.substring("gram", 3, 1).alias("l")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "l").limit(LETTERS).collect()} | {" "}
     inside = F.size(F.filter(F.split("gram", ""), lambda c: ~c.isin(*letters) & (c != ""))) == 0
     counts: Counter = Counter()
@@ -226,7 +224,7 @@ def _letter_counts(sample: DataFrame) -> dict[str, int]:
     return dict(counts)
 
 
-def _word_weights(sample: DataFrame, model: LetterModel) -> dict[str, float]:
+def _word_weights(docs: DataFrame, model: LetterModel) -> dict[str, float]:
     """Log odds of features between labels, cross-fitted: chosen on one half of the documents, weighed on the other.
 
     Counts are taken a standard deviation to the safe side, so that what few documents hold by chance weighs little.
@@ -255,7 +253,7 @@ def _word_weights(sample: DataFrame, model: LetterModel) -> dict[str, float]:
                 table = np.bincount(cell * width + seen % width, minlength=4 * width).reshape(4, width)[:, :-1]
                 yield pa.RecordBatch.from_arrays([pa.array(list(numbers)), *[pa.array(t.astype(np.int64)) for t in table]], names=["f", "n0", "p0", "n1", "p1"])
 
-    halves = sample.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)).cast("int"))
+    halves = docs.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)).cast("int"))
     size = {(r[0], r[1]): r[2] for r in halves.groupBy("half", "y").count().collect()}
     counts = halves.select("text", "y", "half").mapInArrow(run, "f string, n0 long, p0 long, n1 long, p1 long")
     total = counts.groupBy("f").agg(*[F.sum(c).alias(c) for c in ("n0", "p0", "n1", "p1")])
@@ -304,7 +302,7 @@ class Toxicity:
         z = signs @ np.array(self.weights) - self.threshold + math.log(self.passing / (1 - self.passing))
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
-    def with_signs(self, sample: DataFrame) -> DataFrame:
+    def with_signs(self, docs: DataFrame) -> DataFrame:
         """doc_id, y and the signs as ``features``."""
 
         def run(batches):
@@ -316,7 +314,7 @@ class Toxicity:
                     part = batch.select(["doc_id", "y"]).slice(at, to - at)
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found.tolist(), pa.list_(pa.float64()))], names=["doc_id", "y", "features"])
 
-        return sample.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, features array<double>")
+        return docs.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, features array<double>")
 
     def score(self, docs: DataFrame, column: str = "score") -> DataFrame:
         """All columns and the score in 0 to 1. Null texts count as empty."""
@@ -336,17 +334,17 @@ class Toxicity:
         return docs.mapInArrow(run, f"{kinds}, `{column}` double")
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = LABELLED_ROWS) -> Toxicity:
-    """Learn letters, words and their weights from at most ``rows`` labelled documents.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Toxicity:
+    """Learn letters, words and their weights from all labelled documents.
 
     Without both labels, or without a word that tells them apart, no document passes.
     """
-    sample = materialize(labelled_sample(docs, labels, label, rows))
-    letters = LetterModel(_letter_counts(sample))
-    model = Toxicity(letters, _word_weights(sample, letters))
+    known = materialize(labelled(docs, labels, label))
+    letters = LetterModel(_letter_counts(known))
+    model = Toxicity(letters, _word_weights(known, letters))
     if not model.words:
         return model
-    seen = materialize(model.with_signs(sample))
+    seen = materialize(model.with_signs(known))
     weights = fit_weights(materialize(preference_pairs(seen)), N_SIGNS, ridge=1e-2)
     threshold = best_threshold(seen.select("y", strength(weights).alias("s")))
     return Toxicity(letters, model.words, tuple(weights.tolist()), threshold)

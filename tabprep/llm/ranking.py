@@ -12,10 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabprep.llm.common import doc_slices, labelled_sample, materialize, sums, text_column, words_of
+from tabprep.llm.common import doc_slices, labelled, materialize, sums, text_column, words_of
 
-#: Labelled documents that a model is fitted on at most.
-LABELLED_ROWS = 20_000
 SLICE_BYTES = 4_000_000
 #: Patterns counted in words; their shares of all word characters are features.
 _COUNTED = (r"[#*$%&|<>]", r"\p{Lu}", r"\p{Nd}", "!", r"\|", r"[.,;:?]", r"[@~^_=+\\/{}\[\]]", r"(.)", r"[^\x00-\x7F]")
@@ -176,10 +174,9 @@ def best_threshold(scored: DataFrame) -> float:
     return (below + cuts[last]) / 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = LABELLED_ROWS, passing: float = 0.7) -> Ranking:
-    """Learn from at most ``rows`` labelled documents. Without both labels every document gets the passing score."""
-    sample = labelled_sample(docs, labels, label, rows)
-    rows_seen = materialize(_with_features(sample, ["doc_id", "y"]))
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", passing: float = 0.7) -> Ranking:
+    """Learn from all labelled documents. Without both labels every document gets the passing score."""
+    rows_seen = materialize(_with_features(labelled(docs, labels, label), ["doc_id", "y"]))
     weights = fit_weights(materialize(preference_pairs(rows_seen)))
     return Ranking(tuple(weights.tolist()), best_threshold(rows_seen.select("y", strength(weights).alias("s"))), passing)
 

@@ -356,3 +356,12 @@ def test_toxicity_of_long_null_and_empty_texts(spark):
     assert not [r.doc_id for r in found if r.doc_id in (100, 101, 102) and r.score >= 0.7]
     assert len({r.score for r in found if r.doc_id == 3}) == 1
     assert model.score(docs.limit(0)).count() == 0
+
+
+def test_models_learn_from_all_labelled_documents(spark):
+    from tabprep.llm import common
+
+    docs = spark.range(20_500).selectExpr("id AS doc_id", "'a b' AS text")
+    labels = spark.range(20_500).selectExpr("id AS doc_id", "id % 2 AS quality").union(spark.sql("SELECT 7L, 0L UNION ALL SELECT 3L, 9L UNION ALL SELECT null, 1L"))
+    rows = common.labelled(docs, labels, "quality")
+    assert rows.count() == 20_500 and rows.filter("y = 1").count() == 10_250
