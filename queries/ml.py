@@ -165,7 +165,7 @@ def random_forest(spark, d):
 
 def _boosted(spark, d):
     """The default boosting model on every part but each fifth, and its errors on both parts."""
-    data = _set(spark, d)
+    data = M.spread(_set(spark, d))
     train, held = data.filter("_ord % 5 <> 0"), data.filter("_ord % 5 = 0")
     return M.boosting_history(M.estimator(M.BOOSTING).fit(train), train, held)
 
