@@ -11,13 +11,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprep.storage import materialize
+from tabprep.storage import materialize, settings
 
 __all__ = [
-    "cell_count", "crc_remainder", "doc_slices", "labelled", "materialize", "size_slices", "sums", "table",
-    "text_column", "text_slices", "worker_store", "words_of",
+    "cell_count", "crc_remainder", "doc_slices", "known_labels", "labelled", "labelled_texts", "materialize", "size_slices",
+    "sorted_distinct", "sums", "table", "text_column", "text_slices", "worker_store", "words_of",
 ]
 
+#: Spark's own Bloom filters in joins by shuffle: at any size of the larger side, for four million ids of the smaller.
+_BLOOM = {
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g",
+    "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": "4000000",
+}
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -82,6 +89,12 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
+def sorted_distinct(values: np.ndarray) -> np.ndarray:
+    """As ``np.unique``, which hashes first; sorting millions of integers takes a fifth of its time."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def worker_store(name: str) -> dict:
     """A dict that lives as long as the Python worker, so tasks of one worker share loaded models and caches."""
     holder = sys.modules.setdefault("_tabprep_worker_store", types.ModuleType("_tabprep_worker_store"))
@@ -98,11 +111,26 @@ def crc_remainder(doc_id: str, divisor: int):
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(divisor))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """(doc_id, text, y) of all labelled documents.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, column: str = "text") -> DataFrame:
+    """(doc_id, ``column``, y) of all labelled documents.
 
     Labels that are null or neither 0 nor 1 are no labels; an id that repeats in ``labels`` has the larger one.
     """
+    return docs.select("doc_id", column).join(known_labels(labels, label), "doc_id")
+
+
+def known_labels(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, y): one row for each id with a label."""
     y = F.col(label).cast("int")
-    known = labels.filter(F.col("doc_id").isNotNull() & y.isin(0, 1)).groupBy("doc_id").agg(F.max(y).alias("y"))
-    return docs.select("doc_id", "text").join(known, "doc_id")
+    return labels.filter(F.col("doc_id").isNotNull() & y.isin(0, 1)).groupBy("doc_id").agg(F.max(y).alias("y"))
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """``labelled``, written once; texts of other ids are dropped by a Bloom filter of the labelled ids before the shuffle.
+
+    The filter has a fixed size. With more ids than it is made for it lets more texts pass; the join decides.
+    """
+    # Spark filters by ids only where their side has a condition of its own.
+    known = materialize(known_labels(labels, label)).filter(F.col("y") >= 0)
+    with settings(docs.sparkSession, _BLOOM):
+        return materialize(docs.select("doc_id", "text").join(known, "doc_id"))

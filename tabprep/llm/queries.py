@@ -95,7 +95,8 @@ def op7_soft_mixing(spark, sf_dir):
 def op8_pairwise_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").filter(crc_remainder("doc_id", 4) != 2)
-    scored = ranking.fit(docs, labels).score(docs)
+    rows = ranking.measured(docs)
+    scored = ranking.fit_measured(rows, labels).score_measured(rows)
     return scored.select(
         "doc_id", F.coalesce(crc_remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"),

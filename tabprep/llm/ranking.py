@@ -100,6 +100,17 @@ class Ranking:
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
         return docs.mapInArrow(run, kinds if only_passing else f"{kinds}, `{column}` double")
 
+    def score_measured(self, rows: DataFrame) -> DataFrame:
+        """doc_id and score of documents whose features are known."""
+
+        def run(batches):
+            for batch in batches:
+                p = self.probability(batch.column("features").flatten().to_numpy().reshape(-1, N_FEATURES))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p)], names=["doc_id", "score"])
+
+        kind = rows.schema["doc_id"].dataType.simpleString()
+        return rows.select("doc_id", "features").mapInArrow(run, f"doc_id {kind}, score double")
+
 
 def preference_pairs(rows: DataFrame) -> DataFrame:
     """Differences better minus worse: each labelled document meets one of the other label.
@@ -174,9 +185,19 @@ def best_threshold(scored: DataFrame) -> float:
     return (below + cuts[last]) / 2
 
 
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id and features of every document, written once. Labels meet these few numbers, so no text is shuffled."""
+    return materialize(_with_features(docs, ["doc_id"]))
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", passing: float = 0.7) -> Ranking:
     """Learn from all labelled documents. Without both labels every document gets the passing score."""
-    rows_seen = materialize(_with_features(labelled(docs, labels, label), ["doc_id", "y"]))
+    return fit_measured(measured(docs), labels, label, passing)
+
+
+def fit_measured(rows: DataFrame, labels: DataFrame, label: str = "quality", passing: float = 0.7) -> Ranking:
+    """The same for documents whose features are known."""
+    rows_seen = materialize(labelled(rows, labels, label, "features"))
     weights = fit_weights(materialize(preference_pairs(rows_seen)))
     return Ranking(tuple(weights.tolist()), best_threshold(rows_seen.select("y", strength(weights).alias("s"))), passing)
 

@@ -51,12 +51,18 @@ def discard(df: DataFrame) -> None:
 
 
 @contextmanager
-def compiled(spark: SparkSession):
-    """Jobs started inside run wide projections in methods that the JVM compiles; the setting is put back after."""
-    key, limit = _METHOD_LIMIT
-    before = spark.conf.get(key)
-    spark.conf.set(key, limit)
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Jobs started inside run under these settings of Spark; those before are put back after."""
+    before = {key: spark.conf.get(key) for key in values}
     try:
+        for key, value in values.items():
+            spark.conf.set(key, value)
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def compiled(spark: SparkSession):
+    """Jobs started inside run wide projections in methods that the JVM compiles; the setting is put back after."""
+    return settings(spark, dict([_METHOD_LIMIT]))

@@ -365,3 +365,33 @@ def test_models_learn_from_all_labelled_documents(spark):
     labels = spark.range(20_500).selectExpr("id AS doc_id", "id % 2 AS quality").union(spark.sql("SELECT 7L, 0L UNION ALL SELECT 3L, 9L UNION ALL SELECT null, 1L"))
     rows = common.labelled(docs, labels, "quality")
     assert rows.count() == 20_500 and rows.filter("y = 1").count() == 10_250
+
+
+def test_labels_meet_features_and_no_text_is_shuffled(spark, monkeypatch):
+    from tabprep.llm import common
+
+    rows = [(i, f"plain words number {i} here" if i % 3 else f"buy!! $$$ {i} ###", int(i % 3 > 0)) for i in range(60)]
+    docs = spark.createDataFrame([*rows, (3, "again", 1), (None, "no id", 0), (90, None, 1)], "doc_id long, text string, quality int")
+    seen = []
+    monkeypatch.setattr(ranking, "labelled", lambda docs, *rest: seen.append(docs.columns) or common.labelled(docs, *rest))
+    model = ranking.fit(docs, docs.select("doc_id", "quality"))
+    assert seen == [["doc_id", "features"]]
+    whole, measured = model.score(docs).select("doc_id", "score"), model.score_measured(ranking.measured(docs))
+    order = lambda d: sorted(((-1 if r.doc_id is None else r.doc_id), r.score) for r in d.collect())
+    assert np.allclose(order(whole), order(measured))
+
+
+def test_labelled_texts_are_filtered_before_the_shuffle(spark, tmp_path, monkeypatch):
+    from tabprep.llm import common
+    from tabprep.storage import settings
+
+    spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id) AS text").write.parquet(f"{tmp_path}/docs")
+    spark.range(0, 3000, 10).selectExpr("id AS doc_id", "CAST(id % 20 = 0 AS INT) AS toxic").write.parquet(f"{tmp_path}/labels")
+    docs, labels = spark.read.parquet(f"{tmp_path}/docs"), spark.read.parquet(f"{tmp_path}/labels")
+    plans, write = [], common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df))
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        found = common.labelled_texts(docs, labels, "toxic")
+    assert "might_contain" in plans[-1]
+    assert sorted(found.collect()) == [(i, f"text {i}", int(i % 20 == 0)) for i in range(0, 3000, 10)]
+    assert spark.conf.get("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold") != "0"
