@@ -1,4 +1,4 @@
-"""A class-factored maximum-entropy language model on hashed n-gram and skip features."""
+"""A class-factored maximum-entropy language model on hashed n-gram and skip features of classes and of words."""
 
 from __future__ import annotations
 
@@ -18,6 +18,10 @@ CLASSES, BUCKETS = 64, 1024
 #: Text of a batch, whose vocabulary is held at once, and vocabulary rows handed on together.
 SLICE_BYTES, ROWS_AT_ONCE = 8_000_000, 50_000
 _END = np.int64(-(1 << 62))
+#: Last bits of a word's hash, its class among them, that features of words are made of; buckets of these features.
+WORD_BITS, WORD_BUCKETS = 20, 1 << 14
+#: Tokens of a training step on features of words, and its rate.
+STEP_TOKENS, RATE = 4096, 0.5
 #: Blocks of weights: bias, class before, class two before (skip), both together.
 _ROWS = 1 + 2 * CLASSES + BUCKETS
 
@@ -27,6 +31,15 @@ def word_class(word: str) -> int:
     return 1 + zlib.crc32(word[-3:].encode()) % (CLASSES - 1)
 
 
+def coded(codes: np.ndarray, offsets: np.ndarray, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes with an end after each text, ends of the texts, and hashes of the words and the end, classes in the last bits."""
+    known = words.to_pylist()
+    hashes = pd.util.hash_array(np.array(known, dtype=object), categorize=False).view(np.int64) if known else np.zeros(0, np.int64)
+    classes = np.append(np.fromiter(map(word_class, known), np.int32, len(known)), np.int32(0))
+    codes = np.insert(codes, offsets[1:], len(known)).astype("<i4")
+    return codes, offsets[1:] + np.arange(1, len(offsets)), np.append(hashes, _END) & -CLASSES | classes
+
+
 def tokenized(docs: DataFrame, held_out: Column) -> DataFrame:
     """Written once: documents as codes into the vocabulary of their batch, each batch's vocabulary, and class counts.
 
@@ -60,21 +73,20 @@ def tokenized(docs: DataFrame, held_out: Column) -> DataFrame:
             for at, to in doc_slices(text, SLICE_BYTES):
                 n_docs = to - at
                 codes, offsets, words = words_of(pc.ascii_lower(text.slice(at, n_docs)))
-                known = words.to_pylist()
-                hashes = np.append(pd.util.hash_array(np.array(known, dtype=object), categorize=False).view(np.int64) if known else np.zeros(0, np.int64), _END)
-                classes = np.append(np.fromiter(map(word_class, known), np.int32, len(known)), np.int32(0))
-                codes = np.insert(codes, offsets[1:], len(known)).astype("<i4")
-                ends = offsets[1:] + np.arange(1, n_docs + 1)
+                codes, ends, hashes = coded(codes, offsets, words)
+                classes = (hashes & CLASSES - 1).astype(np.int32)
                 held = batch.column("held_out").slice(at, n_docs)
                 train = ~np.repeat(held.to_numpy(zero_copy_only=False).astype(bool), np.diff(np.concatenate([[0], ends])))
                 one, two = before(classes[codes], ends)
                 cell = (two.astype(np.int64) * CLASSES + one) * CLASSES + classes[codes]
                 triples += np.bincount(cell[train], minlength=CLASSES**3)
-                counts = np.bincount(codes[train], minlength=len(known) + 1)
+                counts = np.bincount(codes[train], minlength=len(hashes))
                 starts = np.concatenate([[0], ends[:-1]])
-                parts = [codes[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                # All lower halves, then all upper halves, which are mostly equal and shrink when written.
+                halves = codes.view("<u2").reshape(-1, 2).T.copy()
+                parts = [halves[:, a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield rows(number, 0, n_docs, doc_id=batch.column("doc_id").slice(at, n_docs), held_out=held, codes=parts)
-                yield from numbered(number, 1, code=np.arange(len(hashes)), hash=hashes & -CLASSES | classes, n=counts)
+                yield from numbered(number, 1, code=np.arange(len(hashes)), hash=hashes, n=counts)
                 number += 1
         used = np.flatnonzero(triples)
         yield from numbered(number, 2, hash=used, n=triples[used])
@@ -102,6 +114,13 @@ def context_rows(two: np.ndarray, one: np.ndarray) -> np.ndarray:
     return np.stack([np.zeros(len(one), np.int64), 1 + one, 1 + CLASSES + two, 1 + 2 * CLASSES + both], 1)
 
 
+def word_rows(two: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Buckets of a context's features of words: the word before, the one two before (skip) and both (n-gram)."""
+    keys = np.stack([one, two + (1 << WORD_BITS), (two + 2 << WORD_BITS) + one], 1).astype(np.uint64)
+    keys = (keys ^ keys >> np.uint64(17)) * np.uint64(0x9E3779B97F4A7C15)
+    return (keys >> np.uint64(64 - WORD_BUCKETS.bit_length() + 1)).astype(np.int64)
+
+
 def log_classes(weights: np.ndarray, contexts: np.ndarray) -> np.ndarray:
     """Natural log probability of each class in the contexts (two before * CLASSES + one before)."""
     z = weights[context_rows(contexts // CLASSES, contexts % CLASSES)].sum(1)
@@ -143,12 +162,88 @@ def train(triples: DataFrame, steps: int = 20, rate: float = 0.15, ridge: float
     return weights
 
 
+def class_scores(table: np.ndarray, base: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Scores of all classes; those whose exponentials do not fit single precision are cut to what does."""
+    z = base + table[rows[:, 0]]
+    for more in rows.T[1:]:
+        z += table[more]
+    return np.clip(z, -80, 80, out=z)
+
+
+def learn_words(table: np.ndarray, spread: np.ndarray, base: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> None:
+    """One gradient step on the features ``rows`` of tokens whose classes score ``base`` without them.
+
+    A bucket's rate falls with the root of its squared gradients so far (AdaGrad, one rate for all classes of a bucket).
+    """
+    off = class_scores(table, base, rows)
+    np.exp(off, out=off)
+    off *= (-1 / np.einsum("ij->i", off))[:, None]
+    off[np.arange(len(classes)), classes] += 1
+    flat = rows.ravel()
+    order = np.argsort(flat, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(flat[order]) > 0]))
+    bucket, g = flat[order[starts]], np.add.reduceat(off[order // rows.shape[1]], starts)
+    spread[bucket] += np.einsum("ij,ij->i", g, g)
+    table[bucket] += g * (RATE / (1 + np.sqrt(spread[bucket])))[:, None]
+
+
+def train_words(docs: DataFrame, held_out: Column, base: np.ndarray) -> np.ndarray:
+    """Weights of the features of words (bucket, class), on top of the log probabilities ``base`` of classes in class contexts.
+
+    Every task goes once through its training texts in steps of ``STEP_TOKENS`` tokens; the weights of a bucket are the
+    mean over the tasks, each counted by its tokens with that bucket. So every text takes part, and what is shuffled is a
+    table of fixed size per task.
+    """
+    base = base.astype(np.float32)
+
+    def run(batches):
+        table, spread = np.zeros((WORD_BUCKETS, CLASSES), np.float32), np.zeros(WORD_BUCKETS, np.float32)
+        seen = np.zeros(WORD_BUCKETS, np.int64)
+        for batch in batches:
+            text = text_column(batch)
+            for at, to in doc_slices(text, SLICE_BYTES):
+                codes, ends, hashes = coded(*words_of(pc.ascii_lower(text.slice(at, to - at))))
+                cls = (hashes & CLASSES - 1)[codes]
+                word = (hashes & (1 << WORD_BITS) - 1)[codes]
+                one, two = before(cls, ends)
+                context, rows = two * CLASSES + one, word_rows(*before(word, ends)[::-1])
+                seen += np.bincount(rows.ravel(), minlength=WORD_BUCKETS)
+                for i in range(0, len(cls), STEP_TOKENS):
+                    some = slice(i, i + STEP_TOKENS)
+                    learn_words(table, spread, base[context[some]], rows[some], cls[some])
+        used = np.flatnonzero(seen)
+        for at in range(0, len(used), 2048):
+            some = used[at:at + 2048]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(some, pa.int32()), pa.array(seen[some]), pa.array([w.astype("<f2").tobytes() for w in table[some]], pa.binary())],
+                names=["bucket", "n", "w"],
+            )
+
+    def merged(batches):
+        total, seen = np.zeros((WORD_BUCKETS, CLASSES)), np.zeros(WORD_BUCKETS, np.int64)
+        for batch in batches:
+            bucket, n = batch.column("bucket").to_numpy(), batch.column("n").to_numpy()
+            w = np.frombuffer(b"".join(batch.column("w").to_pylist()), "<f2").reshape(-1, CLASSES)
+            np.add.at(total, bucket, w * n[:, None].astype(float))
+            np.add.at(seen, bucket, n)
+        used = np.flatnonzero(seen)
+        mean = (total[used] / seen[used, None]).astype("<f4")
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([w.tobytes() for w in mean], pa.binary())], names=["bucket", "w"])
+
+    texts = docs.filter(~F.coalesce(held_out, F.lit(False))).select(F.col("text").cast("string").alias("text"))
+    parts = texts.mapInArrow(run, "bucket int, n long, w binary").repartition(8, "bucket")
+    table = np.zeros((WORD_BUCKETS, CLASSES), np.float32)
+    for bucket, w in parts.mapInArrow(merged, "bucket int, w binary").collect():  # at most WORD_BUCKETS rows
+        table[bucket] = np.frombuffer(w, "<f4")
+    return table
+
+
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each whole text.
 
     Tokens are the words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, then one end. ``base_score`` has add-one smoothed
-    unigrams of all documents that are not held out. ``score`` multiplies the class in its context with the word in its
-    class, add-one smoothed alike, with a place for all unknown words in each class. A null or empty text has only its
+    unigrams of all documents that are not held out. ``score`` multiplies the class in its context (classes and words
+    before it) with the word in its class, add-one smoothed alike, with a place for all unknown words in each class. A null or empty text has only its
     end; a null flag is not held out; each row is scored by itself.
 
     Counts of all distinct words come from one aggregation over the vocabularies of batches, and go back to the batches
@@ -156,30 +251,39 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     """
     rows = tokenized(docs, held_out)
     triples = rows.filter("kind = 2").groupBy(F.col("hash").alias("cell")).agg(F.sum("n").alias("n"))
-    weights = train(triples)
+    base = log_classes(train(triples), np.arange(CLASSES**2))
+    by_words = train_words(docs, held_out, base)
     words = rows.filter("kind = 1").select("batch", "code", "hash", "n")
     totals = materialize(words.groupBy("hash").agg(F.sum("n").alias("c")))
     sizes, cls = np.zeros((2, CLASSES), np.int64), F.col("hash").bitwiseAND(CLASSES - 1).cast("int")
     for k, n, v in totals.filter("c > 0").groupBy(cls.alias("cls")).agg(F.sum("c"), F.count("*")).collect():
         sizes[:, k] = n, v
     n_all, v_all = (int(x) for x in sizes.sum(1))
-    looked_up = words.drop("n").join(totals, "hash").select("batch", "code", cls.alias("cls"), "c")
+    looked_up = words.drop("n").join(totals, "hash").select("batch", "code", F.col("hash").bitwiseAND((1 << WORD_BITS) - 1).cast("int").alias("word"), "c")
     in_class = np.log10((sizes.sum(0) + 1).astype(float))
-    contexts = np.arange(CLASSES**2)
+    base = base.astype(np.float32)
 
     def score_batch(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        codes = np.frombuffer(b"".join(left["codes"]), "<i4")
+        low, high = (np.frombuffer(b"".join(x[i * len(x) // 2:(i + 1) * len(x) // 2] for x in left["codes"]), "<u2") for i in (0, 1))
+        codes = high.astype(np.int32) << 16 | low
         ends = np.cumsum(left["codes"].map(len).to_numpy() // 4)
-        count, classes = np.zeros(len(right), np.int64), np.zeros(len(right), np.int64)
+        count, words = np.zeros(len(right), np.int64), np.zeros(len(right), np.int64)
         place = right["code"].to_numpy()
-        count[place], classes[place] = right["c"].to_numpy(), right["cls"].to_numpy()
-        c, cls = count[codes], classes[codes]
+        count[place], words[place] = right["c"].to_numpy(), right["word"].to_numpy()
+        c, word = count[codes], words[codes]
+        cls = word & CLASSES - 1
         one, two = before(cls, ends)
-        table = log_classes(weights, contexts) / np.log(10)
+        context, (w1, w2) = two * CLASSES + one, before(word, ends)
+        of_class = np.zeros(len(cls))
+        for i in range(0, len(cls), STEP_TOKENS):
+            some = slice(i, i + STEP_TOKENS)
+            z = class_scores(by_words, base[context[some]], word_rows(w2[some], w1[some]))
+            of_class[some] = z[np.arange(len(z)), cls[some]]
+            of_class[some] -= np.log(np.einsum("ij->i", np.exp(z, out=z)))
         seen = np.log10(c + 1.0)
         per_token = {
             "n_known": c > 0, "base_score": seen - np.log10(n_all + v_all + 1.0),
-            "score": table[two * CLASSES + one, cls] + seen - in_class[cls],
+            "score": of_class / np.log(10) + seen - in_class[cls],
         }
         starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
         out = {k: np.add.reduceat(v.astype(float), starts) if len(v) else [] for k, v in per_token.items()}

@@ -395,3 +395,16 @@ def test_labelled_texts_are_filtered_before_the_shuffle(spark, tmp_path, monkeyp
     assert "might_contain" in plans[-1]
     assert sorted(found.collect()) == [(i, f"text {i}", int(i % 20 == 0)) for i in range(0, 3000, 10)]
     assert spark.conf.get("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold") != "0"
+
+
+def test_language_model_tells_words_of_one_class_apart(spark):
+    from pyspark.sql import functions as F
+
+    assert maxent.word_class("xabc") == maxent.word_class("yabc") and maxent.word_class("dog") != maxent.word_class("cat")
+    rows = [(i, "xabc dog" if i % 2 else "yabc cat") for i in range(400)]
+    rows += [(i, f"{'xabc' if i % 2 else 'yabc'} of {'dog' if i % 2 else 'cat'}") for i in range(400, 800)]
+    asked = {1000: "xabc dog", 1001: "xabc cat", 1002: "yabc cat", 1003: "yabc dog", 1004: "xabc of dog", 1005: "xabc of cat"}
+    docs = spark.createDataFrame([*rows, *asked.items()], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in maxent.score(docs, F.col("doc_id") >= 1000).collect()}
+    assert got[1000] > got[1001] + 0.3 and got[1002] > got[1003] + 0.3
+    assert got[1004] > got[1005] + 0.3
