@@ -14,7 +14,7 @@ from tabprep.llm.common import doc_slices, worker_store, words_of
 
 #: Words kept by each worker; beyond it words are encoded again in each slice. Not a cap on what is encoded.
 CACHED_WORDS = 400_000
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 #: White space that makes cutting a text at its spaces unsafe for byte-level vocabularies.
 _ODD_SPACE = re.compile(r"\s\s|^\s|\s\Z|[^\S \n]")
 
@@ -115,8 +115,13 @@ def _by_spaces(text: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encoded(text: pa.Array, path: str, byte_level: bool, end_id: int):
-    """Yield (first row, ids with the end id after each text, ids of each text) for slices of bounded size."""
+    """Yield (first row, ids with the end id after each text, ids of each text) for slices of bounded size.
+
+    What a slice took is given back after it: a worker that is used again holds its words and one slice.
+    """
     for at, to in doc_slices(text, SLICE_BYTES):
         ids, lengths = (_by_spaces if byte_level else _by_words)(text.slice(at, to - at), path)
         ids = np.insert(ids, np.cumsum(lengths), np.uint32(end_id)).astype("<u4")
         yield at, ids, lengths + 1
+        del ids, lengths
+        pa.default_memory_pool().release_unused()
