@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabprep.llm.common import doc_slices, labelled, materialize, text_column, words_of
+from tabprep.llm.common import doc_slices, labelled, labelled_texts, materialize, sorted_distinct, text_column, words_of
 from tabprep.llm.ranking import best_threshold, fit_weights, preference_pairs, strength
 
 #: Letters that the language model tells apart, the most frequent ones; and features with a weight at most.
@@ -190,12 +191,15 @@ def restore(text: pa.Array, model: LetterModel, store: dict) -> tuple[np.ndarray
     return np.concatenate(rows), np.concatenate(more), known + extra + apart
 
 
-def word_features(word: str) -> set[str]:
-    """The word and its strings of four and five letters, its edges marked."""
+def _features(word: str) -> list[str]:
+    """The word and its strings of four and five letters, its edges marked; some may come twice."""
     edged = f"^{word}$"
-    found = {edged[i:i + n] for n in (4, 5) for i in range(len(edged) - n + 1)}
-    found.add(edged)
-    return found
+    n = len(edged)
+    return [edged[i:i + 4] for i in range(n - 3)] + [edged[i:i + 5] for i in range(n - 4)] + [edged]
+
+
+def word_features(word: str) -> set[str]:
+    return set(_features(word))
 
 
 def _letter_counts(docs: DataFrame) -> dict[str, int]:
@@ -237,18 +241,18 @@ def _word_weights(docs: DataFrame, model: LetterModel) -> dict[str, float]:
             half = np.array(batch.column("half").to_pylist())
             for at, to in doc_slices(text, SLICE_BYTES):
                 row, codes, words = restore(text.slice(at, to - at), model, store)
-                numbers: dict[str, int] = {}
-                lists = [[numbers.setdefault(f, len(numbers)) for f in word_features(w)] if w else [] for w in words]
+                numbers: dict[str, int] = defaultdict(count().__next__)
+                lists = [[numbers[f] for f in _features(w)] if w else [] for w in words]
                 size = np.array([len(x) for x in lists], np.int64)
                 flat = np.fromiter((i for x in lists for i in x), np.int64, int(size.sum()))
                 start = np.cumsum(size) - size
-                pairs = np.unique(row.astype(np.int64) * len(words) + codes)
+                pairs = sorted_distinct(row.astype(np.int64) * len(words) + codes)
                 row, code = pairs // len(words), pairs % len(words)
                 each = size[code]
                 ends = np.cumsum(each)
                 feature = flat[np.repeat(start[code] - (ends - each), each) + np.arange(int(each.sum()))]
                 width = len(numbers) + 1
-                seen = np.unique(np.repeat(row, each) * width + feature)
+                seen = sorted_distinct(np.repeat(row, each) * width + feature)
                 cell = (2 * half + y)[at:to][seen // width]
                 table = np.bincount(cell * width + seen % width, minlength=4 * width).reshape(4, width)[:, :-1]
                 yield pa.RecordBatch.from_arrays([pa.array(list(numbers)), *[pa.array(t.astype(np.int64)) for t in table]], names=["f", "n0", "p0", "n1", "p1"])
@@ -302,8 +306,8 @@ class Toxicity:
         z = signs @ np.array(self.weights) - self.threshold + math.log(self.passing / (1 - self.passing))
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
-    def with_signs(self, docs: DataFrame) -> DataFrame:
-        """doc_id, y and the signs as ``features``."""
+    def measured(self, docs: DataFrame) -> DataFrame:
+        """doc_id and the signs as ``features`` of every document, written once."""
 
         def run(batches):
             store: dict = {}
@@ -311,10 +315,31 @@ class Toxicity:
                 text = text_column(batch)
                 for at, to in doc_slices(text, SLICE_BYTES):
                     found = self.signs(text.slice(at, to - at), store)
-                    part = batch.select(["doc_id", "y"]).slice(at, to - at)
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found.tolist(), pa.list_(pa.float64()))], names=["doc_id", "y", "features"])
+                    part = batch.column("doc_id").slice(at, to - at)
+                    yield pa.RecordBatch.from_arrays([part, pa.array(found.tolist(), pa.list_(pa.float64()))], names=["doc_id", "features"])
 
-        return docs.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, features array<double>")
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        return materialize(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, features array<double>"))
+
+    def fit_measured(self, rows: DataFrame, labels: DataFrame, label: str = "toxic") -> Toxicity:
+        """Weights of the signs, learned from all labelled documents among those whose signs are known."""
+        if not self.words:
+            return self
+        seen = materialize(labelled(rows, labels, label, "features"))
+        weights = fit_weights(materialize(preference_pairs(seen)), N_SIGNS, ridge=1e-2)
+        threshold = best_threshold(seen.select("y", strength(weights).alias("s")))
+        return Toxicity(self.letters, self.words, tuple(weights.tolist()), threshold, self.passing)
+
+    def score_measured(self, rows: DataFrame) -> DataFrame:
+        """doc_id and score of documents whose signs are known."""
+
+        def run(batches):
+            for batch in batches:
+                p = self.probability(batch.column("features").flatten().to_numpy().reshape(-1, N_SIGNS))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p)], names=["doc_id", "score"])
+
+        kind = rows.schema["doc_id"].dataType.simpleString()
+        return rows.select("doc_id", "features").mapInArrow(run, f"doc_id {kind}, score double")
 
     def score(self, docs: DataFrame, column: str = "score") -> DataFrame:
         """All columns and the score in 0 to 1. Null texts count as empty."""
@@ -334,17 +359,17 @@ class Toxicity:
         return docs.mapInArrow(run, f"{kinds}, `{column}` double")
 
 
+def learn_words(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[Toxicity, DataFrame]:
+    """Letters and words that tell the labels apart, from all labelled documents; and these documents, written once."""
+    known = labelled_texts(docs, labels, label)
+    letters = LetterModel(_letter_counts(known))
+    return Toxicity(letters, _word_weights(known, letters)), known
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Toxicity:
     """Learn letters, words and their weights from all labelled documents.
 
     Without both labels, or without a word that tells them apart, no document passes.
     """
-    known = materialize(labelled(docs, labels, label))
-    letters = LetterModel(_letter_counts(known))
-    model = Toxicity(letters, _word_weights(known, letters))
-    if not model.words:
-        return model
-    seen = materialize(model.with_signs(known))
-    weights = fit_weights(materialize(preference_pairs(seen)), N_SIGNS, ridge=1e-2)
-    threshold = best_threshold(seen.select("y", strength(weights).alias("s")))
-    return Toxicity(letters, model.words, tuple(weights.tolist()), threshold)
+    model, known = learn_words(docs, labels, label)
+    return model.fit_measured(model.measured(known), labels, label)

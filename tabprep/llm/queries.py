@@ -107,7 +107,9 @@ def op8_pairwise_quality(spark, sf_dir):
 def op10_deobfuscated_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").filter(crc_remainder("doc_id", 3) != 1)
-    scored = deobfuscation.fit(docs, labels).score(docs)
+    model, _ = deobfuscation.learn_words(docs, labels)
+    rows = model.measured(docs)
+    scored = model.fit_measured(rows, labels).score_measured(rows)
     return scored.select(
         "doc_id", F.coalesce(crc_remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"),
