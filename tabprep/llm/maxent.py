@@ -21,7 +21,7 @@ _END = np.int64(-(1 << 62))
 #: Last bits of a word's hash, its class among them, that features of words are made of; buckets of these features.
 WORD_BITS, WORD_BUCKETS = 20, 1 << 14
 #: Tokens of a training step on features of words, and its rate.
-STEP_TOKENS, RATE = 4096, 0.5
+STEP_TOKENS, RATE = 512, 0.5
 #: Blocks of weights: bias, class before, class two before (skip), both together.
 _ROWS = 1 + 2 * CLASSES + BUCKETS
 
@@ -180,7 +180,7 @@ def learn_words(table: np.ndarray, spread: np.ndarray, base: np.ndarray, rows: n
     off *= (-1 / np.einsum("ij->i", off))[:, None]
     off[np.arange(len(classes)), classes] += 1
     flat = rows.ravel()
-    order = np.argsort(flat, kind="stable")
+    order = np.argsort(flat.astype(np.uint16), kind="stable")  # 16 bits are sorted by counting
     starts = np.flatnonzero(np.concatenate([[True], np.diff(flat[order]) > 0]))
     bucket, g = flat[order[starts]], np.add.reduceat(off[order // rows.shape[1]], starts)
     spread[bucket] += np.einsum("ij,ij->i", g, g)

@@ -144,3 +144,19 @@ def test_pack(spark, docs, monkeypatch):
     assert packing.pack(docs.limit(0), BYTE).count() == 0
     with pytest.raises(ValueError):
         packing.pack(docs, BYTE, capacity=0)
+
+
+def test_encoding_gives_back_what_each_slice_took(monkeypatch):
+    class Pool:
+        given_back = 0
+
+        def release_unused(self):
+            Pool.given_back += 1
+
+    text = pa.array([f"some words {i} of a text" for i in range(50)], pa.large_string())
+    ((_, whole, sizes),) = encoding.encoded(text, BYTE, True, 0)
+    monkeypatch.setattr(encoding, "SLICE_BYTES", 200)
+    monkeypatch.setattr(encoding.pa, "default_memory_pool", Pool)
+    found = list(encoding.encoded(text, BYTE, True, 0))
+    assert len(found) > 3 and Pool.given_back == len(found)
+    assert (np.concatenate([f[1] for f in found]) == whole).all() and (np.concatenate([f[2] for f in found]) == sizes).all()
