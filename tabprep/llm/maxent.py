@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabprep.llm.common import doc_slices, materialize, text_column, words_of
+from tabprep.llm.common import materialize, text_slices, words_of
 
 #: Word classes (0 is the end of a text) and buckets of the features of two classes.
 CLASSES, BUCKETS = 64, 1024
@@ -22,6 +22,8 @@ _END = np.int64(-(1 << 62))
 WORD_BITS, WORD_BUCKETS = 20, 1 << 14
 #: Tokens of a training step on features of words, and its rate.
 STEP_TOKENS, RATE = 512, 0.5
+#: Tokens whose buckets are held at once; whole steps.
+MANY_TOKENS = 128 * STEP_TOKENS
 #: Blocks of weights: bias, class before, class two before (skip), both together.
 _ROWS = 1 + 2 * CLASSES + BUCKETS
 
@@ -35,7 +37,9 @@ def coded(codes: np.ndarray, offsets: np.ndarray, words: pa.Array) -> tuple[np.n
     """Codes with an end after each text, ends of the texts, and hashes of the words and the end, classes in the last bits."""
     known = words.to_pylist()
     hashes = pd.util.hash_array(np.array(known, dtype=object), categorize=False).view(np.int64) if known else np.zeros(0, np.int64)
-    classes = np.append(np.fromiter(map(word_class, known), np.int32, len(known)), np.int32(0))
+    last = pc.utf8_slice_codeunits(words, -3).dictionary_encode()  # classes of distinct endings
+    of = np.fromiter(map(word_class, last.dictionary.to_pylist()), np.int32, len(last.dictionary))
+    classes = np.append(of[last.indices.to_numpy(zero_copy_only=False)], np.int32(0))
     codes = np.insert(codes, offsets[1:], len(known)).astype("<i4")
     return codes, offsets[1:] + np.arange(1, len(offsets)), np.append(hashes, _END) & -CLASSES | classes
 
@@ -69,11 +73,9 @@ def tokenized(docs: DataFrame, held_out: Column) -> DataFrame:
 
         number, triples = TaskContext.get().partitionId() << 32, np.zeros(CLASSES**3, np.int64)
         for batch in batches:
-            text = text_column(batch)
-            for at, to in doc_slices(text, SLICE_BYTES):
-                n_docs = to - at
-                codes, offsets, words = words_of(pc.ascii_lower(text.slice(at, n_docs)))
-                codes, ends, hashes = coded(codes, offsets, words)
+            for at, (text,) in text_slices(batch, SLICE_BYTES, batch.num_rows):
+                n_docs = len(text)
+                codes, ends, hashes = coded(*words_of(pc.ascii_lower(text)))
                 classes = (hashes & CLASSES - 1).astype(np.int32)
                 held = batch.column("held_out").slice(at, n_docs)
                 train = ~np.repeat(held.to_numpy(zero_copy_only=False).astype(bool), np.diff(np.concatenate([[0], ends])))
@@ -88,6 +90,7 @@ def tokenized(docs: DataFrame, held_out: Column) -> DataFrame:
                 yield rows(number, 0, n_docs, doc_id=batch.column("doc_id").slice(at, n_docs), held_out=held, codes=parts)
                 yield from numbered(number, 1, code=np.arange(len(hashes)), hash=hashes, n=counts)
                 number += 1
+                pa.default_memory_pool().release_unused()
         used = np.flatnonzero(triples)
         yield from numbered(number, 2, hash=used, n=triples[used])
 
@@ -108,6 +111,15 @@ def before(classes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return one, two
 
 
+def contexts(word: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Class of each token, context of classes (two before * CLASSES + one before), words one and two before; 32 bits each."""
+    cls = word & CLASSES - 1
+    one, two = before(cls, ends)
+    two *= CLASSES
+    two += one
+    return cls, two, before(word, ends)
+
+
 def context_rows(two: np.ndarray, one: np.ndarray) -> np.ndarray:
     """Weight rows of a context's active features."""
     both = (two.astype(np.int64) * CLASSES + one) * 2654435761 % (1 << 32) % BUCKETS
@@ -116,6 +128,7 @@ def context_rows(two: np.ndarray, one: np.ndarray) -> np.ndarray:
 
 def word_rows(two: np.ndarray, one: np.ndarray) -> np.ndarray:
     """Buckets of a context's features of words: the word before, the one two before (skip) and both (n-gram)."""
+    one, two = one.astype(np.int64), two.astype(np.int64)
     keys = np.stack([one, two + (1 << WORD_BITS), (two + 2 << WORD_BITS) + one], 1).astype(np.uint64)
     keys = (keys ^ keys >> np.uint64(17)) * np.uint64(0x9E3779B97F4A7C15)
     return (keys >> np.uint64(64 - WORD_BUCKETS.bit_length() + 1)).astype(np.int64)
@@ -164,10 +177,26 @@ def train(triples: DataFrame, steps: int = 20, rate: float = 0.15, ridge: float
 
 def class_scores(table: np.ndarray, base: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Scores of all classes; those whose exponentials do not fit single precision are cut to what does."""
-    z = base + table[rows[:, 0]]
+    z = table.take(rows[:, 0], 0)
+    z += base
     for more in rows.T[1:]:
-        z += table[more]
-    return np.clip(z, -80, 80, out=z)
+        z += table.take(more, 0)
+    np.minimum(z, 80, out=z)
+    return np.maximum(z, -80, out=z)
+
+
+def bucket_sums(off: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets of ``rows`` and the sum of ``off`` over the tokens of each; most have one token, taken as it is."""
+    flat = rows.ravel()
+    order = np.argsort(flat.astype(np.uint16), kind="stable")  # 16 bits are sorted by counting
+    in_order, token = flat[order], order // rows.shape[1]
+    starts = np.flatnonzero(np.concatenate([[True], in_order[1:] != in_order[:-1]]))
+    sizes = np.diff(starts, append=len(flat))
+    total, many = off.take(token[starts], 0), sizes > 1
+    if many.any():
+        n = sizes[many]
+        total[many] = np.add.reduceat(off.take(token[np.repeat(many, sizes)], 0), np.cumsum(n) - n)
+    return in_order[starts], total
 
 
 def learn_words(table: np.ndarray, spread: np.ndarray, base: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> None:
@@ -179,12 +208,12 @@ def learn_words(table: np.ndarray, spread: np.ndarray, base: np.ndarray, rows: n
     np.exp(off, out=off)
     off *= (-1 / np.einsum("ij->i", off))[:, None]
     off[np.arange(len(classes)), classes] += 1
-    flat = rows.ravel()
-    order = np.argsort(flat.astype(np.uint16), kind="stable")  # 16 bits are sorted by counting
-    starts = np.flatnonzero(np.concatenate([[True], np.diff(flat[order]) > 0]))
-    bucket, g = flat[order[starts]], np.add.reduceat(off[order // rows.shape[1]], starts)
-    spread[bucket] += np.einsum("ij,ij->i", g, g)
-    table[bucket] += g * (RATE / (1 + np.sqrt(spread[bucket])))[:, None]
+    bucket, g = bucket_sums(off, rows)
+    so_far = spread[bucket] + np.einsum("ij,ij->i", g, g)
+    spread[bucket] = so_far
+    g *= (RATE / (1 + np.sqrt(so_far)))[:, None]
+    g += table.take(bucket, 0)
+    table[bucket] = g
 
 
 def train_words(docs: DataFrame, held_out: Column, base: np.ndarray) -> np.ndarray:
@@ -200,17 +229,16 @@ def train_words(docs: DataFrame, held_out: Column, base: np.ndarray) -> np.ndarr
         table, spread = np.zeros((WORD_BUCKETS, CLASSES), np.float32), np.zeros(WORD_BUCKETS, np.float32)
         seen = np.zeros(WORD_BUCKETS, np.int64)
         for batch in batches:
-            text = text_column(batch)
-            for at, to in doc_slices(text, SLICE_BYTES):
-                codes, ends, hashes = coded(*words_of(pc.ascii_lower(text.slice(at, to - at))))
-                cls = (hashes & CLASSES - 1)[codes]
-                word = (hashes & (1 << WORD_BITS) - 1)[codes]
-                one, two = before(cls, ends)
-                context, rows = two * CLASSES + one, word_rows(*before(word, ends)[::-1])
-                seen += np.bincount(rows.ravel(), minlength=WORD_BUCKETS)
+            for _, (text,) in text_slices(batch, SLICE_BYTES, batch.num_rows):
+                codes, ends, hashes = coded(*words_of(pc.ascii_lower(text)))
+                cls, context, (w1, w2) = contexts((hashes & (1 << WORD_BITS) - 1).astype(np.int32)[codes], ends)
                 for i in range(0, len(cls), STEP_TOKENS):
-                    some = slice(i, i + STEP_TOKENS)
-                    learn_words(table, spread, base[context[some]], rows[some], cls[some])
+                    if i % MANY_TOKENS == 0:
+                        rows = word_rows(w2[i:i + MANY_TOKENS], w1[i:i + MANY_TOKENS])
+                        seen += np.bincount(rows.ravel(), minlength=WORD_BUCKETS)
+                    some, at = slice(i, i + STEP_TOKENS), i % MANY_TOKENS
+                    learn_words(table, spread, base.take(context[some], 0), rows[at:at + STEP_TOKENS], cls[some])
+                pa.default_memory_pool().release_unused()
         used = np.flatnonzero(seen)
         for at in range(0, len(used), 2048):
             some = used[at:at + 2048]
@@ -267,17 +295,15 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
         low, high = (np.frombuffer(b"".join(x[i * len(x) // 2:(i + 1) * len(x) // 2] for x in left["codes"]), "<u2") for i in (0, 1))
         codes = high.astype(np.int32) << 16 | low
         ends = np.cumsum(left["codes"].map(len).to_numpy() // 4)
-        count, words = np.zeros(len(right), np.int64), np.zeros(len(right), np.int64)
+        count, words = np.zeros(len(right), np.int64), np.zeros(len(right), np.int32)
         place = right["code"].to_numpy()
         count[place], words[place] = right["c"].to_numpy(), right["word"].to_numpy()
-        c, word = count[codes], words[codes]
-        cls = word & CLASSES - 1
-        one, two = before(cls, ends)
-        context, (w1, w2) = two * CLASSES + one, before(word, ends)
+        c = count[codes]
+        cls, context, (w1, w2) = contexts(words[codes], ends)
         of_class = np.zeros(len(cls))
         for i in range(0, len(cls), STEP_TOKENS):
             some = slice(i, i + STEP_TOKENS)
-            z = class_scores(by_words, base[context[some]], word_rows(w2[some], w1[some]))
+            z = class_scores(by_words, base.take(context[some], 0), word_rows(w2[some], w1[some]))
             of_class[some] = z[np.arange(len(z)), cls[some]]
             of_class[some] -= np.log(np.einsum("ij->i", np.exp(z, out=z)))
         seen = np.log10(c + 1.0)

@@ -408,3 +408,44 @@ def test_language_model_tells_words_of_one_class_apart(spark):
     got = {r.doc_id: r.score for r in maxent.score(docs, F.col("doc_id") >= 1000).collect()}
     assert got[1000] > got[1001] + 0.1 and got[1002] > got[1003] + 0.1
     assert got[1004] > got[1005] + 0.1
+
+
+def test_training_steps_reduce_only_buckets_of_many_tokens(monkeypatch):
+    """Sums of buckets are those of adding token by token, and a bucket of one token is not reduced."""
+    rng = np.random.default_rng(3)
+    off = rng.normal(size=(200, maxent.CLASSES)).astype(np.float32)
+    rows = np.stack([rng.integers(0, 5, 200), rng.integers(0, 400, 200), np.arange(1000, 1200)], 1)
+    want = np.zeros((1200, maxent.CLASSES), np.float32)
+    for row, o in zip(rows, off, strict=True):
+        for b in row:
+            want[b] += o
+    reduced = []
+
+    class Add:
+        @staticmethod
+        def reduceat(values, starts):
+            reduced.append(len(starts))
+            return np.add.reduceat(values, starts)
+
+    class Numpy:
+        add = Add
+
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+    monkeypatch.setattr(maxent, "np", Numpy())
+    bucket, total = maxent.bucket_sums(off, rows)
+    assert bucket.tolist() == sorted({*rows.ravel().tolist()}) and np.allclose(total, want[bucket], atol=1e-4)
+    assert sum(reduced) == (np.bincount(rows.ravel()) > 1).sum() < len(bucket) // 2
+
+
+def test_classes_are_those_of_each_word(monkeypatch):
+    import pyarrow as pa
+
+    known = ["cat", "at", "", "ünä", "xünä", "中文字", "a中文字", "the", "bathe", "🇫🇷z"]
+    of, asked = maxent.word_class, []
+    monkeypatch.setattr(maxent, "word_class", lambda w: asked.append(w) or of(w))
+    _, _, hashes = maxent.coded(np.arange(len(known)), np.array([0, len(known)]), pa.array(known, pa.large_string()))
+    assert (hashes & maxent.CLASSES - 1).tolist() == [*map(of, known), 0]
+    assert len(asked) == len(set(w[-3:] for w in known)) < len(known)
+    assert len(maxent.coded(np.zeros(0, int), np.array([0, 0]), pa.array([], pa.large_string()))[2]) == 1
