@@ -19,19 +19,55 @@ SLICE_BYTES = 4_000_000
 _ODD_SPACE = re.compile(r"\s\s|^\s|\s\Z|[^\S \n]")
 
 
-def _look_up(strings: pa.Array, store: dict, tokenizer) -> list[bytes]:
-    """Little-endian 32-bit ids of each string; strings are distinct."""
-    cache, keys = store["words"], strings.to_pylist()
-    found = [cache.get(k) for k in keys]
-    missing = [i for i, ids in enumerate(found) if ids is None]
+def _look_up(strings: pa.Array, store: dict, tokenizer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place of each string, and the ids of all places one after the other and their numbers; strings are distinct."""
+    known = pc.index_in(strings, value_set=store["words"])
+    missing = strings.filter(pc.is_null(known))
+    place = pc.fill_null(known, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    place[pc.is_null(known).to_numpy(zero_copy_only=False)] = len(store["words"]) + np.arange(len(missing))
+    flat, sizes = store["flat"], store["sizes"]
     for at in range(0, len(missing), 20_000):
-        some = missing[at:at + 20_000]
-        coded = tokenizer.encode_batch_fast([keys[i] for i in some], add_special_tokens=False)
-        for i, code in zip(some, coded, strict=True):
-            found[i] = array("I", code.ids).tobytes()
-        if len(cache) < CACHED_WORDS:
-            cache.update((keys[i], found[i]) for i in some)
-    return found
+        some = missing.slice(at, 20_000)
+        new, each = _encode(some, store, tokenizer)
+        flat, sizes = np.concatenate([flat, new]), np.concatenate([sizes, each])
+        if len(store["words"]) < CACHED_WORDS:
+            store["words"] = pa.concat_arrays([store["words"], some])
+            store["flat"], store["sizes"] = flat, sizes
+    return place, flat, sizes
+
+
+def _encode(words: pa.Array, store: dict, tokenizer) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words one after the other, and their number for each word. Words of letters are encoded as one text.
+
+    Each of these has at least one id that ends a word, so with as many of these ids as words each has exactly one, its
+    last. Where the numbers differ, words are encoded one by one.
+    """
+    keys, letters = words.to_pylist(), np.zeros(len(words), bool)
+    if store["ends"] is not None:
+        letters = pc.match_substring_regex(words, "^\\p{L}+$").to_numpy(zero_copy_only=False)
+    joined = " ".join([k for k, x in zip(keys, letters, strict=True) if x])
+    ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+    ends = np.flatnonzero(store["ends"][ids]) + 1 if letters.any() else np.zeros(0, np.int64)
+    if len(ends) != letters.sum():
+        ids, ends, letters = ids[:0], ends[:0], np.zeros(len(words), bool)
+    coded = tokenizer.encode_batch_fast([k for k, x in zip(keys, letters, strict=True) if not x], add_special_tokens=False)
+    pieces = [array("I", code.ids).tobytes() for code in coded]
+    both = np.concatenate([ids, np.frombuffer(b"".join(pieces), "<u4")])
+    sizes = np.concatenate([np.diff(ends, prepend=0), np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4])
+    order = np.argsort(np.concatenate([np.flatnonzero(letters), np.flatnonzero(~letters)]))
+    return _expand(order, np.arange(len(words) + 1), both, sizes)
+
+
+def _word_ends(tokenizer) -> np.ndarray | None:
+    """Which ids end a word, where every byte has such an id; None for vocabularies without them."""
+    from tokenizers import pre_tokenizers
+
+    known = tokenizer.get_vocab(with_added_tokens=False)
+    if not all(byte + "</w>" in known for byte in pre_tokenizers.ByteLevel.alphabet()):
+        return None
+    ends = np.zeros(tokenizer.get_vocab_size(), bool)
+    ends[[i for token, i in known.items() if token.endswith("</w>")]] = True
+    return ends
 
 
 def _ids_of_words(words: pa.Array, store: dict, tokenizer, lower: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -43,15 +79,16 @@ def _ids_of_words(words: pa.Array, store: dict, tokenizer, lower: bool) -> tuple
         words = pc.ascii_lower(words)
     bare = pc.utf8_rtrim(words, ".,")
     body = pc.if_else(pc.match_substring_regex(bare, "\\p{L}$"), bare, words)
-    tail = pc.if_else(pc.equal(body, words), "", pc.replace_substring_regex(words, "^.*?([.,]*)$", "\\1"))
+    tail = pc.replace_substring_regex(pc.if_else(pc.equal(body, words), "", words), "^.*?([.,]*)$", "\\1")
     body, tail = body.dictionary_encode(), tail.dictionary_encode()
-    pieces = _look_up(body.dictionary, store, tokenizer) + _look_up(tail.dictionary, store, tokenizer)
+    pieces = pa.concat_arrays([body.dictionary, tail.dictionary]).dictionary_encode()
+    place, flat, sizes = _look_up(pieces.dictionary, store, tokenizer)
+    place = place[pieces.indices.to_numpy(zero_copy_only=False)]
     both = np.stack([
         body.indices.to_numpy(zero_copy_only=False),
         tail.indices.to_numpy(zero_copy_only=False) + len(body.dictionary),
     ], 1).ravel()
-    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
-    return _expand(both, 2 * np.arange(len(words) + 1), np.frombuffer(b"".join(pieces), "<u4"), sizes)
+    return _expand(place[both], 2 * np.arange(len(words) + 1), flat, sizes)
 
 
 def _load(path: str):
@@ -60,7 +97,9 @@ def _load(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     store = worker_store(path)
     if "tokenizer" not in store:
-        store["tokenizer"], store["words"] = Tokenizer.from_file(path), {}
+        store["tokenizer"], store["words"] = Tokenizer.from_file(path), pa.array([], pa.large_string())
+        store["flat"], store["sizes"] = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        store["ends"] = _word_ends(store["tokenizer"])
     return store, store["tokenizer"]
 
 

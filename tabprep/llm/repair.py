@@ -55,15 +55,20 @@ def compress(ids: np.ndarray, lengths: np.ndarray, least: int = LEAST):
     active, floor = np.ones(len(symbols), bool), None
     left, right, size, length_of, made = [], [], [], [np.ones(terminals, np.int64)], terminals
     while len(symbols) > 1:
+        # Bins of pairs drop most rare ones before the exact count; 32 bits a pair, and a table of flags that stays in cache.
         at = np.flatnonzero(active[:-1] & ~ends[:-1])
-        pairs = (symbols[at].astype(np.int64) << 32) | symbols[at + 1]
-        # Bins of pairs drop most rare ones before the exact count.
-        bins = ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BIN_BITS)).astype(np.int32)
-        per_bin = np.bincount(bins, minlength=1 << _BIN_BITS)
+        all_of = len(at) > len(symbols) // 2
+        one, two = (symbols[:-1], symbols[1:]) if all_of else (symbols[at], symbols[at + 1])
+        bins = one.view(np.uint32) * np.uint32(0x9E3779B1)
+        bins += two.view(np.uint32)
+        bins *= np.uint32(0x85EBCA77)
+        bins >>= np.uint32(32 - _BIN_BITS)
+        per_bin = np.bincount(bins[at] if all_of else bins, minlength=1 << _BIN_BITS)
         if floor is None:
             floor = max(least, int(per_bin.max(initial=0)) // FALL)
-        crowded = per_bin[bins] >= floor
-        at, pairs = at[crowded], pairs[crowded]
+        crowded = (per_bin >= floor)[bins]
+        at = at[crowded[at] if all_of else crowded]
+        pairs = (symbols[at].astype(np.int64) << 32) | symbols[at + 1]
         counted = _apart(pairs, at)
         at, pairs = at[counted], pairs[counted]
         code, known = pd.factorize(pairs)

@@ -160,3 +160,54 @@ def test_encoding_gives_back_what_each_slice_took(monkeypatch):
     found = list(encoding.encoded(text, BYTE, True, 0))
     assert len(found) > 3 and Pool.given_back == len(found)
     assert (np.concatenate([f[1] for f in found]) == whole).all() and (np.concatenate([f[2] for f in found]) == sizes).all()
+
+
+def test_words_of_letters_are_encoded_as_one_text(monkeypatch):
+    store, real = encoding._load(WORD)
+    asked = []
+
+    class Spy:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return real.encode_batch_fast(texts, **options)
+
+    texts = ["Some wörds of letters and Überraschung, ΣΑΣ 中文", "and2 don't qwrtz. letters ǅ éa", *(t or "" for t in TEXTS)]
+    for name, value in {"tokenizer": Spy(), "words": pa.array([], pa.large_string()), "flat": np.zeros(0, "<u4"), "sizes": np.zeros(0, np.int64)}.items():
+        monkeypatch.setitem(store, name, value)
+    for ends in (store["ends"], np.ones_like(store["ends"])):  # the second cannot tell words apart: they are encoded one by one
+        monkeypatch.setitem(store, "ends", ends)
+        monkeypatch.setitem(store, "words", pa.array([], pa.large_string()))
+        monkeypatch.setitem(store, "flat", np.zeros(0, "<u4"))
+        monkeypatch.setitem(store, "sizes", np.zeros(0, np.int64))
+        asked.clear()
+        ((_, ids, lengths),) = encoding.encoded(pa.array(texts, pa.large_string()), WORD, False, 2)
+        for mine, text in zip(np.split(ids, np.cumsum(lengths)[:-1]), texts, strict=True):
+            assert mine.tolist() == _ids(WORD, text, 2).tolist(), text
+        assert ("letters" in asked) == bool(ends.all()) and any(" letters " in t for t in asked)
+        asked.clear()
+        ((_, again, _),) = encoding.encoded(pa.array(texts, pa.large_string()), WORD, False, 2)
+        assert again.tolist() == ids.tolist() and not any(asked)
+
+
+def test_pairs_are_binned_in_32_bits(monkeypatch):
+    """Of a shard only pairs in crowded bins get 64 bits; symbols, which are half as large, take part whole."""
+    rng = np.random.default_rng(1)
+    ids, wide = rng.integers(0, 40_000, 100_000).astype(np.uint32), []
+    ids[:600] = np.tile([5, 9, 11], 200)
+    counted = repair._apart
+    monkeypatch.setattr(repair, "_apart", lambda pairs, at: wide.append(len(pairs)) or counted(pairs, at))
+
+    class Numpy:
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        @staticmethod
+        def bincount(values, **options):
+            if options.get("minlength") == 1 << repair._BIN_BITS:
+                assert values.dtype == np.uint32
+            return np.bincount(values, **options)
+
+    monkeypatch.setattr(repair, "np", Numpy())
+    terminals, left, right, size, symbols, _ = repair.compress(ids, np.array([100_000]))
+    assert wide[0] < 1000
+    assert repair.decode(symbols, repair.expansions(terminals, left, right, size)).tolist() == ids.tolist()
