@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -12,28 +13,52 @@ import pyarrow.compute as pc
 
 from tabprep.llm.common import doc_slices, worker_store, words_of
 
-#: Words kept by each worker; beyond it words are encoded again in each slice. Not a cap on what is encoded.
+#: Words kept by each worker; beyond it words are encoded again in each slice or shard. Not a cap on what is encoded.
 CACHED_WORDS = 400_000
 SLICE_BYTES = 4_000_000
+#: Signs that make a token of their own after a letter, in either vocabulary; no apostrophes, nothing of special tokens.
+_TAIL = ".,!?;:*#$%&\"()[]{}-+=/\\@_~^`"
 #: White space that makes cutting a text at its spaces unsafe for byte-level vocabularies.
 _ODD_SPACE = re.compile(r"\s\s|^\s|\s\Z|[^\S \n]")
 
 
-def _look_up(strings: pa.Array, store: dict, tokenizer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Place of each string, and the ids of all places one after the other and their numbers; strings are distinct."""
-    known = pc.index_in(strings, value_set=store["words"])
-    missing = strings.filter(pc.is_null(known))
-    place = pc.fill_null(known, 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    place[pc.is_null(known).to_numpy(zero_copy_only=False)] = len(store["words"]) + np.arange(len(missing))
-    flat, sizes = store["flat"], store["sizes"]
+def _strings(words: pa.Array) -> list[str]:
+    """As ``to_pylist``, which makes a scalar of each string first."""
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
+def _places(store: dict) -> dict:
+    """Place of each of the store's words."""
+    if store.get("placed") is not store["words"]:
+        store["places"], store["placed"] = {w: i for i, w in enumerate(_strings(store["words"]))}, store["words"]
+    return store["places"]
+
+
+def _look_up(strings: list[str], store: dict, tokenizer) -> np.ndarray:
+    """Place of each string in the store; words it does not have are encoded and added."""
+    places = _places(store)
+    place = np.fromiter(map(places.get, strings, repeat(-1)), np.int64, len(strings))
+    lacking = np.flatnonzero(place < 0).tolist()
+    missing = list(dict.fromkeys([strings[i] for i in lacking]))
     for at in range(0, len(missing), 20_000):
-        some = missing.slice(at, 20_000)
+        some = pa.array(missing[at:at + 20_000], pa.large_string())
         new, each = _encode(some, store, tokenizer)
-        flat, sizes = np.concatenate([flat, new]), np.concatenate([sizes, each])
-        if len(store["words"]) < CACHED_WORDS:
-            store["words"] = pa.concat_arrays([store["words"], some])
-            store["flat"], store["sizes"] = flat, sizes
-    return place, flat, sizes
+        places.update(zip(missing[at:at + 20_000], count(len(places)), strict=False))
+        store["words"] = store["placed"] = pa.concat_arrays([store["words"], some])
+        store["flat"], store["sizes"] = np.concatenate([store["flat"], new]), np.concatenate([store["sizes"], each])
+    place[lacking] = [places[strings[i]] for i in lacking]
+    return place
+
+
+def _forget(store: dict) -> None:
+    """Leave the first ``CACHED_WORDS`` words in the store; places of others are no longer valid."""
+    if len(store["words"]) > CACHED_WORDS:
+        places, words = _places(store), store["words"]
+        for word in _strings(words.slice(CACHED_WORDS)):
+            del places[word]
+        store["words"] = store["placed"] = words.take(pa.array(np.arange(CACHED_WORDS)))
+        store["sizes"] = store["sizes"][:CACHED_WORDS].copy()
+        store["flat"] = store["flat"][:store["sizes"].sum()].copy()
 
 
 def _encode(words: pa.Array, store: dict, tokenizer) -> tuple[np.ndarray, np.ndarray]:
@@ -42,7 +67,7 @@ def _encode(words: pa.Array, store: dict, tokenizer) -> tuple[np.ndarray, np.nda
     Each of these has at least one id that ends a word, so with as many of these ids as words each has exactly one, its
     last. Where the numbers differ, words are encoded one by one.
     """
-    keys, letters = words.to_pylist(), np.zeros(len(words), bool)
+    keys, letters = _strings(words), np.zeros(len(words), bool)
     if store["ends"] is not None:
         letters = pc.match_substring_regex(words, "^\\p{L}+$").to_numpy(zero_copy_only=False)
     joined = " ".join([k for k, x in zip(keys, letters, strict=True) if x])
@@ -70,25 +95,33 @@ def _word_ends(tokenizer) -> np.ndarray | None:
     return ends
 
 
-def _ids_of_words(words: pa.Array, store: dict, tokenizer, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words one after the other, and their number for each word.
+def _places_of_words(words: pa.Array, store: dict, tokenizer, lower: bool) -> np.ndarray:
+    """Two places for each word, of its body and its tail.
 
-    A trailing run of ``.,`` after a letter is a token of its own in either vocabulary, so it is looked up by itself.
+    A trailing run of signs after a letter is looked up by itself.
     """
     if lower and not pc.any(pc.match_substring(words, "<|"), min_count=0).as_py():
         words = pc.ascii_lower(words)
-    bare = pc.utf8_rtrim(words, ".,")
-    body = pc.if_else(pc.match_substring_regex(bare, "\\p{L}$"), bare, words)
-    tail = pc.replace_substring_regex(pc.if_else(pc.equal(body, words), "", words), "^.*?([.,]*)$", "\\1")
-    body, tail = body.dictionary_encode(), tail.dictionary_encode()
-    pieces = pa.concat_arrays([body.dictionary, tail.dictionary]).dictionary_encode()
-    place, flat, sizes = _look_up(pieces.dictionary, store, tokenizer)
-    place = place[pieces.indices.to_numpy(zero_copy_only=False)]
-    both = np.stack([
-        body.indices.to_numpy(zero_copy_only=False),
-        tail.indices.to_numpy(zero_copy_only=False) + len(body.dictionary),
-    ], 1).ravel()
-    return _expand(place[both], 2 * np.arange(len(words) + 1), flat, sizes)
+    bare = pc.utf8_rtrim(words, _TAIL)
+    at = np.flatnonzero(pc.not_equal(pc.binary_length(bare), pc.binary_length(words)).to_numpy(zero_copy_only=False))
+    bare = bare.take(pa.array(at))
+    after_letter = pc.match_substring_regex(bare, "\\p{L}$")
+    at = at[after_letter.to_numpy(zero_copy_only=False)]
+    strings, tails = _strings(words), []
+    for i, body in zip(at.tolist(), _strings(bare.filter(after_letter)), strict=True):
+        tails.append(strings[i][len(body):])
+        strings[i] = body
+    found = _look_up([*strings, *tails, ""], store, tokenizer)
+    both = np.full((len(words), 2), found[-1])
+    both[:, 0] = found[:len(words)]
+    both[at, 1] = found[len(words):-1]
+    return both
+
+
+def _ids_of_words(words: pa.Array, store: dict, tokenizer, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words one after the other, and their number for each word."""
+    both = _places_of_words(words, store, tokenizer, lower)
+    return _expand(both.ravel(), 2 * np.arange(len(words) + 1), store["flat"], store["sizes"])
 
 
 def _load(path: str):
@@ -163,4 +196,43 @@ def encoded(text: pa.Array, path: str, byte_level: bool, end_id: int):
         ids = np.insert(ids, np.cumsum(lengths), np.uint32(end_id)).astype("<u4")
         yield at, ids, lengths + 1
         del ids, lengths
+        _forget(worker_store(path))
+        pa.default_memory_pool().release_unused()
+
+
+class Units:
+    """Texts as numbers of units (words, or whole texts for byte-level vocabularies) until ``release``; 0 is the end id."""
+
+    def __init__(self, path: str, byte_level: bool, end_id: int):
+        self.path, self.byte_level, self.end = path, byte_level, np.array([end_id], "<u4")
+        self.release()
+
+    def code(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
+        """Units of all texts in turn, their number in each text, and the number of ids; each text has its end."""
+        if self.byte_level:
+            ids, lengths = _by_spaces(text, self.path)
+            codes = sum(map(len, self.sizes)) + np.arange(len(text))
+            self.flat.append(ids)
+            self.sizes.append(lengths)
+            filled, offsets = lengths > 0, np.arange(len(text) + 1)
+        else:
+            store, tokenizer = _load(self.path)
+            words, offsets, distinct = words_of(text)
+            places = _places_of_words(distinct, store, tokenizer, lower=True)[words].ravel()
+            lengths, codes, offsets = store["sizes"][places], (places + 1).astype(np.int32), 2 * offsets
+            filled = lengths > 0
+        ends = np.concatenate([[0], np.cumsum(filled)])[offsets]
         pa.default_memory_pool().release_unused()
+        return np.insert(codes[filled], ends[1:], 0), np.diff(ends) + 1, int(lengths.sum()) + len(text)
+
+    def ids(self) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units one after the other, and their numbers."""
+        store = {} if self.byte_level else _load(self.path)[0]
+        flat, sizes = (self.flat, self.sizes) if self.byte_level else ([self.end, store["flat"]], [[1], store["sizes"]])
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def release(self) -> None:
+        """Give back what texts since the last release took but for the words that a worker keeps."""
+        self.flat, self.sizes = [self.end], [np.ones(1, np.int64)]
+        if not self.byte_level:
+            _forget(_load(self.path)[0])

@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabprep.llm.common import text_column
-from tabprep.llm.encoding import encoded
+from tabprep.llm.common import doc_slices, size_slices, text_column
+from tabprep.llm.encoding import SLICE_BYTES, Units
 from tabprep.storage import shared_dir
 
 #: Text per shard and the ids after which a task starts another shard.
@@ -23,7 +23,11 @@ IDS_PER_SHARD = 8_000_000
 LEAST, FALL = 4, 4
 #: Symbols of at most so many ids are written out before decoding.
 SHORT = 256
+#: Ids decoded at once; a longer document by itself.
+IDS_AT_ONCE = 500_000
 _BIN_BITS = 20
+#: Numbers of pairs: a document ends after the place; the pair is too rare for a rule. Others follow.
+LAST, RARE = 0, 1
 FORMAT = (
     "first_id long, last_id long, shard long, n_ids long, terminals long, rule_left array<int>, rule_right array<int>, "
     "rule_length array<int>, doc_ids array<long>, doc_symbols array<int>, width int, symbols binary"
@@ -39,82 +43,127 @@ def _apart(pairs: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (place - np.maximum.accumulate(np.where(again, 0, place))) % 2 == 0
 
 
-def compress(ids: np.ndarray, lengths: np.ndarray, least: int = LEAST):
-    """Re-Pair of one shard: (terminals, left, right, expansion length, symbols, symbols of each document).
-
-    Each round counts the adjacent pairs inside documents, without overlap, and replaces those that occur at least
-    ``floor`` times by new nonterminals; where two such pairs share a symbol the more frequent one has it. The floor
-    falls by ``FALL`` each round down to ``least``, where rounds go on until no pair occurs that often. There a
-    round only counts pairs that hold a new symbol or lost their place in the last round, since no other count grows;
-    a last round counts all.
+def _numbered(symbols: np.ndarray, at: np.ndarray, weights: np.ndarray | None, least: int, first: int):
+    """Numbers from ``first`` of the pairs at ``at``, RARE if found fewer than ``least`` times; the pairs and their counts."""
+    one, two = symbols[at], symbols[at + 1]
+    # Bins of pairs drop most rare ones before the exact count; 32 bits a pair, and a table of flags that stays in cache.
+    bins = one.view(np.uint32) * np.uint32(0x9E3779B1)
+    bins += two.view(np.uint32)
+    bins *= np.uint32(0x85EBCA77)
+    bins >>= np.uint32(32 - _BIN_BITS)
+    weights = None if weights is None else weights[at]
+    some = np.flatnonzero((np.bincount(bins, weights=weights, minlength=1 << _BIN_BITS) >= least)[bins])
+    code, known = pd.factorize((one[some].astype(np.int64) << 32) | two[some])
+    often = np.bincount(code, weights=None if weights is None else weights[some], minlength=len(known))
+    enough = often >= least
+    codes = np.full(len(at), RARE, np.int32)
+    codes[some] = np.where(enough, first - 1 + np.cumsum(enough), RARE).astype(np.int32)[code]
+    return codes, known[enough], often[enough]
+
+
+def _rounds(symbols: np.ndarray, lengths: np.ndarray, length_of: np.ndarray, least: int, weights: np.ndarray | None = None):
+    """Replace pairs until none is found ``least`` times: (left, right, length of all symbols, symbols, new lengths).
+
+    ``length_of`` has the ids of each symbol so far; ``weights`` count a place more than once. Every place keeps the number
+    of its pair. A count never grows after its pair was numbered, since all later pairs hold a new symbol: a round counts
+    pairs again only where the last count reaches the floor, and numbers only new ones. Changes ``symbols``.
     """
-    symbols = ids.astype(np.int32)
-    terminals = int(symbols.max()) + 1 if len(symbols) else 0
-    ends = np.zeros(len(symbols), bool)
-    ends[np.cumsum(lengths) - 1] = True
-    active, floor = np.ones(len(symbols), bool), None
-    left, right, size, length_of, made = [], [], [], [np.ones(terminals, np.int64)], terminals
-    while len(symbols) > 1:
-        # Bins of pairs drop most rare ones before the exact count; 32 bits a pair, and a table of flags that stays in cache.
-        at = np.flatnonzero(active[:-1] & ~ends[:-1])
-        all_of = len(at) > len(symbols) // 2
-        one, two = (symbols[:-1], symbols[1:]) if all_of else (symbols[at], symbols[at + 1])
-        bins = one.view(np.uint32) * np.uint32(0x9E3779B1)
-        bins += two.view(np.uint32)
-        bins *= np.uint32(0x85EBCA77)
-        bins >>= np.uint32(32 - _BIN_BITS)
-        per_bin = np.bincount(bins[at] if all_of else bins, minlength=1 << _BIN_BITS)
+    code = np.full(len(symbols), RARE, np.int32)
+    code[np.cumsum(lengths) - 1] = LAST
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    pairs, often = np.zeros(2, np.int64), np.zeros(2, np.int64)
+    fresh, floor = np.flatnonzero(code != LAST), None
+    while True:
+        if len(fresh):
+            code[fresh], known, found = _numbered(symbols, fresh, weights, least, len(pairs))
+            pairs, often = np.concatenate([pairs, known]), np.concatenate([often, found])
+            fresh = fresh[:0]
         if floor is None:
-            floor = max(least, int(per_bin.max(initial=0)) // FALL)
-        crowded = (per_bin >= floor)[bins]
-        at = at[crowded[at] if all_of else crowded]
-        pairs = (symbols[at].astype(np.int64) << 32) | symbols[at + 1]
-        counted = _apart(pairs, at)
-        at, pairs = at[counted], pairs[counted]
-        code, known = pd.factorize(pairs)
-        often = np.bincount(code, minlength=len(known)) if len(known) else np.zeros(0, np.int64)
-        hit = often[code] >= floor
+            floor = max(least, int(often.max()) // FALL)
+        asked = often >= floor
+        at = np.flatnonzero(asked[code])
+        mine = code[at]
+        counted = _apart(mine, at)
+        at, mine = at[counted], mine[counted]
+        heavy = None if weights is None else weights[at]
+        often[asked] = np.bincount(mine, weights=heavy, minlength=len(often))[asked]
+        hit = (often >= floor)[mine]
         if not hit.any():
-            if floor == least and active.all():
+            if floor == least:
                 break
-            active, floor = np.ones(len(symbols), bool), max(least, floor // FALL)
+            floor = max(least, floor // FALL)
             continue
-        at, code = at[hit], code[hit]
-        rank = np.empty(len(known), np.int64)
-        rank[np.lexsort((known, -often))] = np.arange(len(known))
-        mine = rank[code]
+        at, mine = at[hit], mine[hit]
+        chosen = np.flatnonzero(often >= floor)
+        chosen = chosen[np.lexsort((pairs[chosen], -often[chosen]))]
+        rank = np.zeros(len(often), np.int32)
+        rank[chosen] = np.arange(len(chosen), dtype=np.int32)
+        mine = rank[mine]
         next_to = np.diff(at) == 1
         wins = np.ones(len(at), bool)
         wins[1:] &= ~next_to | (mine[1:] < mine[:-1])
         wins[:-1] &= ~next_to | (mine[:-1] < mine[1:])
-        replaced = np.bincount(code[wins], minlength=len(known))
-        new = np.flatnonzero(replaced >= floor)
-        new = new[np.argsort(rank[new])]
-        symbol_of = np.full(len(known), -1, np.int32)
-        symbol_of[new] = made + np.arange(len(new), dtype=np.int32)
-        wins &= symbol_of[code] >= 0
-        active = np.zeros(len(symbols), bool)
-        active[at[~wins]] = True
-        to, code = at[wins], code[wins]
-        symbols[to] = symbol_of[code]
-        active[to] = True
-        active[np.maximum(to - 1, 0)] = True
-        ends[to] = ends[to + 1]
+        to, mine = at[wins], mine[wins]
+        new = np.bincount(mine, weights=None if weights is None else weights[to], minlength=len(chosen)) >= floor
+        symbol_of = (len(length_of) - 1 + np.cumsum(new)).astype(np.int32)
+        to, mine = to[new[mine]], mine[new[mine]]
+        symbols[to] = symbol_of[mine]
+        code[to] = np.where(code[to + 1] == LAST, LAST, RARE)
         keep = np.ones(len(symbols), bool)
         keep[to + 1] = False
-        symbols, ends, active = symbols[keep], ends[keep], active[keep]
-        a, b = known[new] >> 32, known[new] & 0xFFFFFFFF
-        left.append(a)
-        right.append(b)
-        lengths_now = np.concatenate(length_of)
-        size.append(lengths_now[a] + lengths_now[b])
-        length_of = [lengths_now, size[-1]]
-        made += len(new)
-        if floor > least:
-            active, floor = np.ones(len(symbols), bool), max(least, floor // FALL)
-    per_doc = np.diff(np.concatenate([[-1], np.flatnonzero(ends)]))
-    rules = [np.concatenate(x).astype(np.int32) if x else np.zeros(0, np.int32) for x in (left, right, size)]
-    return terminals, *rules, symbols, per_doc
+        symbols, code = symbols[keep], code[keep]
+        weights = None if weights is None else weights[keep]
+        to -= np.arange(len(to))
+        before = to - 1
+        before = before[np.concatenate([to[:1] > 0, before[1:] != to[:-1]])]
+        fresh = np.concatenate([to, before])
+        fresh = fresh[code[fresh] != LAST]
+        left.append(pairs[chosen[new]] >> 32)
+        right.append(pairs[chosen[new]] & 0xFFFFFFFF)
+        length_of = np.concatenate([length_of, length_of[left[-1]] + length_of[right[-1]]])
+        floor = max(least, floor // FALL)
+    return np.concatenate(left), np.concatenate(right), length_of, symbols, np.diff(np.flatnonzero(code == LAST), prepend=-1)
+
+
+def compress(ids: np.ndarray, lengths: np.ndarray, least: int = LEAST):
+    """Re-Pair of one shard: (terminals, left, right, expansion length, symbols, symbols of each document).
+
+    Each round counts the adjacent pairs inside documents, without overlap, and replaces those that occur at least
+    ``floor`` times by new nonterminals; where two such pairs share a symbol the more frequent one has it. The floor
+    falls by ``FALL`` each round down to ``least``, where rounds go on until no pair occurs that often.
+    """
+    symbols = ids.astype(np.int32)
+    terminals = int(symbols.max()) + 1 if len(symbols) else 0
+    left, right, length_of, symbols, per_doc = _rounds(symbols, lengths, np.ones(terminals, np.int64), least)
+    return terminals, *(r.astype(np.int32) for r in (left, right, length_of[terminals:])), symbols, per_doc
+
+
+def compress_units(codes: np.ndarray, per_doc: np.ndarray, flat: np.ndarray, sizes: np.ndarray, least: int = LEAST):
+    """``compress`` of documents of ``per_doc`` units each; unit i is the ``sizes[i]`` next ids of ``flat``, at least one.
+
+    Rounds first run inside the distinct units, each counted as often as it is found, and then on the documents, where
+    repeated units are single symbols by then. The end is the same: no pair occurs ``least`` times.
+    """
+    often = np.bincount(codes, minlength=len(sizes))
+    used = np.flatnonzero(often)
+    symbols, per_unit = _ranges(flat, sizes, used).astype(np.int32), sizes[used]
+    terminals = int(symbols.max()) + 1 if len(symbols) else 0
+    weights = np.repeat(often[used].astype(np.float64), per_unit)
+    left, right, length_of, symbols, per_unit = _rounds(symbols, per_unit, np.ones(terminals, np.int64), least, weights)
+    number = np.zeros(len(sizes), np.int32)
+    number[used] = np.arange(len(used))
+    codes = number[codes]
+    lengths = np.diff(np.concatenate([[0], np.cumsum(per_unit[codes])])[np.concatenate([[0], np.cumsum(per_doc)])])
+    more_left, more_right, length_of, symbols, per_doc = _rounds(_ranges(symbols, per_unit, codes), lengths, length_of, least)
+    rules = np.concatenate([left, more_left]), np.concatenate([right, more_right]), length_of[terminals:]
+    return terminals, *(r.astype(np.int32) for r in rules), symbols, per_doc
+
+
+def _ranges(flat: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The values of the coded ranges of ``flat`` in turn; ranges of ``sizes`` follow each other."""
+    starts, each = np.cumsum(sizes) - sizes, sizes[codes]
+    ends = np.cumsum(each)
+    return flat[np.repeat(starts[codes] - (ends - each), each) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
 @dataclass
@@ -160,12 +209,12 @@ def decode(symbols: np.ndarray, table: Expansions) -> np.ndarray:
     return table.flat[np.repeat(table.start[symbols] - (ends - each), each) + np.arange(total)]
 
 
-def _shard_row(shard: int, docs: list, ids: np.ndarray, lengths: np.ndarray) -> dict:
-    terminals, left, right, size, symbols, per_doc = compress(ids, lengths)
+def _shard_row(shard: int, docs: list, n_ids: int, grammar: tuple) -> dict:
+    terminals, left, right, size, symbols, per_doc = grammar
     width = 2 if terminals + len(left) <= 1 << 16 else 4
     known = [d for d in docs if d is not None]
     return {
-        "first_id": min(known, default=None), "last_id": max(known, default=None), "shard": shard, "n_ids": len(ids),
+        "first_id": min(known, default=None), "last_id": max(known, default=None), "shard": shard, "n_ids": n_ids,
         "terminals": terminals, "rule_left": left, "rule_right": right, "rule_length": size, "doc_ids": docs,
         "doc_symbols": per_doc.astype(np.int32), "width": width, "symbols": symbols.astype(f"<u{width}").tobytes(),
     }
@@ -186,23 +235,28 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, byte_level: bool = Fal
         from pyspark import TaskContext
 
         part, made = TaskContext.get().partitionId(), 0
-        names, ids, lengths, held = [], [], [], 0
+        names, codes, per_doc, held = [], [], [], 0
+        units = Units(tokenizer, byte_level, end_id)
 
         def flush():
-            nonlocal names, ids, lengths, held, made
-            row = _shard_row((part << 32) + made, names, np.concatenate(ids), np.concatenate(lengths))
-            names, ids, lengths, held, made = [], [], [], 0, made + 1
+            nonlocal names, codes, per_doc, held, made
+            grammar = compress_units(np.concatenate(codes), np.concatenate(per_doc), *units.ids())
+            row = _shard_row((part << 32) + made, names, held, grammar)
+            names, codes, per_doc, held, made = [], [], [], 0, made + 1
+            units.release()
             return pa.RecordBatch.from_pylist([row], schema=_arrow_schema())
 
         for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
-            for at, new, sizes in encoded(text_column(batch), tokenizer, byte_level, end_id):
-                if held and held + len(new) > IDS_PER_SHARD:
+            doc_ids, text = batch.column(0).to_pylist(), text_column(batch)
+            for at, to in doc_slices(text, SLICE_BYTES):
+                new, sizes, n_ids = units.code(text.slice(at, to - at))
+                if held and held + n_ids > IDS_PER_SHARD:
                     yield flush()
-                names += doc_ids[at:at + len(sizes)]
-                ids.append(new)
-                lengths.append(sizes)
-                held += len(new)
+                    new, sizes, n_ids = units.code(text.slice(at, to - at))
+                names += doc_ids[at:to]
+                codes.append(new)
+                per_doc.append(sizes)
+                held += n_ids
         if held:
             yield flush()
 
@@ -223,19 +277,22 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
     def unpack(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                table = expansions(row["terminals"], row["rule_left"], row["rule_right"], row["rule_length"])
-                symbols = np.frombuffer(row["symbols"], f"<u{row['width']}").astype(np.int64)
-                ends = np.cumsum(row["doc_symbols"])
-                n, crc = [], []
-                for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                    ids = decode(symbols[a:b], table)
-                    n.append(len(ids))
-                    crc.append(crc32(ids))
-                n = np.array(n, np.int64)
+            for i in range(batch.num_rows):
+                row = {name: column[i] for name, column in zip(batch.schema.names, batch.columns, strict=True)}
+                left, right, size, per_doc = (
+                    row[name].values.to_numpy() for name in ("rule_left", "rule_right", "rule_length", "doc_symbols")
+                )
+                table = expansions(row["terminals"].as_py(), left, right, size)
+                symbols = np.frombuffer(row["symbols"].as_buffer(), f"<u{row['width'].as_py()}").astype(np.int64)
+                ends = np.concatenate([[0], np.cumsum(per_doc)])
+                n, crc = np.diff(np.concatenate([[0], np.cumsum(table.length[symbols])])[ends]), []
+                for first, last in size_slices(n, IDS_AT_ONCE):
+                    ids = decode(symbols[ends[first]:ends[last]], table)
+                    to = np.cumsum(n[first:last])
+                    crc += [crc32(ids[a:b]) for a, b in zip([0, *to[:-1].tolist()], to.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(row["doc_ids"], pa.int64()), pa.array([row["shard"]] * len(n), pa.int64()),
+                        row["doc_ids"].values, pa.array([row["shard"].as_py()] * len(n), pa.int64()),
                         pa.array(np.cumsum(n) - n), pa.array(n), pa.array(crc, pa.int64()),
                     ],
                     names=["doc_id", "shard", "inside", "n_tokens", "ids_crc32"],

@@ -211,3 +211,65 @@ def test_pairs_are_binned_in_32_bits(monkeypatch):
     terminals, left, right, size, symbols, _ = repair.compress(ids, np.array([100_000]))
     assert wide[0] < 1000
     assert repair.decode(symbols, repair.expansions(terminals, left, right, size)).tolist() == ids.tolist()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_grammar_of_units(seed):
+    """Units found often become one symbol before the documents' pairs are counted; the end is that of a grammar of ids."""
+    rng = np.random.default_rng(seed)
+    sizes = rng.integers(0, 7, 80)
+    flat, full = rng.integers(0, 9, int(sizes.sum())).astype(np.uint32), np.flatnonzero(sizes)
+    per_doc = rng.integers(1, 30, 60)
+    codes = rng.choice(full, int(per_doc.sum()), p=(w := 1 / np.arange(1, len(full) + 1)) / w.sum())
+    pieces = np.split(flat, np.cumsum(sizes)[:-1])
+    docs = [np.concatenate([pieces[c] for c in d]) for d in np.split(codes, np.cumsum(per_doc)[:-1])]
+    terminals, left, right, size, symbols, each = repair.compress_units(codes, per_doc, flat, sizes)
+    table = repair.expansions(terminals, left, right, size)
+    at = np.cumsum(each)[:-1]
+    for got, want in zip(np.split(symbols, at), docs, strict=True):
+        assert repair.decode(got, table).tolist() == want.tolist()
+    assert len(left) and _most_often(symbols, each) < repair.LEAST
+
+
+def test_rounds_number_only_new_pairs(monkeypatch):
+    """Places are looked at again where a neighbour was replaced, not in every round."""
+    rng, looked = np.random.default_rng(2), []
+    ids = np.minimum(rng.zipf(1.3, 50_000), 3000).astype(np.uint32)
+    real = repair._numbered
+    monkeypatch.setattr(repair, "_numbered", lambda symbols, at, *rest: looked.append(len(at)) or real(symbols, at, *rest))
+    terminals, left, right, size, symbols, _ = repair.compress(ids, np.array([50_000]))
+    assert repair.decode(symbols, repair.expansions(terminals, left, right, size)).tolist() == ids.tolist()
+    assert len(looked) > 4 and sum(looked) < len(ids) + 2 * (len(ids) - len(symbols))
+
+
+@pytest.mark.parametrize(("path", "byte_level"), [(WORD, False), (BYTE, True)])
+@pytest.mark.parametrize("cached", [0, 400_000])
+def test_units_equal_direct_encoding(path, byte_level, cached, monkeypatch):
+    monkeypatch.setattr(encoding, "CACHED_WORDS", cached)
+    units = encoding.Units(path, byte_level, 2)
+    for texts in (TEXTS, ["signs%%% after,$$$ wörds!? it's.** <|endoftext|>.", "", "x" * 50], TEXTS[::-1]):
+        codes, per_doc, n_ids = units.code(pa.array([t or "" for t in texts], pa.large_string()))
+        flat, sizes = units.ids()
+        got = np.split(repair._ranges(flat, sizes, codes), np.cumsum(sizes[codes])[np.cumsum(per_doc) - 1][:-1])
+        assert n_ids == sum(map(len, got))
+        for mine, text in zip(got, texts, strict=True):
+            assert mine.tolist() == _ids(path, text, 2).tolist(), text
+        units.release()
+        assert byte_level or len(encoding._load(path)[0]["words"]) <= cached
+
+
+@pytest.mark.parametrize(("path", "byte_level"), [(WORD, False), (BYTE, True)])
+def test_id_files_of_many_shards_in_a_task(spark, docs, path, byte_level, monkeypatch):
+    """A shard that is full is written before the slice that did not fit, whose units are coded anew."""
+    monkeypatch.setattr(repair, "IDS_PER_SHARD", 40)
+    monkeypatch.setattr(repair, "SLICE_BYTES", 30)
+    monkeypatch.setattr(repair, "IDS_AT_ONCE", 10)
+    folder = repair.id_file_folder(spark)
+    repair.write_ids(docs, folder, path, byte_level)
+    rows = sorted(repair.read_ids(spark, folder).collect(), key=lambda r: r.start)
+    want, at = [(None, "no id")] + sorted([*enumerate(TEXTS), (3, TEXTS[3])], key=lambda x: x[0]), 0
+    for row, (doc, text) in zip(rows, want, strict=True):
+        ids = _ids(path, text, 2)
+        assert (row.doc_id, row.start, row.n_tokens, row.ids_crc32) == (doc, at, len(ids), crc32(ids))
+        at += len(ids)
+    assert spark.read.parquet(folder).count() > 3
