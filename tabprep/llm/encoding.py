@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from itertools import count, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,25 +40,27 @@ def _look_up(strings: list[str], store: dict, tokenizer) -> np.ndarray:
     place = np.fromiter(map(places.get, strings, repeat(-1)), np.int64, len(strings))
     lacking = np.flatnonzero(place < 0).tolist()
     missing = list(dict.fromkeys([strings[i] for i in lacking]))
+    flat, sizes = [store["flat"]], [store["sizes"]]
     for at in range(0, len(missing), 20_000):
-        some = pa.array(missing[at:at + 20_000], pa.large_string())
-        new, each = _encode(some, store, tokenizer)
-        places.update(zip(missing[at:at + 20_000], count(len(places)), strict=False))
-        store["words"] = store["placed"] = pa.concat_arrays([store["words"], some])
-        store["flat"], store["sizes"] = np.concatenate([store["flat"], new]), np.concatenate([store["sizes"], each])
+        new, each = _encode(pa.array(missing[at:at + 20_000], pa.large_string()), store, tokenizer)
+        flat.append(new)
+        sizes.append(each)
+    if missing:
+        places.update(zip(missing, range(len(places), len(places) + len(missing)), strict=True))
+        store["words"] = store["placed"] = pa.concat_arrays([store["words"], pa.array(missing, pa.large_string())])
+        store["flat"], store["sizes"] = np.concatenate(flat), np.concatenate(sizes)
     place[lacking] = [places[strings[i]] for i in lacking]
     return place
 
 
 def _forget(store: dict) -> None:
     """Leave the first ``CACHED_WORDS`` words in the store; places of others are no longer valid."""
-    if len(store["words"]) > CACHED_WORDS:
-        places, words = _places(store), store["words"]
-        for word in _strings(words.slice(CACHED_WORDS)):
-            del places[word]
-        store["words"] = store["placed"] = words.take(pa.array(np.arange(CACHED_WORDS)))
-        store["sizes"] = store["sizes"][:CACHED_WORDS].copy()
-        store["flat"] = store["flat"][:store["sizes"].sum()].copy()
+    places = _places(store)
+    while len(places) > CACHED_WORDS:
+        places.popitem()
+    store["words"] = store["placed"] = store["words"].slice(0, CACHED_WORDS)
+    store["sizes"] = store["sizes"][:CACHED_WORDS]
+    store["flat"] = store["flat"][:store["sizes"].sum()]
 
 
 def _encode(words: pa.Array, store: dict, tokenizer) -> tuple[np.ndarray, np.ndarray]:
