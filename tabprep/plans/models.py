@@ -15,14 +15,14 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabprep.functions.types import ORD, col
 from tabprep.operators.ordering import with_row_number
-from tabprep.plans import gram
+from tabprep.plans import gram, trees
 from tabprep.storage import discard, materialize
 
 logger = logging.getLogger(__name__)
@@ -86,9 +86,9 @@ def estimator(name: str, features: str = "features", label: str = "label", **par
     elif name == LASSO:
         made = LinearRegression(elasticNetParam=1.0, standardization=False, regParam=1.0, maxIter=2000, tol=1e-9, **base)
     elif name == FOREST:
-        # How the work is done, not what is fitted: rows keep the node they are in, so no pass walks the trees from their roots.
+        # How Spark does the work where it grows the forest itself: rows keep the node they are in.
         work = {"cacheNodeIds": True, "maxMemoryInMB": 512}
-        made = RandomForestRegressor(featureSubsetStrategy="all", seed=SEED, numTrees=100, maxDepth=30, **work, **base)
+        made = trees.Forest(featureSubsetStrategy="all", seed=SEED, numTrees=100, maxDepth=30, **work, **base)
     elif name == BOOSTING:
         made = GBTRegressor(seed=SEED, maxIter=100, stepSize=0.1, maxDepth=3, **base)
     else:

@@ -20,8 +20,11 @@ from tabprep.operators.sparse import SparseEncoding
 from tabprep.plans import models as M
 from tabprep.plans.features import CORRELATION_THRESHOLD, FeaturePlan, feature_kinds, fit_features, usable_rows
 from tabprep.plans.sparse_features import fit_sparse_features
+from tabprep.plans.trees import GrownForest
 
 _MODEL_CLASSES = {c.__name__: c for c in (LinearRegressionModel, RandomForestRegressionModel, GBTRegressionModel)}
+# A grown forest is written as Spark's.
+_MODEL_CLASSES[GrownForest.__name__] = RandomForestRegressionModel
 
 
 @dataclass

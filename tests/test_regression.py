@@ -1,11 +1,13 @@
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from tabprep.plans import features as X
 from tabprep.plans import models as M
 from tabprep.plans import regression as R
+from tabprep.plans import trees
 
 FAST = {M.FOREST: {"numTrees": [20], "maxDepth": [8]}, M.BOOSTING: {"maxIter": [20], "maxDepth": [3]},
         M.RIDGE: {"alpha": [0.1, 1.0]}, M.LASSO: {"regParam": [0.1, 1.0]}}
@@ -249,3 +251,77 @@ def test_spread_deals_all_rows_to_the_cores(spark, regression):
     dealt = M.spread(one)
     assert dealt.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert sorted(dealt.collect()) == sorted(one.collect())
+
+
+def _spark_forest(made):
+    """The same settings on Spark's own forest."""
+    own = RandomForestRegressor()
+    return own.copy({own.getParam(p.name): v for p, v in made.extractParamMap().items()})
+
+
+@pytest.fixture
+def uneven(spark):
+    """Rows with ties in label and features, rows that come twice, in one partition as Spark's sums depend on their order."""
+    rng = np.random.default_rng(7)
+    n = 900
+    a, b, c = rng.integers(0, 60, n), rng.integers(0, 5, n), rng.normal(size=n)
+    y = (3 * a + 2 * b + rng.integers(0, 4, n)).astype(float)
+    rows = [(float(y[i % 700]), Vectors.dense(float(a[i % 700]), float(b[i % 700]), float(c[i % 700]), 1.0)) for i in range(n)]
+    return spark.createDataFrame(rows, ["label", "features"]).coalesce(1)
+
+
+@pytest.mark.parametrize("params", [{"maxDepth": 30}, {"maxDepth": 4, "minInstancesPerNode": 5}, {"maxDepth": 0}, {"bootstrap": False, "subsamplingRate": 0.5}])
+def test_forest_is_the_one_that_spark_grows(uneven, params):
+    made = M.estimator(M.FOREST, numTrees=3, **params)
+    grown, own = made.fit(uneven), _spark_forest(made).fit(uneven)
+    assert isinstance(grown, trees.GrownForest)
+    assert np.allclose(grown.featureImportances.toArray(), own.featureImportances.toArray(), rtol=1e-12, atol=0)
+    assert grown._loaded is None  # no node has come to the driver
+    assert grown.toDebugString.split("\n")[1:] == own.toDebugString.split("\n")[1:]
+    assert np.array_equal(grown.featureImportances.toArray() > 0, own.featureImportances.toArray() > 0)
+
+
+@pytest.mark.parametrize("rows, held", [(100, 64 << 20), (7, 64 << 20), (100, 1)])
+def test_nodes_of_many_rows_are_split_by_all_tasks(uneven, monkeypatch, rows, held):
+    """The nodes do not depend on how many rows a task finishes, nor on the partitions that give the sums."""
+    made = M.estimator(M.FOREST, numTrees=3, maxDepth=9, minInstancesPerNode=3)
+    whole = made.fit(uneven).toDebugString
+    monkeypatch.setattr(trees, "NODE_ROWS", rows)
+    monkeypatch.setattr(trees, "HELD_BYTES", held)
+    assert made.fit(uneven).toDebugString.split("\n")[1:] == whole.split("\n")[1:]
+
+
+def test_forest_of_constant_features_is_one_leaf_a_tree(spark, monkeypatch):
+    data = spark.createDataFrame([(float(i), Vectors.dense(1.0, 2.0)) for i in range(20)], ["label", "features"])
+    made = M.estimator(M.FOREST, numTrees=2)
+    for rows in (trees.NODE_ROWS, 5):
+        monkeypatch.setattr(trees, "NODE_ROWS", rows)
+        grown = made.fit(data)
+        assert grown.totalNumNodes == 2 and not grown.featureImportances.toArray().any()
+
+
+def test_grown_forest_predicts_and_is_saved_as_sparks(uneven, tmp_path):
+    made = M.estimator(M.FOREST, numTrees=3, maxDepth=6)
+    grown, own = made.fit(uneven), _spark_forest(made).fit(uneven)
+    predicted = [r[0] for r in own.transform(uneven).select("prediction").collect()]
+    assert [r[0] for r in grown.transform(uneven).select("prediction").collect()] == pytest.approx(predicted, rel=1e-12)
+    grown.write().save(str(tmp_path / "forest"))
+    again = R._MODEL_CLASSES[type(grown).__name__].load(str(tmp_path / "forest"))
+    assert again.toDebugString == grown.toDebugString
+
+
+def test_weighted_forest_is_left_to_spark(uneven):
+    made = M.estimator(M.FOREST, numTrees=2, maxDepth=3, weightCol="w")
+    assert type(made.fit(uneven.withColumn("w", F.lit(2.0)))) is RandomForestRegressionModel
+
+
+def test_leaves_of_one_prediction_are_pruned_above_subtrees():
+    def node(number, feature, prediction):
+        return (0, number, feature, 0.5 if feature >= 0 else 0.0, 1.0 if feature >= 0 else -1.0, 2.0, prediction, 4.0, 8.0, 24.0)
+
+    nodes = [node(1, 0, 2.5), node(2, 1, 2.0), node(3, 1, 3.0), node(4, -1, 2.0)]
+    left, gone = trees.pruned_above(nodes, {(0, 5): 2.0, (0, 6): 1.0})
+    assert sorted(n[1] for n in left) == [1, 2, 3] and sorted(gone) == [(0, 4), (0, 5)]
+    assert {n[1]: (n[2], n[4], n[6]) for n in left}[2] == (-1, -1.0, 2.0)
+    left, gone = trees.pruned_above(nodes[:2], {(0, 3): 2.0, (0, 4): 2.0, (0, 5): 2.0})
+    assert [n[1:3] for n in left] == [(1, -1)] and sorted(gone) == [(0, 2), (0, 3), (0, 4), (0, 5)]
