@@ -17,19 +17,21 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.ml.linalg import SparseVector
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabprep.storage import discard, materialize, shared_dir
+from tabprep.storage import discard, materialize, remove, settings, shared_dir
 
 # Rows of a node, and bytes of their bins, that one task finishes by itself.
 NODE_ROWS = 2_000_000
 NODE_BYTES = 64 << 20
-# Cells of the histograms that are searched together, and bytes of histograms that a task holds before it hands them on.
+# Cells of the histograms that are searched together, and bytes of histograms, rows or blocks that a task holds at a time.
 CELLS = 1 << 16
 HELD_BYTES = 64 << 20
 # Most tasks that finish nodes.
 TASKS = 2000
+# Records that a task takes at a time.
+BATCHES = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
 # Gain of a split that is not allowed, and impurity below which a node is not searched, as in Spark.
 NO_GAIN = -np.finfo(np.float64).max
 PURE = np.finfo(np.float64).eps
@@ -516,15 +518,24 @@ def pruned_above(nodes: list[tuple], leaves: dict[tuple[int, int], float]) -> tu
     return [*by_id.values()], gone
 
 
+def batched(spark: SparkSession, record_bytes: int):
+    """Jobs started inside take as many records of that size at a time as may be held, and no more than before."""
+    records = max(1, HELD_BYTES // record_bytes)
+    return settings(spark, {k: str(records) for k in BATCHES if records < int(spark.conf.get(k))})
+
+
 def grown_nodes(rows: DataFrame, shape: Shape) -> DataFrame:
     """All nodes of all trees, written to the shared folder."""
-    blocks = blocks_of(rows, shape)
-    if shape.rows <= shape.node_rows:
-        return materialize(finish(blocks, {}, shape))
-    blocks = materialize(blocks)
-    upper, splits, known = split_large(blocks, shape)
-    spark = rows.sparkSession
-    lower = materialize(finish(routed(blocks, splits, set(known), shape), known, shape))
+    spark, blocks = rows.sparkSession, blocks_of(rows, shape)
+    row_bytes = 4 * (len(shape.thresholds) + shape.trees)
+    with batched(spark, row_bytes):
+        if shape.rows <= shape.node_rows:
+            return materialize(finish(blocks, {}, shape))
+        block_rows = int(spark.conf.get(BATCHES[0]))
+        blocks = materialize(blocks)
+    with batched(spark, block_rows * (len(shape.thresholds) * shape.bin_type.itemsize + 10)):
+        upper, splits, known = split_large(blocks, shape)
+        lower = materialize(finish(routed(blocks, splits, set(known), shape), known, shape))
     discard(blocks)
     roots = spark.createDataFrame([*known] or [(-1, 0)], "tree int, id long")
     leaves = lower.filter("feature < 0").select("tree", "id", "prediction").join(F.broadcast(roots), ["tree", "id"])
@@ -612,5 +623,6 @@ class GrownForest(RandomForestRegressionModel):
         out = nodes.join(first, ["tree", "id"], "left").select(F.col("tree").alias("treeID"), saved.alias("nodeData"))
         out.write.mode("overwrite").parquet(f"{path}/data")
         loaded = RandomForestRegressionModel.load(path)
+        remove(spark, path)
         java, loaded._java_obj = loaded._java_obj, None
         return java

@@ -42,12 +42,15 @@ def discard(df: DataFrame) -> None:
     """Delete the files behind a frame from ``materialize``, once no job needs them."""
     spark = df.sparkSession
     own = f"{shared_dir(spark)}/tabprep/"
-    jvm = spark.sparkContext._jvm
     folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
     for folder in folders:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
         if own.split(":", 1)[-1].lstrip("/") in folder:
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            remove(spark, folder)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextmanager

@@ -281,14 +281,16 @@ def test_forest_is_the_one_that_spark_grows(uneven, params):
     assert np.array_equal(grown.featureImportances.toArray() > 0, own.featureImportances.toArray() > 0)
 
 
-@pytest.mark.parametrize("rows, held", [(100, 64 << 20), (7, 64 << 20), (100, 1)])
-def test_nodes_of_many_rows_are_split_by_all_tasks(uneven, monkeypatch, rows, held):
+@pytest.mark.parametrize("rows, held", [(100, 64 << 20), (7, 64 << 20), (100, 5000)])
+def test_nodes_of_many_rows_are_split_by_all_tasks(spark, uneven, monkeypatch, rows, held):
     """The nodes do not depend on how many rows a task finishes, nor on the partitions that give the sums."""
     made = M.estimator(M.FOREST, numTrees=3, maxDepth=9, minInstancesPerNode=3)
     whole = made.fit(uneven).toDebugString
     monkeypatch.setattr(trees, "NODE_ROWS", rows)
     monkeypatch.setattr(trees, "HELD_BYTES", held)
+    before = [spark.conf.get(k) for k in trees.BATCHES]
     assert made.fit(uneven).toDebugString.split("\n")[1:] == whole.split("\n")[1:]
+    assert [spark.conf.get(k) for k in trees.BATCHES] == before
 
 
 def test_forest_of_constant_features_is_one_leaf_a_tree(spark, monkeypatch):
